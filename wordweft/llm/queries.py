@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import dac, sharding, simhash
+from .common import shared_dir
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,8 +21,30 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(_read(spark, sf_dir, "documents"))
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return found.select("doc_id", "size", crc.alias("text_crc32"), "law", "shard", "slot", "grown_shard")
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(_tokenizer("word_bpe_49k.json"), encoding="utf-8") as file:
+        tokenizer = file.read()
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}/token_ids"
+    dac.write_segments(_read(spark, sf_dir, "documents"), path, tokenizer)
+    return dac.read_documents(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_sharding": op2_sharding,
+    "op9_token_ids": op9_token_ids,
 }
 ORACLES: dict[str, str] = {}
 
