@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, sharding, simhash
+from . import bpe, dac, rules, sharding, simhash
 from .common import shared_dir
 
 
@@ -27,12 +27,27 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", crc.alias("text_crc32"), "law", "shard", "slot", "grown_shard")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(_read(spark, sf_dir, "documents")).drop("first_rule")
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def _bpe_digests(docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(_tokenizer("byte_bpe_multi_50k.tiktoken"))
+    return bpe.digests(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bpe_digests(_read(spark, sf_dir, "documents"))
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(_tokenizer("word_bpe_49k.json"), encoding="utf-8") as file:
         tokenizer = file.read()
@@ -44,9 +59,11 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_sharding": op2_sharding,
+    "op3_quality_rules": op3_quality_rules,
+    "op5_byte_bpe": op5_byte_bpe,
     "op9_token_ids": op9_token_ids,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_quality_rules": rules.ORACLE}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
