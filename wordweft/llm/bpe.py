@@ -1,10 +1,10 @@
 """Byte-level BPE with Spark's higher-order functions: encode, decode.
 
 Text is cut into words by the tokenizer's pattern, each word is encoded once, and documents look their words up.
-A word is an array of one-byte pieces (bytes as Latin-1 characters). The fold keeps the pieces and the rank of each
-neighbouring pair; a step merges the leftmost pair of the least rank and looks up the two pairs that this makes. The
-ranks are a literal in the plan: an array of small maps, addressed by the CRC-32 of a piece, because a lookup in one
-large map walks all of it.
+A word is an array of the ids of its bytes. The fold keeps the ids and the rank of each neighbouring pair; a step
+merges the leftmost pair of the least rank and looks up the two pairs that this makes. The ranks are a literal in the
+plan: an array of small key and value lists, addressed by a pair's remainder, because a lookup in one large map walks
+all of it. A word that is a piece itself is that piece, whether or not merges lead to it.
 
 Documents get the ids of the ``frequent`` most frequent words from a broadcast table of that many rows at most, with
 words of at most LONG bytes. A row's other words are folded in its own row, each distinct one once, so no text and no
@@ -33,8 +33,8 @@ from .common import prepare, settle
 
 NO_RANK = 2**31 - 1
 LONG = 96
-FREQUENT = 1 << 19
-BUCKETS = 1 << 15
+FREQUENT = 1 << 20
+BUCKETS = 65_521
 #: In a row's word codes: from here on the row's rare words, and a word of over LONG bytes.
 RARE_CODE, LONG_CODE = 1 << 31, (1 << 32) - 1
 
@@ -46,66 +46,84 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def rank_literal(ranks: dict[bytes, int], buckets: int = BUCKETS) -> Column:
-    """array<map<string,int>>: bucket CRC-32 mod buckets holds the pieces (Latin-1) that fall in it."""
-    table: list[dict[str, int]] = [{} for _ in range(buckets)]
+    """The rank map as array<struct<k:array<bigint>,v:array<int>>>.
+
+    A key is left id x 65,536 + right id for each way to put a piece together from two pieces, its value the piece's
+    rank, which is its id; a key stands in the bucket of its remainder. Slot ``buckets`` has the ids of the bytes.
+    """
+    table: list[tuple[list[int], list[int]]] = [([], []) for _ in range(buckets)]
     for piece, rank in ranks.items():
-        name = piece.decode("latin-1")
-        table[zlib.crc32(name.encode()) % buckets][name] = rank
-    return F.from_json(F.lit(json.dumps(table)), "array<map<string,int>>")
+        for cut in range(1, len(piece)):
+            left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+            if left is not None and right is not None:
+                key = left * 65536 + right
+                keys, values = table[key % buckets]
+                keys.append(key)
+                values.append(rank)
+    table.append(([], [ranks[bytes([b])] for b in range(256)]))
+    rows = ",".join(f'{{"k":{json.dumps(k)},"v":{json.dumps(v)}}}' if k or v else "{}" for k, v in table)
+    return F.from_json(F.lit(f"[{rows}]"), "array<struct<k:array<bigint>,v:array<int>>>")
 
 
 def _bind(value: Column, then) -> Column:
+    """then(value) with value computed once."""
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def rank_of(piece: Column, table: Column, buckets: int = BUCKETS) -> Column:
-    """Rank of a piece, NO_RANK if it has none."""
-    slot = F.pmod(F.crc32(piece.cast("binary")), F.lit(buckets)).cast("int")
-    return F.coalesce(F.try_element_at(F.get(table, slot), piece), F.lit(NO_RANK))
+def fold_merges(word: Column, literal: Column, buckets: int = BUCKETS) -> Column:
+    """Ids, as array<int>, of a word given as binary of at least one byte.
 
+    The fold's state is the pieces' ids ``p`` and the ranks ``r`` of each piece with the next one, behind a guard
+    that no pair has. A step merges the leftmost pair of the least rank.
+    """
 
-def fold_merges(word: Column, table: Column, buckets: int = BUCKETS) -> Column:
-    """Ids of a word given as Latin-1 characters, as array<int>."""
+    def with_table(table: Column) -> Column:
+        def rank(left: Column, right: Column) -> Column:
+            def in_bucket(key: Column) -> Column:
+                return _bind(
+                    F.get(table, F.pmod(key, F.lit(buckets)).cast("int")),
+                    lambda e: F.get(e["v"], F.array_position(e["k"], key).cast("int") - 1),
+                )
 
-    def rank(p: Column) -> Column:
-        return rank_of(p, table, buckets)
+            return F.coalesce(_bind(left * F.lit(65536) + right, in_bucket), F.lit(NO_RANK))
 
-    def start(parts: Column) -> Column:
-        pairs = F.slice(
-            F.transform(parts, lambda x, i: rank(F.concat(x, F.coalesce(F.get(parts, i + 1), F.lit(""))))),
-            F.lit(1),
-            F.size(parts) - 1,
-        )
-        return F.struct(parts.alias("p"), pairs.alias("r"))
+        def start(ids: Column) -> Column:
+            ranked = F.transform(ids, lambda x, i: rank(x, F.get(ids, i + 1)))
+            return F.struct(ids.alias("p"), ranked.alias("r"))
 
-    def merge(s: Column, at: Column) -> Column:
-        p, r = s["p"], s["r"]
-
-        def with_piece(new: Column) -> Column:
-            left = F.when(at > 1, F.array(rank(F.concat(F.get(p, at - 2), new)))).otherwise(F.array().cast("array<int>"))
-            right = F.when(at < F.size(r), F.array(rank(F.concat(new, F.get(p, at + 1))))).otherwise(F.array().cast("array<int>"))
+        def merge(s: Column, least: Column, at: Column) -> Column:
+            p, r = s["p"], s["r"]
             return F.struct(
-                F.concat(F.slice(p, F.lit(1), at - 1), F.array(new), F.slice(p, at + 2, F.size(p))).alias("p"),
-                F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, F.size(r))).alias("r"),
+                F.concat(F.slice(p, F.lit(1), at - 1), F.array(least.cast("long")), F.slice(p, at + 2, F.size(p))).alias("p"),
+                F.concat(
+                    F.slice(r, F.lit(1), at - 2),
+                    F.array(rank(F.get(p, at - 2), least), rank(least.cast("long"), F.get(p, at + 1))),
+                    F.slice(r, at + 2, F.size(r)),
+                ).alias("r"),
             )
 
-        return _bind(F.concat(F.get(p, at - 1), F.get(p, at)), with_piece)
+        def step(s: Column, _: Column) -> Column:
+            def by_least(least: Column) -> Column:
+                return F.when(
+                    least < NO_RANK, _bind(F.array_position(s["r"], least).cast("int"), lambda at: merge(s, least, at))
+                ).otherwise(s)
 
-    def step(s: Column, _: Column) -> Column:
-        def by_least(least: Column) -> Column:
-            return F.when(
-                F.coalesce(least, F.lit(NO_RANK)) < NO_RANK,
-                _bind(F.array_position(s["r"], least).cast("int"), lambda at: merge(s, at)),
-            ).otherwise(s)
+            return _bind(F.array_min(s["r"]), by_least)
 
-        return _bind(F.array_min(s["r"]), by_least)
+        def run(ids: Column) -> Column:
+            turns = F.slice(ids, F.lit(3), F.size(ids))
+            merged = F.aggregate(turns, start(ids), step)["p"]
+            return F.slice(merged, F.lit(2), F.size(merged)).cast("array<int>")
 
-    def run(parts: Column) -> Column:
-        turns = F.slice(parts, F.lit(2), F.size(parts))
-        return F.transform(F.aggregate(turns, start(parts), step)["p"], rank)
+        size = F.octet_length(word)
+        codes = F.get(table, F.lit(buckets))["v"]
+        first = F.transform(
+            F.sequence(F.lit(0), size),
+            lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get(codes, F.ascii(F.decode(F.substr(word, i, F.lit(1)), "ISO-8859-1")))).cast("long"),
+        )
+        return _bind(first, run)
 
-    whole = rank(word)
-    return _bind(whole, lambda r: F.when(r < NO_RANK, F.array(r)).otherwise(_bind(F.split(word, ""), run)))
+    return _bind(literal, with_table)
 
 
 def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -165,22 +183,21 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int
     spark = prepare(docs.sparkSession)
     table = rank_literal(ranks)
 
-    def latin(word: Column) -> Column:
-        return F.decode(word.cast("binary"), "ISO-8859-1")
-
     counts = word_counts(docs, pattern)
     top = counts.where(F.octet_length("word") <= LONG).orderBy(F.desc("n"), "word").limit(frequent).select("word")
-    coded = settle(top.repartition(spark.sparkContext.defaultParallelism * 2), "words").withColumn("ids", fold_merges(latin(F.col("word")), table))
+    coded = settle(top.repartition(spark.sparkContext.defaultParallelism * 2), "words").withColumn("ids", fold_merges(F.col("word").cast("binary"), table))
     coded = coded.select("word", F.to_json("ids").alias("ids")).toPandas()
     words, codes = coded["word"].tolist(), [np.array(json.loads(x), "<u4").tobytes() for x in coded["ids"]]
     del coded
-    shared = spark.sparkContext.broadcast((words, codes, ranks))
+    shared = spark.sparkContext.broadcast((words, ranks))
+    shared_codes = spark.sparkContext.broadcast(codes)
+    del words, codes
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find = regex.compile(pattern).findall
-        names, _, own_ranks = shared.value
+        names, own_ranks = shared.value
         code = {w: i for i, w in enumerate(names, 1)}
         for batch in batches:
             held, rare, long = [], [], []
@@ -205,10 +222,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int
             )
 
     looked = docs.select("doc_id", "text").mapInArrow(look_up, "doc_id long, held binary, rare array<string>, long array<binary>")
-    folded = looked.select("doc_id", "held", F.transform("rare", lambda w: fold_merges(latin(w), table)).alias("rare"), "long")
+    folded = looked.select("doc_id", "held", F.transform("rare", lambda w: fold_merges(w.cast("binary"), table)).alias("rare"), "long")
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, parts, _ = shared.value
+        parts = shared_codes.value
         for batch in batches:
             out = []
             rare = batch.column(2)

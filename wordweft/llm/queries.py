@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dac, rules, sharding, simhash
+from . import bpe, dac, langid, rules, sharding, simhash, toxicity
 from .common import shared_dir
 
 
@@ -48,6 +48,19 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bpe_digests(_read(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(docs.where(~langid.held_out()).select("text", "lang")))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit_on(docs, _read(spark, sf_dir, "labels")))
+    verdict = (F.col("score") >= 0.5).cast("int")
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", verdict.alias("predicted"))
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(_tokenizer("word_bpe_49k.json"), encoding="utf-8") as file:
         tokenizer = file.read()
@@ -61,6 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_quality_rules": op3_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
+    "op7_language_id": op7_language_id,
+    "op8_toxicity": op8_toxicity,
     "op9_token_ids": op9_token_ids,
 }
 ORACLES: dict[str, str] = {"op3_quality_rules": rules.ORACLE}

@@ -123,7 +123,7 @@ def _verdict(order: list[Rule]) -> tuple[Column, Column]:
     return base, first
 
 
-def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000) -> DataFrame:
+def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 256) -> DataFrame:
     """doc_id, the base counts, base_failed, first_rule (null if none rejects) and kept.
 
     sample_rows bounds the rows that the cascade's order is estimated on.
@@ -137,7 +137,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2
     )
 
 
-def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000) -> DataFrame:
+def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 256) -> DataFrame:
     """The rows of docs that no rule rejects, with their own columns alone."""
     order = order_rules(counted(docs.select("doc_id", "text").limit(sample_rows)), rules)
     base, first = _verdict(order)
