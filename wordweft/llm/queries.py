@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dac, langid, rules, sharding, simhash, toxicity
+from . import bpe, cnn, dac, langid, lbl, rules, sharding, simhash, tiling, toxicity
 from .common import shared_dir
 
 
@@ -48,6 +48,18 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bpe_digests(_read(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lbl.score(_read(spark, sf_dir, "documents"), ~lbl.held_out())
+    return found.withColumn("held_out", lbl.held_out())
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = cnn.score(docs, cnn.fit_on(docs, _read(spark, sf_dir, "labels")))
+    verdict = (F.col("score") >= cnn.THRESHOLD).cast("int")
+    return found.select("doc_id", cnn.held_out().alias("held_out"), "score", verdict.alias("predicted"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(docs.where(~langid.held_out()).select("text", "lang")))
@@ -69,14 +81,21 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_documents(spark, path)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_sharding": op2_sharding,
     "op3_quality_rules": op3_quality_rules,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_language_id": op7_language_id,
     "op8_toxicity": op8_toxicity,
     "op9_token_ids": op9_token_ids,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLES: dict[str, str] = {"op3_quality_rules": rules.ORACLE}
 
