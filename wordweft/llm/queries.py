@@ -37,7 +37,7 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _bpe_digests(docs: DataFrame) -> DataFrame:
+def bpe_digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     ranks = bpe.read_ranks(_tokenizer("byte_bpe_multi_50k.tiktoken"))
@@ -45,7 +45,7 @@ def _bpe_digests(docs: DataFrame) -> DataFrame:
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bpe_digests(_read(spark, sf_dir, "documents"))
+    return bpe_digests(_read(spark, sf_dir, "documents"))
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
