@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import lexical
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**lexical.QUERIES}
+ORACLES: dict[str, str] = {**lexical.ORACLES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
