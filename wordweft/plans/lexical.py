@@ -166,7 +166,8 @@ reach(root, v, d) as (select node_id, node_id, 0 from roots join nodes using (wo
 dist as (select root, v, min(d) as d from reach group by root, v),
 met as (select start, target, a.d + b.d as links, a.v, row_number() over (partition by start, target order by a.d + b.d, a.v) as k
   from (select distinct start, target from seeds) s join nodes x on x.word = start join nodes y on y.word = target join dist a on a.root = x.node_id join dist b on b.root = y.node_id and b.v = a.v where start <> target)
-select start, target, cast(links as bigint) as links, word as meeting from met join nodes on node_id = v where k = 1"""
+select s.start, s.target, cast(case when s.start = s.target then 0 else links end as bigint) as links, case when s.start = s.target then s.start else word end as meeting
+from (select distinct start, target from seeds) s left join (select start, target, links, word from met join nodes on node_id = v where k = 1) m on m.start = s.start and m.target = s.target"""
 
 
 def distance_table(spark, sf_dir):

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lexical
+from . import analytics, lexical
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**lexical.QUERIES}
-ORACLES: dict[str, str] = {**lexical.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**lexical.QUERIES, **analytics.QUERIES}
+ORACLES: dict[str, str] = {**lexical.ORACLES, **analytics.ORACLES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -85,5 +85,5 @@ SQL_GRAPH = (
 SQL_STEPS = """
 steps as (
   select user_id % 25 as game, user_id as player, case when event_id % 2 = 0 then 'start' else 'target' end as side,
-    event_type as word, epoch_ms(ts) as ts_ms, event_id from events
+    event_type as word, epoch_us(ts) // 1000 as ts_ms, event_id from events
 )"""
