@@ -37,6 +37,49 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def most_frequent(counts: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """counts (with n) in two: the most frequent rows, at most limit, and the rest.
+
+    The cut lies between classes of counts, sixteen to an octave, so that the driver sees a thousand numbers at
+    most and nothing is sorted; rows of one class stay together.
+    """
+    grade = F.floor(16 * F.log2(F.col("n").cast("double")))
+    sizes = counts.groupBy(grade.alias("grade")).agg(F.count("*").alias("rows")).orderBy(F.desc("grade")).collect()
+    held, cut = 0, None
+    for row in sizes:
+        if held + row["rows"] > limit:
+            break
+        held, cut = held + row["rows"], row["grade"]
+    if cut is None:
+        return counts.where(F.lit(False)), counts
+    return counts.where(grade >= cut), counts.where(grade < cut)
+
+
+def collect_blobs(df: DataFrame) -> list[bytes]:
+    """A table of bounded size as Arrow streams, one for each task: on the driver bytes, not a Python object a row."""
+
+    def pack(batches):
+        import pyarrow as pa
+
+        held = [b for b in batches if b.num_rows]
+        if held:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema) as writer:
+                for batch in held:
+                    writer.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["blob"])
+
+    return [bytes(r["blob"]) for r in df.mapInArrow(pack, "blob binary").collect()]
+
+
+def read_blobs(blobs: list[bytes]):
+    """The Arrow table of ``collect_blobs``, or None if it is empty."""
+    import pyarrow as pa
+
+    tables = [pa.ipc.open_stream(b).read_all() for b in blobs]
+    return pa.concat_tables(tables).combine_chunks() if tables else None
+
+
 def crc_of_id(doc_id: Column | str) -> Column:
     """Unsigned CRC-32 of the id's decimal text (null id: of the empty text)."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, prepare, settle
+from .common import collect_blobs, crc_of_id, most_frequent, prepare, read_blobs, settle
 
 CLASSES = 2048
 FREQUENT = 1 << 18
@@ -57,11 +57,11 @@ def train(pairs: np.ndarray, rounds: int = 60, noise: float = 10.0, rate: float
     """Adam steps on the noise-contrastive objective of a matrix of pair counts."""
     rng = np.random.default_rng(seed)
     n = len(pairs)
-    total = max(float(pairs.sum()), 1.0)
-    after = pairs.sum(axis=0) + 0.5
+    total = max(float(pairs.sum(dtype=np.float64)), 1.0)
+    after = pairs.sum(axis=0, dtype=np.float64) + 0.5
     unigram = (after / after.sum()).astype(np.float32)
-    before = (pairs.sum(axis=1) / total).astype(np.float32)
-    seen = (pairs / np.float32(total)).astype(np.float32)
+    seen = pairs * np.float32(1 / total)
+    before = (pairs.sum(axis=1, dtype=np.float64) / total).astype(np.float32)
     shift = np.log(noise * unigram)
     weights = [
         rng.normal(0, 0.1, (n, SIZE)).astype(np.float32),
@@ -145,9 +145,10 @@ def pair_counts(train_docs: DataFrame, classes: list[bytes]) -> np.ndarray:
     texts = train_docs.select(F.col("text").cast("binary").alias("text"))
     found = texts.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     # At most _N x _N rows, whatever the corpus.
-    rows = found.select(F.col("code").cast("int").alias("code"), "n").toPandas()
-    pairs = np.zeros(_N * _N)
-    pairs[rows["code"].to_numpy()] = rows["n"].to_numpy()
+    rows = read_blobs(collect_blobs(found.select(F.col("code").cast("int").alias("code"), "n")))
+    pairs = np.zeros(_N * _N, np.float32)
+    if rows:
+        pairs[rows["code"].to_numpy()] = rows["n"].to_numpy()
     return pairs.reshape(_N, _N)
 
 
@@ -159,8 +160,12 @@ def score(docs: DataFrame, training, frequent: int = FREQUENT) -> DataFrame:
     ends = train_docs.count()
     summed = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = summed["n"] + ends, summed["v"] + (1 if ends else 0)
-    top = counts.orderBy(F.desc("n"), "word").limit(frequent).toPandas()
-    names, times = [bytes(w) for w in top["word"]], top["n"].to_numpy(dtype=np.int64)
+    top, rest = most_frequent(counts, frequent)
+    table = read_blobs(collect_blobs(top))
+    names, times = (table["word"].to_pylist(), table["n"].to_numpy()) if table else ([], np.zeros(0, np.int64))
+    order = sorted(range(len(names)), key=lambda i: (-times[i], names[i]))
+    names, times = [names[i] for i in order], times[order].astype(np.int64)
+    del table, order
     model = train(pair_counts(train_docs, names[:CLASSES]))
     own = times[:CLASSES].sum()
     base_down = float(total + distinct + 1)
@@ -204,8 +209,7 @@ def score(docs: DataFrame, training, frequent: int = FREQUENT) -> DataFrame:
     parts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
         measure, "rid long, word binary, times long, doc_id long, n_tokens long, n_known long, base double, own double"
     )
-    least = int(times[-1]) if len(times) == frequent else 0
-    rest = counts.where(F.col("n") <= least).withColumnRenamed("n", "c")
+    rest = rest.withColumnRenamed("n", "c")
     seen = F.coalesce("c", F.lit(0))
     joined = parts.join(rest, "word", "left").groupBy("rid").agg(
         F.max("doc_id").alias("doc_id"),
