@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -60,7 +59,7 @@ def sense_rows(raw: DataFrame, order: str = "ord") -> DataFrame:
     bad = rejected_words(raw).where("word is not null").select(F.col("word").alias("key"))
     good = entries_of(raw.where("word is not null"), order).join(bad, "key", "left_anti")
     flat = good.select(F.col("key").alias("word"), "entry_ix", F.posexplode("senses").alias("ix", "sense"))
-    fields = [F.transform(f"sense.{k}", lambda x, k=k: x[PRINTABLE[k]]).alias(k) for k in [*LINKAGES, "examples"]]
+    fields = [F.transform(f"sense.{k}", lambda x: x[PRINTABLE[k]]).alias(k) for k in [*LINKAGES, "examples"]]
     return flat.select("word", "entry_ix", "ix", sense_depth(F.col("sense.glosses")).alias("depth"), F.col("sense.glosses").alias("glosses"), *fields)
 
 
@@ -92,13 +91,17 @@ def field_texts(raw: DataFrame, order: str = "ord") -> DataFrame:
     tree = gloss_tree(raw, order)
     bad = rejected_words(raw).where("word is not null").select(F.col("word").alias("key"))
     good = entries_of(raw.where("word is not null"), order).join(bad, "key", "left_anti")
-    parts = [
-        good.select(F.col("key").alias("word"), "entry_ix", F.lit(None).cast("int").alias("ix"), F.lit(k).alias("lexical_key"), F.explode(F.transform(k, lambda x, k=k: x[PRINTABLE[k]])).alias("text"))
-        for k in ENTRY_KEYS
-    ]
-    parts += [tree.select("word", "entry_ix", "ix", F.lit(k).alias("lexical_key"), F.explode(k).alias("text")) for k in [*LINKAGES, "examples"]]
-    parts.append(tree.select("word", "entry_ix", "ix", F.lit("glosses").alias("lexical_key"), F.col("gloss").alias("text")))
-    return reduce(DataFrame.unionByName, parts).where("text is not null")
+    def each(rows: DataFrame, fields: list[Column]) -> DataFrame:
+        held = rows.select("word", "entry_ix", "ix", F.explode(F.array(*fields)).alias("f"))
+        return held.select("word", "entry_ix", "ix", F.col("f.k").alias("lexical_key"), F.explode("f.texts").alias("text"))
+
+    def named(key: str, texts: Column) -> Column:
+        return F.struct(F.lit(key).alias("k"), texts.alias("texts"))
+
+    whole = good.select(F.col("key").alias("word"), "entry_ix", F.lit(None).cast("int").alias("ix"), *ENTRY_KEYS)
+    entry = each(whole, [named(k, F.transform(k, lambda x: x[PRINTABLE[k]])) for k in ENTRY_KEYS])
+    sense = each(tree, [named(k, F.col(k)) for k in [*LINKAGES, "examples"]] + [named("glosses", F.array("gloss"))])
+    return entry.unionByName(sense).where("text is not null")
 
 
 def rule_tokenizer(text: str, lexicon: dict[str, tuple[str, str]]) -> list[dict]:
