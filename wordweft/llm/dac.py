@@ -16,20 +16,24 @@ rows with equal doc_id follow one another in any order; extra columns are ignore
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, settle
+from .common import collect_blobs, most_frequent, prepare, read_blobs, settle
+from .lbl import word_counts
 
 MAGIC = b"DAC1"
 END_ID = 2
 #: Ids of a segment at most, but for a longer single document, which is a segment of its own.
-SEGMENT_IDS = 1 << 18
+SEGMENT_IDS = 1 << 16
+FREQUENT = 1 << 18
 
 
 def _padded(data: bytes) -> bytes:
@@ -107,51 +111,147 @@ class Segment:
         return out
 
 
-def word_encoder(tokenizer_json: str, dtype: str, known_limit: int = 400_000):
-    """Function from texts to the bytes of their ids; each distinct word goes through the tokenizer once.
-
-    Words end at ASCII white space. Right for tokenizers whose tokens never cross it and whose normaliser treats
-    what lies between apart, as here: other white space stays inside a word, for the tokenizer to handle.
-    """
+def _tokenizer(tokenizer_json: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_str(tokenizer_json)
     tok.encode_special_tokens = True
-    known: dict[bytes, bytes] = {}
+    return tok
+
+
+class WordEncoder:
+    """Ids of words by the tokenizer, each word apart.
+
+    Words of ASCII letters alone go through it many at a time, parted by blanks; the tokens that end a word tell
+    where each one's ids stop. Other words of ASCII are cut where letters meet marks, as the tokenizer's own pattern
+    does; an apostrophe stays with letters, since the pattern joins some of them.
+    """
+
+    def __init__(self, tokenizer_json: str, dtype: str):
+        self.tok, self.dtype = _tokenizer(tokenizer_json), dtype
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        self.cut = re.compile(rb"[a-z]+|[^a-z]+").findall
+        self.plain = re.compile(rb"[a-z]+").fullmatch
+
+    def _joined(self, words: list[bytes]) -> list[bytes]:
+        out: list[bytes] = []
+        for k in range(0, len(words), 500):
+            part = words[k : k + 500]
+            ids = np.array(self.tok.encode(b" ".join(part).decode(), add_special_tokens=False).ids, np.int64)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part) or (len(ids) and stops[-1] != len(ids)):
+                out += self._apart(part)
+                continue
+            data, at = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
+            bounds = [0, *(stops * at).tolist()]
+            out += [data[i:j] for i, j in zip(bounds, bounds[1:])]
+        return out
+
+    def _apart(self, words: list[bytes]) -> list[bytes]:
+        out = []
+        for k in range(0, len(words), 1024):
+            found = self.tok.encode_batch([w.decode() for w in words[k : k + 1024]], add_special_tokens=False)
+            out += [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
+        return out
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids, as bytes, of distinct lower-case words without ASCII white space."""
+        parts = {w: self.cut(w) if w.isascii() and b"'" not in w else [w] for w in words}
+        each = list({p for x in parts.values() for p in x})
+        plain = [p for p in each if self.plain(p)]
+        other = [p for p in each if not self.plain(p)]
+        ids = dict(zip(plain, self._joined(plain))) | dict(zip(other, self._apart(other)))
+        return [b"".join([ids[p] for p in parts[w]]) for w in words]
+
 
-    def encode_all(texts: list[bytes | None]) -> list[bytes]:
-        split = [(t or b"").split() for t in texts]
-        fresh = list({w for words in split for w in words if w not in known})
-        if len(known) + len(fresh) > known_limit:
-            known.clear()
-            fresh = list({w for words in split for w in words})
-        for k in range(0, len(fresh), 4096):
-            part = fresh[k : k + 4096]
-            found = tok.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            known.update(zip(part, (np.array(e.ids, dtype=dtype).tobytes() for e in found)))
-        return [b"".join([known[w] for w in words]) for words in split]
+def _words(texts: pa.Array) -> pa.ListArray:
+    """Lower-case words between ASCII white space; none for null."""
+    import pyarrow.compute as pc
 
-    return encode_all
+    return pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
 
 
-def write_segments(docs: DataFrame, path: str, tokenizer_json: str, id_type: str = "<u2", segment_ids: int = SEGMENT_IDS) -> None:
+def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of the lists at place, one after another, and each list's size."""
+    n = sizes[place]
+    ends = np.cumsum(n)
+    return values[np.repeat(starts[place] - ends + n, n) + np.arange(int(n.sum()))], n
+
+
+def text_encoder(encoder: WordEncoder, known: pa.Table | None):
+    """Function from an array of texts to the bytes of each one's ids.
+
+    Words end at ASCII white space and are lower-cased. Right for tokenizers whose tokens never cross it and whose
+    normaliser lower-cases and treats what lies between apart, as here: other white space stays inside a word, for
+    the tokenizer to handle. known: word and ids of frequent words; others are encoded once a batch.
+    """
+    import pyarrow.compute as pc
+
+    width = np.dtype(encoder.dtype).itemsize
+    names = known["word"].combine_chunks().cast(pa.string()) if known else pa.array([], pa.string())
+    held = known["ids"].combine_chunks() if known else pa.array([], pa.binary())
+    known_sizes = pc.binary_length(held).to_numpy(zero_copy_only=False).astype(np.int64) // width
+    known_values = np.frombuffer(b"".join(held.to_pylist()), encoder.dtype)
+
+    def run(texts: pa.Array) -> list[bytes]:
+        split = _words(texts)
+        flat = split.flatten()
+        at = pc.index_in(flat, value_set=names)
+        missing = flat.filter(pc.is_null(at)).unique()
+        fresh = encoder.encode([w.encode() for w in missing.to_pylist()])
+        place = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(missing):
+            place[place < 0] = len(names) + pc.index_in(flat.filter(pc.is_null(at)), value_set=missing).to_numpy(zero_copy_only=False)
+        sizes = np.concatenate([known_sizes, np.array([len(x) // width for x in fresh], np.int64)])
+        values = np.concatenate([known_values, np.frombuffer(b"".join(fresh), encoder.dtype)])
+        ids, n = _gather(values, np.cumsum(sizes) - sizes, sizes, place)
+        before = np.concatenate([[0], np.cumsum(n)])
+        bounds = before[np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False))])] * width
+        whole = ids.tobytes()
+        return [whole[i:j] for i, j in zip(bounds.tolist(), bounds[1:].tolist())]
+
+    return run
+
+
+def write_segments(
+    docs: DataFrame, path: str, tokenizer_json: str, id_type: str = "<u2", segment_ids: int = SEGMENT_IDS, frequent: int = FREQUENT
+) -> None:
     """Encode docs in ascending doc_id order and write their segments to path.
 
-    The texts' ids, as id_type (two bytes for vocabularies of up to 65,536), are exchanged once by ranges of
-    doc_id; each range writes its segments.
+    The ``frequent`` most frequent words are encoded once and broadcast, a table of so many rows at most. The texts'
+    ids, as id_type (two bytes for vocabularies of up to 65,536), are exchanged once by ranges of doc_id, whose
+    bounds are quantiles of doc_id alone; each range writes its segments.
     """
     spark = prepare(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(tokenizer_json)
+    shared_json = spark.sparkContext.broadcast(tokenizer_json)
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = WordEncoder(shared_json.value, id_type)
+        for batch in batches:
+            found = encoder.encode(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["word", "ids"])
+
+    top, _ = most_frequent(settle(word_counts(docs.select("text")), "words"), frequent)
+    top = top.select("word")
+    coded = top.repartition(2 * spark.sparkContext.defaultParallelism).mapInArrow(words, "word binary, ids binary")
+    shared = spark.sparkContext.broadcast(collect_blobs(coded))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = word_encoder(shared.value, id_type)
+        run = text_encoder(WordEncoder(shared_json.value, id_type), read_blobs(shared.value))
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(run(batch.column(1).to_pylist()), pa.binary())], ["doc_id", "ids"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(run(batch.column(1)), pa.binary()), batch.column(2)], ["doc_id", "ids", "part"])
+        del run
+        pa.default_memory_pool().release_unused()
 
-    ids = docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(tokens, "doc_id long, ids binary")
-    ranged = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(set(map(int, docs.select("doc_id").approxQuantile("doc_id", [k / count for k in range(1, count)], 0.2 / count))))
+    part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.lit(0) if not bounds else _place(F.col("doc_id"), bounds))
+    ids = docs.select("doc_id", "text", part.cast("int").alias("part"))
+    ids = ids.mapInArrow(tokens, "doc_id long, ids binary, part int")
+    ranged = ids.repartition(count, "part").sortWithinPartitions("part", "doc_id")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["part", "segment", "first", "doc_ids", "counts", "payload"]
@@ -167,9 +267,9 @@ def write_segments(docs: DataFrame, path: str, tokenizer_json: str, id_type: str
         for batch in batches:
             for doc, data, p in zip(*(c.to_pylist() for c in batch.columns)):
                 own = np.append(np.frombuffer(data, id_type), np.array(END_ID, id_type))
-                if held and size + len(own) > segment_ids:
+                if held and (p != part or size + len(own) > segment_ids):
                     yield flush()
-                    first, number = first + size, number + 1
+                    first, number = (first + size, number + 1) if p == part else (0, 0)
                     held, docs_, counts, size = [], [], [], 0
                 part = p
                 held.append(own)
@@ -183,6 +283,18 @@ def write_segments(docs: DataFrame, path: str, tokenizer_json: str, id_type: str
     packed.write.parquet(path)
 
 
+def _place(value: Column, bounds: list[int]) -> Column:
+    """Number of bounds at or below value, by a balanced tree of comparisons."""
+
+    def within(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(value < bounds[mid], within(low, mid)).otherwise(within(mid + 1, high))
+
+    return within(0, len(bounds))
+
+
 def read_documents(spark, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the segments under path alone."""
     prepare(spark)
