@@ -34,6 +34,8 @@ from .common import collect_blobs, crc_of_id, most_frequent, prepare, read_blobs
 
 CLASSES = 2048
 FREQUENT = 1 << 18
+#: Distinct words that a task counts before it passes them on.
+COUNTED_WORDS = 200_000
 SIZE = 24
 END, OTHER = 0, CLASSES + 1
 _N = CLASSES + 2
@@ -103,7 +105,7 @@ def word_counts(train_docs: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 found.update(words_of(text))
-            if len(found) > 1_000_000:
+            if len(found) > COUNTED_WORDS:
                 yield out()
                 found.clear()
         yield out()
