@@ -19,22 +19,28 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import zlib
+import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, settle
+from .common import collect_blobs, most_frequent, prepare, read_blobs, settle
 
 NO_RANK = 2**31 - 1
 LONG = 96
-FREQUENT = 1 << 20
+FREQUENT = 1 << 19
 BUCKETS = 65_521
+#: Ids fit in two bytes; word codes below this are ids of pieces.
+PIECES = 1 << 16
+#: Chunks whose codes a task remembers.
+CACHED_CHUNKS = 100_000
+#: Distinct chunks that a task counts before it passes their words on.
+COUNTED_CHUNKS = 200_000
 #: In a row's word codes: from here on the row's rare words, and a word of over LONG bytes.
 RARE_CODE, LONG_CODE = 1 << 31, (1 << 32) - 1
 
@@ -148,27 +154,47 @@ def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in pieces if p is not None]
 
 
-def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
-    """word, n for the distinct pattern words of all texts; each task counts before the exchange."""
+_JOINED = re.compile(r"\s ")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
 
+def chunks(text: str) -> list[str]:
+    """The text cut before each blank; whole if a blank follows white space.
+
+    The pattern's words never cross such a cut: only a run of white space could, and nothing looks back.
+    """
+    if _JOINED.search(text):
+        return [text]
+    first, *rest = text.split(" ")
+    return [first, *[" " + x for x in rest]]
+
+
+def word_counts(docs: DataFrame, pattern: str, ranks: dict[bytes, int]) -> DataFrame:
+    """word, n for the distinct pattern words of all texts that are no piece themselves.
+
+    Each task counts chunks, cuts the distinct ones into words, and sums before the exchange.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find = regex.compile(pattern).findall
-        found: Counter[str] = Counter()
+        find, own = regex.compile(pattern).findall, shared.value
+        seen: Counter[str] = Counter()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+            found: Counter[str] = Counter()
+            for chunk, n in seen.items():
+                for word in find(chunk):
+                    found[word] += n
+            seen.clear()
+            kept = {w: n for w, n in found.items() if w.encode() not in own}
+            return pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.int64())], ["word", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                if text:
-                    found.update(find(text))
-            if len(found) > 1_000_000:
+                seen.update(chunks(text or ""))
+            if len(seen) > COUNTED_CHUNKS:
                 yield out()
-                found.clear()
         yield out()
 
     return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -183,37 +209,61 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int
     spark = prepare(docs.sparkSession)
     table = rank_literal(ranks)
 
-    counts = word_counts(docs, pattern)
-    top = counts.where(F.octet_length("word") <= LONG).orderBy(F.desc("n"), "word").limit(frequent).select("word")
-    coded = settle(top.repartition(spark.sparkContext.defaultParallelism * 2), "words").withColumn("ids", fold_merges(F.col("word").cast("binary"), table))
-    coded = coded.select("word", F.to_json("ids").alias("ids")).toPandas()
-    words, codes = coded["word"].tolist(), [np.array(json.loads(x), "<u4").tobytes() for x in coded["ids"]]
-    del coded
-    shared = spark.sparkContext.broadcast((words, ranks))
-    shared_codes = spark.sparkContext.broadcast(codes)
-    del words, codes
+    counts = settle(word_counts(docs, pattern, ranks).where(F.octet_length("word") <= LONG), "words")
+    top, _ = most_frequent(counts, frequent)
+    spread = top.select("word").repartition(4 * spark.sparkContext.defaultParallelism)
+    coded = spread.withColumn("ids", fold_merges(F.col("word").cast("binary"), table))
+    # A task's words stand in one blob, in the order of the blobs' codes.
+    blobs = collect_blobs(coded.select("word", "ids"))
+    shared, shared_ranks = spark.sparkContext.broadcast(blobs), spark.sparkContext.broadcast(ranks)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find = regex.compile(pattern).findall
-        names, own_ranks = shared.value
-        code = {w: i for i, w in enumerate(names, 1)}
+        own_ranks, table_ = shared_ranks.value, read_blobs(shared.value)
+        code = {w: i for i, w in enumerate(table_["word"].to_pylist(), PIECES)} if table_ else {}
+        del table_
+
+        def of_chunk(chunk: str) -> bytes | list[int | str | bytes]:
+            """Codes of a chunk's words as bytes; as a list if some word has none."""
+            out: list[int | str | bytes] = []
+            for word in find(chunk):
+                raw = word.encode()
+                at = own_ranks.get(raw)
+                if at is None and (at := code.get(word)) is None:
+                    at = word if len(raw) <= LONG else raw
+                out.append(at)
+            return np.array(out, np.uint32).tobytes() if all(type(x) is int for x in out) else out
+
+        cache: dict[str, bytes | list] = {}
         for batch in batches:
             held, rare, long = [], [], []
             for text in batch.column(1).to_pylist():
-                found = find(text or "")
-                got = np.fromiter(map(code.get, found, repeat(0)), np.uint32, len(found))
+                if len(cache) > CACHED_CHUNKS:
+                    cache.clear()
+                parts = []
                 missing: dict[str, int] = {}
                 long_ids = []
-                for at in np.flatnonzero(got == 0).tolist():
-                    w = found[at]
-                    if len(w) > LONG // 4 and len(raw := w.encode()) > LONG:
-                        long_ids.append(np.array(heap_merges(raw, own_ranks), "<u4").tobytes())
-                        got[at] = LONG_CODE
-                    else:
-                        got[at] = RARE_CODE + missing.setdefault(w, len(missing))
-                held.append(got.tobytes())
+                for chunk in chunks(text or ""):
+                    got = cache.get(chunk)
+                    if got is None:
+                        got = of_chunk(chunk)
+                        if len(chunk) <= LONG:
+                            cache[chunk] = got
+                    if type(got) is list:
+                        codes = []
+                        for x in got:
+                            if type(x) is str:
+                                codes.append(RARE_CODE + missing.setdefault(x, len(missing)))
+                            elif type(x) is bytes:
+                                long_ids.append(np.array(heap_merges(x, own_ranks), "<u4").tobytes())
+                                codes.append(LONG_CODE)
+                            else:
+                                codes.append(x)
+                        got = np.array(codes, np.uint32).tobytes()
+                    parts.append(got)
+                held.append(b"".join(parts))
                 rare.append(list(missing))
                 long.append(long_ids)
             yield pa.RecordBatch.from_arrays(
@@ -225,31 +275,46 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int
     folded = looked.select("doc_id", "held", F.transform("rare", lambda w: fold_merges(w.cast("binary"), table)).alias("rare"), "long")
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = shared_codes.value
+        table_ = read_blobs(shared.value)
+        known = table_["ids"].combine_chunks() if table_ else pa.array([], pa.list_(pa.int32()))
+        known_starts, known_ids = _lists(known)
+        # The first codes are pieces, each its own id.
+        known_ids = np.concatenate([np.arange(PIECES, dtype="<u4"), known_ids])
+        known_starts = np.concatenate([np.arange(PIECES), known_starts + PIECES])
+        n_known = len(known_starts) - 1
         for batch in batches:
+            held = batch.column(1).to_pylist()
+            rare_starts, rare_ids = _lists(batch.column(2).flatten())
+            long = [x for row in batch.column(3).to_pylist() for x in row]
+            long_starts = np.cumsum([0] + [len(x) // 4 for x in long])
+            ids = np.concatenate([known_ids, rare_ids, np.frombuffer(b"".join(long), "<u4")])
+            starts = np.concatenate([known_starts[:-1], rare_starts[:-1] + len(known_ids), long_starts[:-1] + len(known_ids) + len(rare_ids)])
+            sizes = np.concatenate([np.diff(known_starts), np.diff(rare_starts), np.diff(long_starts)])
+            rare_before = np.cumsum([0] + batch.column(2).value_lengths().to_pylist())
+            n_rare, long_seen = len(rare_starts) - 1, 0
             out = []
-            rare = batch.column(2)
-            flat = rare.flatten()
-            ends, inner = flat.offsets.to_numpy() * 4, flat.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-            outer = rare.offsets.to_numpy() - rare.offsets[0].as_py()
-            for k, (held, long) in enumerate(zip(batch.column(1).to_pylist(), batch.column(3).to_pylist())):
-                first, later = int(outer[k]), iter(long)
-                base = int(ends[0])
-                pieces = []
-                for c in np.frombuffer(held, np.uint32).tolist():
-                    if c < RARE_CODE:
-                        pieces.append(parts[c - 1])
-                    elif c == LONG_CODE:
-                        pieces.append(next(later))
-                    else:
-                        at = first + c - RARE_CODE
-                        pieces.append(inner[ends[at] - base : ends[at + 1] - base])
-                out.append(b"".join(pieces))
+            for k, codes in enumerate(held):
+                at = np.frombuffer(codes, np.uint32).astype(np.int64)
+                is_long = at == LONG_CODE
+                place = np.where(at < RARE_CODE, at, at - RARE_CODE + n_known + int(rare_before[k]))
+                if is_long.any():
+                    place[is_long] = n_known + n_rare + long_seen + np.arange(int(is_long.sum()))
+                    long_seen += int(is_long.sum())
+                n = sizes[place]
+                ends = np.cumsum(n)
+                out.append(ids[np.repeat(starts[place] - ends + n, n) + np.arange(int(n.sum()))].astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
     return folded.mapInArrow(join_up, "doc_id long, ids binary")
 
 
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts (one more than rows) and values of a column of id lists."""
+    starts = column.offsets.to_numpy().astype(np.int64)
+    values = column.values.to_numpy(zero_copy_only=False)[starts[0] : starts[-1]]
+    return starts - starts[0], values.astype("<u4")
+
+
 def decode(ids: bytes, pieces: list[bytes]) -> bytes:
     """Bytes of the text: the ids' pieces one after another."""
     return b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
