@@ -83,7 +83,16 @@ def counted(docs: DataFrame) -> DataFrame:
     """doc_id and text with words and the base counts."""
     text = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", text.alias("text"), F.array_remove(F.split(text, WHITE, -1), "").alias("words"))
-    return base.select("doc_id", "text", "words", *count_columns(F.col("text"), F.col("words")))
+    return with_counts(base, ["doc_id", "text", "words"])
+
+
+def with_counts(rows: DataFrame, kept: list[str]) -> DataFrame:
+    """rows (with text and words) with the base counts.
+
+    They come out of a generator, below which no filter is pushed: else each use in a filter would count anew.
+    """
+    counts = F.explode(F.array(F.struct(*count_columns(F.col("text"), F.col("words")))))
+    return rows.select(*kept, counts.alias("c")).select(*kept, "c.*")
 
 
 def count_columns(text: Column, words: Column) -> list[Column]:
@@ -144,7 +153,7 @@ def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 25
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     text = F.coalesce("row.text", F.lit(""))
     held = docs.select(row).select("row", text.alias("text")).withColumn("words", F.array_remove(F.split("text", WHITE, -1), ""))
-    held = held.select("row", "text", "words", *count_columns(F.col("text"), F.col("words")))
+    held = with_counts(held, ["row", "text", "words"])
     return held.withColumn("base_failed", base).where(first.isNull()).select("row.*")
 
 
