@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from wordweft.llm import bpe, cnn, common, dac, langid, lbl, rules, sharding, simhash, tiling, toxicity
+from wordweft.llm import bpe, cnn, common, dac, jaccard, langid, lbl, rules, sharding, simhash, tiling, toxicity
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -95,6 +95,40 @@ def test_keep_one_keeps_columns_and_one_row_each(docs, texts):
     assert len(ids) == len(set(ids)) and not {45, 46, 47} & set(ids)
 
 
+def slow_set(text):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def family(rng):
+    """Texts of twenty families, each with copies that differ in one word to a fourth of the words."""
+    vocab = [f"v{i}" for i in range(3000)]
+    out = ["notice of the shared licence terms that every text carries " + words(rng, rng.randrange(20, 150), vocab) for _ in range(20)]
+    for t in out[:20]:
+        for changes in (1, 1, 2, 3, 5, 9):
+            w = t.split()
+            for i in rng.sample(range(len(w)), changes):
+                w[i] = rng.choice(vocab)
+            out.append(" ".join(w))
+    return out + ["", None, "a b", "A  b"]
+
+
+def test_near_copies_equal_brute_force(spark, monkeypatch):
+    found = family(random.Random(11))
+    sets = [slow_set(t) for t in found]
+    root = list(range(len(found)))
+    alike = [(j, i) for i in range(len(found)) for j in range(i) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))]
+    for _ in root:
+        for j, i in alike:
+            root[i] = root[j] = min(root[i], root[j])
+    far = sum((simhash.fingerprint((found[i] or "").encode()) ^ simhash.fingerprint((found[j] or "").encode())).bit_count() > 4 for j, i in alike)
+    assert far > 10 and 22 < len(set(root)) < len(found) - 10
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(found)], "doc_id long, text string")
+    for often in (2, 16):
+        monkeypatch.setattr(jaccard, "FREQUENT_IN", often)
+        assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == sorted({*root})
+
+
 # --- sharding ----------------------------------------------------------------
 
 

@@ -23,32 +23,22 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import jaccard
 from .common import components, prepare, settle
+from .jaccard import shingle_hashes
 
-SEED = 42
 SEGMENT = 2
 _BLOCK = 1 << 15
 
 
 def fingerprint(text: bytes | None, width: int = 4) -> int:
     """64-bit SimHash of the lower-cased words' shingles; a bit is set if over half of the hashes set it."""
-    words = (text or b"").lower().split()
-    if not words:
+    found = shingle_hashes(text, width)
+    if not len(found):
         return 0
-    joined = b" ".join(words)
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= width:
-        hashes = [digest(joined, SEED)]
-    else:
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(size + 1) - 1
-        starts = (ends - size)[: len(words) - width + 1].tolist()
-        hashes = [digest(joined[i:j], SEED) for i, j in zip(starts, ends[width - 1 :].tolist())]
-    found = np.array(hashes, dtype=np.uint64)
     ones = np.zeros(64, np.int64)
     for k in range(0, len(found), _BLOCK):
         part = found[k : k + _BLOCK].view(np.uint8).reshape(-1, 8)
@@ -168,9 +158,19 @@ def hexadecimal(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one(docs: DataFrame, width: int = 4, bits: int = 4) -> DataFrame:
-    """The rows of docs, one of each component: the row with the least doc_id, and one of equal rows."""
-    prepare(docs.sparkSession)
-    kept = near_duplicates(docs, width, bits).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    matched = docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, one of each component of near copies: the row with the least doc_id, and one of equal rows.
+
+    Near copies are texts whose shingles have a Jaccard similarity of at least percent, not close fingerprints.
+    """
+    spark = prepare(docs.sparkSession)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    prefixes = jaccard.prefixes_column(spark, F.col("row.text"), width, percent, jaccard.frequent_shingles(docs, width))
+    marked = docs.select(row, F.monotonically_increasing_id().alias("place")).withColumn("p", prefixes)
+    marked = settle(marked.select("row", "place", "p.*"), "shingle_prefixes")
+    found = components(jaccard.links(marked.withColumn("text", F.col("row.text")), width, percent))
+    rooted = marked.select("key", "place", "row.doc_id").join(found.withColumnRenamed("node", "key"), "key", "left")
+    named = rooted.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("doc_id").alias("doc_id"))
+    kept = named.select("doc_id").distinct()
+    matched = marked.join(kept, F.col("row.doc_id").eqNullSafe(kept["doc_id"]), "left_semi").select("row.*")
     return matched.dropDuplicates(["doc_id"])
