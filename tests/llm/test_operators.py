@@ -129,6 +129,18 @@ def test_near_copies_equal_brute_force(spark, monkeypatch):
         assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == sorted({*root})
 
 
+def test_one_row_stays_of_each_component_whatever_the_ids(spark):
+    rng = random.Random(12)
+    vocab = [f"v{i}" for i in range(3000)]
+    t = [words(rng, 60, vocab) for _ in range(6)]
+    near = t[0] + " more"
+    rows = [(None, t[0]), (None, near), (None, t[1]), (None, t[2]), (5, t[2]), (7, t[3]), (7, t[4]), (8, t[4]), (9, t[5]), (9, t[5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in simhash.keep_one(df).collect()]
+    first = next(x for _, x in got if x in (t[0], near))
+    assert Counter(got) == Counter([(None, first), (None, t[1]), (5, t[2]), (7, t[3]), (7, t[4]), (9, t[5])])
+
+
 # --- sharding ----------------------------------------------------------------
 
 

@@ -159,8 +159,10 @@ def hexadecimal(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, one of each component of near copies: the row with the least doc_id, and one of equal rows.
+    """The rows of docs, one of each component of near copies: the row with the least doc_id.
 
+    Null ids come last; of equal ids the least text hash wins, and one of equal rows. Rows are told apart by place, never
+    by doc_id.
     Near copies are texts whose shingles have a Jaccard similarity of at least percent, not close fingerprints.
     """
     spark = prepare(docs.sparkSession)
@@ -169,8 +171,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     marked = docs.select(row, F.monotonically_increasing_id().alias("place")).withColumn("p", prefixes)
     marked = settle(marked.select("row", "place", "p.*"), "shingle_prefixes")
     found = components(jaccard.links(marked.withColumn("text", F.col("row.text")), width, percent))
-    rooted = marked.select("key", "place", "row.doc_id").join(found.withColumnRenamed("node", "key"), "key", "left")
-    named = rooted.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("doc_id").alias("doc_id"))
-    kept = named.select("doc_id").distinct()
-    matched = marked.join(kept, F.col("row.doc_id").eqNullSafe(kept["doc_id"]), "left_semi").select("row.*")
-    return matched.dropDuplicates(["doc_id"])
+    mark = F.struct(F.col("row.doc_id").isNull().alias("last"), "row.doc_id", F.xxhash64("row.text").alias("hash"), "place").alias("mark")
+    rooted = marked.select("key", mark).join(found.withColumnRenamed("node", "key"), "key", "left")
+    kept = rooted.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("mark").alias("mark")).select("mark.place")
+    return marked.join(kept, "place", "left_semi").select("row.*")
