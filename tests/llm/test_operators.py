@@ -283,6 +283,21 @@ def test_language_by_compression(spark):
     assert langid.identify(df, []).where("lang_pred <> 'und'").count() == 0
 
 
+def test_every_language_has_a_dictionary(spark):
+    rng = random.Random(8)
+    tongues = {"aa": ["thon", "erea", "inge", "atst"], "long": ["schei", "ungen", "keit", "pfer"], "often": ["oko", "vlad", "stvo", "prze"]}
+    long = [words(rng, 3000, [a + b for a in tongues["long"] for b in tongues["long"]]) for _ in range(3)]
+    short = [words(rng, 40, tongues["aa"]) for _ in range(50)]
+    often = [words(rng, 40, tongues["often"]) for _ in range(3)]
+    rows = [(t, "aa") for t in short] + [(t, "long") for t in long] + [(often[i % 3], "often") for i in range(6000)]
+    rows += [("zq", "tiny"), ("123", "none"), (None, "none"), ("", "none")]
+    made = dict(langid.fit(spark.createDataFrame(rows, "text string, lang string")))
+    assert list(made) == ["often", "aa", "long", "tiny"] and min(map(len, made.values())) >= 8
+    assert made["often"].count(b"\n") == 2 and made["long"].count(b"\n") >= 3 * min(map(len, long)) // langid.LONGEST - 1
+    df = spark.createDataFrame(list(enumerate([short[0], long[0][:300], often[0]])), "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, list(made.items())).collect()} == {0: "aa", 1: "long", 2: "often"}
+
+
 def test_toxicity_finds_sentences(spark):
     rng = random.Random(4)
     vocab = ["thon", "erea", "inge", "atst", "whou", "lost", "edon", "rest"]

@@ -5,7 +5,8 @@ every dictionary, so that later parts of a long text can't lean on earlier ones
 are summed over the whole text. A narrow margin marks the row as rejected.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; equal sizes go to the language with more
-training rows, then to the first by name; no training row gives ``und`` throughout; other columns are ignored.
+training rows, then to the first by name; a language whose training texts have no letter is no candidate, any other
+has a dictionary; no training row gives ``und`` throughout; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -14,15 +15,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_of_id, prepare
 
 BLOCK = 4096
 DICTIONARY_BYTES = 64 << 10
-#: Training texts gathered for each language, and the longest of them; with DICTIONARY_BYTES the fit's bound.
-SAMPLE_DOCS = 150
+#: Pieces of training texts gathered for each language, and their length; with DICTIONARY_BYTES the fit's bound.
+SAMPLE_PIECES = 150
 LONGEST = 8192
 LEVEL = 9
 #: Lower case; what is no letter in ASCII becomes a blank, bytes of other characters stay.
@@ -34,28 +35,33 @@ def letters(text: str) -> bytes:
     return b" ".join(dict.fromkeys(text.encode().translate(LETTERS).split()))
 
 
+def pieces(train: DataFrame) -> DataFrame:
+    """lang and text: all training texts, cut every LONGEST characters, without pieces that have no letter."""
+    cuts = f"transform(sequence(0, (length(text) - 1) div {LONGEST}), k -> substring(text, k * {LONGEST} + 1, {LONGEST}))"
+    some = train.where("lang is not null and length(text) > 0").select("lang", F.explode(F.expr(cuts)).alias("text"))
+    return some.where(F.col("text").rlike(r"[A-Za-z]|[^\x00-\x7F]"))
+
+
 def fit(train: DataFrame) -> list[tuple[str, bytes]]:
     """(language, dictionary) by falling number of training rows, from columns text and lang.
 
-    At most SAMPLE_DOCS distinct texts of a language are gathered, chosen by hash.
+    SAMPLE_PIECES distinct pieces of each language are gathered, or all if there are fewer: those with the least hashes.
     """
     usable = train.where("lang is not null and text is not null")
     totals = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    order = sorted(totals, key=lambda x: (-totals[x], x))
-    if not order:
-        return []
-    part = F.lit(1)
-    for lang in order:
-        part = F.when(F.col("lang") == lang, F.lit(max(1, totals[lang] // (4 * SAMPLE_DOCS)))).otherwise(part)
-    mark = F.xxhash64("text")
-    some = usable.where(F.octet_length("text").between(1, LONGEST)).where(F.pmod(mark, part) == 0)
-    some = some.groupBy("lang", mark.alias("mark")).agg(F.first("text").alias("text"))
-    rows = some.orderBy(F.pmod(F.xxhash64("mark"), F.lit(1 << 30)), "mark").limit(8 * SAMPLE_DOCS * len(order)).collect()
-    found = []
-    for lang in order:
-        texts = [letters(r["text"]) for r in rows if r["lang"] == lang][:SAMPLE_DOCS]
-        found.append((lang, b"\n".join(texts)[-DICTIONARY_BYTES:]))
-    return [(lang, data) for lang, data in found if len(data) >= 8]
+    mark = F.xxhash64("text").alias("mark")
+    cut = pieces(usable)
+    scattered = Window.partitionBy("lang").orderBy(F.xxhash64("mark"), "mark")
+    chosen = cut.select("lang", mark).distinct().withColumn("place", F.row_number().over(scattered)).where(F.col("place") <= SAMPLE_PIECES)
+    # At most SAMPLE_PIECES rows a language.
+    some = cut.select("lang", mark, "text").join(F.broadcast(chosen), ["lang", "mark"])
+    rows = some.groupBy("lang", "mark").agg(F.first("text").alias("text"), F.first("place").alias("place")).collect()
+    texts: dict[str, list[bytes]] = {}
+    for r in sorted(rows, key=lambda r: (r["lang"], r["place"])):
+        texts.setdefault(r["lang"], []).append(letters(r["text"]))
+    order = sorted(texts, key=lambda x: (-totals[x], x))
+    # Zstandard takes eight bytes at least.
+    return [(lang, b"\n".join(texts[lang])[-DICTIONARY_BYTES:].rjust(8, b"\n")) for lang in order]
 
 
 def packers(dictionaries: list[tuple[str, bytes]]):
