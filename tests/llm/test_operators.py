@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from wordweft.llm import bpe, cnn, common, dac, jaccard, langid, lbl, rules, sharding, simhash, tiling, toxicity
 
@@ -237,19 +238,50 @@ def test_language_model_without_training_rows(spark):
 # --- byte pairs --------------------------------------------------------------
 
 
-def test_bpe_equals_tiktoken(spark, docs, texts):
+@pytest.fixture(scope="module")
+def ranks():
+    return bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def tiktoken_of(ranks):
     import tiktoken
 
-    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_equals_tiktoken(spark, docs, texts, ranks):
+    whole = tiktoken_of(ranks)
+    odd = ["a\u00a0\u2003 b\x1c\x1fc\x85", "x\u3000 y \t\n  z", "it's IT'S we'll", "12\u0663\u00bd ٣٤", "e\u0301 \u200d\ufeff", "\0\0 \0", " ", "a" * 3000 + "=" * 200]
+    rows = [(i, t) for i, t in enumerate(texts + odd)] + [(None, "no id"), (3, "again"), (3, "again")]
+    df = spark.createDataFrame([(i, t, b"x") for i, t in rows], "doc_id long, text string, ids binary")
+    want = Counter()
+    for i, t in rows:
+        ids = whole.encode_ordinary(t or "")
+        want[i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()] += 1
     for frequent in (20, 1 << 20):
-        coded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, frequent=frequent)
-        for r in bpe.digests(coded, ranks).collect():
-            ids = whole.encode_ordinary(texts[r["doc_id"]] or "")
-            assert r["n_tokens"] == len(ids)
-            assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
-            assert r["decoded_sha256"] == hashlib.sha256((texts[r["doc_id"]] or "").encode()).hexdigest()
-    assert bpe.encode(empty(spark), ranks, public_tokenizers.PATTERN).count() == 0
+        assert Counter(tuple(r) for r in bpe.digests(df, ranks, public_tokenizers.PATTERN, frequent).collect()) == want
+    coded = bpe.encode(df, ranks, public_tokenizers.PATTERN)
+    assert Counter((r["doc_id"], bytes(r["text"]).decode()) for r in bpe.decode(coded, ranks).collect()) == Counter((i, t or "") for i, t in rows)
+    assert bpe.digests(empty(spark), ranks, public_tokenizers.PATTERN).count() == 0
+
+
+def test_both_folds_give_the_library_s_merges(spark, ranks):
+    rng = random.Random(9)
+    some = [w.decode("utf-8", "ignore") for w in rng.sample(sorted(ranks), 400)]
+    found = [a + b + c for a, b, c in zip(some, some[1:], some[2:])] + ["a", "é", "漢字" * 30, "ab" * 90, "a" * 777, " " * 150]
+    found = [w for w in found if w]
+    bpe.check_order(ranks)
+    tables, whole = bpe.RankTables(ranks), tiktoken_of(ranks)
+    word = F.col("word").cast("binary")
+    df = spark.createDataFrame([(w,) for w in found], "word string").repartition(2)
+    for r in df.select("word", bpe.fold_pairs(word, tables).alias("pairs"), bpe.fold_candidates(word, tables).alias("runs")).collect():
+        assert r["pairs"] == r["runs"] == whole._encode_single_piece(r["word"]), r["word"]
+
+
+def test_ranks_that_do_not_follow_merges_are_refused():
+    ranks = {bytes([b]): b for b in range(256)} | {b"abc": 256, b"ab": 257}
+    with pytest.raises(ValueError, match="merges"):
+        bpe.check_order(ranks)
 
 
 # --- quality, language, toxicity ----------------------------------------------

@@ -1,48 +1,49 @@
 """Byte-level BPE with Spark's higher-order functions: encode, decode.
 
-Text is cut into words by the tokenizer's pattern, each word is encoded once, and documents look their words up.
-A word is an array of the ids of its bytes. The fold keeps the ids and the rank of each neighbouring pair; a step
-merges the leftmost pair of the least rank and looks up the two pairs that this makes. The ranks are a literal in the
-plan: an array of small key and value lists, addressed by a pair's remainder, because a lookup in one large map walks
-all of it. A word that is a piece itself is that piece, whether or not merges lead to it.
+Text is cut into words by the tokenizer's pattern, distinct words are counted, and folds of ranked merges turn words into
+ids. The ranks are literals in the plan, placed by a hash without collisions, so that a lookup is one comparison whatever
+the vocabulary's size.
 
-Documents get the ids of the ``frequent`` most frequent words from a broadcast table of that many rows at most, with
-words of at most LONG bytes. A row's other words are folded in its own row, each distinct one once, so no text and no
-id is exchanged. Words of over LONG bytes are merged by a heap in Python, since a fold's step copies the pieces.
+* Words of up to SHORT bytes: the fold's state is the pieces, each a number made of its rank with the next piece, its
+  place and its id, so that the least number is the leftmost pair of the least rank. A step merges it and looks up the two
+  pairs that this makes.
+* Longer words, where such a step would copy many pieces: the fold goes over the word's candidates, which are all runs of
+  its bytes that are pieces, in the order of rank, then place. Its state are the marks of the pieces' bounds, a byte each;
+  a candidate that now is exactly two pieces becomes one. ``check_order`` makes sure that this gives the same merges.
+
+The ``frequent`` most frequent words are folded once and broadcast, a table of so many rows at most. Other words are
+folded once for each batch of documents that has them: they seldom come twice, and handing their ids back to the
+documents would exchange the documents' codes, too.
 
 Defined cases: null and empty texts have no token and the digest of nothing; a null doc_id is kept; equal rows are
-encoded apart; special tokens' names are plain text; extra columns are ignored.
+encoded apart; special tokens' names are plain text; words may have any length; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 import json
-import re
-from collections import Counter
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import collect_blobs, most_frequent, prepare, read_blobs, settle
+from .common import bind, collect_blobs, most_frequent, prepare, read_blobs, settle
 
-NO_RANK = 2**31 - 1
-LONG = 96
 FREQUENT = 1 << 19
-BUCKETS = 65_521
-#: Ids fit in two bytes; word codes below this are ids of pieces.
-PIECES = 1 << 16
-#: Chunks whose codes a task remembers.
-CACHED_CHUNKS = 100_000
-#: Distinct chunks that a task counts before it passes their words on.
-COUNTED_CHUNKS = 200_000
-#: In a row's word codes: from here on the row's rare words, and a word of over LONG bytes.
-RARE_CODE, LONG_CODE = 1 << 31, (1 << 32) - 1
+SHORT = 64
+#: A piece's number in the fold of short words: rank with the next piece, place, id. No pair has the rank NO_RANK.
+ID_BITS, PLACE_BITS = 17, 29
+NO_RANK = (1 << ID_BITS) - 1
+#: A candidate's number in the fold of long words: rank, place, length.
+LENGTH_BITS, START_BITS = 8, 32
+#: Slots of the table of piece lengths by the first three bytes.
+STARTS = 1 << 16
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -51,261 +52,227 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in file if line.strip())}
 
 
-def rank_literal(ranks: dict[bytes, int], buckets: int = BUCKETS) -> Column:
-    """The rank map as array<struct<k:array<bigint>,v:array<int>>>.
+def java_pattern(pattern: str) -> str:
+    """The pattern with Unicode's own classes, as Java's regular expressions take it."""
+    return "(?U)" + pattern
 
-    A key is left id x 65,536 + right id for each way to put a piece together from two pieces, its value the piece's
-    rank, which is its id; a key stands in the bucket of its remainder. Slot ``buckets`` has the ids of the bytes.
-    """
-    table: list[tuple[list[int], list[int]]] = [([], []) for _ in range(buckets)]
-    for piece, rank in ranks.items():
-        for cut in range(1, len(piece)):
-            left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
-            if left is not None and right is not None:
-                key = left * 65536 + right
-                keys, values = table[key % buckets]
-                keys.append(key)
-                values.append(rank)
-    table.append(([], [ranks[bytes([b])] for b in range(256)]))
-    rows = ",".join(f'{{"k":{json.dumps(k)},"v":{json.dumps(v)}}}' if k or v else "{}" for k, v in table)
-    return F.from_json(F.lit(f"[{rows}]"), "array<struct<k:array<bigint>,v:array<int>>>")
 
+def place_keys(keys: list[bytes]) -> tuple[list[int], list[int], int]:
+    """A slot of its own for each key, the moves of the buckets, and the shift of the hash.
 
-def _bind(value: Column, then) -> Column:
-    """then(value) with value computed once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+    A key's slot is the low bits of its shifted hash, moved by the number of the bucket that higher bits choose.
+    """
+    slots = 1 << max(4, (2 * len(keys)).bit_length())
+    buckets = slots >> 3
+    hashes = [xxhash.xxh64_intdigest(k, 42) for k in keys]
+    for shift in range(20):
+        held: list[list[int]] = [[] for _ in range(buckets)]
+        for k, h in enumerate(hashes):
+            held[h >> 44 & buckets - 1].append(k)
+        place, moves, taken = [0] * len(keys), [0] * buckets, bytearray(slots)
+        for bucket in sorted(range(buckets), key=lambda b: -len(held[b])):
+            own = [hashes[k] >> shift & slots - 1 for k in held[bucket]]
+            move = next((d for d in range(slots) if not any(taken[x ^ d] for x in own)), None)
+            if len({*own}) < len(own) or move is None:
+                break
+            moves[bucket] = move
+            for k, x in zip(held[bucket], own):
+                place[k] = x ^ move
+                taken[x ^ move] = 1
+        else:
+            return place, moves, shift
+    raise ValueError("no placing of the keys without collisions")
+
+
+def _literal(rows: list, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(rows)), f"array<{kind}>")
+
+
+class Slots:
+    """Slots of keys as literals; ``at`` is the slot that a key has if it is there at all."""
+
+    def __init__(self, keys: list[bytes]):
+        self.place, moves, self.shift = place_keys(keys)
+        self.count, self.buckets = 8 * len(moves), len(moves)
+        self.moves = _literal(moves, "int")
+
+    def spread(self, values: list) -> list:
+        out: list = [None] * self.count
+        for at, value in zip(self.place, values):
+            out[at] = value
+        return out
+
+    def at(self, key: Column) -> Column:
+        h = F.xxhash64(key)
+        move = F.get(self.moves, F.shiftrightunsigned(h, 44).bitwiseAND(F.lit(self.buckets - 1)).cast("int"))
+        return F.shiftrightunsigned(h, self.shift).bitwiseAND(F.lit(self.count - 1)).cast("int").bitwiseXOR(move)
+
+
+def crc_window(size: int) -> int:
+    """Lowest bit of the CRC-32 from which 8 * size bits tell all runs of size bytes apart."""
+    runs = [bytes([a]) for a in range(256)] if size == 1 else [bytes([a, b]) for a in range(256) for b in range(256)]
+    return next(s for s in range(33 - 8 * size) if len({zlib.crc32(r) >> s & (1 << 8 * size) - 1 for r in runs}) == len(runs))
+
+
+class RankTables:
+    """The rank map as literals: of neighbouring bytes, of pairs of ids, and of pieces."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        pieces = list(ranks)
+        if max(ranks.values()) >= NO_RANK or max(map(len, pieces)) >= 1 << LENGTH_BITS:
+            raise ValueError("ids or pieces are too large for a piece's number")
+        # A byte's number at the end of a word, and before another byte.
+        self.one_bit, self.two_bit = crc_window(1), crc_window(2)
+        one, two = [0] * 256, [0] * 65536
+        high = ID_BITS + PLACE_BITS
+        for a in range(256):
+            first = bytes([a])
+            one[zlib.crc32(first) >> self.one_bit & 255] = NO_RANK << high | ranks[first]
+            for b in range(256):
+                both = bytes([a, b])
+                two[zlib.crc32(both) >> self.two_bit & 65535] = ranks.get(both, NO_RANK) << high | ranks[first]
+        self.one, self.two = _literal(one, "bigint"), _literal(two, "bigint")
+
+        pairs: dict[int, int] = {}
+        for piece, rank in ranks.items():
+            for cut in range(1, len(piece)):
+                left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+                if left is not None and right is not None:
+                    pairs[left << ID_BITS | right] = rank
+        self.pair_slots = Slots([k.to_bytes(8, "little") for k in pairs])
+        self.pairs = _literal(self.pair_slots.spread([k << ID_BITS | r for k, r in pairs.items()]), "bigint")
+
+        self.piece_slots = Slots(pieces)
+        self.names = _literal(self.piece_slots.spread([base64.b64encode(p).decode() for p in pieces]), "binary")
+        self.ranks = _literal(self.piece_slots.spread([ranks[p] for p in pieces]), "bigint")
+        # By the CRC of three bytes, the number of a set: the lengths of pieces with this start.
+        starts = [{2} for _ in range(STARTS)]
+        for piece in pieces:
+            if len(piece) > 2:
+                starts[zlib.crc32(piece[:3]) % STARTS].add(len(piece))
+        sets: dict[tuple[int, ...], int] = {}
+        self.starts = _literal([sets.setdefault(tuple(sorted(s)), len(sets)) for s in starts], "int")
+        self.sets = _literal([list(s) for s in sets], "array<int>")
+        #: Pieces that merges of their bytes don't lead to, and their ids.
+        self.apart = [(p, ranks[p]) for p in pieces if len(_bounds(p, ranks)) > 2]
+
+
+def _bounds(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Bounds of a short word's pieces by one pass over its candidates."""
+    n = len(word)
+    found = [(ranks[word[i:j]], i, j) for i in range(n) for j in range(i + 2, n + 1) if word[i:j] in ranks]
+    marks = [True] * (n + 1)
+    for _, i, j in sorted(found):
+        if marks[i] and marks[j] and sum(marks[i + 1 : j]) == 1:
+            marks[i + 1 : j] = [False] * (j - i - 1)
+    return [k for k, on in enumerate(marks) if on]
 
 
-def fold_merges(word: Column, literal: Column, buckets: int = BUCKETS) -> Column:
-    """Ids, as array<int>, of a word given as binary of at least one byte.
+def check_order(ranks: dict[bytes, int]) -> None:
+    """Raise unless every byte is a piece, and one pass over a piece's candidates leaves no pair that is a piece.
 
-    The fold's state is the pieces' ids ``p`` and the ranks ``r`` of each piece with the next one, behind a guard
-    that no pair has. A step merges the leftmost pair of the least rank.
+    Then a merge never makes a pair of lesser rank possible: the bytes of such a pair would be one piece already.
     """
-
-    def with_table(table: Column) -> Column:
-        def rank(left: Column, right: Column) -> Column:
-            def in_bucket(key: Column) -> Column:
-                return _bind(
-                    F.get(table, F.pmod(key, F.lit(buckets)).cast("int")),
-                    lambda e: F.get(e["v"], F.array_position(e["k"], key).cast("int") - 1),
-                )
-
-            return F.coalesce(_bind(left * F.lit(65536) + right, in_bucket), F.lit(NO_RANK))
-
-        def start(ids: Column) -> Column:
-            ranked = F.transform(ids, lambda x, i: rank(x, F.get(ids, i + 1)))
-            return F.struct(ids.alias("p"), ranked.alias("r"))
-
-        def merge(s: Column, least: Column, at: Column) -> Column:
-            p, r = s["p"], s["r"]
-            return F.struct(
-                F.concat(F.slice(p, F.lit(1), at - 1), F.array(least.cast("long")), F.slice(p, at + 2, F.size(p))).alias("p"),
-                F.concat(
-                    F.slice(r, F.lit(1), at - 2),
-                    F.array(rank(F.get(p, at - 2), least), rank(least.cast("long"), F.get(p, at + 1))),
-                    F.slice(r, at + 2, F.size(r)),
-                ).alias("r"),
+    if any(bytes([b]) not in ranks for b in range(256)):
+        raise ValueError("a byte has no rank")
+    for piece in ranks:
+        bounds = _bounds(piece, ranks)
+        if any(piece[i:j] in ranks for i, j in zip(bounds, bounds[2:])):
+            raise ValueError(f"the rank of {piece!r} doesn't follow its merges")
+
+
+def fold_pairs(word: Column, tables: RankTables) -> Column:
+    """Ids of a short word of at least one byte: merges of the leftmost pair of the least rank."""
+    size = F.octet_length(word)
+    high = ID_BITS + PLACE_BITS
+    ids, places, none = F.lit((1 << ID_BITS) - 1), F.lit((1 << high) - (1 << ID_BITS)), F.lit(NO_RANK << high)
+
+    def rank(left: Column, right: Column) -> Column:
+        """The pair's rank, at its place in a piece's number."""
+
+        def of(key: Column) -> Column:
+            found = bind(
+                F.get(tables.pairs, tables.pair_slots.at(key)),
+                lambda e: F.when(F.shiftright(e, ID_BITS) == key, F.shiftleft(e.bitwiseAND(ids), high)).otherwise(none),
             )
+            return F.when(key.isNull(), none).otherwise(found)
 
-        def step(s: Column, _: Column) -> Column:
-            def by_least(least: Column) -> Column:
-                return F.when(
-                    least < NO_RANK, _bind(F.array_position(s["r"], least).cast("int"), lambda at: merge(s, least, at))
-                ).otherwise(s)
+        return bind(F.shiftleft(left, ID_BITS) + right, of)
 
-            return _bind(F.array_min(s["r"]), by_least)
+    def first(i: Column) -> Column:
+        two = F.shiftright(F.crc32(F.substr(word, i, F.lit(2))), tables.two_bit).bitwiseAND(F.lit(65535))
+        one = F.shiftright(F.crc32(F.substr(word, i, F.lit(1))), tables.one_bit).bitwiseAND(F.lit(255))
+        number = F.when(i < size, F.get(tables.two, two.cast("int"))).otherwise(F.get(tables.one, one.cast("int")))
+        return number + F.shiftleft(i.cast("long"), ID_BITS)
 
-        def run(ids: Column) -> Column:
-            turns = F.slice(ids, F.lit(3), F.size(ids))
-            merged = F.aggregate(turns, start(ids), step)["p"]
-            return F.slice(merged, F.lit(2), F.size(merged)).cast("array<int>")
+    def step(s: Column, _: Column) -> Column:
+        def at_least(least: Column) -> Column:
+            def merge(k: Column) -> Column:
+                own, left, right = F.shiftright(least, high), F.get(s, k - 2), F.get(s, k + 1)
+                merged = rank(own, right.bitwiseAND(ids)) + least.bitwiseAND(places) + own
+                before = rank(left.bitwiseAND(ids), own) + left.bitwiseAND(places + ids)
+                after = F.slice(s, k + 2, size)
+                return F.when(k > 1, F.concat(F.slice(s, F.lit(1), k - 2), F.array(before, merged), after)).otherwise(F.concat(F.array(merged), after))
 
-        size = F.octet_length(word)
-        codes = F.get(table, F.lit(buckets))["v"]
-        first = F.transform(
-            F.sequence(F.lit(0), size),
-            lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get(codes, F.ascii(F.decode(F.substr(word, i, F.lit(1)), "ISO-8859-1")))).cast("long"),
-        )
-        return _bind(first, run)
+            return F.when(least < none, bind(F.array_position(s, least).cast("int"), merge)).otherwise(s)
 
-    return _bind(literal, with_table)
+        return bind(F.array_min(s), at_least)
 
+    turns = F.sequence(F.lit(1), size)
+    return F.transform(F.aggregate(turns, F.transform(turns, first), step), lambda e: e.bitwiseAND(ids).cast("int"))
 
-def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one word by a heap of pairs: for long words, n log n."""
-    n = len(word)
-    pieces: list[bytes | None] = [word[i : i + 1] for i in range(n)]
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(r, i, word[i : i + 2]) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
-    heapq.heapify(heap)
-    while heap:
-        _, i, joined = heapq.heappop(heap)
-        if pieces[i] is None or (j := after[i]) >= n or pieces[i] + pieces[j] != joined:
-            continue
-        pieces[i], pieces[j] = joined, None
-        after[i] = after[j]
-        if after[i] < n:
-            before[after[i]] = i
-            if (r := ranks.get(both := joined + pieces[after[i]])) is not None:
-                heapq.heappush(heap, (r, i, both))
-        if (h := before[i]) >= 0 and (r := ranks.get(both := pieces[h] + joined)) is not None:
-            heapq.heappush(heap, (r, h, both))
-    return [ranks[p] for p in pieces if p is not None]
-
-
-_JOINED = re.compile(r"\s ")
-
-
-def chunks(text: str) -> list[str]:
-    """The text cut before each blank; whole if a blank follows white space.
-
-    The pattern's words never cross such a cut: only a run of white space could, and nothing looks back.
-    """
-    if _JOINED.search(text):
-        return [text]
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
 
+def fold_candidates(word: Column, tables: RankTables) -> Column:
+    """Ids of a word of at least one byte: one pass over its candidates in the order of rank, then place."""
+    size = F.octet_length(word)
+    zeros, one = F.lit("0" * (1 << LENGTH_BITS)).cast("binary"), F.lit("1").cast("binary")
 
-def word_counts(docs: DataFrame, pattern: str, ranks: dict[bytes, int]) -> DataFrame:
-    """word, n for the distinct pattern words of all texts that are no piece themselves.
+    def rank(piece: Column) -> Column:
+        at = tables.piece_slots.at(piece)
+        return F.when(F.get(tables.names, at) == piece, F.get(tables.ranks, at))
 
-    Each task counts chunks, cuts the distinct ones into words, and sums before the exchange.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    def candidates_at(i: Column) -> Column:
+        start = F.crc32(F.substr(word, i + 1, F.lit(3))).bitwiseAND(F.lit(STARTS - 1)).cast("int")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
+        def candidate(n: Column) -> Column:
+            own = bind(F.substr(word, i + 1, n), lambda p: F.shiftleft(rank(p), LENGTH_BITS + START_BITS))
+            return F.when(i + n <= size, own + F.shiftleft(i.cast("long"), LENGTH_BITS) + n)
 
-        find, own = regex.compile(pattern).findall, shared.value
-        seen: Counter[str] = Counter()
+        return F.array_compact(F.transform(F.get(tables.sets, F.get(tables.starts, start)), candidate))
 
-        def out() -> pa.RecordBatch:
-            found: Counter[str] = Counter()
-            for chunk, n in seen.items():
-                for word in find(chunk):
-                    found[word] += n
-            seen.clear()
-            kept = {w: n for w, n in found.items() if w.encode() not in own}
-            return pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.int64())], ["word", "n"])
+    def step(marks: Column, c: Column) -> Column:
+        n = c.bitwiseAND(F.lit((1 << LENGTH_BITS) - 1)).cast("int")
+        i = F.shiftright(c, LENGTH_BITS).bitwiseAND(F.lit((1 << START_BITS) - 1)).cast("int")
+        two = F.substr(marks, i + 1, n + 1).cast("string").rlike("^10*10*1$")
+        joined = F.concat(F.substr(marks, F.lit(1), i + 1), F.substr(zeros, F.lit(1), n - 1), F.substr(marks, i + n + 1, size))
+        return F.when(two, joined).otherwise(marks)
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(chunks(text or ""))
-            if len(seen) > COUNTED_CHUNKS:
-                yield out()
-        yield out()
+    def ids(marks: Column) -> Column:
+        on = F.filter(F.sequence(F.lit(0), size), lambda k: F.substr(marks, k + 1, F.lit(1)) == one)
+        return bind(
+            on, lambda at: F.transform(F.slice(at, F.lit(1), F.size(at) - 1), lambda a, k: rank(F.substr(word, a + 1, F.get(at, k + 1) - a)).cast("int"))
+        )
 
-    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = F.sort_array(F.flatten(F.transform(F.sequence(F.lit(0), size - 1), candidates_at)))
+    return bind(F.aggregate(found, F.repeat(F.lit("1"), size + 1).cast("binary"), step), ids)
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int = FREQUENT) -> DataFrame:
-    """doc_id and ids (binary, little-endian unsigned 32-bit) of every row's whole text.
+def fold_merges(word: Column, tables: RankTables) -> Column:
+    """Ids, as array<int>, of a word given as binary; none of an empty one."""
+    size = F.octet_length(word)
+    ids = F.when(size == 0, F.array().cast("array<int>"))
+    for piece, rank in tables.apart:
+        ids = ids.when(word == F.lit(piece), F.array(F.lit(rank)))
+    return ids.when(size <= SHORT, fold_pairs(word, tables)).otherwise(fold_candidates(word, tables))
 
-    The ``frequent`` most frequent words of at most LONG bytes are encoded once and broadcast; a row's other words
-    are folded in its own row, each distinct one once.
-    """
-    spark = prepare(docs.sparkSession)
-    table = rank_literal(ranks)
 
-    counts = settle(word_counts(docs, pattern, ranks).where(F.octet_length("word") <= LONG), "words")
-    top, _ = most_frequent(counts, frequent)
-    spread = top.select("word").repartition(4 * spark.sparkContext.defaultParallelism)
-    coded = spread.withColumn("ids", fold_merges(F.col("word").cast("binary"), table))
-    # A task's words stand in one blob, in the order of the blobs' codes.
-    blobs = collect_blobs(coded.select("word", "ids"))
-    shared, shared_ranks = spark.sparkContext.broadcast(blobs), spark.sparkContext.broadcast(ranks)
+def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
+    """word, n for the distinct pattern words of all texts."""
+    return docs.select(F.explode(words_of(F.col("text"), pattern)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        find = regex.compile(pattern).findall
-        own_ranks, table_ = shared_ranks.value, read_blobs(shared.value)
-        code = {w: i for i, w in enumerate(table_["word"].to_pylist(), PIECES)} if table_ else {}
-        del table_
-
-        def of_chunk(chunk: str) -> bytes | list[int | str | bytes]:
-            """Codes of a chunk's words as bytes; as a list if some word has none."""
-            out: list[int | str | bytes] = []
-            for word in find(chunk):
-                raw = word.encode()
-                at = own_ranks.get(raw)
-                if at is None and (at := code.get(word)) is None:
-                    at = word if len(raw) <= LONG else raw
-                out.append(at)
-            return np.array(out, np.uint32).tobytes() if all(type(x) is int for x in out) else out
-
-        cache: dict[str, bytes | list] = {}
-        for batch in batches:
-            held, rare, long = [], [], []
-            for text in batch.column(1).to_pylist():
-                if len(cache) > CACHED_CHUNKS:
-                    cache.clear()
-                parts = []
-                missing: dict[str, int] = {}
-                long_ids = []
-                for chunk in chunks(text or ""):
-                    got = cache.get(chunk)
-                    if got is None:
-                        got = of_chunk(chunk)
-                        if len(chunk) <= LONG:
-                            cache[chunk] = got
-                    if type(got) is list:
-                        codes = []
-                        for x in got:
-                            if type(x) is str:
-                                codes.append(RARE_CODE + missing.setdefault(x, len(missing)))
-                            elif type(x) is bytes:
-                                long_ids.append(np.array(heap_merges(x, own_ranks), "<u4").tobytes())
-                                codes.append(LONG_CODE)
-                            else:
-                                codes.append(x)
-                        got = np.array(codes, np.uint32).tobytes()
-                    parts.append(got)
-                held.append(b"".join(parts))
-                rare.append(list(missing))
-                long.append(long_ids)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(held, pa.binary()), pa.array(rare, pa.list_(pa.string())), pa.array(long, pa.list_(pa.binary()))],
-                ["doc_id", "held", "rare", "long"],
-            )
-
-    looked = docs.select("doc_id", "text").mapInArrow(look_up, "doc_id long, held binary, rare array<string>, long array<binary>")
-    folded = looked.select("doc_id", "held", F.transform("rare", lambda w: fold_merges(w.cast("binary"), table)).alias("rare"), "long")
 
-    def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_ = read_blobs(shared.value)
-        known = table_["ids"].combine_chunks() if table_ else pa.array([], pa.list_(pa.int32()))
-        known_starts, known_ids = _lists(known)
-        # The first codes are pieces, each its own id.
-        known_ids = np.concatenate([np.arange(PIECES, dtype="<u4"), known_ids])
-        known_starts = np.concatenate([np.arange(PIECES), known_starts + PIECES])
-        n_known = len(known_starts) - 1
-        for batch in batches:
-            held = batch.column(1).to_pylist()
-            rare_starts, rare_ids = _lists(batch.column(2).flatten())
-            long = [x for row in batch.column(3).to_pylist() for x in row]
-            long_starts = np.cumsum([0] + [len(x) // 4 for x in long])
-            ids = np.concatenate([known_ids, rare_ids, np.frombuffer(b"".join(long), "<u4")])
-            starts = np.concatenate([known_starts[:-1], rare_starts[:-1] + len(known_ids), long_starts[:-1] + len(known_ids) + len(rare_ids)])
-            sizes = np.concatenate([np.diff(known_starts), np.diff(rare_starts), np.diff(long_starts)])
-            rare_before = np.cumsum([0] + batch.column(2).value_lengths().to_pylist())
-            n_rare, long_seen = len(rare_starts) - 1, 0
-            out = []
-            for k, codes in enumerate(held):
-                at = np.frombuffer(codes, np.uint32).astype(np.int64)
-                is_long = at == LONG_CODE
-                place = np.where(at < RARE_CODE, at, at - RARE_CODE + n_known + int(rare_before[k]))
-                if is_long.any():
-                    place[is_long] = n_known + n_rare + long_seen + np.arange(int(is_long.sum()))
-                    long_seen += int(is_long.sum())
-                n = sizes[place]
-                ends = np.cumsum(n)
-                out.append(ids[np.repeat(starts[place] - ends + n, n) + np.arange(int(n.sum()))].astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
-
-    return folded.mapInArrow(join_up, "doc_id long, ids binary")
+def words_of(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
 
 
 def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -315,27 +282,116 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return starts - starts[0], values.astype("<u4")
 
 
-def decode(ids: bytes, pieces: list[bytes]) -> bytes:
-    """Bytes of the text: the ids' pieces one after another."""
-    return b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int, finish: Callable, schema: str) -> DataFrame:
+    """finish(doc_ids, ids, bounds) of every batch of rows; the ids of its row k are ids[bounds[k] : bounds[k + 1]]."""
+    spark = prepare(docs.sparkSession)
+    check_order(ranks)
+    tables = RankTables(ranks)
+    top, _ = most_frequent(settle(word_counts(docs, pattern), "words"), frequent)
+    spread = top.select("word").repartition(2 * spark.sparkContext.defaultParallelism)
+    coded = spread.withColumn("ids", fold_merges(F.col("word").cast("binary"), tables))
+    # A task's words stand in one blob, in the order of the blobs' codes.
+    shared = spark.sparkContext.broadcast(collect_blobs(coded))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
+        known = read_blobs(shared.value)
+        names = known["word"].combine_chunks() if known else pa.array([], pa.string())
+        del known
+        for batch in batches:
+            words = batch.column(1)
+            flat = words.flatten()
+            at = pc.index_in(flat, value_set=names)
+            missing = flat.filter(pc.is_null(at))
+            rare = missing.unique()
+            codes = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype("<u4")
+            codes[pc.is_null(at).to_numpy(zero_copy_only=False)] = len(names) + pc.index_in(missing, value_set=rare).to_numpy(zero_copy_only=False)
+            rows = [batch.column(0).to_pylist()], [words.value_lengths().to_pylist()], [codes.tobytes()], [rare.to_pylist()]
+            kinds = pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], ["doc_ids", "sizes", "codes", "rare"])
+            del words, flat, at, missing, rare, codes, rows
+            pa.default_memory_pool().release_unused()
+
+    looked = docs.select("doc_id", words_of(F.col("text"), pattern).alias("words")).mapInArrow(
+        look_up, "doc_ids array<long>, sizes array<int>, codes binary, rare array<string>"
+    )
+    folded = looked.withColumn("rare", F.transform("rare", lambda w: fold_merges(w.cast("binary"), tables)))
+
+    def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = read_blobs(shared.value)
+        known_starts, known_ids = _lists(known["ids"].combine_chunks()) if known else (np.zeros(1, np.int64), np.zeros(0, "<u4"))
+        del known
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                doc_ids, words = row.column(0).flatten(), row.column(1).flatten().to_numpy(zero_copy_only=False)
+                place = np.frombuffer(row.column(2)[0].as_py(), "<u4").astype(np.int64)
+                rare_starts, rare_ids = _lists(row.column(3).flatten())
+                starts = np.concatenate([known_starts[:-1], rare_starts[:-1] + len(known_ids)])
+                sizes = np.concatenate([np.diff(known_starts), np.diff(rare_starts)])[place]
+                ends = np.cumsum(sizes)
+                spots = np.repeat(starts[place] - ends + sizes, sizes) + np.arange(int(sizes.sum()))
+                ids = np.concatenate([known_ids, rare_ids])[spots]
+                bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(words)])]
+                yield finish(doc_ids, ids, bounds)
+
+    return folded.mapInArrow(join_up, schema)
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int = FREQUENT) -> DataFrame:
+    """doc_id and ids (binary, little-endian unsigned 32-bit) of every row's whole text."""
 
+    def finish(doc_ids: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+        own = [ids[i:j].tobytes() for i, j in zip(bounds.tolist(), bounds[1:].tolist())]
+        return pa.RecordBatch.from_arrays([doc_ids, pa.array(own, pa.binary())], ["doc_id", "ids"])
 
-def digests(coded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and the SHA-256 of the decoded ids."""
+    return _encoded(docs, ranks, pattern, frequent, finish, "doc_id long, ids binary")
+
+
+def decoder(ranks: dict[bytes, int]) -> Callable[[np.ndarray], tuple[np.ndarray, bytes]]:
+    """Function from ids to the bounds of each id's bytes and the bytes: the ids' pieces one after another."""
+    pieces: list[bytes] = [b""] * (max(ranks.values()) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece
+    table = pa.array(pieces, pa.binary())
+
+    def run(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
+        found = table.take(pa.array(ids.astype(np.int64)))
+        return np.frombuffer(found.buffers()[1], np.int32, len(ids) + 1), found.buffers()[2].to_pybytes() if len(ids) else b""
+
+    return run
+
+
+def decode(coded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """doc_id and text (binary) from the ids that ``encode`` gives; null ids are no text."""
     shared = coded.sparkSession.sparkContext.broadcast(ranks)
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = [p for p, _ in sorted(shared.value.items(), key=lambda x: x[1])]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to_bytes = decoder(shared.value)
         for batch in batches:
-            ids = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([sha256(x).hexdigest() for x in ids]),
-                    pa.array([sha256(decode(x, pieces)).hexdigest() for x in ids]),
-                ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            texts = [to_bytes(np.frombuffer(x, "<u4"))[1] if x is not None else None for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["doc_id", "text"])
+
+    return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text binary")
 
-    return coded.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int = FREQUENT) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and the SHA-256 of the decoded ids, for every row's whole text."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    held: list[Callable] = []
+
+    def finish(doc_ids: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+        if not held:
+            held.append(decoder(shared.value))
+        ends, text = held[0](ids)
+        spans = list(zip(bounds.tolist(), bounds[1:].tolist()))
+        columns = [
+            doc_ids,
+            pa.array(np.diff(bounds)),
+            pa.array([sha256(ids[i:j]).hexdigest() for i, j in spans], pa.string()),
+            pa.array([sha256(text[ends[i] : ends[j]]).hexdigest() for i, j in spans], pa.string()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return _encoded(docs, ranks, pattern, frequent, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch; with texts of up to a few hundred KB a batch stays in the tens of MB.
-BATCH_ROWS = 512
+from ..sources.shared import settle, shared_dir
+
+__all__ = ["bind", "collect_blobs", "components", "crc_of_id", "most_frequent", "prepare", "read_blobs", "settle", "shared_dir"]
+
+#: Rows and bytes of an Arrow batch; a longer row is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 2048, "8m"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -17,24 +18,13 @@ def prepare(spark: SparkSession) -> SparkSession:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; own one only where unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def bind(value: Column, then) -> Column:
+    """then(value) with value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def most_frequent(counts: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
@@ -86,7 +76,7 @@ def crc_of_id(doc_id: Column | str) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list by alternating large-star and small-star rounds.
 
     Returns (node, root) for every node that has an edge; root is the least node of its component.
@@ -97,7 +87,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where("lo < hi").distinct(), "edges"
     )
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             now.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )

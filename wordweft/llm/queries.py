@@ -41,7 +41,7 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     ranks = bpe.read_ranks(_tokenizer("byte_bpe_multi_50k.tiktoken"))
-    return bpe.digests(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return bpe.digests(docs, ranks, public_tokenizers.PATTERN)
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

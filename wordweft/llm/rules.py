@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bind
+
 WHITE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
@@ -69,14 +71,9 @@ def repeat_words(words: Column) -> Column:
             parts = F.transform(p, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(p, k + 1) - x, F.lit(WINDOW))))
             return F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + x)
 
-        return _bind(_bind(placed, starts), total)
-
-    return _bind(grams, lambda g: F.when(F.size(F.array_distinct(g)) < F.size(g), covered(g)).otherwise(F.lit(0).cast("long")))
-
+        return bind(bind(placed, starts), total)
 
-def _bind(value: Column, then) -> Column:
-    """then(value) with value computed once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+    return bind(grams, lambda g: F.when(F.size(F.array_distinct(g)) < F.size(g), covered(g)).otherwise(F.lit(0).cast("long")))
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -97,7 +94,7 @@ def with_counts(rows: DataFrame, kept: list[str]) -> DataFrame:
 
 def count_columns(text: Column, words: Column) -> list[Column]:
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    duplicate_lines = _bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    duplicate_lines = bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
     return [
         F.size(words).cast("long").alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
