@@ -270,11 +270,10 @@ def test_both_folds_give_the_library_s_merges(spark, ranks):
     some = [w.decode("utf-8", "ignore") for w in rng.sample(sorted(ranks), 400)]
     found = [a + b + c for a, b, c in zip(some, some[1:], some[2:])] + ["a", "é", "漢字" * 30, "ab" * 90, "a" * 777, " " * 150]
     found = [w for w in found if w]
-    bpe.check_order(ranks)
-    tables, whole = bpe.RankTables(ranks), tiktoken_of(ranks)
-    word = F.col("word").cast("binary")
+    rank_map, whole, word = bpe.RankMap(ranks), tiktoken_of(ranks), F.col("word").cast("binary")
+    both = common.bind(rank_map.literal, lambda t: F.struct(bpe.fold_pairs(word, rank_map, t).alias("pairs"), bpe.fold_candidates(word, rank_map, t).alias("runs")))
     df = spark.createDataFrame([(w,) for w in found], "word string").repartition(2)
-    for r in df.select("word", bpe.fold_pairs(word, tables).alias("pairs"), bpe.fold_candidates(word, tables).alias("runs")).collect():
+    for r in df.select("word", both.alias("both")).select("word", "both.*").collect():
         assert r["pairs"] == r["runs"] == whole._encode_single_piece(r["word"]), r["word"]
 
 
@@ -362,21 +361,60 @@ def test_codes_give_random_access():
             assert seg.slice(a, b).tolist() == ids[a:b].tolist()
 
 
-def test_token_files_equal_the_library(spark, docs, texts, tmp_path):
+@pytest.fixture(scope="module")
+def word_tokenizer():
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        return file.read()
+
+
+def test_token_files_equal_the_library(spark, texts, tmp_path, word_tokenizer):
     from tokenizers import Tokenizer
 
-    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
-        source = file.read()
-    tok = Tokenizer.from_str(source)
-    tok.encode_special_tokens = True
-    for name, frequent in (("a", 5), ("b", 1 << 18)):
+    odd = ["a <|endoftext|> b", "A<|ENDOFTEXT|>b <|startoftext|><|endoftext|>.", "K\u00f6se, Kose\u0301. e\u0301\u0338, =\u0338 x=\u0338", "it's 'tis rock'n'roll's l'été,", "ΑΣ, ΑΣ. ΟΔΟΣ", "3.14, a1b2 x_y_z... —, ½.", "a\u00a0b\u3000c\x1cd", "İI ß"]
+    rows = [(i, t) for i, t in enumerate(texts + odd)] + [(None, "no id"), (3, "again"), (3, "again"), (-7, "first")]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, row int, part string").repartition(3)
+    tok = Tokenizer.from_str(word_tokenizer)
+    for name, frequent, plain in (("a", 5, False), ("b", 1 << 18, False), ("c", 1 << 18, True)):
+        tok.encode_special_tokens = plain
         path = f"file://{tmp_path}/{name}"
-        dac.write_segments(docs, path, source, segment_ids=700, frequent=frequent)
+        dac.write_segments(df, path, word_tokenizer, segment_ids=700, frequent=frequent, range_bytes=9000, special_as_text=plain)
+        want, got = Counter(), dac.read_documents(spark, path).collect()
+        for i, t in rows:
+            ids = tok.encode(t or "", add_special_tokens=False).ids + [2]
+            want[i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+        assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
         start = 0
-        for r in dac.read_documents(spark, path).orderBy("doc_id").collect():
-            ids = tok.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids + [2]
-            assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-            start += len(ids)
+        for r in sorted(got, key=lambda r: r["start"]):
+            assert r["start"] == start
+            start += r["n_tokens"]
+        order = [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])]
+        assert order == sorted(order, key=lambda i: (i is not None, i))
+
+
+def test_token_files_of_one_id_and_of_nothing(spark, tmp_path, word_tokenizer):
+    df = spark.createDataFrame([(5, f"word {k} " * 40) for k in range(600)], "doc_id long, text string").repartition(4)
+    path = f"file://{tmp_path}/one"
+    dac.write_segments(df, path, word_tokenizer, range_bytes=20_000)
+    files = spark.read.parquet(path)
+    assert files.select("part").distinct().count() > 5
+    sizes = [r["n_tokens"] for r in dac.read_documents(spark, path).orderBy("start").collect()]
+    starts = [r["start"] for r in dac.read_documents(spark, path).orderBy("start").collect()]
+    assert len(sizes) == 600 and starts == np.concatenate([[0], np.cumsum(sizes)[:-1]]).tolist()
+    dac.write_segments(empty(spark), f"file://{tmp_path}/none", word_tokenizer)
+    assert dac.read_documents(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_single_tokens_are_read_by_place(spark, docs, texts, tmp_path, word_tokenizer):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_str(word_tokenizer)
+    path = f"file://{tmp_path}/tokens"
+    dac.write_segments(docs, path, word_tokenizer, segment_ids=300, range_bytes=9000)
+    ids = [i for t in texts for i in tok.encode(t or "", add_special_tokens=False).ids + [2]]
+    asked = sorted({*range(0, len(ids), 37), 0, len(ids) - 1})
+    places = spark.createDataFrame([(x,) for x in [*asked, len(ids), len(ids) + 10**9]], "place long")
+    got = {r["place"]: r["token_id"] for r in dac.read_tokens(spark, path, places, segment_ids=300).collect()}
+    assert got == {x: ids[x] for x in asked}
 
 
 # --- decontamination ---------------------------------------------------------

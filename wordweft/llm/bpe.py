@@ -1,12 +1,13 @@
 """Byte-level BPE with Spark's higher-order functions: encode, decode.
 
 Text is cut into words by the tokenizer's pattern, distinct words are counted, and folds of ranked merges turn words into
-ids. The ranks are literals in the plan, placed by a hash without collisions, so that a lookup is one comparison whatever
-the vocabulary's size.
+ids. The rank map is a literal of the plan: pieces and ranks in slots that a hash without collisions gives, so that a
+lookup is one comparison whatever the vocabulary's size. It stands once in an expression, since the driver writes plans
+out as text, literals and all.
 
-* Words of up to SHORT bytes: the fold's state is the pieces, each a number made of its rank with the next piece, its
-  place and its id, so that the least number is the leftmost pair of the least rank. A step merges it and looks up the two
-  pairs that this makes.
+* Words of up to SHORT bytes: the fold's state is the pieces, each a number made of its rank with the next piece and of
+  its place, so that the least number is the leftmost pair of the least rank. A step merges it and looks up the two pairs
+  that this makes.
 * Longer words, where such a step would copy many pieces: the fold goes over the word's candidates, which are all runs of
   its bytes that are pieces, in the order of rank, then place. Its state are the marks of the pieces' bounds, a byte each;
   a candidate that now is exactly two pieces becomes one. ``check_order`` makes sure that this gives the same merges.
@@ -37,13 +38,12 @@ from .common import bind, collect_blobs, most_frequent, prepare, read_blobs, set
 
 FREQUENT = 1 << 19
 SHORT = 64
-#: A piece's number in the fold of short words: rank with the next piece, place, id. No pair has the rank NO_RANK.
-ID_BITS, PLACE_BITS = 17, 29
-NO_RANK = (1 << ID_BITS) - 1
+#: A piece's number in the fold of short words: rank with the next piece, place. No pair has the rank NO_RANK.
+PLACE_BITS, NO_RANK = 32, 1 << 22
 #: A candidate's number in the fold of long words: rank, place, length.
 LENGTH_BITS, START_BITS = 8, 32
 #: Slots of the table of piece lengths by the first three bytes.
-STARTS = 1 << 16
+STARTS = 1 << 14
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -57,13 +57,13 @@ def java_pattern(pattern: str) -> str:
     return "(?U)" + pattern
 
 
-def place_keys(keys: list[bytes]) -> tuple[list[int], list[int], int]:
-    """A slot of its own for each key, the moves of the buckets, and the shift of the hash.
+def place_keys(keys: list[bytes]) -> tuple[list[int], list[int], int, int]:
+    """A slot of its own for each key, the moves of the buckets, the number of slots and the shift of the hash.
 
     A key's slot is the low bits of its shifted hash, moved by the number of the bucket that higher bits choose.
     """
-    slots = 1 << max(4, (2 * len(keys)).bit_length())
-    buckets = slots >> 3
+    slots = 1 << max(4, (len(keys) * 5 // 4).bit_length())
+    buckets = slots >> 2
     hashes = [xxhash.xxh64_intdigest(k, 42) for k in keys]
     for shift in range(20):
         held: list[list[int]] = [[] for _ in range(buckets)]
@@ -80,81 +80,47 @@ def place_keys(keys: list[bytes]) -> tuple[list[int], list[int], int]:
                 place[k] = x ^ move
                 taken[x ^ move] = 1
         else:
-            return place, moves, shift
+            return place, moves, slots, shift
     raise ValueError("no placing of the keys without collisions")
 
 
-def _literal(rows: list, kind: str) -> Column:
-    return F.from_json(F.lit(json.dumps(rows)), f"array<{kind}>")
-
-
-class Slots:
-    """Slots of keys as literals; ``at`` is the slot that a key has if it is there at all."""
-
-    def __init__(self, keys: list[bytes]):
-        self.place, moves, self.shift = place_keys(keys)
-        self.count, self.buckets = 8 * len(moves), len(moves)
-        self.moves = _literal(moves, "int")
-
-    def spread(self, values: list) -> list:
-        out: list = [None] * self.count
-        for at, value in zip(self.place, values):
-            out[at] = value
-        return out
-
-    def at(self, key: Column) -> Column:
-        h = F.xxhash64(key)
-        move = F.get(self.moves, F.shiftrightunsigned(h, 44).bitwiseAND(F.lit(self.buckets - 1)).cast("int"))
-        return F.shiftrightunsigned(h, self.shift).bitwiseAND(F.lit(self.count - 1)).cast("int").bitwiseXOR(move)
-
-
-def crc_window(size: int) -> int:
-    """Lowest bit of the CRC-32 from which 8 * size bits tell all runs of size bytes apart."""
-    runs = [bytes([a]) for a in range(256)] if size == 1 else [bytes([a, b]) for a in range(256) for b in range(256)]
-    return next(s for s in range(33 - 8 * size) if len({zlib.crc32(r) >> s & (1 << 8 * size) - 1 for r in runs}) == len(runs))
-
-
-class RankTables:
-    """The rank map as literals: of neighbouring bytes, of pairs of ids, and of pieces."""
+class RankMap:
+    """The rank map as a struct literal: names and ranks of pieces by slot, and lengths of pieces by their start."""
 
     def __init__(self, ranks: dict[bytes, int]):
+        check_order(ranks)
         pieces = list(ranks)
         if max(ranks.values()) >= NO_RANK or max(map(len, pieces)) >= 1 << LENGTH_BITS:
-            raise ValueError("ids or pieces are too large for a piece's number")
-        # A byte's number at the end of a word, and before another byte.
-        self.one_bit, self.two_bit = crc_window(1), crc_window(2)
-        one, two = [0] * 256, [0] * 65536
-        high = ID_BITS + PLACE_BITS
-        for a in range(256):
-            first = bytes([a])
-            one[zlib.crc32(first) >> self.one_bit & 255] = NO_RANK << high | ranks[first]
-            for b in range(256):
-                both = bytes([a, b])
-                two[zlib.crc32(both) >> self.two_bit & 65535] = ranks.get(both, NO_RANK) << high | ranks[first]
-        self.one, self.two = _literal(one, "bigint"), _literal(two, "bigint")
-
-        pairs: dict[int, int] = {}
-        for piece, rank in ranks.items():
-            for cut in range(1, len(piece)):
-                left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
-                if left is not None and right is not None:
-                    pairs[left << ID_BITS | right] = rank
-        self.pair_slots = Slots([k.to_bytes(8, "little") for k in pairs])
-        self.pairs = _literal(self.pair_slots.spread([k << ID_BITS | r for k, r in pairs.items()]), "bigint")
-
-        self.piece_slots = Slots(pieces)
-        self.names = _literal(self.piece_slots.spread([base64.b64encode(p).decode() for p in pieces]), "binary")
-        self.ranks = _literal(self.piece_slots.spread([ranks[p] for p in pieces]), "bigint")
+            raise ValueError("ids or pieces are too large for a candidate's number")
+        place, moves, self.slots, self.shift = place_keys(pieces)
+        self.buckets = len(moves)
+        names: list[str | None] = [None] * self.slots
+        numbers: list[int | None] = [None] * self.slots
+        for piece, at in zip(pieces, place):
+            names[at], numbers[at] = base64.b64encode(piece).decode(), ranks[piece]
         # By the CRC of three bytes, the number of a set: the lengths of pieces with this start.
         starts = [{2} for _ in range(STARTS)]
         for piece in pieces:
             if len(piece) > 2:
                 starts[zlib.crc32(piece[:3]) % STARTS].add(len(piece))
         sets: dict[tuple[int, ...], int] = {}
-        self.starts = _literal([sets.setdefault(tuple(sorted(s)), len(sets)) for s in starts], "int")
-        self.sets = _literal([list(s) for s in sets], "array<int>")
+        by_start = [sets.setdefault(tuple(sorted(x)), len(sets)) for x in starts]
         #: Pieces that merges of their bytes don't lead to, and their ids.
         self.apart = [(p, ranks[p]) for p in pieces if len(_bounds(p, ranks)) > 2]
+        row = {"names": names, "ranks": numbers, "moves": moves, "starts": by_start, "sets": list(sets)}
+        kinds = "struct<names:array<binary>,ranks:array<bigint>,moves:array<int>,starts:array<int>,sets:array<array<int>>>"
+        self.literal = F.from_json(F.lit(json.dumps(row)), kinds)
+
+    def rank(self, t: Column, word: Column, start: Column, end: Column) -> Column:
+        """Rank of the piece that word's bytes from start (from 0) up to end are; null if they are none. t: the literal."""
+
+        def of(piece: Column) -> Column:
+            h = F.xxhash64(piece)
+            move = F.get(t["moves"], F.shiftrightunsigned(h, 44).bitwiseAND(F.lit(self.buckets - 1)).cast("int"))
+            at = F.shiftrightunsigned(h, self.shift).bitwiseAND(F.lit(self.slots - 1)).cast("int").bitwiseXOR(move)
+            return bind(at, lambda slot: F.when(F.get(t["names"], slot) == piece, F.get(t["ranks"], slot)))
+
+        return bind(F.substr(word, start + 1, end - start), of)
 
 
 def _bounds(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -181,64 +147,51 @@ def check_order(ranks: dict[bytes, int]) -> None:
             raise ValueError(f"the rank of {piece!r} doesn't follow its merges")
 
 
-def fold_pairs(word: Column, tables: RankTables) -> Column:
+def fold_pairs(word: Column, ranks: RankMap, t: Column) -> Column:
     """Ids of a short word of at least one byte: merges of the leftmost pair of the least rank."""
     size = F.octet_length(word)
-    high = ID_BITS + PLACE_BITS
-    ids, places, none = F.lit((1 << ID_BITS) - 1), F.lit((1 << high) - (1 << ID_BITS)), F.lit(NO_RANK << high)
+    none = F.lit(NO_RANK << PLACE_BITS)
 
-    def rank(left: Column, right: Column) -> Column:
-        """The pair's rank, at its place in a piece's number."""
+    def place(s: Column, k: Column) -> Column:
+        """Where piece k (from 0) starts; the word's end after the last piece."""
+        return F.coalesce(F.get(s, k).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int"), size)
 
-        def of(key: Column) -> Column:
-            found = bind(
-                F.get(tables.pairs, tables.pair_slots.at(key)),
-                lambda e: F.when(F.shiftright(e, ID_BITS) == key, F.shiftleft(e.bitwiseAND(ids), high)).otherwise(none),
-            )
-            return F.when(key.isNull(), none).otherwise(found)
-
-        return bind(F.shiftleft(left, ID_BITS) + right, of)
-
-    def first(i: Column) -> Column:
-        two = F.shiftright(F.crc32(F.substr(word, i, F.lit(2))), tables.two_bit).bitwiseAND(F.lit(65535))
-        one = F.shiftright(F.crc32(F.substr(word, i, F.lit(1))), tables.one_bit).bitwiseAND(F.lit(255))
-        number = F.when(i < size, F.get(tables.two, two.cast("int"))).otherwise(F.get(tables.one, one.cast("int")))
-        return number + F.shiftleft(i.cast("long"), ID_BITS)
+    def number(start: Column, end: Column) -> Column:
+        """A piece's number, with the pair that ends at end; a null end is no pair."""
+        return F.coalesce(F.shiftleft(ranks.rank(t, word, start, end), PLACE_BITS), none) + start
 
     def step(s: Column, _: Column) -> Column:
         def at_least(least: Column) -> Column:
             def merge(k: Column) -> Column:
-                own, left, right = F.shiftright(least, high), F.get(s, k - 2), F.get(s, k + 1)
-                merged = rank(own, right.bitwiseAND(ids)) + least.bitwiseAND(places) + own
-                before = rank(left.bitwiseAND(ids), own) + left.bitwiseAND(places + ids)
+                # k counts from 1: the pair is the pieces k - 1 and k from 0.
+                start, end, last = place(s, k - 1), place(s, k + 1), place(s, k + 2)
+                merged = number(start, F.when(end < size, last))
                 after = F.slice(s, k + 2, size)
-                return F.when(k > 1, F.concat(F.slice(s, F.lit(1), k - 2), F.array(before, merged), after)).otherwise(F.concat(F.array(merged), after))
+                before = F.concat(F.slice(s, F.lit(1), k - 2), F.array(number(place(s, k - 2), end), merged), after)
+                return F.when(k > 1, before).otherwise(F.concat(F.array(merged), after))
 
             return F.when(least < none, bind(F.array_position(s, least).cast("int"), merge)).otherwise(s)
 
         return bind(F.array_min(s), at_least)
 
-    turns = F.sequence(F.lit(1), size)
-    return F.transform(F.aggregate(turns, F.transform(turns, first), step), lambda e: e.bitwiseAND(ids).cast("int"))
+    turns = F.sequence(F.lit(0), size - 1)
+    start = F.transform(turns, lambda i: number(i, F.when(i + 1 < size, i + 2)))
+    return bind(F.aggregate(turns, start, step), lambda s: F.transform(s, lambda _, k: ranks.rank(t, word, place(s, k), place(s, k + 1)).cast("int")))
 
 
-def fold_candidates(word: Column, tables: RankTables) -> Column:
+def fold_candidates(word: Column, ranks: RankMap, t: Column) -> Column:
     """Ids of a word of at least one byte: one pass over its candidates in the order of rank, then place."""
     size = F.octet_length(word)
     zeros, one = F.lit("0" * (1 << LENGTH_BITS)).cast("binary"), F.lit("1").cast("binary")
 
-    def rank(piece: Column) -> Column:
-        at = tables.piece_slots.at(piece)
-        return F.when(F.get(tables.names, at) == piece, F.get(tables.ranks, at))
-
     def candidates_at(i: Column) -> Column:
         start = F.crc32(F.substr(word, i + 1, F.lit(3))).bitwiseAND(F.lit(STARTS - 1)).cast("int")
 
         def candidate(n: Column) -> Column:
-            own = bind(F.substr(word, i + 1, n), lambda p: F.shiftleft(rank(p), LENGTH_BITS + START_BITS))
-            return F.when(i + n <= size, own + F.shiftleft(i.cast("long"), LENGTH_BITS) + n)
+            number = F.shiftleft(ranks.rank(t, word, i, i + n), LENGTH_BITS + START_BITS)
+            return F.when(i + n <= size, number + F.shiftleft(i.cast("long"), LENGTH_BITS) + n)
 
-        return F.array_compact(F.transform(F.get(tables.sets, F.get(tables.starts, start)), candidate))
+        return F.array_compact(F.transform(F.get(t["sets"], F.get(t["starts"], start)), candidate))
 
     def step(marks: Column, c: Column) -> Column:
         n = c.bitwiseAND(F.lit((1 << LENGTH_BITS) - 1)).cast("int")
@@ -249,21 +202,19 @@ def fold_candidates(word: Column, tables: RankTables) -> Column:
 
     def ids(marks: Column) -> Column:
         on = F.filter(F.sequence(F.lit(0), size), lambda k: F.substr(marks, k + 1, F.lit(1)) == one)
-        return bind(
-            on, lambda at: F.transform(F.slice(at, F.lit(1), F.size(at) - 1), lambda a, k: rank(F.substr(word, a + 1, F.get(at, k + 1) - a)).cast("int"))
-        )
+        return bind(on, lambda at: F.transform(F.slice(at, F.lit(1), F.size(at) - 1), lambda a, k: ranks.rank(t, word, a, F.get(at, k + 1)).cast("int")))
 
     found = F.sort_array(F.flatten(F.transform(F.sequence(F.lit(0), size - 1), candidates_at)))
     return bind(F.aggregate(found, F.repeat(F.lit("1"), size + 1).cast("binary"), step), ids)
 
 
-def fold_merges(word: Column, tables: RankTables) -> Column:
-    """Ids, as array<int>, of a word given as binary; none of an empty one."""
+def fold_merges(word: Column, ranks: RankMap, t: Column) -> Column:
+    """Ids, as array<int>, of a word given as binary; none of an empty one. t: the map's literal, bound once."""
     size = F.octet_length(word)
     ids = F.when(size == 0, F.array().cast("array<int>"))
-    for piece, rank in tables.apart:
+    for piece, rank in ranks.apart:
         ids = ids.when(word == F.lit(piece), F.array(F.lit(rank)))
-    return ids.when(size <= SHORT, fold_pairs(word, tables)).otherwise(fold_candidates(word, tables))
+    return ids.when(size <= SHORT, fold_pairs(word, ranks, t)).otherwise(fold_candidates(word, ranks, t))
 
 
 def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
@@ -285,11 +236,10 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int, finish: Callable, schema: str) -> DataFrame:
     """finish(doc_ids, ids, bounds) of every batch of rows; the ids of its row k are ids[bounds[k] : bounds[k + 1]]."""
     spark = prepare(docs.sparkSession)
-    check_order(ranks)
-    tables = RankTables(ranks)
+    rank_map = RankMap(ranks)
     top, _ = most_frequent(settle(word_counts(docs, pattern), "words"), frequent)
     spread = top.select("word").repartition(2 * spark.sparkContext.defaultParallelism)
-    coded = spread.withColumn("ids", fold_merges(F.col("word").cast("binary"), tables))
+    coded = spread.withColumn("ids", bind(rank_map.literal, lambda t: fold_merges(F.col("word").cast("binary"), rank_map, t)))
     # A task's words stand in one blob, in the order of the blobs' codes.
     shared = spark.sparkContext.broadcast(collect_blobs(coded))
 
@@ -316,7 +266,7 @@ def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: i
     looked = docs.select("doc_id", words_of(F.col("text"), pattern).alias("words")).mapInArrow(
         look_up, "doc_ids array<long>, sizes array<int>, codes binary, rare array<string>"
     )
-    folded = looked.withColumn("rare", F.transform("rare", lambda w: fold_merges(w.cast("binary"), tables)))
+    folded = looked.withColumn("rare", bind(rank_map.literal, lambda t: F.transform("rare", lambda w: fold_merges(w.cast("binary"), rank_map, t))))
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = read_blobs(shared.value)
