@@ -10,8 +10,11 @@ A segment is one binary value::
     padded to 8, the bitmap as ceil(n / 64) uint64 words and the rank directory as as many uint32 counts, padded.
 
 Segments are rows of a Parquet table (segment's place, first token's offset, payload), so any store that Spark
-writes holds them. Defined cases: null and empty texts give the end id alone; an empty table writes no segment;
-rows with equal doc_id follow one another in any order; extra columns are ignored; a null doc_id sorts first.
+writes holds them. ``read_documents`` reads whole documents back, ``read_tokens`` single tokens by their places.
+
+Defined cases: null and empty texts give the end id alone; an empty table writes no segment; rows with equal doc_id
+follow one another in the order of the table read; a null doc_id sorts first; texts may have any length, a document of
+over SEGMENT_IDS ids is a segment of its own; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,11 +22,15 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import collect_blobs, most_frequent, prepare, read_blobs, settle
@@ -34,6 +41,9 @@ END_ID = 2
 #: Ids of a segment at most, but for a longer single document, which is a segment of its own.
 SEGMENT_IDS = 1 << 16
 FREQUENT = 1 << 18
+#: Bytes of text of a range of the exchange, on average.
+RANGE_BYTES = 32 << 20
+SEGMENT_COLUMNS = ["part", "segment", "first", "doc_ids", "counts", "payload"]
 
 
 def _padded(data: bytes) -> bytes:
@@ -111,200 +121,164 @@ class Segment:
         return out
 
 
-def _tokenizer(tokenizer_json: str):
+@lru_cache(maxsize=2)
+def _tokenizer(tokenizer_json: str, special_as_text: bool):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_str(tokenizer_json)
-    tok.encode_special_tokens = True
+    tok.encode_special_tokens = special_as_text
     return tok
 
 
-class WordEncoder:
-    """Ids of words by the tokenizer, each word apart.
-
-    Words of ASCII letters alone go through it many at a time, parted by blanks; the tokens that end a word tell
-    where each one's ids stop. Other words of ASCII are cut where letters meet marks, as the tokenizer's own pattern
-    does; an apostrophe stays with letters, since the pattern joins some of them.
-    """
-
-    def __init__(self, tokenizer_json: str, dtype: str):
-        self.tok, self.dtype = _tokenizer(tokenizer_json), dtype
-        vocab = self.tok.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-        self.cut = re.compile(rb"[a-z]+|[^a-z]+").findall
-        self.plain = re.compile(rb"[a-z]+").fullmatch
-
-    def _joined(self, words: list[bytes]) -> list[bytes]:
-        out: list[bytes] = []
-        for k in range(0, len(words), 500):
-            part = words[k : k + 500]
-            ids = np.array(self.tok.encode(b" ".join(part).decode(), add_special_tokens=False).ids, np.int64)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(part) or (len(ids) and stops[-1] != len(ids)):
-                out += self._apart(part)
-                continue
-            data, at = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
-            bounds = [0, *(stops * at).tolist()]
-            out += [data[i:j] for i, j in zip(bounds, bounds[1:])]
-        return out
-
-    def _apart(self, words: list[bytes]) -> list[bytes]:
-        out = []
-        for k in range(0, len(words), 1024):
-            found = self.tok.encode_batch([w.decode() for w in words[k : k + 1024]], add_special_tokens=False)
-            out += [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
-        return out
-
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        """Ids, as bytes, of distinct lower-case words without ASCII white space."""
-        parts = {w: self.cut(w) if w.isascii() and b"'" not in w else [w] for w in words}
-        each = list({p for x in parts.values() for p in x})
-        plain = [p for p in each if self.plain(p)]
-        other = [p for p in each if not self.plain(p)]
-        ids = dict(zip(plain, self._joined(plain))) | dict(zip(other, self._apart(other)))
-        return [b"".join([ids[p] for p in parts[w]]) for w in words]
-
-
-def _words(texts: pa.Array) -> pa.ListArray:
-    """Lower-case words between ASCII white space; none for null."""
-    import pyarrow.compute as pc
+#: Letters before marks of ASCII, no apostrophe, at a word's end; nothing that is normalised or kept together spans the cut.
+_TAIL = re.compile(r"(.*[^\W\d_])([!-&(-/:-@\[-`{-~]+)", re.S)
 
-    return pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
 
+def encode_words(tok, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words one after another, and each word's number of them. A word and its closing marks go apart."""
+    parts = [m.groups() if (m := _TAIL.fullmatch(w)) and "<|" not in w else (w,) for w in words]
+    place: dict[str, int] = {}
+    at = [[place.setdefault(x, len(place)) for x in p] for p in parts]
+    each = list(place)
+    found = [e.ids for k in range(0, len(each), 1024) for e in tok.encode_batch_fast(each[k : k + 1024], add_special_tokens=False)]
+    joined = [[i for x in p for i in found[x]] for p in at]
+    sizes = np.fromiter(map(len, joined), np.int64, len(joined))
+    return np.fromiter(chain.from_iterable(joined), np.uint32, int(sizes.sum())), sizes
 
-def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Values of the lists at place, one after another, and each list's size."""
-    n = sizes[place]
-    ends = np.cumsum(n)
-    return values[np.repeat(starts[place] - ends + n, n) + np.arange(int(n.sum()))], n
 
+def text_encoder(tok, known: pa.Table | None):
+    """Function from an array of texts to their ids, one after another, and the bounds of each text's.
 
-def text_encoder(encoder: WordEncoder, known: pa.Table | None):
-    """Function from an array of texts to the bytes of each one's ids.
-
-    Words end at ASCII white space and are lower-cased. Right for tokenizers whose tokens never cross it and whose
-    normaliser lower-cases and treats what lies between apart, as here: other white space stays inside a word, for
-    the tokenizer to handle. known: word and ids of frequent words; others are encoded once a batch.
+    Words end at ASCII white space and are lower-cased in ASCII, but for texts that may hold a special token. Right for
+    tokenizers whose tokens never cross white space and whose normaliser lower-cases and treats what lies between apart,
+    as here: other white space stays inside a word, for the tokenizer to handle. known: word and ids of frequent words;
+    others are encoded once a batch.
     """
     import pyarrow.compute as pc
 
-    width = np.dtype(encoder.dtype).itemsize
-    names = known["word"].combine_chunks().cast(pa.string()) if known else pa.array([], pa.string())
+    names = known["word"].combine_chunks() if known else pa.array([], pa.string())
     held = known["ids"].combine_chunks() if known else pa.array([], pa.binary())
-    known_sizes = pc.binary_length(held).to_numpy(zero_copy_only=False).astype(np.int64) // width
-    known_values = np.frombuffer(b"".join(held.to_pylist()), encoder.dtype)
+    known_sizes = pc.binary_length(held).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+    known_values = np.frombuffer(b"".join(held.to_pylist()), np.uint32)
 
-    def run(texts: pa.Array) -> list[bytes]:
-        split = _words(texts)
+    def run(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = pc.fill_null(texts, "")
+        split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
         flat = split.flatten()
         at = pc.index_in(flat, value_set=names)
-        missing = flat.filter(pc.is_null(at)).unique()
-        fresh = encoder.encode([w.encode() for w in missing.to_pylist()])
-        place = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        if len(missing):
-            place[place < 0] = len(names) + pc.index_in(flat.filter(pc.is_null(at)), value_set=missing).to_numpy(zero_copy_only=False)
-        sizes = np.concatenate([known_sizes, np.array([len(x) // width for x in fresh], np.int64)])
-        values = np.concatenate([known_values, np.frombuffer(b"".join(fresh), encoder.dtype)])
-        ids, n = _gather(values, np.cumsum(sizes) - sizes, sizes, place)
-        before = np.concatenate([[0], np.cumsum(n)])
-        bounds = before[np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False))])] * width
-        whole = ids.tobytes()
-        return [whole[i:j] for i, j in zip(bounds.tolist(), bounds[1:].tolist())]
+        missing = flat.filter(pc.is_null(at))
+        rare = missing.unique()
+        values, sizes = encode_words(tok, rare.to_pylist())
+        place = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        place[pc.is_null(at).to_numpy(zero_copy_only=False)] = len(names) + pc.index_in(missing, value_set=rare).to_numpy(zero_copy_only=False)
+        sizes, values = np.concatenate([known_sizes, sizes]), np.concatenate([known_values, values])
+        starts, n = np.cumsum(sizes) - sizes, sizes[place]
+        ends = np.cumsum(n)
+        ids = values[np.repeat(starts[place] - ends + n, n) + np.arange(int(n.sum()))]
+        return ids, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False))])]
 
     return run
 
 
 def write_segments(
-    docs: DataFrame, path: str, tokenizer_json: str, id_type: str = "<u2", segment_ids: int = SEGMENT_IDS, frequent: int = FREQUENT
-) -> None:
+    docs: DataFrame, path: str, tokenizer_json: str, end_id: int = END_ID, segment_ids: int = SEGMENT_IDS, frequent: int = FREQUENT,
+    range_bytes: int = RANGE_BYTES, special_as_text: bool = False,
+) -> None:
     """Encode docs in ascending doc_id order and write their segments to path.
 
-    The ``frequent`` most frequent words are encoded once and broadcast, a table of so many rows at most. The texts'
-    ids, as id_type (two bytes for vocabularies of up to 65,536), are exchanged once by ranges of doc_id, whose
-    bounds are quantiles of doc_id alone; each range writes its segments.
-    """
+    The ``frequent`` most frequent words are encoded once and broadcast, a table of so many rows at most. Rows are
+    exchanged once, by ranges of (doc_id, row), so that a doc_id of many rows is dealt to several ranges; each range
+    encodes its texts and writes its segments. special_as_text: names of special tokens in a text are plain text.
+    """
     spark = prepare(docs.sparkSession)
     shared_json = spark.sparkContext.broadcast(tokenizer_json)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(shared_json.value, id_type)
+        tok = _tokenizer(shared_json.value, special_as_text)
         for batch in batches:
-            found = encoder.encode(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["word", "ids"])
+            ids, sizes = encode_words(tok, batch.column(0).to_pylist())
+            data, ends = ids.tobytes(), (4 * np.cumsum(sizes)).tolist()
+            own = [data[i:j] for i, j in zip([0, *ends], ends)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["word", "ids"])
 
     top, _ = most_frequent(settle(word_counts(docs.select("text")), "words"), frequent)
-    top = top.select("word")
-    coded = top.repartition(2 * spark.sparkContext.defaultParallelism).mapInArrow(words, "word binary, ids binary")
-    shared = spark.sparkContext.broadcast(collect_blobs(coded))
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = text_encoder(WordEncoder(shared_json.value, id_type), read_blobs(shared.value))
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(run(batch.column(1)), pa.binary()), batch.column(2)], ["doc_id", "ids", "part"])
-        del run
-        pa.default_memory_pool().release_unused()
-
-    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted(set(map(int, docs.select("doc_id").approxQuantile("doc_id", [k / count for k in range(1, count)], 0.2 / count))))
-    part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.lit(0) if not bounds else _place(F.col("doc_id"), bounds))
-    ids = docs.select("doc_id", "text", part.cast("int").alias("part"))
-    ids = ids.mapInArrow(tokens, "doc_id long, ids binary, part int")
-    ranged = ids.repartition(count, "part").sortWithinPartitions("part", "doc_id")
+    spread = top.select(F.col("word").cast("string").alias("word")).repartition(2 * spark.sparkContext.defaultParallelism)
+    shared = spark.sparkContext.broadcast(collect_blobs(spread.mapInArrow(words, "word string, ids binary")))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["part", "segment", "first", "doc_ids", "counts", "payload"]
-        held, docs_, counts, first, number, part, size = [], [], [], 0, 0, 0, 0
+        run = text_encoder(_tokenizer(shared_json.value, special_as_text), read_blobs(shared.value))
+        part, number, first, size = TaskContext.get().partitionId(), 0, 0, 0
+        held: list[np.ndarray] = []
+        names: list[int | None] = []
+        kinds = pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()
 
-        def flush():
-            payload = encode(np.concatenate(held))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([first], pa.int64()), pa.array([docs_], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([payload], pa.binary())],
-                names,
-            )
+        def flush() -> pa.RecordBatch:
+            row = part, number, first, names, [len(x) for x in held], encode(np.concatenate(held))
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], SEGMENT_COLUMNS)
 
         for batch in batches:
-            for doc, data, p in zip(*(c.to_pylist() for c in batch.columns)):
-                own = np.append(np.frombuffer(data, id_type), np.array(END_ID, id_type))
-                if held and (p != part or size + len(own) > segment_ids):
+            ids, bounds = run(batch.column(1))
+            bounds = bounds.tolist()
+            for doc, i, j in zip(batch.column(0).to_pylist(), bounds, bounds[1:]):
+                if held and size + j - i + 1 > segment_ids:
                     yield flush()
-                    first, number = (first + size, number + 1) if p == part else (0, 0)
-                    held, docs_, counts, size = [], [], [], 0
-                part = p
-                held.append(own)
-                docs_.append(doc)
-                counts.append(len(own))
-                size += len(own)
+                    number, first, size, held, names = number + 1, first + size, 0, [], []
+                held.append(np.append(ids[i:j], np.uint32(end_id)))
+                names.append(doc)
+                size += j - i + 1
+            del ids
+            pa.default_memory_pool().release_unused()
         if held:
             yield flush()
 
-    packed = ranged.mapInArrow(pack, "part int, segment int, first long, doc_ids array<long>, counts array<long>, payload binary")
+    total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    count = max(spark.sparkContext.defaultParallelism, -(-total // range_bytes))
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    ranged = rows.repartitionByRange(count, F.asc_nulls_first("doc_id"), "row").sortWithinPartitions(F.asc_nulls_first("doc_id"), "row")
+    packed = ranged.select("doc_id", "text").mapInArrow(
+        pack, "part int, segment int, first long, doc_ids array<long>, counts array<long>, payload binary"
+    )
     packed.write.parquet(path)
 
 
-def _place(value: Column, bounds: list[int]) -> Column:
-    """Number of bounds at or below value, by a balanced tree of comparisons."""
+def _parts(files: DataFrame) -> list[tuple[int, int]]:
+    """Part and its first token's place, in order: one pair for each range of the exchange."""
+    sizes = files.select("part", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
+    total, out = 0, []
+    for row in sizes.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
+        out.append((row["part"], total))
+        total += row["n"]
+    return out
+
+
+def read_tokens(spark, path: str, places: DataFrame, segment_ids: int = SEGMENT_IDS) -> DataFrame:
+    """place, token_id for rows of place, a token's number in the whole table from 0; none for places beyond it.
 
-    def within(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(value < bounds[mid], within(low, mid)).otherwise(within(mid + 1, high))
+    A place meets its segment by the stretches of segment_ids tokens that the segment touches; of a segment, only the
+    chunks of the asked tokens are looked at.
+    """
+    prepare(spark)
+    files = spark.read.parquet(path)
+    base = spark.createDataFrame(_parts(files), "part int, base long")
+    size = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
+    index = files.select("part", "segment", "first", size.alias("n")).join(base, "part").select("part", "segment", (F.col("base") + F.col("first")).alias("start"), "n")
+    stretch = F.explode(F.sequence(F.floor(F.col("start") / segment_ids), F.floor((F.col("start") + F.col("n") - 1) / segment_ids)))
+    asked = places.select(F.col("place").cast("long").alias("place")).withColumn("stretch", F.floor(F.col("place") / segment_ids))
+    met = asked.join(index.withColumn("stretch", stretch), "stretch").where("place >= start and place < start + n")
+    found = met.select("part", "segment", "place", (F.col("place") - F.col("start")).alias("at")).join(files.select("part", "segment", "payload"), ["part", "segment"])
+
+    def get(payloads: pd.Series, at: pd.Series) -> pd.Series:
+        return pd.Series([Segment(p)[i] for p, i in zip(payloads, at)], dtype="int64")
 
-    return within(0, len(bounds))
+    return found.select("place", F.pandas_udf(get, "long")("payload", "at").alias("token_id"))
 
 
 def read_documents(spark, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the segments under path alone."""
     prepare(spark)
     files = spark.read.parquet(path)
-    sizes = files.select("part", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
-    total, base = 0, {}
-    # One number for each range of the exchange.
-    for row in sizes.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
-        base[row["part"]] = total
-        total += row["n"]
+    base = dict(_parts(files))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -34,8 +34,6 @@ from .common import collect_blobs, crc_of_id, most_frequent, prepare, read_blobs
 
 CLASSES = 2048
 FREQUENT = 1 << 18
-#: Distinct words that a task counts before it passes them on.
-COUNTED_WORDS = 200_000
 SIZE = 24
 END, OTHER = 0, CLASSES + 1
 _N = CLASSES + 2
@@ -94,24 +92,19 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def word_counts(train_docs: DataFrame) -> DataFrame:
-    """word (binary), n over all training texts; the end tokens aside."""
+    """word (binary), n over all training texts; the end tokens aside. Each batch of texts is counted before the exchange."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+        import pyarrow.compute as pc
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found.update(words_of(text))
-            if len(found) > COUNTED_WORDS:
-                yield out()
-                found.clear()
-        yield out()
+            words = pc.ascii_split_whitespace(pc.ascii_lower(batch.column(0))).flatten()
+            found = words.filter(pc.not_equal(words, "")).value_counts()
+            yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.binary()), found.field("counts")], ["word", "n"])
+            del words, found
+            pa.default_memory_pool().release_unused()
 
-    texts = train_docs.select(F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return train_docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def pair_counts(train_docs: DataFrame, classes: list[bytes]) -> np.ndarray:
