@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import settle, shared_dir
 
-__all__ = ["bind", "collect_blobs", "components", "crc_of_id", "most_frequent", "prepare", "read_blobs", "settle", "shared_dir"]
+__all__ = ["WordIndex", "bind", "collect_blobs", "components", "crc_of_id", "most_frequent", "prepare", "read_blobs", "settle", "shared_dir"]
 
 #: Rows and bytes of an Arrow batch; a longer row is a batch of its own.
-BATCH_ROWS, BATCH_BYTES = 2048, "8m"
+BATCH_ROWS, BATCH_BYTES = 2048, "3m"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -70,6 +70,37 @@ def read_blobs(blobs: list[bytes]):
     return pa.concat_tables(tables).combine_chunks() if tables else None
 
 
+class WordIndex:
+    """Places of words in an array of names: sorted hashes, and a comparison of what they lead to."""
+
+    def __init__(self, names):
+        import numpy as np
+
+        self.names = names
+        hashes = self._hashes(names)
+        self.order = np.argsort(hashes).astype(np.int32)
+        self.hashes = hashes[self.order]
+
+    @staticmethod
+    def _hashes(words):
+        import pandas as pd
+
+        return pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False)
+
+    def places(self, words):
+        """Place of each of an array's words, -1 for others; of names with the same hash one is found."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not len(self.names) or not len(words):
+            return np.full(len(words), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, self._hashes(words)), len(self.hashes) - 1)
+        found = self.order[at].astype(np.int64)
+        same = pc.equal(self.names.take(pa.array(found)), words).to_numpy(zero_copy_only=False)
+        return np.where(same, found, -1)
+
+
 def crc_of_id(doc_id: Column | str) -> Column:
     """Unsigned CRC-32 of the id's decimal text (null id: of the empty text)."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

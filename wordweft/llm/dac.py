@@ -33,14 +33,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import collect_blobs, most_frequent, prepare, read_blobs, settle
+from .common import WordIndex, collect_blobs, most_frequent, prepare, read_blobs, settle
 from .lbl import word_counts
 
 MAGIC = b"DAC1"
 END_ID = 2
 #: Ids of a segment at most, but for a longer single document, which is a segment of its own.
 SEGMENT_IDS = 1 << 16
-FREQUENT = 1 << 18
+FREQUENT = 1 << 19
 #: Bytes of text of a range of the exchange, on average.
 RANGE_BYTES = 32 << 20
 SEGMENT_COLUMNS = ["part", "segment", "first", "doc_ids", "counts", "payload"]
@@ -136,15 +136,19 @@ _TAIL = re.compile(r"(.*[^\W\d_])([!-&(-/:-@\[-`{-~]+)", re.S)
 
 
 def encode_words(tok, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of words one after another, and each word's number of them. A word and its closing marks go apart."""
-    parts = [m.groups() if (m := _TAIL.fullmatch(w)) and "<|" not in w else (w,) for w in words]
-    place: dict[str, int] = {}
-    at = [[place.setdefault(x, len(place)) for x in p] for p in parts]
-    each = list(place)
-    found = [e.ids for k in range(0, len(each), 1024) for e in tok.encode_batch_fast(each[k : k + 1024], add_special_tokens=False)]
-    joined = [[i for x in p for i in found[x]] for p in at]
-    sizes = np.fromiter(map(len, joined), np.int64, len(joined))
-    return np.fromiter(chain.from_iterable(joined), np.uint32, int(sizes.sum())), sizes
+    """Ids of words one after another, and each word's number of them."""
+    found = [e.ids for k in range(0, len(words), 1024) for e in tok.encode_batch_fast(words[k : k + 1024], add_special_tokens=False)]
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+
+def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of the lists at place, one after another, and each list's size."""
+    n = sizes[place]
+    ends = np.cumsum(n)
+    spots = np.repeat(starts[place] - ends + n, n)
+    spots += np.arange(len(spots))
+    return values[spots], n
 
 
 def text_encoder(tok, known: pa.Table | None):
@@ -152,8 +156,8 @@ def text_encoder(tok, known: pa.Table | None):
 
     Words end at ASCII white space and are lower-cased in ASCII, but for texts that may hold a special token. Right for
     tokenizers whose tokens never cross white space and whose normaliser lower-cases and treats what lies between apart,
-    as here: other white space stays inside a word, for the tokenizer to handle. known: word and ids of frequent words;
-    others are encoded once a batch.
+    as here: other white space stays inside a word, for the tokenizer to handle. known: word and ids of frequent words.
+    Another word and its closing marks are looked up apart, and what is not known is encoded once a batch.
     """
     import pyarrow.compute as pc
 
@@ -161,22 +165,37 @@ def text_encoder(tok, known: pa.Table | None):
     held = known["ids"].combine_chunks() if known else pa.array([], pa.binary())
     known_sizes = pc.binary_length(held).to_numpy(zero_copy_only=False).astype(np.int64) // 4
     known_values = np.frombuffer(b"".join(held.to_pylist()), np.uint32)
+    known_starts = np.cumsum(known_sizes) - known_sizes
+    index = WordIndex(names)
+    del known, held
+
+    def rare_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [m.groups() if "<|" not in w and (m := _TAIL.fullmatch(w)) else (w,) for w in words]
+        place: dict[str, int] = {}
+        at = np.fromiter((place.setdefault(x, len(place)) for p in parts for x in p), np.int64)
+        each = pa.array(list(place), pa.string())
+        spot = index.places(each)
+        new = spot < 0
+        values, sizes = encode_words(tok, each.filter(pa.array(new)).to_pylist())
+        spot[new] = len(names) + np.arange(int(new.sum()))
+        starts = np.concatenate([known_starts, len(known_values) + np.cumsum(sizes) - sizes])
+        ids, n = gather(np.concatenate([known_values, values]), starts, np.concatenate([known_sizes, sizes]), spot[at])
+        bounds = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(list(map(len, parts)), dtype=np.int64)])]
+        return ids, np.diff(bounds)
 
     def run(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts, "")
         split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
-        flat = split.flatten()
-        at = pc.index_in(flat, value_set=names)
-        missing = flat.filter(pc.is_null(at))
-        rare = missing.unique()
-        values, sizes = encode_words(tok, rare.to_pylist())
-        place = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        place[pc.is_null(at).to_numpy(zero_copy_only=False)] = len(names) + pc.index_in(missing, value_set=rare).to_numpy(zero_copy_only=False)
-        sizes, values = np.concatenate([known_sizes, sizes]), np.concatenate([known_values, values])
-        starts, n = np.cumsum(sizes) - sizes, sizes[place]
-        ends = np.cumsum(n)
-        ids = values[np.repeat(starts[place] - ends + n, n) + np.arange(int(n.sum()))]
-        return ids, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False))])]
+        flat = split.flatten().dictionary_encode()
+        spot = index.places(flat.dictionary)
+        new = spot < 0
+        values, sizes = rare_words(flat.dictionary.filter(pa.array(new)).to_pylist())
+        spot[new] = len(names) + np.arange(int(new.sum()))
+        place = spot[flat.indices.to_numpy(zero_copy_only=False)]
+        del flat
+        starts = np.concatenate([known_starts, len(known_values) + np.cumsum(sizes) - sizes])
+        ids, n = gather(np.concatenate([known_values, values]), starts, np.concatenate([known_sizes, sizes]), place)
+        return ids, np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False))])]
 
     return run
 
