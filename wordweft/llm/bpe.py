@@ -5,9 +5,9 @@ ids. The rank map is a literal of the plan: pieces and ranks in slots that a has
 lookup is one comparison whatever the vocabulary's size. It stands once in an expression, since the driver writes plans
 out as text, literals and all.
 
-* Words of up to SHORT bytes: the fold's state is the pieces, each a number made of its rank with the next piece and of
-  its place, so that the least number is the leftmost pair of the least rank. A step merges it and looks up the two pairs
-  that this makes.
+* Words of up to SHORT bytes: the fold's state is the pieces, each a number made of its rank with the next piece, its
+  place and its id, so that the least number is the leftmost pair of the least rank. A step merges it and looks up the two
+  pairs that this makes.
 * Longer words, where such a step would copy many pieces: the fold goes over the word's candidates, which are all runs of
   its bytes that are pieces, in the order of rank, then place. Its state are the marks of the pieces' bounds, a byte each;
   a candidate that now is exactly two pieces becomes one. ``check_order`` makes sure that this gives the same merges.
@@ -34,12 +34,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bind, collect_blobs, most_frequent, prepare, read_blobs, settle
+from .common import WordIndex, bind, collect_blobs, most_frequent, prepare, read_blobs, settle
 
 FREQUENT = 1 << 19
 SHORT = 64
-#: A piece's number in the fold of short words: rank with the next piece, place. No pair has the rank NO_RANK.
-PLACE_BITS, NO_RANK = 32, 1 << 22
+#: A piece's number in the fold of short words: rank with the next piece, place, id. No pair has the rank NO_RANK, which
+#: as an id stands for a byte that was never merged.
+PLACE_BITS, ID_BITS, NO_RANK = 8, 22, (1 << 22) - 1
 #: A candidate's number in the fold of long words: rank, place, length.
 LENGTH_BITS, START_BITS = 8, 32
 #: Slots of the table of piece lengths by the first three bytes.
@@ -107,8 +108,14 @@ class RankMap:
         by_start = [sets.setdefault(tuple(sorted(x)), len(sets)) for x in starts]
         #: Pieces that merges of their bytes don't lead to, and their ids.
         self.apart = [(p, ranks[p]) for p in pieces if len(_bounds(p, ranks)) > 2]
-        row = {"names": names, "ranks": numbers, "moves": moves, "starts": by_start, "sets": list(sets)}
-        kinds = "struct<names:array<binary>,ranks:array<bigint>,moves:array<int>,starts:array<int>,sets:array<array<int>>>"
+        # Ranks of two bytes, by bits of their CRC that tell all of them apart.
+        both = [bytes([a, b]) for a in range(256) for b in range(256)]
+        self.window = next(s for s in range(17) if len({zlib.crc32(x) >> s & 65535 for x in both}) == 65536)
+        twos: list[int | None] = [None] * 65536
+        for x in both:
+            twos[zlib.crc32(x) >> self.window & 65535] = ranks.get(x)
+        row = {"names": names, "ranks": numbers, "moves": moves, "starts": by_start, "sets": list(sets), "twos": twos}
+        kinds = "struct<names:array<binary>,ranks:array<bigint>,moves:array<int>,starts:array<int>,sets:array<array<int>>,twos:array<bigint>>"
         self.literal = F.from_json(F.lit(json.dumps(row)), kinds)
 
     def rank(self, t: Column, word: Column, start: Column, end: Column) -> Column:
@@ -122,6 +129,10 @@ class RankMap:
 
         return bind(F.substr(word, start + 1, end - start), of)
 
+    def rank_of_two(self, t: Column, word: Column, start: Column) -> Column:
+        """Rank of two bytes from start (from 0) on."""
+        return F.get(t["twos"], F.shiftright(F.crc32(F.substr(word, start + 1, F.lit(2))), self.window).bitwiseAND(F.lit(65535)).cast("int"))
+
 
 def _bounds(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Bounds of a short word's pieces by one pass over its candidates."""
@@ -150,33 +161,51 @@ def check_order(ranks: dict[bytes, int]) -> None:
 def fold_pairs(word: Column, ranks: RankMap, t: Column) -> Column:
     """Ids of a short word of at least one byte: merges of the leftmost pair of the least rank."""
     size = F.octet_length(word)
-    none = F.lit(NO_RANK << PLACE_BITS)
+    low = PLACE_BITS + ID_BITS
+    none, ids = F.lit(NO_RANK << low), F.lit((1 << ID_BITS) - 1)
 
     def place(s: Column, k: Column) -> Column:
         """Where piece k (from 0) starts; the word's end after the last piece."""
-        return F.coalesce(F.get(s, k).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int"), size)
+        return F.coalesce(at_of(F.get(s, k)).cast("int"), size)
+
+    def at_of(piece: Column) -> Column:
+        return F.shiftright(piece, ID_BITS).bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
 
-    def number(start: Column, end: Column) -> Column:
-        """A piece's number, with the pair that ends at end; a null end is no pair."""
-        return F.coalesce(F.shiftleft(ranks.rank(t, word, start, end), PLACE_BITS), none) + start
+    def number(rank: Column, piece: Column) -> Column:
+        """A piece's number with another rank."""
+        return F.coalesce(F.shiftleft(rank, low), none) + piece.bitwiseAND(F.lit((1 << low) - 1))
 
     def step(s: Column, _: Column) -> Column:
         def at_least(least: Column) -> Column:
             def merge(k: Column) -> Column:
-                # k counts from 1: the pair is the pieces k - 1 and k from 0.
-                start, end, last = place(s, k - 1), place(s, k + 1), place(s, k + 2)
-                merged = number(start, F.when(end < size, last))
+                # The pair is the pieces k - 1 and k, counted from 0.
+                own, start, end = F.shiftright(least, low), at_of(least), place(s, k + 1)
+                right = F.when(end < size, ranks.rank(t, word, start.cast("int"), place(s, k + 2)))
+                merged = F.coalesce(F.shiftleft(right, low), none) + F.shiftleft(start, ID_BITS) + own
                 after = F.slice(s, k + 2, size)
-                before = F.concat(F.slice(s, F.lit(1), k - 2), F.array(number(place(s, k - 2), end), merged), after)
-                return F.when(k > 1, before).otherwise(F.concat(F.array(merged), after))
+                before = number(ranks.rank(t, word, place(s, k - 2), end), F.get(s, k - 2))
+                return F.when(k > 1, F.concat(F.slice(s, F.lit(1), k - 2), F.array(before, merged), after)).otherwise(F.concat(F.array(merged), after))
+
+            return F.when(least < none, having(s, F.array_position(s, least).cast("int"), merge)).otherwise(s)
+
+        return having(s, F.array_min(s), at_least)
 
-            return F.when(least < none, bind(F.array_position(s, least).cast("int"), merge)).otherwise(s)
+    def having(s: Column, value: Column, then) -> Column:
+        """then(value), a state, with value computed once; ``bind`` would copy the state."""
+        return F.aggregate(F.array(value), s, lambda _, x: then(x))
 
-        return bind(F.array_min(s), at_least)
+    def final(s: Column) -> Column:
+        def of(piece: Column, k: Column) -> Column:
+            own = piece.bitwiseAND(ids)
+            return F.when(own == NO_RANK, ranks.rank(t, word, place(s, k), place(s, k + 1))).otherwise(own).cast("int")
+
+        return F.transform(s, of)
 
     turns = F.sequence(F.lit(0), size - 1)
-    start = F.transform(turns, lambda i: number(i, F.when(i + 1 < size, i + 2)))
-    return bind(F.aggregate(turns, start, step), lambda s: F.transform(s, lambda _, k: ranks.rank(t, word, place(s, k), place(s, k + 1)).cast("int")))
+    start = F.transform(
+        turns, lambda i: F.coalesce(F.shiftleft(F.when(i + 1 < size, ranks.rank_of_two(t, word, i)), low), none) + F.shiftleft(i.cast("long"), ID_BITS) + NO_RANK
+    )
+    return bind(F.aggregate(turns, start, step), final)
 
 
 def fold_candidates(word: Column, ranks: RankMap, t: Column) -> Column:
@@ -244,23 +273,21 @@ def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: i
     shared = spark.sparkContext.broadcast(collect_blobs(coded))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute as pc
-
         known = read_blobs(shared.value)
-        names = known["word"].combine_chunks() if known else pa.array([], pa.string())
+        index = WordIndex(known["word"].combine_chunks() if known else pa.array([], pa.string()))
         del known
         for batch in batches:
             words = batch.column(1)
-            flat = words.flatten()
-            at = pc.index_in(flat, value_set=names)
-            missing = flat.filter(pc.is_null(at))
-            rare = missing.unique()
-            codes = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype("<u4")
-            codes[pc.is_null(at).to_numpy(zero_copy_only=False)] = len(names) + pc.index_in(missing, value_set=rare).to_numpy(zero_copy_only=False)
+            flat = words.flatten().dictionary_encode()
+            spot = index.places(flat.dictionary)
+            new = spot < 0
+            rare = flat.dictionary.filter(pa.array(new))
+            spot[new] = len(index.names) + np.arange(len(rare))
+            codes = spot[flat.indices.to_numpy(zero_copy_only=False)].astype("<u4")
             rows = [batch.column(0).to_pylist()], [words.value_lengths().to_pylist()], [codes.tobytes()], [rare.to_pylist()]
             kinds = pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], ["doc_ids", "sizes", "codes", "rare"])
-            del words, flat, at, missing, rare, codes, rows
+            del words, flat, rare, codes, rows
             pa.default_memory_pool().release_unused()
 
     looked = docs.select("doc_id", words_of(F.col("text"), pattern).alias("words")).mapInArrow(
