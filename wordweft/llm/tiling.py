@@ -1,76 +1,164 @@
 """Benchmark decontamination by greedy string tiling.
 
-Tokens are runs of letters, digits and non-ASCII characters in lower case. A text's windows of ``MATCH`` tokens are
-hashed the Karp-Rabin way and joined to the benchmark's windows; only what such seeds cover is tiled. Tiling marks the
-longest matches of text and item that don't overlap marked tokens, from long search lengths to short, so a passage
-whose sentences were put in another order is covered by several tiles. An item is found in a text if tiles cover at
-least ``COVERAGE`` of its tokens.
-
-The benchmark goes out in blocks of at most BLOCK_TOKENS tokens; each block is one pass over the texts.
-
-Defined cases: null and empty texts match nothing; items that are null or have fewer than MATCH tokens match nothing;
-equal items are found together; repeated rows are judged apart; a null doc_id is kept; other columns are ignored
-(``contaminated``) or kept (``keep_clean``).
+Tokens are runs of letters, marks and digits under full case folding; in scripts that are written without blanks each
+character is one. Windows of MATCH tokens are hashed the Karp-Rabin way and are the seeds: the benchmark's seeds are a
+table, a Bloom filter of it (of bounded size, FILTER_BITS) tells which windows of a text may be seeds, and only those are
+joined to the table. Each pair of text and item that shares enough seeds is tiled: matches of free tokens are marked from
+the longest on, search lengths going down by halves, so a passage whose sentences were put in another order is covered by
+several tiles. An item is found in a text if tiles cover at least ``COVERAGE`` of its tokens.
+
+Items of fewer than MATCH tokens are found where all their tokens stand one after another.
+
+Defined cases: null and empty texts match nothing, nor do items that are null or have no token; equal items are found
+together; repeated rows are judged apart; among equally long matches the first in the text, then in the item is marked;
+a null doc_id or item_id is kept; other columns are ignored (``contaminated``) or kept (``keep_clean``).
 """
 
 from __future__ import annotations
 
+import heapq
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import collect_blobs, prepare, read_blobs, settle
 
 MATCH = 5
 COVERAGE = 0.5
-BLOCK_TOKENS = 1 << 20
-TABLE = bytes(c if c >= 128 else ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(256))
+#: Bits of the Bloom filter for each seed, and at most.
+SEED_BITS, FILTER_BITS = 256, 1 << 28
+PROBES = 4
+#: Tokens whose numbers a worker remembers, and pairs of windows that are looked at together.
+REMEMBERED, PAIRS = 200_000, 1 << 20
+#: Lower case is folded before; other ASCII characters than letters and digits become blanks.
+TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-FOUND = "array<struct<item_id:bigint,tiled:int,longest:int,coverage:double>>"
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+@lru_cache(maxsize=1)
+def _patterns():
+    import regex
+
+    blankless = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+    odd = regex.compile(rf"[^\x00-\x7F\p{{L}}\p{{M}}\p{{N}}]|[{blankless}]")
+    word = regex.compile(rf"(?V1)[\p{{L}}\p{{N}}&&[{blankless}]]\p{{M}}*|[\p{{L}}\p{{M}}\p{{N}}--[{blankless}]]+")
+    return odd, word
+
 
+def tokens(text: str | None) -> list[bytes]:
+    low = (text or "").casefold()
+    odd, word = _patterns()
+    if odd.search(low):
+        return [w.encode() for w in word.findall(low)]
+    return low.encode().translate(TABLE).split()
 
-def tokens(text: bytes | None) -> list[bytes]:
-    return (text or b"").translate(TABLE).split()
+
+_numbers: dict[bytes, int] = {}
+
+
+def numbers(words: list[bytes]) -> np.ndarray:
+    """A 64-bit number for each token, the same in every process."""
+    if len(_numbers) > REMEMBERED:
+        _numbers.clear()
+    digest = xxhash.xxh64_intdigest
+    out = []
+    for w in words:
+        n = _numbers.get(w)
+        if n is None:
+            n = _numbers[w] = digest(w, 7)
+        out.append(n)
+    return np.array(out, np.uint64)
+
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    out[1:] = base
+    return np.multiply.accumulate(out)
 
 
 def rolling(ids: np.ndarray, size: int) -> np.ndarray:
-    """Karp-Rabin hashes, modulo 2^64, of all windows of ``size`` ids."""
+    """Karp-Rabin hashes, modulo 2^64, of all windows of ``size`` ids: differences of running sums, one product a step."""
     n = len(ids) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.zeros(n, np.uint64)
-    for k in range(size):
-        total = total * _BASE + ids[k : k + n]
-    return total
+    sums = np.zeros(len(ids) + 1, np.uint64)
+    np.cumsum(ids * powers(_BASE, len(ids)), dtype=np.uint64, out=sums[1:])
+    return (sums[size:] - sums[:-size]) * powers(_INVERSE, n)
+
+
+def seeds(ids: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of windows, apart for each size; spread over all bits."""
+    found = rolling(ids, size) * np.uint64(2) + np.uint64(size)
+    found ^= found >> np.uint64(29)
+    found *= np.uint64(0xBF58476D1CE4E5B9)
+    return found ^ (found >> np.uint64(32))
 
 
 def tile(text: np.ndarray, item: np.ndarray, least: int = MATCH) -> list[tuple[int, int, int]]:
     """Tiles (place in text, place in item, length), each the longest left; zeros in text match nothing."""
     free_text, free_item = text != 0, np.ones(len(item), bool)
-    found = []
-    size = len(item)
+    found: list[tuple[int, int, int]] = []
+    size = min(len(item), len(text))
     while size >= least:
-        free = np.flatnonzero(_runs(free_item, size))
-        places: dict[int, list[int]] = {}
-        hashes = rolling(item, size)
-        for i in free.tolist():
-            places.setdefault(int(hashes[i]), []).append(i)
-        longest: list[tuple[int, int, int]] = []
-        if places:
-            hashes = rolling(text, size)
-            for t in np.flatnonzero(_runs(free_text, size)).tolist():
-                for i in places.get(int(hashes[t]), ()):
-                    if (text[t : t + size] == item[i : i + size]).all():
-                        longest.append((size, t, i))
-        for n, t, i in longest:
-            if free_text[t : t + n].all() and free_item[i : i + n].all():
-                free_text[t : t + n] = free_item[i : i + n] = False
-                found.append((t, i, n))
-        size -= 1
+        heap = [(-_length(text, item, free_text, free_item, t, i), t, i) for t, i in _starts(text, item, free_text, free_item, size)]
+        heapq.heapify(heap)
+        while heap:
+            n, t, i = heapq.heappop(heap)
+            free = free_text[t : t - n] & free_item[i : i - n]
+            if free.all():
+                free_text[t : t - n] = free_item[i : i - n] = False
+                found.append((t, i, -n))
+                continue
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]])))
+            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+                if b - a >= size:
+                    heapq.heappush(heap, (a - b, t + a, i + a))
+        size = size // 2 if size >= 2 * least else least if size > least else 0
     return found
 
 
+def _starts(text: np.ndarray, item: np.ndarray, free_text: np.ndarray, free_item: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Where runs of at least size equal free tokens start, in text and item."""
+    ours, theirs = np.flatnonzero(_runs(free_text, size)), np.flatnonzero(_runs(free_item, size))
+    if not len(ours) or not len(theirs):
+        return []
+    mine, other = rolling(text, size)[ours], rolling(item, size)[theirs]
+    order = np.argsort(other, kind="stable")
+    other, theirs = other[order], theirs[order]
+    low, high = np.searchsorted(other, mine, "left"), np.searchsorted(other, mine, "right")
+    met = np.flatnonzero(high > low)
+    out: list[tuple[int, int]] = []
+    counts = (high - low)[met]
+    for part in np.split(met, np.searchsorted(np.cumsum(counts), np.arange(PAIRS, int(counts.sum()), PAIRS))):
+        n = (high - low)[part]
+        t = np.repeat(ours[part], n)
+        i = theirs[np.repeat(low[part] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+        inner = (t > 0) & (i > 0)
+        before = np.where(inner, t - 1, 0), np.where(inner, i - 1, 0)
+        inner &= (text[before[0]] == item[before[1]]) & free_text[before[0]] & free_item[before[1]]
+        for a, b in zip(t[~inner].tolist(), i[~inner].tolist()):
+            if (text[a : a + size] == item[b : b + size]).all():
+                out.append((a, b))
+    return out
+
+
+def _length(text: np.ndarray, item: np.ndarray, free_text: np.ndarray, free_item: np.ndarray, t: int, i: int) -> int:
+    """How long the run of equal free tokens is."""
+    n, step = 0, 64
+    while True:
+        k = min(step, len(text) - t - n, len(item) - i - n)
+        a, b = t + n, i + n
+        same = (text[a : a + k] == item[b : b + k]) & free_text[a : a + k] & free_item[b : b + k]
+        if k <= 0 or not same.all():
+            return n + (int(same.argmin()) if k > 0 else 0)
+        n, step = n + k, 2 * step
+
+
 def _runs(free: np.ndarray, size: int) -> np.ndarray:
     """Where windows of ``size`` free places start."""
     if len(free) < size:
@@ -79,108 +167,133 @@ def _runs(free: np.ndarray, size: int) -> np.ndarray:
     return sums[size:] - sums[:-size] == size
 
 
-class Index:
-    """Seeds of a block of benchmark items."""
-
-    def __init__(self, items: list[tuple[int, bytes]], least: int = MATCH):
-        self.least = least
-        self.vocab: dict[bytes, int] = {}
-        self.items: list[tuple[int, np.ndarray]] = []
-        seeds: dict[int, set[int]] = {}
-        for ident, text in items:
-            ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in tokens(text)], np.uint64)
-            if len(ids) < least:
-                continue
-            for h in rolling(ids, least).tolist():
-                seeds.setdefault(h, set()).add(len(self.items))
-            self.items.append((ident, ids))
-        self.seeds = {h: sorted(x) for h, x in seeds.items()}
-        self.hashes = np.array(sorted(self.seeds), np.uint64)
-
-    def search(self, text: bytes | None, coverage: float) -> list[dict]:
-        words = tokens(text)
-        if len(words) < self.least or not self.items:
-            return []
-        get = self.vocab.get
-        ids = np.array([get(w, 0) for w in words], np.uint64)
-        where = np.flatnonzero(_runs(ids != 0, self.least))
-        if not len(where):
-            return []
-        hashes = rolling(ids, self.least)[where]
-        at = np.searchsorted(self.hashes, hashes)
-        hit = self.hashes[np.minimum(at, len(self.hashes) - 1)] == hashes
-        where, hashes = where[hit].tolist(), hashes[hit].tolist()
-        by_item: dict[int, list[int]] = {}
-        for p, h in zip(where, hashes):
-            for i in self.seeds[h]:
-                by_item.setdefault(i, []).append(p)
+def covered(text: list[bytes], item: list[bytes], least: int = MATCH) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of both, equal for equal tokens: of the item, and of the text's tokens in windows that the item has, too.
+
+    Runs of the text are parted by zeros.
+    """
+    place: dict[bytes, int] = {}
+    theirs = np.array([place.setdefault(w, len(place) + 1) for w in item], np.uint64)
+    ours = np.array([place.get(w, 0) for w in text], np.uint64)
+    windows = np.flatnonzero(_runs(ours != 0, least))
+    windows = windows[np.isin(rolling(ours, least)[windows], rolling(theirs, least))] if len(windows) else windows
+    on = np.zeros(len(ours) + 1, np.int64)
+    np.add.at(on, windows, 1)
+    np.add.at(on, windows + least, -1)
+    on = np.cumsum(on)[:-1] > 0
+    starts = on & ~np.concatenate([[False], on[:-1]]) if len(on) else on
+    return np.insert(ours[on], np.flatnonzero(starts[on]), 0), theirs
+
+
+def compare(text: list[bytes], item: list[bytes], least: int = MATCH) -> tuple[int, int]:
+    """Tokens of the item that tiles cover, and the longest tile."""
+    if len(item) < least:
+        first = item[0] if item else None
+        at = any(w == first and text[k : k + len(item)] == item for k, w in enumerate(text))
+        return (len(item), len(item)) if at else (0, 0)
+    tiles = tile(*covered(text, item, least), least)
+    return sum(n for _, _, n in tiles), max((n for _, _, n in tiles), default=0)
+
+
+def item_table(benchmark: DataFrame, least: int = MATCH) -> DataFrame:
+    """item (the row's number), item_id, text, n (tokens) and seeds of the items that have a token."""
+
+    def of(texts: pd.Series) -> pd.DataFrame:
+        found = [numbers(tokens(t)) for t in texts]
+        own = [seeds(x, min(least, len(x))).view(np.int64) if len(x) else np.zeros(0, np.int64) for x in found]
+        return pd.DataFrame({"n": np.array([len(x) for x in found], np.int32), "seeds": own})
+
+    rows = benchmark.select(F.monotonically_increasing_id().alias("item"), "item_id", "text")
+    marked = rows.withColumn("m", F.pandas_udf(of, "n int, seeds array<long>")("text"))
+    return settle(marked.select("item", "item_id", "text", "m.n", "m.seeds").where("n > 0"), "items")
+
+
+class Filter:
+    """Bloom filter of seeds."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.mask = words, np.uint64(64 * len(words) - 1)
+
+    def keep(self, hashes: np.ndarray) -> np.ndarray:
+        for k in range(PROBES):
+            at = (hashes >> np.uint64(8 * k)) & self.mask
+            hashes = hashes[(self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+        return hashes
+
+
+def filter_words(table: DataFrame) -> np.ndarray:
+    """The filter's bits as 64-bit words, at most FILTER_BITS // 64 of them."""
+    count = table.select("seed").distinct().count()
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (SEED_BITS * count).bit_length()))
+    place = [F.shiftrightunsigned("seed", 8 * k).bitwiseAND(F.lit(bits - 1)) for k in range(PROBES)]
+    each = table.select(F.explode(F.array(*place)).alias("place"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63)).cast("int"))
+    found = each.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    rows = read_blobs(collect_blobs(found))
+    words = np.zeros(bits // 64, np.int64)
+    if rows:
+        words[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    return words.view(np.uint64)
+
+
+def seeds_column(text: Column, spark, words: np.ndarray, sizes: list[int]) -> Column:
+    """The text's distinct seeds that the filter lets through."""
+    shared = prepare(spark).sparkContext.broadcast(words)
+
+    def of(texts: pd.Series) -> pd.Series:
+        own = Filter(shared.value)
         out = []
-        for i, places in by_item.items():
-            ident, item = self.items[i]
-            if len({*places}) + self.least - 1 < coverage * len(item) and len(places) * self.least < coverage * len(item):
-                continue
-            tiles = tile(_covered(ids, places, self.least), item, self.least)
-            tiled = sum(n for _, _, n in tiles)
-            if tiled and tiled >= coverage * len(item):
-                out.append({"item_id": ident, "tiled": tiled, "longest": max(n for _, _, n in tiles), "coverage": tiled / len(item)})
-        return out
-
-
-def _covered(ids: np.ndarray, places: list[int], least: int) -> np.ndarray:
-    """The ids that seeds cover, runs parted by a zero."""
-    parts, end = [], -1
-    start = None
-    for p in places:
-        if start is None or p > end:
-            if start is not None:
-                parts += [ids[start:end], np.zeros(1, np.uint64)]
-            start = p
-        end = p + least
-    parts.append(ids[start:end])
-    return np.concatenate(parts)
-
-
-def blocks(benchmark: DataFrame, limit: int = BLOCK_TOKENS) -> list[list[tuple[int, bytes]]]:
-    """Items (id, text) in blocks of at most limit tokens, an item over it alone."""
-    out: list[list[tuple[int, bytes]]] = [[]]
-    held = 0
-    for row in benchmark.where("text is not null").select("item_id", F.col("text").cast("binary").alias("text")).orderBy("item_id").toLocalIterator():
-        size = len(tokens(row["text"]))
-        if out[-1] and held + size > limit:
-            out.append([])
-            held = 0
-        out[-1].append((row["item_id"], bytes(row["text"])))
-        held += size
-    return out
+        for t in texts:
+            ids = numbers(tokens(t))
+            out.append(np.unique(np.concatenate([np.zeros(0, np.uint64), *[own.keep(seeds(ids, k)) for k in sizes]])).view(np.int64))
+        return pd.Series(out)
+
+    return F.pandas_udf(of, "array<long>")(text)
 
 
-def found_column(spark, text: Column, benchmark: DataFrame, coverage: float = COVERAGE) -> Column:
-    """The items found in a text, as an array of FOUND's structs."""
-    prepare(spark)
+def found_items(marked: DataFrame, items: DataFrame, coverage: float, least: int = MATCH) -> DataFrame:
+    """place, item_id, tiled, longest, coverage from rows (place, text, seeds): the seed join and the tiling."""
+    table = items.select("item", "n", F.explode("seeds").alias("seed")).groupBy("item", "n", "seed").agg(F.count("*").alias("times"))
+    met = marked.select("place", F.explode("seeds").alias("seed")).join(table, "seed")
+    # Tiles lie in windows that are shared.
+    pairs = met.groupBy("place", "item", "n").agg((F.sum("times") * least).alias("most")).where(F.col("most") >= coverage * F.col("n"))
+    both = pairs.select("place", "item", "n").join(marked.select("place", "text"), "place")
+    both = both.join(items.select("item", "item_id", F.col("text").alias("item_text")), "item")
 
-    def of(block):
-        shared = spark.sparkContext.broadcast(block)
-        index: list[Index] = []
+    def search(texts: pd.Series, item_texts: pd.Series) -> pd.DataFrame:
+        last, words, out = None, [], []
+        for text, item in zip(texts, item_texts):
+            if text is not last:
+                last, words = text, tokens(text)
+            out.append(compare(words, tokens(item), least))
+        return pd.DataFrame(out, columns=["tiled", "longest"]).astype("int32")
 
-        def search(texts: pd.Series) -> pd.Series:
-            if not index:
-                index.append(Index(shared.value))
-            return pd.Series([index[0].search(t, coverage) for t in texts])
+    tiled = both.withColumn("f", F.pandas_udf(search, "tiled int, longest int")("text", "item_text"))
+    share = F.col("f.tiled") / F.col("n")
+    return tiled.where((F.col("f.tiled") > 0) & (F.col("f.tiled") >= coverage * F.col("n"))).select("place", "item_id", "f.tiled", "f.longest", share.alias("coverage"))
 
-        return F.pandas_udf(search, FOUND)(text.cast("binary"))
 
-    parts = [of(b) for b in blocks(benchmark)]
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+def _prepared(benchmark: DataFrame) -> tuple[DataFrame, np.ndarray, list[int]]:
+    items = item_table(benchmark)
+    sizes = sorted(r[0] for r in items.select(F.least("n", F.lit(MATCH))).distinct().collect())
+    return items, filter_words(items.select(F.explode("seeds").alias("seed"))), sizes
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, item_id, tiled (tokens), longest (tile), coverage for each item found in a text."""
-    marked = docs.select("doc_id", F.explode(found_column(docs.sparkSession, F.col("text"), benchmark, coverage)).alias("f"))
-    return marked.select("doc_id", "f.*")
+    spark = prepare(docs.sparkSession)
+    items, words, sizes = _prepared(benchmark)
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("place"))
+    marked = settle(rows.withColumn("seeds", seeds_column(F.col("text"), spark, words, sizes)).where(F.size("seeds") > 0), "seeded")
+    return found_items(marked, items, coverage).join(marked.select("place", "doc_id"), "place").select("doc_id", "item_id", "tiled", "longest", "coverage")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The rows of docs in which no item is found, with their own columns alone."""
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    marked = row.withColumn("found", found_column(docs.sparkSession, F.col("row.text"), benchmark, coverage))
-    return marked.where(F.size("found") == 0).select("row.*")
+    spark = prepare(docs.sparkSession)
+    items, words, sizes = _prepared(benchmark)
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("place"))
+    marked = settle(row.withColumn("seeds", seeds_column(F.col("row.text"), spark, words, sizes)), "seeded")
+    seeded = marked.where(F.size("seeds") > 0).select("place", F.col("row.text").alias("text"), "seeds")
+    bad = found_items(seeded, items, coverage).select("place").distinct()
+    return marked.join(bad, "place", "left_anti").select("row.*")
