@@ -1,14 +1,16 @@
 """Shards of near-equal bytes by a histogram sort.
 
-Rows get a 64-bit key: the high half is a hash of the text, the low half a hash of the row's id, so equal texts lie
-side by side and only a boundary that must fall inside such a group splits it. Splitters are found by rounds: count
-the exact bytes below candidate boundaries in every partition, sum them, and probe again inside the interval that
-still holds each target, until every splitter meets the tolerance or no key lies between its bounds. Then the rows
-are exchanged once. The driver sees only counts for the probes, whose number depends on the shards alone.
-
-Defined cases: a null text has size ``overhead`` and CRC 0; a null doc_id is hashed as an empty id; equal rows
-(same id and text) may stand in any order but get slots of their own; fewer rows than shards leave shards empty;
-extra columns travel along, and columns whose names clash with the results' are replaced by them.
+Rows get a 64-bit key: the high half is a hash of the text, the low half one of the row's id and place, so equal texts lie
+side by side and only a boundary that must fall inside such a group splits it, between any two of its rows. Splitters are
+found by rounds: count the exact bytes below candidate boundaries in every partition, sum them, and probe again inside the
+interval that still holds each target, until every splitter meets the tolerance or no key lies between its bounds. Then
+the rows are exchanged once, by ranges of the key as many as the bytes ask for, and numbered as they lie. The driver sees
+only counts for the probes, whose number depends on the shards alone.
+
+Defined cases: a null text has size ``overhead`` and CRC 0; null and repeated ids are placed like others; equal rows may
+stand in any order but get slots of their own, and a shard boundary may part them; fewer rows than shards leave shards
+empty; texts may have any length, a row is never cut; extra columns travel along, and columns whose names clash with the
+results' are replaced by them.
 """
 
 from __future__ import annotations
@@ -23,6 +25,9 @@ from pyspark.sql import functions as F
 from .common import prepare, settle
 
 OVERHEAD = 16
+#: Bytes of a key range of the exchange, on average.
+RANGE_BYTES = 64 << 20
+OWN = ["size", "law", "shard", "slot", "grown_shard"]
 _SIGN = np.uint64(1 << 63)
 
 
@@ -30,10 +35,10 @@ def size_of(text: Column, overhead: int = OVERHEAD) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + overhead).cast("long")
 
 
-def key_of(text: Column, doc_id: Column) -> Column:
-    """Sort key as a signed long: text hash above, id hash below."""
+def key_of(text: Column, *row: Column) -> Column:
+    """Sort key as a signed long: text hash above, hash of what tells the row from others below."""
     high = F.xxhash64(text).bitwiseAND(F.lit(-(1 << 32)))
-    low = F.xxhash64(doc_id, F.lit("row")).bitwiseAND(F.lit((1 << 32) - 1))
+    low = F.xxhash64(*row, F.lit("row")).bitwiseAND(F.lit((1 << 32) - 1))
     return high.bitwiseOR(low)
 
 
@@ -96,44 +101,37 @@ def splitters(keys: DataFrame, shards: int, tolerance: float = 1e-3, fan: int =
     return [int(x) for x in (best ^ _SIGN).view(np.int64)]
 
 
-def shard(docs: DataFrame, shards: int = 40, tolerance: float = 1e-3, runs: int = 8) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, tolerance: float = 1e-3, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """docs with size, law, shard, slot and grown_shard.
 
-    A shard is cut into ``runs`` key ranges of about equal bytes, which are sorted apart; a slot is a row's place
-    in its range after the rows of the ranges before it, so no task holds a whole shard.
+    Rows are exchanged by key ranges of about range_bytes, each sorted apart; a slot is a row's place in its range after
+    the shard's rows in the ranges before it, so no task holds a whole shard.
     """
-    prepare(docs.sparkSession)
-    own = {"size", "law", "shard", "slot", "grown_shard", "__key", "__run"}
+    spark = prepare(docs.sparkSession)
     text, ident = F.col("text"), F.col("doc_id")
-    kept = docs.select(*[c for c in docs.columns if c not in own], size_of(text).alias("size"), key_of(text, ident).alias("__key"))
-    keys = settle(kept.select(F.col("__key").alias("key"), "size"), "keys")
-    fine = shards * runs
-    cuts = splitters(keys, fine, tolerance * runs)
-    ordered = np.array(cuts, dtype=np.int64)
-    _, below = _below(keys, ordered)
-    # Bounded by shards x runs: rows before each range inside its shard.
-    first = np.concatenate([[0], below])
-    base = [int(first[k] - first[k - k % runs]) for k in range(fine)]
-
-    def place(k):
-        import pandas as pd
-
-        return pd.Series(np.searchsorted(ordered, k.to_numpy(), side="right").astype("int32"))
-
-    run = F.pandas_udf(place, "int")(F.col("__key"))
-    placed = kept.withColumn("__run", run).repartition(fine, "__run")
-    within = Window.partitionBy("__run").orderBy("__key", "doc_id", F.xxhash64("text"))
-    slot = F.row_number().over(within) - 1 + F.element_at(F.array(*map(F.lit, base)), F.col("__run") + 1)
-    return placed.withColumn("slot", slot.cast("long")).select(
-        *[c for c in docs.columns if c not in own],
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in OWN]).alias("row")
+    kept = docs.select(row, size_of(text).alias("size"), key_of(text, ident, F.monotonically_increasing_id()).alias("key"))
+    keys = settle(kept.select("key", "size"), "keys")
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    cuts = F.array(*map(F.lit, splitters(keys, shards, tolerance))).cast("array<bigint>")
+    number = F.size(F.filter(cuts, lambda c: c <= F.col("key"))).alias("shard")
+    count = max(shards, 2 * spark.sparkContext.defaultParallelism, -(-total // range_bytes))
+    sorted_ = kept.repartitionByRange(count, "key").sortWithinPartitions("key")
+    dealt = settle(sorted_.select("row", "size", number, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "dealt")
+    # A row for each range, and one more for each shard boundary: as many as partitions.
+    stretches = dealt.groupBy("shard", "part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")
+    placed = dealt.join(F.broadcast(stretches.select("shard", "part", (before - F.col("first")).alias("shift"))), ["shard", "part"])
+    return placed.select(
+        "row.*",
         "size",
         F.lit("bytes").alias("law"),
-        F.floor(F.col("__run") / runs).cast("int").alias("shard"),
-        "slot",
+        "shard",
+        (F.col("at") + F.col("shift")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40) -> None:
-    """The sharded rows as Parquet under path/shard=N, each file in slot order."""
+    """The sharded rows as Parquet under path/shard=N; slot gives their order."""
     shard(docs, shards).write.partitionBy("shard").parquet(path)
