@@ -1,48 +1,59 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Counts of every whole text are taken in its own row: no explode, no shuffle. Repeated five-word windows are found
+Counts of every whole text are taken in its own row: no explode of words, no shuffle. Repeated five-word windows are found
 with 64-bit window hashes: a hash set tells whether a text has any repeat, and only then are its windows sorted.
 
-The cascade's order comes from a sample: each rule declares what it goes through (characters, words, lines), the
-sample gives the mean of each and the share of rows the rule rejects, and rules stand by rejection per cost. The
+The cascade's order comes from a sample of rows by chance: each rule is run on it alone, which gives the share of rows it
+rejects and the time it takes beyond the words that all of them need; rules stand by rejection per cost. ``keep`` takes
+the counts of a rule only in rows that no rule before it rejects; ``judge`` returns all counts and takes them once. The
 verdict doesn't depend on the order, only the work and the name of the first rule that rejects.
 
-Defined cases: a null or empty text has no word, all counts zero, and fails the base rule; a null doc_id is kept as
-it is; repeated rows are judged apart; other columns are ignored (``judge``) or kept as they are (``keep``).
+Defined cases: a null or empty text has no word, all counts zero, and fails the base rules; null and repeated ids are kept
+as they are; repeated rows are judged apart; texts may have any length; an empty table keeps the rules' given order; other
+columns are ignored (``judge``) or kept as they are (``keep``), whatever their names.
 """
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bind
+from .common import bind, settle
 
 WHITE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
-#: Work units for one item gone through.
-UNIT_COST = {"row": 1.0, "chars": 1.0, "words": 6.0, "lines": 20.0}
+#: Rows that the order is estimated on, about.
+SAMPLE_ROWS = 1024
 
 
 @dataclass(frozen=True)
 class Rule:
-    """reject is a SQL condition on the columns of ``counted``; goes_through is a key of UNIT_COST."""
+    """reject takes the columns text, words and base counts by name, and is true for rows to reject."""
 
     name: str
-    reject: str
-    goes_through: str
+    reject: Callable[[dict[str, Column]], Column]
 
 
+def _without(text: Column, pattern: str) -> Column:
+    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+
+
+BASE = (
+    Rule("few_words", lambda c: c["n_words"] < 10),
+    Rule("repeat_words", lambda c: 100 * c["n_repeat_words"] > 20 * c["n_words"]),
+)
 RULES = (
-    Rule("symbols", "10 * n_symbols > 3 * n_words", "row"),
-    Rule("word_length", "word_chars < 2 * n_words or word_chars > 20 * n_words", "row"),
-    Rule("duplicate_lines", r"n_dup_lines > 2 and 10 * n_dup_lines > 3 * size(split(text, '\n', -1))", "lines"),
-    Rule("capitals", "2 * (length(text) - length(regexp_replace(text, '[A-Z]', ''))) > word_chars", "chars"),
-    Rule("exclamations", "5 * (length(text) - length(replace(text, '!', ''))) > 2 * n_words", "chars"),
-    Rule("letterless_words", r"5 * size(filter(words, w -> not w rlike '\\p{L}')) > 2 * n_words", "words"),
+    Rule("symbols", lambda c: 10 * c["n_symbols"] > 3 * c["n_words"]),
+    Rule("word_length", lambda c: (c["word_chars"] < 2 * c["n_words"]) | (c["word_chars"] > 20 * c["n_words"])),
+    Rule("duplicate_lines", lambda c: (c["n_dup_lines"] > 2) & (10 * c["n_dup_lines"] > 3 * F.size(F.split(c["text"], "\n", -1)))),
+    Rule("capitals", lambda c: 2 * _without(c["text"], "[A-Z]") > c["word_chars"]),
+    Rule("exclamations", lambda c: 5 * _without(c["text"], "!") > 2 * c["n_words"]),
+    Rule("letterless_words", lambda c: 5 * F.size(F.filter(c["words"], lambda w: ~w.rlike(r"\p{L}"))) > 2 * c["n_words"]),
 )
 
 
@@ -76,82 +87,77 @@ def repeat_words(words: Column) -> Column:
     return bind(grams, lambda g: F.when(F.size(F.array_distinct(g)) < F.size(g), covered(g)).otherwise(F.lit(0).cast("long")))
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """doc_id and text with words and the base counts."""
-    text = F.coalesce("text", F.lit(""))
-    base = docs.select("doc_id", text.alias("text"), F.array_remove(F.split(text, WHITE, -1), "").alias("words"))
-    return with_counts(base, ["doc_id", "text", "words"])
-
+def split_words(docs: DataFrame, kept: list[Column]) -> DataFrame:
+    """kept columns with text (null as empty) and words, from the column text.
 
-def with_counts(rows: DataFrame, kept: list[str]) -> DataFrame:
-    """rows (with text and words) with the base counts.
-
-    They come out of a generator, below which no filter is pushed: else each use in a filter would count anew.
+    Words come out of a generator, so that what uses them never splits the text again.
     """
-    counts = F.explode(F.array(F.struct(*count_columns(F.col("text"), F.col("words")))))
-    return rows.select(*kept, counts.alias("c")).select(*kept, "c.*")
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), WHITE, -1), "")
+    rows = docs.select(*kept, F.explode(F.array(F.struct(F.coalesce("text", F.lit("")).alias("text"), words.alias("words")))).alias("s"))
+    return rows.select(*[c for c in rows.columns if c != "s"], "s.text", "s.words")
 
 
-def count_columns(text: Column, words: Column) -> list[Column]:
+def count_columns(text: Column, words: Column) -> dict[str, Column]:
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    duplicate_lines = bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    return [
-        F.size(words).cast("long").alias("n_words"),
-        F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        duplicate_lines.cast("long").alias("n_dup_lines"),
-        repeat_words(words).cast("long").alias("n_repeat_words"),
-    ]
-
-
-def order_rules(sample: DataFrame, rules: tuple[Rule, ...] = RULES) -> list[Rule]:
-    """Rules by rejection per cost on a sample of ``counted`` rows; an empty sample keeps the given order."""
-    seen = sample.agg(
-        F.avg(F.length("text")).alias("chars"),
-        F.avg("n_words").alias("words"),
-        F.avg(F.size(F.split("text", "\n", -1))).alias("lines"),
-        *[F.avg(F.expr(r.reject).cast("int")).alias(f"r{i}") for i, r in enumerate(rules)],
-    ).first()
-
-    def worth(i: int) -> float:
-        kind = rules[i].goes_through
-        size = 1.0 if kind == "row" else seen[kind] or 0.0
-        return (seen[f"r{i}"] or 0.0) / (UNIT_COST[kind] * max(size, 1.0))
-
-    return [rules[i] for i in sorted(range(len(rules)), key=lambda i: (-worth(i), i))]
-
-
-def _verdict(order: list[Rule]) -> tuple[Column, Column]:
-    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    first = F.when(F.col("base_failed"), F.lit("base"))
-    for rule in order:
-        first = first.when(F.expr(rule.reject), F.lit(rule.name))
-    return base, first
-
-
-def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 256) -> DataFrame:
-    """doc_id, the base counts, base_failed, first_rule (null if none rejects) and kept.
+    return {
+        "n_words": F.size(words).cast("long"),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
+        "n_symbols": _without(text, SYMBOLS).cast("long"),
+        "n_dup_lines": bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        "n_repeat_words": repeat_words(words).cast("long"),
+    }
 
-    sample_rows bounds the rows that the cascade's order is estimated on.
-    """
-    order = order_rules(counted(docs.select("doc_id", "text").limit(sample_rows)), rules)
-    base, first = _verdict(order)
-    marked = counted(docs).withColumn("base_failed", base).withColumn("first_rule", first)
-    return marked.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "first_rule",
-        F.col("first_rule").isNull().alias("kept"),
-    )
+
+def _inputs() -> dict[str, Column]:
+    """What rules take, each count made where it is used."""
+    text, words = F.col("text"), F.col("words")
+    return {"text": text, "words": words} | count_columns(text, words)
 
 
-def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 256) -> DataFrame:
+def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = BASE + RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """Rules by rejection per cost, both measured on a sample of docs; an empty sample keeps the given order."""
+    share = min(1.0, sample_rows / max(docs.count(), 1))
+    sample = settle(docs.select("text").sample(share, seed=3), "rule_sample")
+    words = split_words(sample, [])
+
+    def run(condition: Column) -> tuple[float, float]:
+        began = time.perf_counter()
+        found = words.agg(F.avg(condition.cast("int"))).first()[0] or 0.0
+        return found, time.perf_counter() - began
+
+    run(F.size("words") > 0)
+    floor = run(F.size("words") > 0)[1]
+    seen = [run(r.reject(_inputs())) for r in rules]
+    worth = [found / max(took - floor, 1e-3) for found, took in seen]
+    return [rules[i] for i in sorted(range(len(rules)), key=lambda i: (-worth[i], i))]
+
+
+def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """doc_id, the base counts, base_failed, first_rule (null if none rejects) and kept.
+
+    sample_rows is about how many rows the cascade's order is estimated on.
+    """
+    order = order_rules(docs, BASE + tuple(rules), sample_rows)
+    counts = {n: c.alias(n) for n, c in count_columns(F.col("text"), F.col("words")).items()}
+    words = split_words(docs, [F.col("doc_id")])
+    # The counts, too, come out of a generator.
+    rows = words.select("doc_id", "text", "words", F.explode(F.array(F.struct(*counts.values()))).alias("c")).select("doc_id", "text", "words", "c.*")
+    known = {n: F.col(n) for n in ("text", "words", *counts)}
+    first = F.coalesce(*[F.when(r.reject(known), F.lit(r.name)) for r in order])
+    base = BASE[0].reject(known) | BASE[1].reject(known)
+    marked = rows.withColumn("first_rule", first)
+    return marked.select("doc_id", *counts, base.alias("base_failed"), "first_rule", F.col("first_rule").isNull().alias("kept"))
+
+
+def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of docs that no rule rejects, with their own columns alone."""
-    order = order_rules(counted(docs.select("doc_id", "text").limit(sample_rows)), rules)
-    base, first = _verdict(order)
+    order = order_rules(docs, BASE + tuple(rules), sample_rows)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    text = F.coalesce("row.text", F.lit(""))
-    held = docs.select(row).select("row", text.alias("text")).withColumn("words", F.array_remove(F.split("text", WHITE, -1), ""))
-    held = with_counts(held, ["row", "text", "words"])
-    return held.withColumn("base_failed", base).where(first.isNull()).select("row.*")
+    held = split_words(docs.select(row, "text"), [F.col("row")])
+    inputs, passed = _inputs(), F.lit(True)
+    for rule in reversed(order):
+        passed = F.when(rule.reject(inputs), F.lit(False)).otherwise(passed)
+    return held.where(passed).select("row.*")
 
 
 ORACLE = r"""
