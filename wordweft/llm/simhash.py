@@ -3,10 +3,11 @@
 Fingerprints are linked through a segment-popcount embedding. A 64-bit fingerprint is cut into 2-bit
 segments; its vector holds each segment's number of set bits. The Manhattan distance of two vectors never
 exceeds the number of differing bits, so links within ``bits`` lie within Manhattan distance ``bits``. The 32
-coordinates are dealt over ``axes`` grid axes; a distance of ``bits`` can change at most ``bits`` axes, so two
-linked vectors share the cell of at least one choice of ``axes - bits`` axes. Every choice is one grid, a
-fingerprint has one cell in each, and an equi-join on (grid, cell) with the Manhattan bound and then the exact
-bit count gives all links and no others.
+coordinates are dealt over ``axes`` grid axes. A Manhattan distance of ``bits`` reaches at most ``bits`` axes, so two
+linked vectors lie in the same cell of at least one choice of ``axes - bits`` axes, and on the others within the range
+that is left: every choice is one grid, a fingerprint has one cell in each, and the join on (grid, cell) keeps pairs
+within Manhattan distance ``bits`` over all 32 coordinates. What passes this bound is verified by the exact count of
+differing bits; all links are found and no others.
 
 A cell that a dense family of fingerprints shares (over ``hot_cell`` of them) is not joined with itself: its
 fingerprints are linked through midpoints instead (two words of distance 4 have a word at distance 2 of both),
@@ -66,23 +67,19 @@ def _signed(x: int) -> int:
 
 
 def popcounts(fp: Column) -> Column:
-    """The embedding, packed: each 2-bit segment replaced with the number of its set bits."""
+    """The embedding, packed: each 2-bit segment replaced with its number of set bits in unary (00, 01, 11).
+
+    Packed like this, the number of bits in which two vectors differ is their Manhattan distance.
+    """
     odd, next_bit = F.lit(0x5555555555555555), F.shiftrightunsigned(fp, 1)
-    one = fp.bitwiseXOR(next_bit).bitwiseAND(odd)
-    two = fp.bitwiseAND(next_bit).bitwiseAND(odd)
-    return one.bitwiseOR(F.shiftleft(two, 1))
+    any_bit = fp.bitwiseOR(next_bit).bitwiseAND(odd)
+    both = fp.bitwiseAND(next_bit).bitwiseAND(odd)
+    return any_bit.bitwiseOR(F.shiftleft(both, 1))
 
 
-def manhattan(a: Column, b: Column, masks: list[int]) -> Column:
-    """Lower bound of the differing bits: Manhattan distance of the set bits of each axis."""
-    parts = [
-        F.abs(F.bit_count(a.bitwiseAND(F.lit(_signed(m)))) - F.bit_count(b.bitwiseAND(F.lit(_signed(m)))))
-        for m in masks
-    ]
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    return total
+def manhattan(a: Column, b: Column) -> Column:
+    """Manhattan distance of two packed vectors: a lower bound of their fingerprints' differing bits."""
+    return F.bit_count(a.bitwiseXOR(b))
 
 
 def axes_for(distinct: int, bits: int) -> int:
@@ -115,11 +112,8 @@ def links(fps: DataFrame, bits: int = 4, hot_cell: int = 4096, axes: int | None
     crowded = not hot.isEmpty()
     cold = cells.join(hot, "cell", "left_anti") if crowded else cells
     left, right = cold.select("cell", F.col("fp").alias("a")), cold.select("cell", F.col("fp").alias("b"))
-    pairs = left.join(right.hint("merge"), "cell").where(
-        (F.col("a") < F.col("b"))
-        & (manhattan(F.col("a"), F.col("b"), masks) <= bits)
-        & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
-    ).select("a", "b").distinct()
+    near = left.join(right.hint("merge"), "cell").where((F.col("a") < F.col("b")) & (manhattan(popcounts(F.col("a")), popcounts(F.col("b"))) <= bits))
+    pairs = near.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits).select("a", "b").distinct()
     if crowded:
         dense = cells.join(hot, "cell", "left_semi").select("fp").distinct()
         pairs = pairs.unionByName(through_midpoints(dense, bits)).distinct()
