@@ -5,9 +5,9 @@ Responses are rectified and max-pooled over overlapping chunks that cover the wh
 chunks and combined by a logistic unit into one probability.
 
 Defined cases: null and empty texts are scored as padding alone; a text shorter than a filter is padded with zero
-bytes; very long texts go through in pieces of bounded size; null or repeated labels are dropped; without both labels
-in the sample every score is the share of good rows (0.5 without any); other columns are ignored (``score``) or kept
-(``keep``).
+bytes; very long texts go through in pieces of bounded size; null labels are left out, of repeated ones the largest
+holds; without both labels in the sample every score is the share of good rows (0.5 without any); null and repeated ids
+are scored apart; other columns are ignored (``score``) or kept (``keep``), whatever their names.
 """
 
 from __future__ import annotations
@@ -26,9 +26,8 @@ WIDTH = 6
 FILTERS = 16
 #: A chunk is two neighbouring blocks; each block is in two chunks.
 BLOCK = 128
-#: Labelled rows to fit on, chosen by hash, and the longest text of them: the fit's bound.
+#: Labelled rows to fit on, chosen by hash: the fit's bound.
 SAMPLE_DOCS = 1600
-LONGEST = 12 << 10
 THRESHOLD = 0.7
 _PIECE = 256 * BLOCK
 
@@ -130,7 +129,7 @@ def fit(texts: list[bytes], good: np.ndarray, epochs: int = 6, batch: int = 32,
 
 
 def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
-    rows = training_sample(docs, labels, "quality", SAMPLE_DOCS, LONGEST, held_out())
+    rows = training_sample(docs, labels, "quality", SAMPLE_DOCS, held_out())
     return fit([bytes(t) for t in rows["text"]], rows["label"].to_numpy() == 1)
 
 

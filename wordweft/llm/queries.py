@@ -70,7 +70,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     found = toxicity.score(docs, toxicity.fit_on(docs, _read(spark, sf_dir, "labels")))
     verdict = (F.col("score") >= 0.5).cast("int")
-    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", verdict.alias("predicted"))
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", verdict.alias("predicted"), "offending")
 
 
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

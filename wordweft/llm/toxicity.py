@@ -6,8 +6,8 @@ likelihood, with a penalty that takes words without evidence to zero, so a sente
 length alone never makes a document toxic. ``sentences`` locates the offending ones.
 
 Defined cases: null, empty and wordless texts score 0; a null doc_id is never held out of scoring; repeated rows
-score alike; labels that are null or repeated are dropped; without both labels in the sample every score is 0; other
-columns are ignored.
+score alike; texts may have any length; null labels are left out, of repeated ones the largest holds; without both labels
+in the sample, or without any row, every score is 0; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 
 from .common import crc_of_id, prepare
 
-#: Labelled rows to fit on, chosen by hash, and the longest text of them: the fit's bound.
+#: Labelled rows to fit on, chosen by hash: the fit's bound.
 SAMPLE_DOCS = 6000
-LONGEST = 16 << 10
 BIAS = -5.0
+#: Score from which a sentence is offending.
+LEAST = 0.5
 _REST = 1.0 / (1.0 + np.exp(-BIAS))
 #: Lower case; sentence ends become line ends; other ASCII marks but the apostrophe become blanks.
 TABLE = bytes(
@@ -90,56 +91,67 @@ def sentence_score(words: list[bytes], weights: dict[bytes, float]) -> float:
     return (1.0 / (1.0 + np.exp(-z)) - _REST) / (1 - _REST) if z > BIAS else 0.0
 
 
-def document_score(text: bytes | None, weights: dict[bytes, float]) -> float:
+def sentence_scores(text: bytes | None, weights: dict[bytes, float]) -> list[tuple[int, float]]:
+    """Place among the sentences that have a word, and score, of every sentence that scores over 0."""
     data = (text or b"").translate(TABLE)
     if weights.keys().isdisjoint(data.split()):
-        return 0.0
-    clean = 1.0
-    for part in data.split(b"\n"):
-        clean *= 1.0 - sentence_score(part.split(), weights)
-    return float(1.0 - clean)
+        return []
+    parts = [words for words in map(bytes.split, data.split(b"\n")) if words]
+    found = [(k, float(sentence_score(words, weights))) for k, words in enumerate(parts)]
+    return [x for x in found if x[1] > 0]
+
+
+def document_score(text: bytes | None, weights: dict[bytes, float]) -> float:
+    return 1.0 - float(np.prod([1.0 - x for _, x in sentence_scores(text, weights)]))
+
 
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, held_out) -> pd.DataFrame:
+    """text (bytes) and label of at most limit labelled rows, chosen by hash of the id; both tables keyed by doc_id.
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, longest: int, held_out) -> pd.DataFrame:
-    """text (bytes) and label of at most limit labelled rows, chosen by hash of the id; both tables keyed by doc_id."""
+    Of an id's labels the largest holds, of its rows the one with the least text hash.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
     chosen = known.where(~held_out).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     # The chosen ids are bounded by limit.
-    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= longest)
-    joined = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    return joined.orderBy("doc_id").select(F.col("text").cast("binary").alias("text"), F.col("label").cast("int")).toPandas()
+    joined = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    first = F.min_by("text", F.struct(F.xxhash64("text"), "text")).cast("binary").alias("text")
+    return joined.groupBy("doc_id").agg(first, F.max("label").cast("int").alias("label")).orderBy("doc_id").select("text", "label").toPandas()
 
 
 def fit_on(docs: DataFrame, labels: DataFrame) -> dict[bytes, float]:
-    rows = training_sample(docs, labels, "toxic", SAMPLE_DOCS, LONGEST, held_out())
+    rows = training_sample(docs, labels, "toxic", SAMPLE_DOCS, held_out())
     return fit([bytes(t) for t in rows["text"]], rows["label"].to_numpy() == 1) if len(rows) else {}
 
 
-def score(docs: DataFrame, weights: dict[bytes, float]) -> DataFrame:
-    """doc_id and score of every row's whole text."""
-    spark = prepare(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(weights)
+def score(docs: DataFrame, weights: dict[bytes, float], least: float = LEAST) -> DataFrame:
+    """doc_id and score of every row's whole text, with its offending sentences.
 
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([document_score(t, shared.value) for t in texts], dtype="float64")
+    offending: place (of the sentence in the text, from 0) and score of each sentence that scores at least ``least``.
+    """
+    shared = prepare(docs.sparkSession).sparkContext.broadcast(weights)
+
+    def of(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in texts:
+            scores = sentence_scores(text, shared.value)
+            found = [{"place": k, "score": x} for k, x in scores if x >= least]
+            out.append((1.0 - float(np.prod([1.0 - x for _, x in scores])) if scores else 0.0, found))
+        return pd.DataFrame(out, columns=["score", "offending"])
 
-    return docs.select("doc_id", F.pandas_udf(of, "double")(F.col("text").cast("binary")).alias("score"))
+    marked = F.pandas_udf(of, "score double, offending array<struct<place:int,score:double>>")(F.col("text").cast("binary"))
+    return docs.select("doc_id", marked.alias("t")).select("doc_id", "t.*")
 
 
-def sentences(docs: DataFrame, weights: dict[bytes, float], least: float = 0.5) -> DataFrame:
+def sentences(docs: DataFrame, weights: dict[bytes, float], least: float = LEAST) -> DataFrame:
     """doc_id, sentence (as written), place (from 0) and score of the sentences at or over least."""
-    spark = prepare(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(weights)
+    shared = prepare(docs.sparkSession).sparkContext.broadcast(weights)
 
     def of(texts: pd.Series) -> pd.Series:
         out = []
         for text in texts:
-            found = []
-            for place, part in enumerate(x for x in re.split(r"[.!?\n\r]+", text or "") if x.strip()):
-                value = sentence_score(part.encode().translate(TABLE).split(), shared.value)
-                if value >= least:
-                    found.append({"sentence": part.strip(), "place": place, "score": float(value)})
-            out.append(found)
+            found = [x for x in sentence_scores(text.encode() if text else None, shared.value) if x[1] >= least]
+            parts = [x for x in re.split(r"[.!?\n\r]", text) if x.encode().translate(TABLE).split()] if found else []
+            out.append([{"sentence": parts[k].strip(), "place": k, "score": x} for k, x in found])
         return pd.Series(out)
 
     marked = F.pandas_udf(of, "array<struct<sentence:string,place:int,score:double>>")("text")
