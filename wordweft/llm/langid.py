@@ -1,12 +1,13 @@
 """Language identification by compression: the language whose dictionary packs a text smallest.
 
-Each language gets a Zstandard raw-content dictionary of whole training texts. A text, as its distinct words, is packed in blocks, each with
-every dictionary, so that later parts of a long text can't lean on earlier ones instead of on the dictionary; sizes
-are summed over the whole text. A narrow margin marks the row as rejected.
+Each language gets a Zstandard raw-content dictionary of whole training texts. A text's words, all of them in order, are
+packed in blocks, each with every dictionary, so that later parts of a long text can't lean on earlier ones instead of on
+the dictionary; sizes are summed over the whole text. A narrow margin marks the row as rejected.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; equal sizes go to the language with more
 training rows, then to the first by name; a language whose training texts have no letter is no candidate, any other
-has a dictionary; no training row gives ``und`` throughout; other columns are ignored.
+has a dictionary; no training row gives ``und`` throughout; null and repeated ids are scored apart; texts may have any
+length; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ LETTERS = bytes(ord(chr(c).lower()) if chr(c).isalpha() and c < 128 else c if c
 
 
 def letters(text: str) -> bytes:
-    """The text's words without marks and digits, each once, in order: repeats would pack by themselves."""
-    return b" ".join(dict.fromkeys(text.encode().translate(LETTERS).split()))
+    """The text's words without marks and digits."""
+    return b" ".join(text.encode().translate(LETTERS).split())
 
 
 def pieces(train: DataFrame) -> DataFrame:
