@@ -166,8 +166,27 @@ def test_shards_are_near_equal_with_a_hot_text(spark):
     assert len(sizes) == 8 and max(sizes) - min(sizes) < 0.02 * sum(sizes) / 8 + 200
 
 
-def test_shards_of_nothing(spark):
+def test_equal_rows_are_parted_between_shards(spark):
+    rows = [(None, "same words again " * 3)] * 4000 + [(i, f"text {i} of its own") for i in range(4000)]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, `a.b` string, key int").repartition(5)
+    found = sharding.shard(df, shards=8, range_bytes=20_000)
+    assert found.columns == ["doc_id", "text", "a.b", "key", "size", "law", "shard", "slot", "grown_shard"]
+    got = found.collect()
+    sizes, slots = Counter(), {}
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(got) == 8000 and len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) < 0.02 * sum(sizes.values()) / 8 + 200
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(rows)
+
+
+def test_shards_of_nothing_and_of_one_long_text(spark, tmp_path):
     assert sharding.shard(empty(spark)).count() == 0
+    df = spark.createDataFrame([(1, "x" * 2_000_000), (1, None), (2, "")], "doc_id long, text string")
+    sharding.write_shards(df, f"file://{tmp_path}/shards", 3)
+    got = spark.read.parquet(f"file://{tmp_path}/shards").collect()
+    assert sorted(r["size"] for r in got) == [16, 16, 2_000_016] and all(r["law"] == "bytes" for r in got)
 
 
 # --- rules -------------------------------------------------------------------
@@ -274,7 +293,8 @@ def test_both_folds_give_the_library_s_merges(spark, ranks):
     both = common.bind(rank_map.literal, lambda t: F.struct(bpe.fold_pairs(word, rank_map, t).alias("pairs"), bpe.fold_candidates(word, rank_map, t).alias("runs")))
     df = spark.createDataFrame([(w,) for w in found], "word string").repartition(2)
     for r in df.select("word", both.alias("both")).select("word", "both.*").collect():
-        assert r["pairs"] == r["runs"] == whole._encode_single_piece(r["word"]), r["word"]
+        want = whole._encode_single_piece(r["word"])
+        assert r["runs"] == want and (r["pairs"] == want or len(r["word"].encode()) > bpe.SHORT), r["word"]
 
 
 def test_ranks_that_do_not_follow_merges_are_refused():
@@ -439,13 +459,65 @@ def test_tiling_catches_copies_and_reordered_passages(spark):
     assert tiling.contaminated(df, bench.limit(0)).count() == 0
 
 
-def test_tiles_are_longest_first_and_apart():
-    item = np.arange(1, 21, dtype=np.uint64)
-    text = np.concatenate([item[10:], [0], item[:12], [0], item[3:9]]).astype(np.uint64)
-    tiles = tiling.tile(text, item)
-    assert tiles[0][2] == 12 and sum(n for _, _, n in tiles) == 20
-    marked = [i for _, p, n in tiles for i in range(p, p + n)]
-    assert len(marked) == len(set(marked))
+def slow_tiles(text, item, least):
+    """Greedy string tiling by definition: the longest match of unmarked tokens, again and again."""
+    text, item, out = list(text), list(item), []
+    while True:
+        best = (0, 0, 0)
+        for t in range(len(text)):
+            for i in range(len(item)):
+                n = 0
+                while t + n < len(text) and i + n < len(item) and text[t + n] == item[i + n] != None:  # noqa: E711
+                    n += 1
+                if n > best[0]:
+                    best = (n, t, i)
+        n, t, i = best
+        if n < least:
+            return out
+        out.append((t, i, n))
+        text[t : t + n] = [None] * n
+        item[i : i + n] = [None] * n
+
+
+def test_tiles_equal_slow_tiling():
+    rng = random.Random(21)
+    for case in range(120):
+        vocab = [b"w%d" % k for k in range(rng.choice((1, 2, 3, 30)))]
+        item = [rng.choice(vocab) for _ in range(rng.randrange(1, 40))]
+        text = [rng.choice([*vocab, b"x"]) for _ in range(rng.randrange(0, 60))]
+        for _ in range(rng.randrange(4)):
+            a = rng.randrange(len(item))
+            at = rng.randrange(len(text) + 1)
+            text[at:at] = item[a : a + rng.randrange(1, 20)]
+        number = {w: k + 1 for k, w in enumerate({*item, *text})}
+        fast = tiling.tile(np.array([number[w] for w in text], np.uint64), np.array([number[w] for w in item], np.uint64))
+        slow = slow_tiles(text, item, 5)
+        assert sorted(fast) == sorted(slow), case
+        if len(item) >= 5:
+            assert tiling.compare(text, item)[0] == sum(n for _, _, n in slow)
+
+
+def test_long_items_are_tiled_fast():
+    import time
+
+    rng = random.Random(22)
+    item = [b"w%d" % rng.randrange(3000) for _ in range(20_000)]
+    began = time.time()
+    assert tiling.compare(item[10_000:] + [b"x"] * 50 + item[:10_000], item) == (20_000, 10_000)
+    assert tiling.compare([b"a"] * 3000, [b"a"] * 500) == (500, 500)
+    assert time.time() - began < 20
+
+
+def test_items_of_any_script_and_length_are_found(spark):
+    items = [(1, "Who ARE you?"), (2, "今日は良い天気ですね散歩に行きましょう"), (3, "ÉTÉ à la plage, “déjà vu” — toujours"), (4, "!!!"), (5, None), (5, "one"), (None, "Who are you")]
+    rows = [(1, "well, who are you then"), (2, "x 今日は良い天気ですね散歩に行きましょう。"), (3, "été À LA plage déjà vu toujours!"), (None, "who are they, one"), (5, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"place": F.lit(1), "seeds": F.lit("s"), "item": F.lit(0)})
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = Counter((r["doc_id"], r["item_id"]) for r in tiling.contaminated(df, bench).collect())
+    assert got == Counter([(1, 1), (1, None), (2, 2), (3, 3), (None, 5)])
+    kept = tiling.keep_clean(df, bench)
+    assert kept.columns == df.columns and Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(5, None), (5, "")])
+    assert tiling.contaminated(df.limit(0), bench).count() == 0 and tiling.keep_clean(df, bench.limit(0)).count() == 6
 
 
 def test_frequent_words_stay_within_bound(spark):
