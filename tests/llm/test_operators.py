@@ -238,14 +238,66 @@ def test_language_model_counts_and_base_score(docs, texts):
 
 def test_language_model_is_normalised_and_learns():
     rng = np.random.default_rng(0)
-    pairs = np.zeros((30, 30), np.float32)
-    for c in range(30):
-        pairs[c, (c + 1) % 30] = 500
-        pairs[c] += rng.integers(0, 5, 30)
-    table = lbl.train(pairs, rounds=200).log10_table()
-    assert np.allclose((10.0**table).sum(axis=1), 1, atol=1e-4)
-    flat = np.log10(pairs.sum(axis=0) / pairs.sum())
-    assert (pairs * table).sum() > (pairs * flat).sum() + 0.5 * pairs.sum()
+    n, length = 30, 60_000
+    words_ = [1, 2]
+    for _ in range(length):
+        x = rng.random()
+        words_.append((words_[-1] + 1) % n if x < 0.4 else (words_[-2] + 7) % n if x < 0.8 else int(rng.integers(n)))
+    w = np.array(words_)
+    triples = np.stack([w[:-2], w[1:-1], w[2:]], axis=1)
+    frequency = np.bincount(w, minlength=n) / len(w)
+    model = lbl.initial(frequency)
+    for k in range(3):
+        model = lbl.train(model, triples, frequency, k, lbl.RATE)
+    table = np.stack([model.normalisers(c) for c in range(n)])
+    scores = np.stack([model.contexts(np.full(n, c), np.arange(n)) @ model.represent.T + model.bias - table[c][:, None] for c in range(n)])
+    assert np.allclose(np.exp(scores).sum(axis=2), 1, atol=1e-4)
+    mean = scores[triples[:, 1], triples[:, 0], triples[:, 2]].mean()
+    assert mean > (frequency * np.log(frequency)).sum() + 0.2
+
+
+def slow_scores(texts, counts, ends, model, names):
+    """log10 probabilities by definition, one token at a time with its own softmax."""
+    own, first = {w: k + 1 for k, w in enumerate(names)}, 1 + len(names)
+    inside = {}
+    for w, c in counts.items():
+        if w not in own:
+            k = first + lbl.suffix(w)
+            inside[k] = inside.get(k, 0) + c + 1
+    out = []
+    for t in texts:
+        found, before = 0.0, (lbl.END, lbl.END)
+        for w in [*(t or "").encode().lower().split(), None]:
+            kind = lbl.END if w is None else own.get(w) or first + lbl.suffix(w)
+            scores = ((model.represent[before[1]] @ model.near + model.represent[before[0]] @ model.far) @ model.represent.T + model.bias).astype(float)
+            found += (scores[kind] - np.log(np.exp(scores).sum())) / np.log(10)
+            if w is not None and w not in own:
+                found += np.log10((counts.get(w, 0) + 1) / (inside.get(kind, 0) + 1))
+            before = (before[1], kind)
+        out.append(found)
+    return out
+
+
+def test_language_model_scores_equal_slow_ones(docs, texts, monkeypatch):
+    made = []
+    fit = lbl.fit
+    monkeypatch.setattr(lbl, "fit", lambda *a: made.append(fit(*a)) or made[-1])
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = Counter(w for t in train for w in (t or "").encode().lower().split())
+    names = sorted(counts, key=lambda w: (-counts[w], w))[:20]
+    for frequent in (10, 1 << 18):
+        got = {r["doc_id"]: r for r in lbl.score(docs, ~lbl.held_out(), frequent=frequent, own=20).collect()}
+        want = slow_scores(texts, counts, len(train), made[-1], names)
+        assert [got[i]["score"] for i in range(len(texts))] == pytest.approx(want, abs=2e-2, rel=1e-4)
+        assert all(r["score"] > r["base_score"] - 2 * r["n_tokens"] for r in got.values())
+
+
+def test_language_model_with_nulls_repeats_and_extra_columns(spark):
+    rows = [(None, "a b", 1), (1, None, 2), (1, "a b", 3), (1, "a b", 3), (2, "", 4), (3, "x" * 50_000 + " y", 5), (4, "word " * 30_000, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, word int")
+    got = Counter((r["doc_id"], r["n_tokens"]) for r in lbl.score(df, ~lbl.held_out()).collect())
+    assert got == Counter([(None, 3), (1, 1), (1, 3), (1, 3), (2, 1), (3, 3), (4, 30_001)])
+    assert lbl.score(df.limit(0), ~lbl.held_out()).count() == 0
 
 
 def test_language_model_without_training_rows(spark):

@@ -1,28 +1,30 @@
 """A log-bilinear language model, trained in numpy by noise-contrastive estimation.
 
-The model predicts a token's class from the token before it: words of the ``CLASSES`` most frequent have a class each,
-the text's end (which also stands before its first token) has one, and all other words share one, inside which a word
-has its smoothed frequency. With representations R and a context matrix C, the score of class w after class c is
-(R C)[c] . R[w] + b[w].
-
-Counts over all training texts are what it learns from: word counts, and counts of neighbouring classes, summed in
-Spark. Those pairs are all that the likelihood needs, so each training step takes every training token into account
-at once; the noise side is the expectation over the noise distribution (the class frequencies). The pair counts are a
-CLASSES x CLASSES matrix however large the corpus is. Scoring multiplies the matrices out in each worker, normalises
-every row, and looks tokens up.
-
-Words beyond the ``frequent`` most frequent, whose table is broadcast, get their counts by a join on the word.
-
-Defined cases: null and empty texts are one end token; without training rows every count is zero and the model is
-uniform; rows with equal or null doc_id are scored apart; extra columns are ignored.
+Every word has a class: each of the ``own`` most frequent words one of its own, other words one of SUFFIXES that their last
+bytes choose, the text's end (which also stands before its first token) one. The model predicts a token's class from the
+classes of the two tokens before it: with representations R and a matrix for each position, the score of class w after
+c2, c1 is (R[c1] C1 + R[c2] C2) . R[w] + b[w]. Inside a suffix class a word has its smoothed frequency, so all words of
+the training texts are represented, as many as there are.
+
+Training takes every training token once: the texts are dealt by hash to ROUNDS rounds; in each, every task goes on from
+the shared weights over its own texts in batches, with noise drawn from the class frequencies, and Spark averages the
+tasks' weights by their tokens. What the driver holds is the weights. The normaliser of each pair of context classes is
+made once, by matrix products over all classes, in tasks of some rows each, and scoring multiplies the contexts out for
+a batch of texts at a time.
+
+Words beyond the ``frequent`` most frequent, whose table is broadcast, get their counts by a join on the word. The bound
+changes the work only.
+
+Defined cases: null and empty texts are one end token; without training rows every count is zero and all classes are
+alike; words of equal frequency are ordered by themselves; rows with equal or null doc_id are scored apart; texts may have
+any length; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -30,65 +32,78 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import collect_blobs, crc_of_id, most_frequent, prepare, read_blobs, settle
+from .common import WordIndex, collect_blobs, crc_of_id, most_frequent, prepare, read_blobs, settle
 
-CLASSES = 2048
+OWN, SUFFIXES = 767, 256
 FREQUENT = 1 << 18
 SIZE = 24
-END, OTHER = 0, CLASSES + 1
-_N = CLASSES + 2
+ROUNDS = 3
+#: Tokens of a training step, noise classes drawn for each, and the step's rate.
+STEP, NOISE, RATE = 2048, 64, 0.1
+END = 0
 
 
 @dataclass
 class Model:
-    represent: np.ndarray
-    context: np.ndarray
+    represent: np.ndarray  # classes x SIZE
+    near: np.ndarray  # SIZE x SIZE, for the token before
+    far: np.ndarray  # SIZE x SIZE, for the one before it
     bias: np.ndarray
 
-    def log10_table(self) -> np.ndarray:
-        """Normalised log10 probabilities, class after class."""
-        scores = (self.represent @ self.context) @ self.represent.T + self.bias
-        top = scores.max(axis=1, keepdims=True)
-        scores -= top + np.log(np.exp(scores - top).sum(axis=1, keepdims=True))
-        return scores / np.float32(np.log(10))
+    def contexts(self, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
+        return (self.represent @ self.near)[c1] + (self.represent @ self.far)[c2]
 
+    def normalisers(self, c1: int) -> np.ndarray:
+        """log of the summed exponentials after (c2, c1), for every c2."""
+        n = len(self.bias)
+        scores = self.contexts(np.full(n, c1), np.arange(n)) @ self.represent.T + self.bias
+        top = scores.max(axis=1)
+        return top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
 
-def train(pairs: np.ndarray, rounds: int = 60, noise: float = 10.0, rate: float = 0.05, seed: int = 3) -> Model:
-    """Adam steps on the noise-contrastive objective of a matrix of pair counts."""
+
+def initial(frequency: np.ndarray, seed: int = 11) -> Model:
     rng = np.random.default_rng(seed)
-    n = len(pairs)
-    total = max(float(pairs.sum(dtype=np.float64)), 1.0)
-    after = pairs.sum(axis=0, dtype=np.float64) + 0.5
-    unigram = (after / after.sum()).astype(np.float32)
-    seen = pairs * np.float32(1 / total)
-    before = (pairs.sum(axis=1, dtype=np.float64) / total).astype(np.float32)
-    shift = np.log(noise * unigram)
-    weights = [
-        rng.normal(0, 0.1, (n, SIZE)).astype(np.float32),
-        (np.eye(SIZE) * 0.5 + rng.normal(0, 0.05, (SIZE, SIZE))).astype(np.float32),
-        np.log(unigram).astype(np.float32),
-    ]
-    if pairs.sum() == 0:
-        weights[0][:] = 0
-        return Model(*weights)
-    means = [np.zeros_like(w) for w in weights]
-    squares = [np.zeros_like(w) for w in weights]
-    for t in range(1, rounds + 1):
-        represent, context, bias = weights
-        predicted = represent @ context
-        real = 1.0 / (1.0 + np.exp(-np.clip(predicted @ represent.T + (bias - shift), -30, 30)))
-        slope = seen * (1 - real) - noise * before[:, None] * unigram * real
-        into = slope @ represent
-        grads = [slope.T @ predicted + into @ context.T, represent.T @ into, slope.sum(axis=0)]
-        for w, g, m, s in zip(weights, grads, means, squares):
-            m += 0.1 * (g - m)
-            s += 0.01 * (g * g - s)
-            w += rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-9)
+    n = len(frequency)
+    matrices = [(np.eye(SIZE) * x + rng.normal(0, 0.02, (SIZE, SIZE))).astype(np.float32) for x in (0.3, 0.15)]
+    return Model(rng.normal(0, 0.1, (n, SIZE)).astype(np.float32), *matrices, np.log(frequency).astype(np.float32))
+
+
+def train(model: Model, triples: np.ndarray, frequency: np.ndarray, seed: int, rate: float = RATE) -> Model:
+    """Weights after one pass of NCE over rows (c2, c1, w), with Adagrad steps.
+
+    The noise classes of a step are shared by its tokens.
+    """
+    rng = np.random.default_rng(seed)
+    weights = [w.copy() for w in (model.represent, model.near, model.far, model.bias)]
+    squares = [np.full_like(w, 1e-3) for w in weights]
+    cumulative = np.cumsum(frequency)
+    shift = np.log(NOISE * frequency).astype(np.float32)
+    for k in range(0, len(triples), STEP):
+        c2, c1, w = triples[k : k + STEP].T
+        represent, near, far, bias = weights
+        r1, r2, rw = represent[c1], represent[c2], represent[w]
+        context = r1 @ near + r2 @ far
+        noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE) * cumulative[-1]), len(frequency) - 1)
+        rn = represent[noise]
+        real = (context * rw).sum(axis=1) + bias[w] - shift[w]
+        false = context @ rn.T + bias[noise] - shift[noise]
+        up = 1 / (1 + np.exp(np.clip(real, -30, 30)))
+        down = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
+        back = up[:, None] * rw + down @ rn
+        rows = np.concatenate([w, noise, c1, c2])
+        slopes = np.concatenate([up[:, None] * context, down.T @ context, back @ near.T, back @ far.T])
+        by_class = np.zeros_like(represent)
+        np.add.at(by_class, rows, slopes)
+        by_bias = np.bincount(w, up, len(bias)) + np.bincount(noise, down.sum(axis=0), len(bias))
+        for own, s, g in zip(weights, squares, (by_class, r1.T @ back, r2.T @ back, by_bias)):
+            g = (g / np.sqrt(len(w))).astype(np.float32)
+            s += g * g
+            own += rate * g / np.sqrt(s)
     return Model(*weights)
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
+def suffix(word: bytes) -> int:
+    return crc32(word[-3:]) % SUFFIXES
 
 
 def word_counts(train_docs: DataFrame) -> DataFrame:
@@ -98,7 +113,7 @@ def word_counts(train_docs: DataFrame) -> DataFrame:
         import pyarrow.compute as pc
 
         for batch in batches:
-            words = pc.ascii_split_whitespace(pc.ascii_lower(batch.column(0))).flatten()
+            words = split_words(batch.column(0)).flatten()
             found = words.filter(pc.not_equal(words, "")).value_counts()
             yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.binary()), found.field("counts")], ["word", "n"])
             del words, found
@@ -107,47 +122,119 @@ def word_counts(train_docs: DataFrame) -> DataFrame:
     return train_docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def pair_counts(train_docs: DataFrame, classes: list[bytes]) -> np.ndarray:
-    """Matrix of how often each class follows each class in all training texts."""
-    shared = train_docs.sparkSession.sparkContext.broadcast(classes)
+def split_words(texts: pa.Array) -> pa.ListArray:
+    """Lower-case words between ASCII white space; some may be empty, none for null."""
+    import pyarrow.compute as pc
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {w: i for i, w in enumerate(shared.value, 1)}
-        total = np.zeros(_N * _N, np.int64)
-        held, waiting = [], 0
+    return pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+
+
+@dataclass
+class Vocabulary:
+    """The frequent words with their counts and classes, by falling count, then by word."""
+
+    names: pa.Array
+    counts: np.ndarray
+    own: int  # how many of the names have a class of their own
+
+    def classes(self) -> np.ndarray:
+        """Class of each name, and of what is none of them at the end: a place for suffix classes."""
+        out = np.arange(1, len(self.names) + 2)
+        out[self.own :] = [1 + self.own + suffix(x) for x in self.names[self.own :].cast(pa.binary()).to_pylist()] + [0]
+        return out
 
-        def settle_held() -> None:
-            nonlocal waiting
-            if held:
-                total[:] += np.bincount(np.concatenate(held), minlength=_N * _N)
-            held.clear()
-            waiting = 0
 
+class Reader:
+    """Texts as codes of words (the number of names for others) and classes."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.index, self.classes, self.first = WordIndex(vocabulary.names), vocabulary.classes(), 1 + vocabulary.own
+
+    def read(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words of all texts, and for each word its text, its code and its class."""
+        import pyarrow.compute as pc
+
+        lists = split_words(texts)
+        flat = lists.flatten()
+        text = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        real = pc.not_equal(flat, "")
+        flat, text = flat.filter(real), text[real.to_numpy(zero_copy_only=False)]
+        flat = flat.dictionary_encode()
+        spot = self.index.places(flat.dictionary)
+        kind = self.classes[spot]
+        other = np.flatnonzero(spot < 0)
+        kind[other] = [self.first + suffix(x) for x in flat.dictionary.take(pa.array(other)).cast(pa.binary()).to_pylist()]
+        spot[other] = len(self.index.names)
+        at = flat.indices.to_numpy(zero_copy_only=False)
+        code, kind = spot[at], kind[at]
+        return flat, text, code, kind
+
+
+def triples_of(text: np.ndarray, kind: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (c2, c1, w) of all tokens, the ends included, and the text of each."""
+    sizes = np.bincount(text, minlength=texts)
+    # Each text's classes stand between two ends before and one after.
+    at = np.arange(len(kind)) + 3 * text + 2
+    padded = np.full(len(kind) + 3 * texts, END)
+    padded[at] = kind
+    starts = np.cumsum(sizes + 3) - (sizes + 3)
+    token = np.ones(len(padded), bool)
+    token[starts] = token[starts + 1] = False
+    token = np.flatnonzero(token)
+    return np.stack([padded[token - 2], padded[token - 1], padded[token]], axis=1), np.repeat(np.arange(texts), sizes + 1)
+
+
+def fit(train_docs: DataFrame, vocabulary: Vocabulary, frequency: np.ndarray, rounds: int = ROUNDS) -> Model:
+    """Weights from all training texts, each token once."""
+    spark = train_docs.sparkSession
+    model = initial(frequency)
+    words = spark.sparkContext.broadcast(vocabulary)
+    schema = "row int, n double, weights array<double>"
+    for k in range(rounds):
+        shared = spark.sparkContext.broadcast(model)
+
+        def learn(batches: Iterator[pa.RecordBatch], k: int = k, shared=shared) -> Iterator[pa.RecordBatch]:
+            reader, own, tokens = Reader(words.value), shared.value, 0
+            for number, batch in enumerate(batches):
+                _, text, _, kind = reader.read(batch.column(0))
+                triples, _ = triples_of(text, kind, batch.num_rows)
+                own = train(own, np.random.default_rng(number).permutation(triples), frequency, number, RATE / (1 + k))
+                tokens += len(triples)
+                del text, kind, triples
+                pa.default_memory_pool().release_unused()
+            if tokens:
+                rows = np.concatenate([np.column_stack([own.represent, own.bias]), np.column_stack([own.near, np.zeros(SIZE)]), np.column_stack([own.far, np.zeros(SIZE)])])
+                data = [(tokens * r).tolist() for r in rows.astype(np.float64)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows)), pa.int32()), pa.array(np.full(len(rows), float(tokens))), pa.array(data)], ["row", "n", "weights"])
+
+        share = train_docs.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k).select("text").mapInArrow(learn, schema)
+        mean = [(F.sum(F.get("weights", F.lit(j))) / F.sum("n")).alias(f"w{j}") for j in range(SIZE + 1)]
+        # As many rows as classes and matrices have.
+        found = share.groupBy("row").agg(*mean).orderBy("row").select(*[f"w{j}" for j in range(SIZE + 1)]).toPandas().to_numpy(np.float32)
+        shared.unpersist()
+        if len(found):
+            n = len(frequency)
+            model = Model(found[:n, :SIZE], found[n : n + SIZE, :SIZE], found[n + SIZE :, :SIZE], found[:n, SIZE])
+    return model
+
+
+def normaliser_table(spark, model: Model) -> np.ndarray:
+    """log normaliser for each (c1, c2): a matrix product for each c1, in tasks."""
+    n = len(model.bias)
+    shared = spark.sparkContext.broadcast(model)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = words_of(text)
-                ids = np.empty(len(words) + 2, np.int64)
-                ids[0] = ids[-1] = END
-                ids[1:-1] = np.fromiter(map(place.get, words, repeat(OTHER)), np.int64, len(words))
-                held.append(ids[:-1] * _N + ids[1:])
-                waiting += len(ids)
-                if waiting > 2_000_000:
-                    settle_held()
-        settle_held()
-        codes = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(total[codes])], ["code", "n"])
-
-    texts = train_docs.select(F.col("text").cast("binary").alias("text"))
-    found = texts.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    # At most _N x _N rows, whatever the corpus.
-    rows = read_blobs(collect_blobs(found.select(F.col("code").cast("int").alias("code"), "n")))
-    pairs = np.zeros(_N * _N, np.float32)
-    if rows:
-        pairs[rows["code"].to_numpy()] = rows["n"].to_numpy()
-    return pairs.reshape(_N, _N)
-
-
-def score(docs: DataFrame, training, frequent: int = FREQUENT) -> DataFrame:
+            for c in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([shared.value.normalisers(c).astype("<f4").tobytes()], pa.binary())], ["c", "row"])
+
+    rows = spark.range(0, n, 1, spark.sparkContext.defaultParallelism).mapInArrow(of, "c long, row binary")
+    table = read_blobs(collect_blobs(rows))
+    order = np.argsort(table["c"].to_numpy())
+    return np.stack([np.frombuffer(x, "<f4") for x in table["row"].take(pa.array(order)).to_pylist()])
+
+
+def score(docs: DataFrame, training, frequent: int = FREQUENT, own: int = OWN) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score; training is the condition of training rows."""
     spark = prepare(docs.sparkSession)
     train_docs = docs.where(training).select("text")
@@ -155,63 +242,88 @@ def score(docs: DataFrame, training, frequent: int = FREQUENT) -> DataFrame:
     ends = train_docs.count()
     summed = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = summed["n"] + ends, summed["v"] + (1 if ends else 0)
+    # The most frequent words, whatever the bound of the table.
+    own_rows = counts.orderBy(F.desc("n"), "word").limit(own).collect()
+    names, times = [bytes(r["word"]) for r in own_rows], [r["n"] for r in own_rows]
     top, rest = most_frequent(counts, frequent)
     table = read_blobs(collect_blobs(top))
-    names, times = (table["word"].to_pylist(), table["n"].to_numpy()) if table else ([], np.zeros(0, np.int64))
-    order = sorted(range(len(names)), key=lambda i: (-times[i], names[i]))
-    names, times = [names[i] for i in order], times[order].astype(np.int64)
-    del table, order
-    model = train(pair_counts(train_docs, names[:CLASSES]))
-    own = times[:CLASSES].sum()
-    base_down = float(total + distinct + 1)
-    other_down = float((summed["n"] - own) + max(summed["v"] - CLASSES, 0) + 1)
-    end_base = float(np.log10((ends + 1) / base_down))
-    shared = spark.sparkContext.broadcast((names, times, model.represent, model.context, model.bias))
+    more = dict(zip(table["word"].to_pylist(), table["n"].to_pylist())) if table else {}
+    for w in names:
+        more.pop(w, None)
+    vocabulary = Vocabulary(pa.array([x.decode() for x in [*names, *more]], pa.string()), np.array([*times, *more.values()], np.int64), own)
+    del table, more
+    # Tokens and words of each suffix class.
+    last = F.crc32(F.substr("word", F.greatest(F.octet_length("word") - 2, F.lit(1)), F.lit(3))) % SUFFIXES
+    by_suffix = counts.groupBy(last.alias("s")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
+    held, kinds = np.zeros(SUFFIXES, np.int64), np.zeros(SUFFIXES, np.int64)
+    for r in by_suffix:
+        held[r["s"]], kinds[r["s"]] = r["n"], r["v"]
+    for w, n in zip(names, times):
+        s = suffix(w)
+        held[s], kinds[s] = held[s] - n, kinds[s] - 1
+    of_class = np.concatenate([[ends], times, np.zeros(own - len(times)), held]).astype(np.float64)
+    frequency = (of_class + 0.5) / (of_class + 0.5).sum()
+    model = fit(train_docs, vocabulary, frequency)
+    base_down = float(np.log10(total + distinct + 1))
+    # What a word's count plus one is divided by inside its class; nothing in a class of one word.
+    own_down = np.concatenate([np.zeros(1 + own), np.log10(held + kinds + 1.0)])
+    end_base = float(np.log10(ends + 1)) - base_down
+    shared = spark.sparkContext.broadcast((vocabulary, model, normaliser_table(spark, model)))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names_, times_, *weights = shared.value
-        place = {w: i for i, w in enumerate(names_)}
-        table = Model(*weights).log10_table().ravel()
-        base_of = np.append(np.log10((times_ + 1) / base_down), 0.0)
-        other_of = np.append(np.log10((times_ + 1) / other_down), 0.0)
-        other_of[:CLASSES] = 0.0
-        here, row = TaskContext.get().partitionId(), 0
+        words_, model_, normalisers = shared.value
+        reader, known, single = Reader(words_), len(words_.names), words_.own
+        logs = np.append(np.log10(words_.counts + 1.0), 0.0)
+        near, far = model_.represent @ model_.near, model_.represent @ model_.far
+        here, row = TaskContext.get().partitionId() << 40, 0
+        kinds_ = pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()
         for batch in batches:
-            rid, word, n, doc, tokens, known, base, own_score = [], [], [], [], [], [], [], []
-            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = words_of(text)
-                at = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))
-                ids = np.empty(len(words) + 2, np.int64)
-                ids[0] = ids[-1] = END
-                ids[1:-1] = np.where((at >= 0) & (at < CLASSES), at + 1, OTHER)
-                unknown = np.flatnonzero(at < 0)
-                r = (here << 40) + row
-                row += 1
-                # A blank cannot be in a word, so this key meets no count.
-                rid.append(r), word.append(b" %d" % r), n.append(0), doc.append(ident)
-                tokens.append(len(words) + 1)
-                known.append(len(words) - len(unknown) + (1 if ends else 0))
-                base.append(float(base_of[at].sum()) + end_base)
-                own_score.append(float(table[ids[:-1] * _N + ids[1:]].sum(dtype=np.float64) + other_of[at].sum()))
-                for w, k in Counter([words[i] for i in unknown]).items():
-                    rid.append(r), word.append(w), n.append(k), doc.append(None)
-                    tokens.append(0), known.append(0), base.append(0.0), own_score.append(0.0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rid, pa.int64()), pa.array(word, pa.binary()), pa.array(n, pa.int64()), pa.array(doc, pa.int64()), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(own_score, pa.float64())],
-                ["rid", "word", "times", "doc_id", "n_tokens", "n_known", "base", "own"],
+            n = batch.num_rows
+            flat, text, code, kind = reader.read(batch.column(1))
+            triples, of_text = triples_of(text, kind, n)
+            scores = np.zeros(n)
+            for k in range(0, len(triples), 1 << 16):
+                c2, c1, w = triples[k : k + (1 << 16)].T
+                got = np.einsum("ij,ij->i", near[c1] + far[c2], model_.represent[w]) + model_.bias[w] - normalisers[c1, c2]
+                scores += np.bincount(of_text[k : k + (1 << 16)], got, n) / np.log(10)
+            count_log = logs[code]
+            scores += np.bincount(text, np.where(kind > single, count_log - own_down[kind], 0.0), n)
+            base = np.bincount(text, count_log - base_down, n) + end_base
+            sizes = np.bincount(text, minlength=n)
+            seen = np.bincount(text, code < known, n).astype(np.int64) + (1 if ends else 0)
+            # Words that the table lacks, counted for each text; a blank cannot be in a word, so the texts' own rows meet no count.
+            other = np.flatnonzero(code == known)
+            names_ = flat.dictionary.cast(pa.binary())
+            pair, how_often = np.unique(text[other] * max(len(names_), 1) + flat.indices.to_numpy(zero_copy_only=False)[other], return_counts=True)
+            at, which = np.divmod(pair, max(len(names_), 1))
+            ids = here + row + np.arange(n)
+            row += n
+            none = np.zeros(len(pair))
+            columns = (
+                np.concatenate([ids, ids[at]]),
+                [b" %d" % r for r in ids.tolist()] + names_.take(pa.array(which)).to_pylist(),
+                np.concatenate([np.zeros(n, np.int64), how_often]),
+                batch.column(0).to_pylist() + [None] * len(pair),
+                np.concatenate([sizes + 1, none.astype(np.int64)]),
+                np.concatenate([seen, none.astype(np.int64)]),
+                np.concatenate([base, none]),
+                np.concatenate([scores, none]),
             )
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds_)], ["rid", "word", "times", "doc_id", "n_tokens", "n_known", "base", "own"])
+            del flat, text, code, kind, triples, of_text, columns, names_
+            pa.default_memory_pool().release_unused()
 
-    parts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
+    parts = docs.select("doc_id", "text").mapInArrow(
         measure, "rid long, word binary, times long, doc_id long, n_tokens long, n_known long, base double, own double"
     )
-    rest = rest.withColumnRenamed("n", "c")
-    seen = F.coalesce("c", F.lit(0))
-    joined = parts.join(rest, "word", "left").groupBy("rid").agg(
+    times_ = F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)
+    gained = F.sum(times_ * F.log10(F.coalesce("c", F.lit(0)) + 1))
+    joined = parts.join(rest.withColumnRenamed("n", "c"), "word", "left").groupBy("rid").agg(
         F.max("doc_id").alias("doc_id"),
         F.sum("n_tokens").alias("n_tokens"),
-        (F.sum("n_known") + F.sum(F.when(seen > 0, F.col("times")).otherwise(0))).alias("n_known"),
-        (F.sum("base") + F.sum(F.col("times") * F.log10((seen + 1) / F.lit(base_down)))).alias("base_score"),
-        (F.sum("own") + F.sum(F.col("times") * F.log10((seen + 1) / F.lit(other_down)))).alias("score"),
+        (F.sum("n_known") + F.sum(times_)).alias("n_known"),
+        (F.sum("base") + gained).alias("base_score"),
+        (F.sum("own") + gained).alias("score"),
     )
     return joined.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
