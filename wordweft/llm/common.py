@@ -83,9 +83,12 @@ class WordIndex:
 
     @staticmethod
     def _hashes(words):
+        import numpy as np
         import pandas as pd
 
-        return pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False)
+        # A slice at a time, since strings become objects for as long as they are hashed.
+        slices = (words.slice(k, 1 << 16).to_numpy(zero_copy_only=False) for k in range(0, len(words), 1 << 16))
+        return np.concatenate([np.zeros(0, np.uint64), *(pd.util.hash_array(x, categorize=False) for x in slices)])
 
     def places(self, words):
         """Place of each of an array's words, -1 for others; of names with the same hash one is found."""

@@ -43,6 +43,8 @@ SEGMENT_IDS = 1 << 16
 FREQUENT = 1 << 19
 #: Bytes of text of a range of the exchange, on average.
 RANGE_BYTES = 32 << 20
+#: Share of the rows whose words are counted for the table of frequent ones.
+COUNTED = 0.2
 SEGMENT_COLUMNS = ["part", "segment", "first", "doc_ids", "counts", "payload"]
 
 
@@ -142,13 +144,28 @@ def encode_words(tok, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
 
 
-def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Values of the lists at place, one after another, and each list's size."""
-    n = sizes[place]
-    ends = np.cumsum(n)
-    spots = np.repeat(starts[place] - ends + n, n)
-    spots += np.arange(len(spots))
-    return values[spots], n
+class Lists:
+    """Lists of ids one after another: those that stay, and after them those of the batch at hand."""
+
+    def __init__(self, values: np.ndarray, sizes: np.ndarray):
+        self.values, self.sizes, self.starts = values, sizes, np.cumsum(sizes) - sizes
+        self.count, self.total = len(sizes), len(values)
+
+    def follow(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        """Put lists in the place of those that came last."""
+        n, total = self.count + len(sizes), self.total + len(values)
+        if n > len(self.sizes) or total > len(self.values):
+            self.sizes, self.starts = [np.concatenate([x[: self.count], np.zeros(2 * len(sizes), np.int64)]) for x in (self.sizes, self.starts)]
+            self.values = np.concatenate([self.values[: self.total], np.zeros(2 * len(values), np.uint32)])
+        self.sizes[self.count : n], self.values[self.total : total] = sizes, values
+        self.starts[self.count : n] = self.total + np.cumsum(sizes) - sizes
+
+    def gather(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the lists at place, one after another, and each list's size."""
+        n = self.sizes[place]
+        spots = np.repeat(self.starts[place] - np.cumsum(n) + n, n)
+        spots += np.arange(len(spots))
+        return self.values[spots], n
 
 
 def text_encoder(tok, known: pa.Table | None):
@@ -163,11 +180,10 @@ def text_encoder(tok, known: pa.Table | None):
 
     names = known["word"].combine_chunks() if known else pa.array([], pa.string())
     held = known["ids"].combine_chunks() if known else pa.array([], pa.binary())
-    known_sizes = pc.binary_length(held).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-    known_values = np.frombuffer(b"".join(held.to_pylist()), np.uint32)
-    known_starts = np.cumsum(known_sizes) - known_sizes
+    sizes = pc.binary_length(held).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+    lists = Lists(np.frombuffer(b"".join(held.to_pylist()), np.uint32), sizes)
     index = WordIndex(names)
-    del known, held
+    del known, held, sizes
 
     def rare_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts = [m.groups() if "<|" not in w and (m := _TAIL.fullmatch(w)) else (w,) for w in words]
@@ -176,10 +192,9 @@ def text_encoder(tok, known: pa.Table | None):
         each = pa.array(list(place), pa.string())
         spot = index.places(each)
         new = spot < 0
-        values, sizes = encode_words(tok, each.filter(pa.array(new)).to_pylist())
+        lists.follow(*encode_words(tok, each.filter(pa.array(new)).to_pylist()))
         spot[new] = len(names) + np.arange(int(new.sum()))
-        starts = np.concatenate([known_starts, len(known_values) + np.cumsum(sizes) - sizes])
-        ids, n = gather(np.concatenate([known_values, values]), starts, np.concatenate([known_sizes, sizes]), spot[at])
+        ids, n = lists.gather(spot[at])
         bounds = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(list(map(len, parts)), dtype=np.int64)])]
         return ids, np.diff(bounds)
 
@@ -189,12 +204,11 @@ def text_encoder(tok, known: pa.Table | None):
         flat = split.flatten().dictionary_encode()
         spot = index.places(flat.dictionary)
         new = spot < 0
-        values, sizes = rare_words(flat.dictionary.filter(pa.array(new)).to_pylist())
+        lists.follow(*rare_words(flat.dictionary.filter(pa.array(new)).to_pylist()))
         spot[new] = len(names) + np.arange(int(new.sum()))
         place = spot[flat.indices.to_numpy(zero_copy_only=False)]
         del flat
-        starts = np.concatenate([known_starts, len(known_values) + np.cumsum(sizes) - sizes])
-        ids, n = gather(np.concatenate([known_values, values]), starts, np.concatenate([known_sizes, sizes]), place)
+        ids, n = lists.gather(place)
         return ids, np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False))])]
 
     return run
@@ -206,9 +220,10 @@ def write_segments(
 ) -> None:
     """Encode docs in ascending doc_id order and write their segments to path.
 
-    The ``frequent`` most frequent words are encoded once and broadcast, a table of so many rows at most. Rows are
-    exchanged once, by ranges of (doc_id, row), so that a doc_id of many rows is dealt to several ranges; each range
-    encodes its texts and writes its segments. special_as_text: names of special tokens in a text are plain text.
+    Frequent words, ``frequent`` at most, are encoded once and broadcast; they are counted in a share of the rows, since
+    they save work and change nothing else. Rows are exchanged once, by ranges of (doc_id, row), so that a doc_id of many
+    rows is dealt to several ranges; each range encodes its texts and writes its segments. special_as_text: names of
+    special tokens in a text are plain text.
     """
     spark = prepare(docs.sparkSession)
     shared_json = spark.sparkContext.broadcast(tokenizer_json)
@@ -221,7 +236,7 @@ def write_segments(
             own = [data[i:j] for i, j in zip([0, *ends], ends)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["word", "ids"])
 
-    top, _ = most_frequent(settle(word_counts(docs.select("text")), "words"), frequent)
+    top, _ = most_frequent(settle(word_counts(docs.select("text").sample(COUNTED, seed=5)), "words"), frequent)
     spread = top.select(F.col("word").cast("string").alias("word")).repartition(2 * spark.sparkContext.defaultParallelism)
     shared = spark.sparkContext.broadcast(collect_blobs(spread.mapInArrow(words, "word string, ids binary")))
 
