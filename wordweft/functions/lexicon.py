@@ -40,10 +40,6 @@ def key_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, i) for i, k in enumerate(LEXICAL_KEYS)], "lexical_key string, edge_type int")
 
 
-def pos_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(t, i) for i, t in enumerate(POS_TAGS)], "target_pos string, pos_id int")
-
-
 def key_name(number: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, LEXICAL_KEYS)), number.cast("int") + 1)
 

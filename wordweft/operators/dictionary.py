@@ -139,11 +139,11 @@ def flat_tokens(texts: DataFrame, lexicon: dict | None = None, tokenizer: Callab
 
 
 def link_index(tokens: DataFrame) -> DataFrame:
-    """word, link_field, lexical_key, pos, target: surface and lemma values, each distinct on its own."""
-    def side(field: str) -> DataFrame:
-        return tokens.select("word", F.lit(field).alias("link_field"), "lexical_key", "pos", F.col(field).alias("target"))
-
-    return side("w").unionByName(side("l")).where("target is not null").distinct()
+    """word, link_field, lexical_key, pos, target: surface and lemma values, each distinct on its own, in one pass."""
+    sides = F.array(*[F.struct(F.lit(f).alias("link_field"), F.col(f).alias("target")) for f in ("w", "l")])
+    flat = tokens.select("word", "lexical_key", "pos", F.explode(sides).alias("side"))
+    found = flat.select("word", F.col("side.link_field").alias("link_field"), "lexical_key", "pos", F.col("side.target").alias("target"))
+    return found.where("target is not null").distinct()
 
 
 def links_to_map(links: DataFrame) -> DataFrame:

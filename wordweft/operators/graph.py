@@ -93,27 +93,46 @@ def _legal() -> Column:
     )
 
 
+#: Traversals that share a row of the search state, a bit each.
+BLOCK = 62
+
+
+def _blocks(roots: DataFrame) -> DataFrame:
+    """roots with block and bit: traversals of one setting, at most BLOCK a block."""
+    setting = ["lemmatized", "field_mask", "pos_mask"]
+    shares = roots.count() // BLOCK + 1
+    dealt = roots.withColumn("share", F.pmod(F.xxhash64("query_id"), F.lit(shares)))
+    place = F.row_number().over(Window.partitionBy(*setting, "share").orderBy("query_id")) - 1
+    block = F.xxhash64(*setting, "share", F.floor(F.col("place") / BLOCK))
+    return dealt.withColumn("place", place).withColumn("block", block).withColumn("bit", F.col("place") % BLOCK).drop("share", "place")
+
+
 def bfs(roots: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """query_id, vertex, dist, parent from rows (query_id, vertex, lemmatized, field_mask, pos_mask).
+    """query_id, vertex, dist from rows (query_id, vertex, lemmatized, field_mask, pos_mask), one a query.
 
-    edges are ``compact_edges``. Equal parents resolve to the least id. Ends when no query finds a new vertex.
+    edges are ``compact_edges``. Traversals go in blocks: a row (block, vertex) holds a bit for each traversal of the
+    block that has met the vertex, so many roots cost little more than one. Ends when no traversal finds a new vertex.
     """
-    settings = roots.select("query_id", "lemmatized", "field_mask", "pos_mask")
-    seen = settle(roots.select("query_id", "vertex", F.lit(0).alias("dist"), F.lit(None).cast("long").alias("parent")), "level")
-    levels, depth = [seen], 0
-    frontier = seen
+    members = settle(_blocks(roots), "members")
+    settings = members.select("block", "lemmatized", "field_mask", "pos_mask").distinct()
+    first = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit")))
+    state = settle(members.groupBy("block", "vertex").agg(first.alias("fresh")).select("block", "vertex", "fresh", F.col("fresh").alias("seen")), "level")
+    levels, depth = [state], 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        here = frontier.select("query_id", "vertex").join(settings, "query_id").alias("q")
+        here = state.where("fresh <> 0").select("block", "vertex", "fresh").join(settings, "block").alias("q")
         step = here.join(edges.alias("e"), (F.col("q.vertex") == F.col("e.source_id")) & _legal())
-        fresh = step.groupBy("query_id", F.col("target_id").alias("vertex")).agg(F.min("source_id").alias("parent"))
-        known = reduce(DataFrame.unionByName, levels).select("query_id", "vertex")
-        fresh = fresh.join(known, ["query_id", "vertex"], "left_anti")
-        frontier = settle(fresh.select("query_id", "vertex", F.lit(depth).alias("dist"), "parent"), "level")
-        if frontier.isEmpty():
+        met = step.groupBy("block", F.col("target_id").alias("vertex")).agg(F.bit_or("fresh").alias("met"))
+        seen = state.select("block", "vertex", "seen")
+        held, found = [F.coalesce(c, F.lit(0).cast("long")) for c in ("seen", "met")]
+        joined = seen.join(met, ["block", "vertex"], "full").select("block", "vertex", found.bitwiseAND(F.bitwise_not(held)).alias("fresh"), held.bitwiseOR(found).alias("seen"))
+        state = settle(joined, "level")
+        if state.where("fresh <> 0").isEmpty():
             break
-        levels.append(frontier)
-    return reduce(DataFrame.unionByName, levels)
+        levels.append(state)
+    bits = F.filter(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda b: F.getbit("fresh", b) == 1)
+    each = [x.where("fresh <> 0").select("block", "vertex", F.lit(d).alias("dist"), F.explode(bits).alias("bit")) for d, x in enumerate(levels)]
+    return reduce(DataFrame.unionByName, each).join(members.select("block", "bit", "query_id"), ["block", "bit"]).select("query_id", "vertex", "dist")
 
 
 def _roots(queries: DataFrame, nodes: DataFrame, word: str) -> DataFrame:
@@ -128,30 +147,36 @@ def _root_id(word: str) -> Column:
     return F.xxhash64(F.lower(word), "lemmatized", "field_mask", "pos_mask")
 
 
-def _rebuild(ends: DataFrame, tree: DataFrame, nodes: DataFrame) -> DataFrame:
-    """key, path (words, root first) from rows (key, root_id, vertex), walking parents level by level."""
-    walk = settle(ends.select("key", "root_id", "vertex", F.array().cast("array<string>").alias("path")), "walk")
-    done = []
+def _rebuild(ends: DataFrame, tree: DataFrame, roots: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """key, path (words, root first) from rows (key, root_id, vertex), walking up level by level.
+
+    A vertex's parent is the least id among those one level nearer to the root that have a legal edge to it.
+    """
     names = nodes.select(F.col("node_id").alias("vertex"), F.col("word").alias("name"))
-    above = tree.select(F.col("query_id").alias("root_id"), "vertex", "parent")
+    settings = roots.select(F.col("query_id").alias("root_id"), "lemmatized", "field_mask", "pos_mask")
+    dist = tree.select(F.col("query_id").alias("root_id"), "vertex", "dist")
+    walk = settle(ends.join(dist, ["root_id", "vertex"]).select("key", "root_id", "vertex", "dist", F.array().cast("array<string>").alias("path")), "walk")
+    done = []
     while not walk.isEmpty():
-        named = walk.join(names, "vertex").join(above, ["root_id", "vertex"])
-        named = named.select("key", "root_id", F.col("parent").alias("vertex"), F.concat(F.array("name"), "path").alias("path"))
-        named = settle(named, "walk")
-        done.append(named.where("vertex is null").select("key", "path"))
-        walk = named.where("vertex is not null")
+        named = settle(walk.join(names, "vertex").select("key", "root_id", "vertex", "dist", F.concat(F.array("name"), "path").alias("path")), "named")
+        done.append(named.where("dist = 0").select("key", "path"))
+        above = named.where("dist > 0").join(settings, "root_id").alias("q").join(edges.alias("e"), (F.col("q.vertex") == F.col("e.target_id")) & _legal())
+        above = above.select("key", "root_id", F.col("source_id").alias("vertex"), (F.col("dist") - 1).alias("dist"), "path").join(dist, ["root_id", "vertex", "dist"])
+        near = above.groupBy("key").agg(F.min("vertex").alias("vertex"), *[F.first(c).alias(c) for c in ("root_id", "dist", "path")])
+        walk = settle(near, "walk")
     return reduce(DataFrame.unionByName, done) if done else walk.select("key", "path")
 
 
 def shortest_paths(queries: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """query_id, path (null without a route), links; equal words give a path of one word, known or not."""
-    tree = bfs(_roots(queries, nodes, "start"), compact_edges(edges))
+    roots, flat = settle(_roots(queries, nodes, "start"), "roots"), settle(compact_edges(edges), "flat_edges")
+    tree = settle(bfs(roots, flat), "tree")
     goal = nodes.select(F.col("node_id").alias("vertex"), F.col("word").alias("low"))
     asked = queries.withColumn("root_id", _root_id("start")).withColumn("low", F.lower("target"))
     ends = asked.where(F.lower("start") != F.lower("target")).join(goal, "low").join(
         tree.select(F.col("query_id").alias("root_id"), "vertex"), ["root_id", "vertex"]
     )
-    paths = _rebuild(ends.select(F.col("query_id").alias("key"), "root_id", "vertex"), tree, nodes)
+    paths = _rebuild(ends.select(F.col("query_id").alias("key"), "root_id", "vertex"), tree, roots, nodes, flat)
     out = asked.join(paths.withColumnRenamed("key", "query_id"), "query_id", "left")
     path = F.when(F.lower("start") == F.lower("target"), F.array(F.lower("start"))).otherwise(F.col("path"))
     return out.select("query_id", path.alias("path")).withColumn("links", F.size("path") - 1).withColumn("links", F.when(F.col("path").isNotNull(), F.col("links")))
@@ -162,7 +187,8 @@ def collide_paths(queries: DataFrame, nodes: DataFrame, edges: DataFrame) -> Dat
     sides = queries.select(F.col("start").alias("w"), "lemmatized", "field_mask", "pos_mask").unionByName(
         queries.select(F.col("target").alias("w"), "lemmatized", "field_mask", "pos_mask")
     )
-    tree = bfs(_roots(sides, nodes, "w"), compact_edges(edges))
+    roots, flat = settle(_roots(sides, nodes, "w"), "roots"), settle(compact_edges(edges), "flat_edges")
+    tree = settle(bfs(roots, flat), "tree")
     asked = queries.withColumn("a_id", _root_id("start")).withColumn("b_id", _root_id("target"))
     left = tree.select(F.col("query_id").alias("a_id"), "vertex", F.col("dist").alias("a"))
     right = tree.select(F.col("query_id").alias("b_id"), "vertex", F.col("dist").alias("b"))
@@ -172,7 +198,7 @@ def collide_paths(queries: DataFrame, nodes: DataFrame, edges: DataFrame) -> Dat
     ends = best.select(F.concat(F.lit("a"), F.col("query_id").cast("string")).alias("key"), F.col("a_id").alias("root_id"), "vertex").unionByName(
         best.select(F.concat(F.lit("b"), F.col("query_id").cast("string")).alias("key"), F.col("b_id").alias("root_id"), "vertex")
     )
-    paths = settle(_rebuild(ends, tree, nodes), "paths")
+    paths = settle(_rebuild(ends, tree, roots, nodes, flat), "paths")
     mark = F.col("query_id").cast("string")
     out = asked.join(best.select("query_id", "links"), "query_id", "left")
     out = out.join(paths.select(F.col("key").alias("ka"), F.col("path").alias("pa")), F.concat(F.lit("a"), mark) == F.col("ka"), "left")
@@ -234,7 +260,3 @@ def graph_parity(links: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFr
     s, t = nodes.select(F.col("node_id").alias("source_id"), F.col("word").alias("source")), nodes.select(F.col("node_id").alias("target_id"), F.col("word").alias("target"))
     snapshot = edges.select("source_id", "target_id").distinct().join(s, "source_id").join(t, "target_id").select("source", "target")
     return index.exceptAll(snapshot).withColumn("side", F.lit("index")).unionByName(snapshot.exceptAll(index).withColumn("side", F.lit("snapshot")))
-
-
-def rank_by(window_columns: list[str], *order: Column) -> Column:
-    return F.row_number().over(Window.partitionBy(*window_columns).orderBy(*order))

@@ -7,16 +7,22 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import LEXICAL_KEYS, POS_TAGS, key_name, pos_name
 
+#: The fixed lists in SQL.
+SQL_KEYS, SQL_TAGS = str(list(LEXICAL_KEYS)), str(list(POS_TAGS))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English sentences of two tokens or more: doc_id, six, word (first token), rest (tokens), lexical_key."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.posexplode(F.split("text", "[.]", -1)).alias("six", "sentence"))
-    tokens = docs.select("doc_id", "six", F.regexp_extract_all("sentence", F.lit("[A-Za-z]+"), F.lit(0)).alias("tokens"))
-    return tokens.where(F.size("tokens") >= 2).select(
+    """English sentences of two tokens or more: doc_id, six, word (first token), rest (tokens), lexical_key.
+
+    Tokens come out of the generator itself, so that what stands above never takes them from the text again.
+    """
+    tokens = F.transform(F.split("text", "[.]", -1), lambda s: F.regexp_extract_all(s, F.lit("[A-Za-z]+"), F.lit(0)))
+    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.posexplode_outer(tokens).alias("six", "tokens"))
+    return docs.where(F.size("tokens") >= 2).select(
         "doc_id", "six", F.get("tokens", F.lit(0)).alias("word"), F.slice("tokens", F.lit(2), F.size("tokens")).alias("rest"),
         key_name(F.col("six") % len(LEXICAL_KEYS)).alias("lexical_key"),
     )
@@ -24,7 +30,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entry_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a token: word (key), lexical_key, w, l, pos."""
-    flat = entries(spark, sf_dir).select(F.lower("word").alias("word"), "lexical_key", F.explode("rest").alias("w"))
+    flat = entries(spark, sf_dir).select(F.lower("word").alias("word"), "lexical_key", F.explode_outer("rest").alias("w"))
     low = F.lower("w")
     lemma = F.when((F.length("w") > 3) & low.endswith("s"), F.expr("left(lower(w), length(w) - 1)")).otherwise(low)
     return flat.select("word", "lexical_key", "w", lemma.alias("l"), pos_name(F.length("w") % len(POS_TAGS)).alias("pos"))
@@ -44,23 +50,23 @@ def race_columns(events: DataFrame) -> DataFrame:
 
 
 #: The same adapter in SQL, for oracles.
-SQL_ENTRIES = """
+SQL_ENTRIES = f"""
 sentences as (
   select doc_id, generate_subscripts(parts, 1) - 1 as six, unnest(parts) as sentence
   from (select doc_id, string_split(text, '.') as parts from documents where lang = 'en')
 ), entries as (
   select doc_id, six, tokens[1] as word, tokens[2:] as rest,
-    (['antonyms','synonyms','hypernyms','hyponyms','holonyms','meronyms','derived','related','coordinate_terms','glosses','examples','categories'])[six % 12 + 1] as lexical_key
+    ({SQL_KEYS})[six % 12 + 1] as lexical_key
   from (select doc_id, six, regexp_extract_all(sentence, '[A-Za-z]+') as tokens from sentences) where len(tokens) >= 2
 )"""
 SQL_TOKENS = (
     SQL_ENTRIES
-    + """, raw_tokens as (
+    + f""", raw_tokens as (
   select lower(word) as word, lexical_key, unnest(rest) as w from entries
 ), tokens as (
   select word, lexical_key, w,
     case when length(w) > 3 and lower(w) like '%s' then lower(w)[1:length(w) - 1] else lower(w) end as l,
-    (['ADJ','ADP','ADV','AUX','CCONJ','DET','INTJ','NOUN','NUM','PART','PRON','PROPN','PUNCT','SCONJ','SYM','VERB','X','SPACE'])[length(w) % 18 + 1] as pos
+    ({SQL_TAGS})[length(w) % 18 + 1] as pos
   from raw_tokens
 )"""
 )
@@ -73,11 +79,11 @@ SQL_LINKS = (
 )
 SQL_GRAPH = (
     SQL_LINKS
-    + """, nodes as (
+    + f""", nodes as (
   select row_number() over (order by word) - 1 as node_id, word from (select distinct word from tokens)
 ), edges as (
   select s.node_id as source_id, t.node_id as target_id,
-    list_position(['antonyms','synonyms','hypernyms','hyponyms','holonyms','meronyms','derived','related','coordinate_terms','glosses','examples','categories'], lexical_key) - 1 as edge_type,
+    list_position({SQL_KEYS}, lexical_key) - 1 as edge_type,
     case when link_field = 'l' then 1 else 0 end as lemmatized, pos as target_pos
   from links join nodes s on s.word = links.word join nodes t on t.word = lower(links.target)
 )"""
