@@ -60,7 +60,7 @@ def test_pipeline_equals_brute_force(spark, folder):
     docs = spark.read.parquet(f"{base}/documents.parquet")
     first = corpus_pipeline.quality_rules(spark, docs, base)
     assert first.columns == docs.columns and sorted(r["doc_id"] for r in first.collect()) == [i for i, _ in kept]
-    known = toxicity.training_sample(docs, spark.read.parquet(f"{base}/labels.parquet"), "quality", cnn.SAMPLE_DOCS, cnn.LONGEST, cnn.held_out())
+    known = toxicity.training_sample(docs, spark.read.parquet(f"{base}/labels.parquet"), "quality", cnn.SAMPLE_DOCS, cnn.held_out())
     model = cnn.fit([bytes(t) for t in known["text"]], known["label"].to_numpy() == 1)
     kept = [(i, t) for i, t in kept if cnn.probability(t.encode(), model) >= cnn.THRESHOLD]
     names = slow_components([slow_fingerprint(t) for _, t in kept], [i for i, _ in kept], 4)

@@ -148,7 +148,7 @@ class Lists:
     """Lists of ids one after another: those that stay, and after them those of the batch at hand."""
 
     def __init__(self, values: np.ndarray, sizes: np.ndarray):
-        self.values, self.sizes, self.starts = values, sizes, np.cumsum(sizes) - sizes
+        self.values, self.sizes, self.starts = values.copy(), sizes.copy(), np.cumsum(sizes) - sizes
         self.count, self.total = len(sizes), len(values)
 
     def follow(self, values: np.ndarray, sizes: np.ndarray) -> None:
