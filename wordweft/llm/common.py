@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import settle, shared_dir
 
-__all__ = ["WordIndex", "bind", "collect_blobs", "components", "crc_of_id", "most_frequent", "prepare", "read_blobs", "settle", "shared_dir"]
+__all__ = ["Filter", "WordIndex", "bind", "collect_blobs", "components", "crc_of_id", "filter_words", "may_hold", "most_frequent", "prepare", "read_blobs", "settle", "shared_dir"]
 
 #: Rows and bytes of an Arrow batch; a longer row is a batch of its own.
 BATCH_ROWS, BATCH_BYTES = 2048, "3m"
+#: Bits of a Bloom filter for each hash, and at most; hashes are probed so many times.
+SEED_BITS, FILTER_BITS, PROBES = 256, 1 << 28, 4
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -47,10 +53,7 @@ def most_frequent(counts: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
 
 def collect_blobs(df: DataFrame) -> list[bytes]:
     """A table of bounded size as Arrow streams, one for each task: on the driver bytes, not a Python object a row."""
-
     def pack(batches):
-        import pyarrow as pa
-
         held = [b for b in batches if b.num_rows]
         if held:
             sink = pa.BufferOutputStream()
@@ -64,18 +67,13 @@ def collect_blobs(df: DataFrame) -> list[bytes]:
 
 def read_blobs(blobs: list[bytes]):
     """The Arrow table of ``collect_blobs``, or None if it is empty."""
-    import pyarrow as pa
-
     tables = [pa.ipc.open_stream(b).read_all() for b in blobs]
     return pa.concat_tables(tables).combine_chunks() if tables else None
 
 
 class WordIndex:
     """Places of words in an array of names: sorted hashes, and a comparison of what they lead to."""
-
     def __init__(self, names):
-        import numpy as np
-
         self.names = names
         hashes = self._hashes(names)
         self.order = np.argsort(hashes).astype(np.int32)
@@ -83,19 +81,12 @@ class WordIndex:
 
     @staticmethod
     def _hashes(words):
-        import numpy as np
-        import pandas as pd
-
         # A slice at a time, since strings become objects for as long as they are hashed.
         slices = (words.slice(k, 1 << 16).to_numpy(zero_copy_only=False) for k in range(0, len(words), 1 << 16))
         return np.concatenate([np.zeros(0, np.uint64), *(pd.util.hash_array(x, categorize=False) for x in slices)])
 
     def places(self, words):
         """Place of each of an array's words, -1 for others; of names with the same hash one is found."""
-        import numpy as np
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
         if not len(self.names) or not len(words):
             return np.full(len(words), -1, np.int64)
         at = np.minimum(np.searchsorted(self.hashes, self._hashes(words)), len(self.hashes) - 1)
@@ -104,6 +95,45 @@ class WordIndex:
         return np.where(same, found, -1)
 
 
+class Filter:
+    """Bloom filter of 64-bit hashes, from the words of ``filter_words``."""
+    def __init__(self, words):
+        self.words, self.mask = words, np.uint64(64 * len(words) - 1)
+
+    def keep(self, hashes):
+        """Those hashes that may be in the filter."""
+        for k in range(PROBES):
+            at = (hashes >> np.uint64(8 * k)) & self.mask
+            hashes = hashes[(self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+        return hashes
+
+
+def filter_words(table: DataFrame, each: int = SEED_BITS):
+    """The bits of a filter of the column seed as 64-bit words, at most FILTER_BITS // 64 of them, ``each`` bits a seed."""
+    count = table.select("seed").distinct().count()
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (each * count).bit_length()))
+    place = [F.shiftrightunsigned("seed", 8 * k).bitwiseAND(F.lit(bits - 1)) for k in range(PROBES)]
+    places = table.select(F.explode(F.array(*place)).alias("place"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63)).cast("int"))
+    found = places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    rows = read_blobs(collect_blobs(found))
+    words = np.zeros(bits // 64, np.int64)
+    if rows:
+        words[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    return words.view(np.uint64)
+
+
+def may_hold(value: Column, spark: SparkSession, words) -> Column:
+    """Whether the filter, of xxhash64 of values, may hold a value."""
+    shared = spark.sparkContext.broadcast(words)
+
+    def of(hashes: pd.Series) -> pd.Series:
+        found = hashes.to_numpy().view(np.uint64)
+        return pd.Series(np.isin(found, Filter(shared.value).keep(found)))
+
+    return F.pandas_udf(of, "boolean")(F.xxhash64(value))
+
+
 def crc_of_id(doc_id: Column | str) -> Column:
     """Unsigned CRC-32 of the id's decimal text (null id: of the empty text)."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -8,13 +8,17 @@ others, and what is left is compared set by set. No pair is lost and none is add
 The order is by hash, but hashes that many texts of a sample share come last, the most frequent at the very end, so
 that boilerplate seldom is in a prefix. The sample changes the cost only, never the links.
 
+Texts are moved only where they have to be: those of candidates pass a Bloom filter of their places, and are compared
+as they are, since a text packs smaller than its set.
+
 Defined cases: null and empty texts have the empty set, all of them equal; texts of fewer words than a shingle have
-their whole word sequence as one shingle; texts with the same set are one node.
+their whole word sequence as one shingle; texts with the same set are one node; texts may have any length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import filter_words, may_hold, settle
 
 SEED = 42
 #: Texts looked at for frequent shingles, in how many of them one is frequent, and how many are held at most.
@@ -63,8 +67,17 @@ def frequent_shingles(docs: DataFrame, width: int) -> np.ndarray:
     return np.array([r["h"] for r in reversed(top)], np.int64)
 
 
+def key_column(text: Column, width: int) -> Column:
+    """Hash of the text's set."""
+
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([xxhash.xxh64_intdigest(shingle_set(t, width).tobytes(), SEED) for t in texts], np.uint64).view(np.int64))
+
+    return F.pandas_udf(of, "long")(text.cast("binary"))
+
+
 def prefixes_column(spark, text: Column, width: int, percent: int, frequent: np.ndarray) -> Column:
-    """Struct of key (hash of the set), n (its size) and prefix."""
+    """Struct of n (the set's size) and prefix."""
     shared = spark.sparkContext.broadcast(frequent)
 
     def of(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -72,44 +85,43 @@ def prefixes_column(spark, text: Column, width: int, percent: int, frequent: np.
         by_hash = np.argsort(late)
         ordered = late[by_hash]
         for texts in columns:
-            keys, sizes, prefixes = [], [], []
+            sizes, prefixes = [], []
             for text in texts:
                 found = shingle_set(text, width)
                 n = len(found)
-                keys.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
                 sizes.append(n)
                 if len(late):
                     at = np.minimum(np.searchsorted(ordered, found), len(late) - 1)
                     rank = np.where(ordered[at] == found, by_hash[at], -1)
                     found = found[np.argsort(rank, kind="stable")]
                 prefixes.append(found[: n - (percent * n + 99) // 100 + 1])
-            yield pd.DataFrame({"key": np.array(keys, np.uint64).view(np.int64), "n": np.array(sizes, np.int32), "prefix": prefixes})
+            yield pd.DataFrame({"n": np.array(sizes, np.int32), "prefix": prefixes})
 
-    return F.pandas_udf(of, "key long, n int, prefix array<long>")(text.cast("binary"))
+    return F.pandas_udf(of, "n int, prefix array<long>")(text.cast("binary"))
 
 
 def candidates(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, of keys whose sets may be similar enough, from columns key, n, prefix."""
-    # A row is all that a prefix hash costs in the shuffle, so size and place share a column.
+    """Pairs (a, b), a < b, of places whose sets may be similar enough, from columns place, n, prefix."""
+    # A row is all that a prefix hash costs in the shuffle, so size and place in the prefix share a column.
     spot = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
-    cells = sets.select("key", "n", F.posexplode("prefix").alias("at", "cell")).select("cell", "key", spot.alias("spot"))
-    left, right = [cells.select("cell", F.col("key").alias(f"key_{x}"), F.col("spot").alias(f"spot_{x}")) for x in "ab"]
+    cells = sets.select("place", "n", F.posexplode("prefix").alias("at", "cell")).select("cell", "place", spot.alias("spot"))
+    left, right = [cells.select("cell", F.col("place").alias(x), F.col("spot").alias(f"spot_{x}")) for x in "ab"]
     n_a, n_b = [F.shiftright(f"spot_{x}", 32) for x in "ab"]
     at_a, at_b = [F.col(f"spot_{x}").bitwiseAND(F.lit(0xFFFFFFFF)) for x in "ab"]
     # Nothing before the first common hash is common, so what follows it bounds the overlap.
     left_over = F.least(n_a - at_a, n_b - at_b)
-    met = left.join(right.hint("merge"), "cell").where(
-        (F.col("key_a") < F.col("key_b")) & (left_over * (100 + percent) >= (n_a + n_b) * percent)
-    )
-    return met.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
+    met = left.join(right.hint("merge"), "cell").where((F.col("a") < F.col("b")) & (left_over * (100 + percent) >= (n_a + n_b) * percent))
+    return met.select("a", "b").distinct()
 
 
-def similar(percent: int):
-    """Column function of two sets: whether their similarity is at least percent."""
+def similar(width: int, percent: int):
+    """Column function of two texts: whether their sets' similarity is at least percent."""
 
     def of(a: pd.Series, b: pd.Series) -> pd.Series:
-        def check(x: bytes, y: bytes) -> bool:
-            p, q = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+        one, two = [lru_cache(maxsize=64)(lambda t: shingle_set(t, width)) for _ in "ab"]
+
+        def check(x: bytes | None, y: bytes | None) -> bool:
+            p, q = one(x), two(y)
             common = len(np.intersect1d(p, q, assume_unique=True))
             return common * (100 + percent) >= (len(p) + len(q)) * percent
 
@@ -119,21 +131,17 @@ def similar(percent: int):
 
 
 def links(marked: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Links (a, b), a < b, between the keys of all sets with similarity of at least percent.
+    """Links (a, b), a < b, between all sets with similarity of at least percent; a set is named by its least place.
 
-    ``marked`` is a stored table with place (one a row), text, and the columns of ``prefixes_column``.
+    ``marked`` is a stored table with place (one a row), text, and key (``key_column``).
     """
-
-    def whole(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, width).tobytes() for t in texts])
-
-    sets = marked.groupBy("key").agg(F.min(F.struct("place", "n", "prefix")).alias("s"))
-    sets = settle(sets.select("key", "s.*"), "sets")
+    spark = marked.sparkSession
+    prefixes = prefixes_column(spark, F.col("text"), width, percent, frequent_shingles(marked, width))
+    each = marked.select("key", "place", prefixes.alias("p")).select("key", "place", "p.n", "p.prefix")
+    sets = each.groupBy("key").agg(F.min(F.struct("place", "n", "prefix")).alias("s")).select("s.*")
     pairs = settle(candidates(sets, percent), "candidates")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    places = sets.join(nodes, "key", "left_semi").select("place")
-    texts = marked.select("place", "key", F.col("text").cast("binary").alias("text")).join(places, "place", "left_semi")
-    full = settle(texts.select("key", F.pandas_udf(whole, "binary")("text").alias("set")), "whole_sets")
-    both = pairs.join(full.select(F.col("key").alias("a"), F.col("set").alias("set_a")), "a")
-    both = both.join(full.select(F.col("key").alias("b"), F.col("set").alias("set_b")), "b")
-    return both.where(similar(percent)("set_a", "set_b")).select("a", "b")
+    words = filter_words(pairs.select(F.explode(F.array(F.xxhash64("a"), F.xxhash64("b"))).alias("seed")), 32)
+    texts = marked.where(may_hold(F.col("place"), spark, words)).select("place", F.col("text").cast("binary").alias("text"))
+    both = pairs.join(texts.select(F.col("place").alias("a"), F.col("text").alias("text_a")), "a")
+    both = both.join(texts.select(F.col("place").alias("b"), F.col("text").alias("text_b")), "b")
+    return both.where(similar(width, percent)("text_a", "text_b")).select("a", "b")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import components, prepare, settle
+from .common import components, filter_words, may_hold, prepare, settle
 from .jaccard import shingle_hashes
 
 SEGMENT = 2
@@ -161,11 +161,17 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """
     spark = prepare(docs.sparkSession)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    prefixes = jaccard.prefixes_column(spark, F.col("row.text"), width, percent, jaccard.frequent_shingles(docs, width))
-    marked = docs.select(row, F.monotonically_increasing_id().alias("place")).withColumn("p", prefixes)
-    marked = settle(marked.select("row", "place", "p.*"), "shingle_prefixes")
-    found = components(jaccard.links(marked.withColumn("text", F.col("row.text")), width, percent))
+    marked = docs.select(row, F.monotonically_increasing_id().alias("place"), jaccard.key_column(F.col("text"), width).alias("key"))
+    marked = settle(marked, "shingle_keys")
+    found = components(jaccard.links(marked.select("place", "key", F.col("row.text").alias("text")), width, percent))
     mark = F.struct(F.col("row.doc_id").isNull().alias("last"), "row.doc_id", F.xxhash64("row.text").alias("hash"), "place").alias("mark")
-    rooted = marked.select("key", mark).join(found.withColumnRenamed("node", "key"), "key", "left")
-    kept = rooted.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("mark").alias("mark")).select("mark.place")
-    return marked.join(kept, "place", "left_semi").select("row.*")
+    sets = marked.groupBy("key").agg(F.min("place").alias("node"))
+    rooted = sets.join(found, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
+    rows = marked.select("key", "place", mark).join(rooted, "key").select("root", "place", "mark")
+    kept = rows.groupBy("root").agg(F.min("mark").alias("mark")).select("mark.place")
+    gone = settle(rows.select("place").join(kept, "place", "left_anti"), "gone")
+    # Rows that surely stay aren't moved.
+    may_go = may_hold(F.col("place"), spark, filter_words(gone.select(F.xxhash64("place").alias("seed")), 32))
+    asked = marked.select("row", "place", may_go.alias("may_go"))
+    stay = asked.where("not may_go").select("row.*")
+    return stay.unionByName(asked.where("may_go").join(gone, "place", "left_anti").select("row.*"))

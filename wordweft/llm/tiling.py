@@ -2,7 +2,7 @@
 
 Tokens are runs of letters, marks and digits under full case folding; in scripts that are written without blanks each
 character is one. Windows of MATCH tokens are hashed the Karp-Rabin way and are the seeds: the benchmark's seeds are a
-table, a Bloom filter of it (of bounded size, FILTER_BITS) tells which windows of a text may be seeds, and only those are
+table, a Bloom filter of it, of bounded size, tells which windows of a text may be seeds, and only those are
 joined to the table. Each pair of text and item that shares enough seeds is tiled: matches of free tokens are marked from
 the longest on, search lengths going down by halves, so a passage whose sentences were put in another order is covered by
 several tiles. An item is found in a text if tiles cover at least ``COVERAGE`` of its tokens.
@@ -25,13 +25,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import collect_blobs, prepare, read_blobs, settle
+from .common import Filter, filter_words, prepare, settle
 
 MATCH = 5
 COVERAGE = 0.5
-#: Bits of the Bloom filter for each seed, and at most.
-SEED_BITS, FILTER_BITS = 256, 1 << 28
-PROBES = 4
 #: Tokens whose numbers a worker remembers, and pairs of windows that are looked at together.
 REMEMBERED, PAIRS = 200_000, 1 << 20
 #: Lower case is folded before; other ASCII characters than letters and digits become blanks.
@@ -208,34 +205,6 @@ def item_table(benchmark: DataFrame, least: int = MATCH) -> DataFrame:
     return settle(marked.select("item", "item_id", "text", "m.n", "m.seeds").where("n > 0"), "items")
 
 
-class Filter:
-    """Bloom filter of seeds."""
-
-    def __init__(self, words: np.ndarray):
-        self.words, self.mask = words, np.uint64(64 * len(words) - 1)
-
-    def keep(self, hashes: np.ndarray) -> np.ndarray:
-        for k in range(PROBES):
-            at = (hashes >> np.uint64(8 * k)) & self.mask
-            hashes = hashes[(self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
-        return hashes
-
-
-def filter_words(table: DataFrame) -> np.ndarray:
-    """The filter's bits as 64-bit words, at most FILTER_BITS // 64 of them."""
-    count = table.select("seed").distinct().count()
-    bits = min(FILTER_BITS, max(1 << 16, 1 << (SEED_BITS * count).bit_length()))
-    place = [F.shiftrightunsigned("seed", 8 * k).bitwiseAND(F.lit(bits - 1)) for k in range(PROBES)]
-    each = table.select(F.explode(F.array(*place)).alias("place"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63)).cast("int"))
-    found = each.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
-    rows = read_blobs(collect_blobs(found))
-    words = np.zeros(bits // 64, np.int64)
-    if rows:
-        words[rows["word"].to_numpy()] = rows["bits"].to_numpy()
-    return words.view(np.uint64)
-
-
 def seeds_column(text: Column, spark, words: np.ndarray, sizes: list[int]) -> Column:
     """The text's distinct seeds that the filter lets through."""
     shared = prepare(spark).sparkContext.broadcast(words)
