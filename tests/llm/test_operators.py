@@ -247,8 +247,9 @@ def test_language_model_is_normalised_and_learns():
     triples = np.stack([w[:-2], w[1:-1], w[2:]], axis=1)
     frequency = np.bincount(w, minlength=n) / len(w)
     model = lbl.initial(frequency)
+    sums = lbl.unseen(model)
     for k in range(3):
-        model = lbl.train(model, triples, frequency, k, lbl.RATE)
+        lbl.train(model, sums, triples, frequency, k)
     table = np.stack([model.normalisers(c) for c in range(n)])
     scores = np.stack([model.contexts(np.full(n, c), np.arange(n)) @ model.represent.T + model.bias - table[c][:, None] for c in range(n)])
     assert np.allclose(np.exp(scores).sum(axis=2), 1, atol=1e-4)

@@ -68,14 +68,18 @@ def initial(frequency: np.ndarray, seed: int = 11) -> Model:
     return Model(rng.normal(0, 0.1, (n, SIZE)).astype(np.float32), *matrices, np.log(frequency).astype(np.float32))
 
 
-def train(model: Model, triples: np.ndarray, frequency: np.ndarray, seed: int, rate: float = RATE) -> Model:
-    """Weights after one pass of NCE over rows (c2, c1, w), with Adagrad steps.
+def unseen(model: Model) -> Model:
+    """Sums of squared slopes before the first step."""
+    return Model(*[np.full_like(w, 1e-3) for w in (model.represent, model.near, model.far, model.bias)])
+
+
+def train(model: Model, sums: Model, triples: np.ndarray, frequency: np.ndarray, seed: int, rate: float = RATE) -> None:
+    """One pass of NCE over rows (c2, c1, w) with Adagrad steps, which change the weights and the sums of squared slopes.
 
     The noise classes of a step are shared by its tokens.
     """
     rng = np.random.default_rng(seed)
-    weights = [w.copy() for w in (model.represent, model.near, model.far, model.bias)]
-    squares = [np.full_like(w, 1e-3) for w in weights]
+    weights, squares = [[m.represent, m.near, m.far, m.bias] for m in (model, sums)]
     cumulative = np.cumsum(frequency)
     shift = np.log(NOISE * frequency).astype(np.float32)
     for k in range(0, len(triples), STEP):
@@ -99,7 +103,16 @@ def train(model: Model, triples: np.ndarray, frequency: np.ndarray, seed: int, r
             g = (g / np.sqrt(len(w))).astype(np.float32)
             s += g * g
             own += rate * g / np.sqrt(s)
-    return Model(*weights)
+
+
+def to_rows(model: Model) -> np.ndarray:
+    return np.concatenate([np.column_stack([model.represent, model.bias]), np.column_stack([np.concatenate([model.near, model.far]), np.zeros(2 * SIZE)])])
+
+
+def from_rows(rows: np.ndarray) -> Model:
+    n = len(rows) - 2 * SIZE
+    rows = rows.astype(np.float32)
+    return Model(*[np.ascontiguousarray(x) for x in (rows[:n, :SIZE], rows[n : n + SIZE, :SIZE], rows[n + SIZE :, :SIZE], rows[:n, SIZE])])
 
 
 def suffix(word: bytes) -> int:
@@ -188,34 +201,33 @@ def fit(train_docs: DataFrame, vocabulary: Vocabulary, frequency: np.ndarray, ro
     """Weights from all training texts, each token once."""
     spark = train_docs.sparkSession
     model = initial(frequency)
+    state = np.column_stack([to_rows(model), to_rows(unseen(model))])
     words = spark.sparkContext.broadcast(vocabulary)
-    schema = "row int, n double, weights array<double>"
+    width = 2 * (SIZE + 1)
     for k in range(rounds):
-        shared = spark.sparkContext.broadcast(model)
+        shared = spark.sparkContext.broadcast(state)
 
-        def learn(batches: Iterator[pa.RecordBatch], k: int = k, shared=shared) -> Iterator[pa.RecordBatch]:
-            reader, own, tokens = Reader(words.value), shared.value, 0
+        def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            reader, tokens = Reader(words.value), 0
+            own, sums = from_rows(shared.value[:, : SIZE + 1]), from_rows(shared.value[:, SIZE + 1 :])
             for number, batch in enumerate(batches):
                 _, text, _, kind = reader.read(batch.column(0))
                 triples, _ = triples_of(text, kind, batch.num_rows)
-                own = train(own, np.random.default_rng(number).permutation(triples), frequency, number, RATE / (1 + k))
+                train(own, sums, np.random.default_rng(number).permutation(triples), frequency, number)
                 tokens += len(triples)
                 del text, kind, triples
                 pa.default_memory_pool().release_unused()
             if tokens:
-                rows = np.concatenate([np.column_stack([own.represent, own.bias]), np.column_stack([own.near, np.zeros(SIZE)]), np.column_stack([own.far, np.zeros(SIZE)])])
-                data = [(tokens * r).tolist() for r in rows.astype(np.float64)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows)), pa.int32()), pa.array(np.full(len(rows), float(tokens))), pa.array(data)], ["row", "n", "weights"])
+                rows = tokens * np.column_stack([to_rows(own), to_rows(sums)]).astype(np.float64)
+                columns = [pa.array(np.arange(len(rows)), pa.int32()), pa.array(np.full(len(rows), float(tokens))), pa.array(list(rows), pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "n", "weights"])
 
-        share = train_docs.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k).select("text").mapInArrow(learn, schema)
-        mean = [(F.sum(F.get("weights", F.lit(j))) / F.sum("n")).alias(f"w{j}") for j in range(SIZE + 1)]
+        share = train_docs.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k).select("text").mapInArrow(learn, "row int, n double, weights array<double>")
+        mean = [(F.sum(F.get("weights", F.lit(j))) / F.sum("n")).alias(f"w{j}") for j in range(width)]
         # As many rows as classes and matrices have.
-        found = share.groupBy("row").agg(*mean).orderBy("row").select(*[f"w{j}" for j in range(SIZE + 1)]).toPandas().to_numpy(np.float32)
-        shared.unpersist()
-        if len(found):
-            n = len(frequency)
-            model = Model(found[:n, :SIZE], found[n : n + SIZE, :SIZE], found[n + SIZE :, :SIZE], found[:n, SIZE])
-    return model
+        found = share.groupBy("row").agg(*mean).orderBy("row").select(*[f"w{j}" for j in range(width)]).toPandas().to_numpy()
+        state = found if len(found) else state
+    return from_rows(state[:, : SIZE + 1])
 
 
 def normaliser_table(spark, model: Model) -> np.ndarray:
