@@ -153,6 +153,16 @@ def test_race_labels_and_stats(spark):
     assert races.race_aggregates(steps).first().asDict() == row.asDict()
 
 
+def test_pair_samples_are_the_least_hashes(spark):
+    pool = spark.range(3000).withColumnRenamed("id", "vertex")
+    settings = training.sample_settings(spark, 4, 1)
+    found = training.sample_pairs(pool, settings, 3, 5, 7)
+    got = {(r["setting_id"], r["source"]) for r in found.select("setting_id", "source").distinct().collect()}
+    every = pool.join(settings.select("setting_id")).selectExpr("setting_id", "vertex", "row_number() over (partition by setting_id order by xxhash64(setting_id, vertex, 7), vertex) as k")
+    assert got == {(r["setting_id"], r["vertex"]) for r in every.where("k <= 3").collect()} and found.count() == 4 * 3 * 5
+    assert training.sample_pairs(pool.limit(4), settings, 3, 5, 7).count() == 4 * 3 * 1
+
+
 def test_training_helpers(spark):
     settings = training.sample_settings(spark, 50, 1).collect()
     assert all(r["field_mask"] > 0 and r["pos_mask"] > 0 for r in settings) and {r["lemmatized"] for r in settings} == {0, 1}

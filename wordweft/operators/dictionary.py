@@ -192,7 +192,7 @@ def select_fields(fields: DataFrame, games: DataFrame) -> DataFrame:
         games.select("game_id", F.lit("sense").alias("level"), F.explode("sense_fields").alias("lexical_key"))
     )
     allowed = F.when(F.col("level") == "entry", F.col("lexical_key").isin(ENTRY_KEYS)).otherwise(F.col("lexical_key").isin(SENSE_KEYS))
-    return fields.join(F.broadcast(chosen.where(allowed)), ["level", "lexical_key"])
+    return fields.join(chosen.where(allowed), ["level", "lexical_key"])
 
 
 def check_records(pairs: DataFrame, words: DataFrame, fields: DataFrame, games: DataFrame) -> DataFrame:

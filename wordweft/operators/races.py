@@ -70,7 +70,7 @@ def initial_lanes(joins: DataFrame, games: DataFrame) -> DataFrame:
 def clickable_tokens(tokens: DataFrame, games: DataFrame) -> DataFrame:
     """Tokens (not literals) of a tag the game allows: rows of tokens with game."""
     allowed = games.select("game", F.explode("available_pos").alias("pos"))
-    return tokens.where("w is not null").join(F.broadcast(allowed), "pos")
+    return tokens.where("w is not null").join(allowed, "pos")
 
 
 def with_mode_tags(games: DataFrame) -> DataFrame:

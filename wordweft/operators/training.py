@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import ALL_FIELDS, ALL_POS, LEXICAL_KEYS, POS_TAGS
 from ..functions.scalars import cost_features
+from ..sources.shared import settle
 from .graph import bfs, compact_edges
 
 UNREACHABLE = -1.0
@@ -41,10 +42,25 @@ def sample_settings(spark: SparkSession, n: int, seed: int, share: float = 0.8)
 
 
 def sample_pairs(pool: DataFrame, settings: DataFrame, sources: int, targets: int, seed: int) -> DataFrame:
-    """setting_id, source, target: disjoint samples without replacement for each setting, all their pairs."""
-    drawn = pool.select("vertex").crossJoin(F.broadcast(settings.select("setting_id")))
+    """setting_id, source, target: disjoint samples without replacement for each setting, all their pairs.
+
+    A setting draws the vertices of least hash; all but about as many as it needs are left out before they are ranked.
+    """
+    wanted, size = sources + targets, pool.count()
+    share = (wanted + 8 * wanted**0.5 + 32) / max(size, 1)
+    # As many ids as settings were asked for.
+    ids = settings.agg(F.collect_list("setting_id").alias("ids"))
+    while True:
+        bound = F.lit(min(int(share * (1 << 64)) - (1 << 63), (1 << 63) - 1))
+        near = F.filter("ids", lambda s: F.xxhash64(s, "vertex", F.lit(seed)) <= bound)
+        drawn = pool.select("vertex").join(F.broadcast(ids)).select("vertex", F.explode(near).alias("setting_id"))
+        drawn = settle(drawn, "drawn")
+        least = drawn.groupBy("setting_id").count().agg(F.min("count"), F.count("*")).first()
+        if share >= 1 or ((least[0] or 0) >= min(wanted, size) and least[1] == settings.count()):
+            break
+        share *= 2
     place = F.expr(f"row_number() over (partition by setting_id order by xxhash64(setting_id, vertex, {seed}), vertex)")
-    drawn = drawn.withColumn("place", place).where(F.col("place") <= sources + targets)
+    drawn = drawn.withColumn("place", place).where(F.col("place") <= wanted)
     left = drawn.where(F.col("place") <= sources).select("setting_id", F.col("vertex").alias("source"))
     return left.join(drawn.where(F.col("place") > sources).select("setting_id", F.col("vertex").alias("target")), "setting_id")
 
