@@ -3,7 +3,8 @@
 A text's set is the distinct 64-bit hashes of its lower-cased words' shingles, put in an order that is the same for
 all texts. Two sets with similarity of at least ``percent`` share a hash within the first n - ceil(percent n / 100) + 1
 of each (n: the set's size), so an equi-join on these prefixes meets every such pair; sizes and places discard most
-others, and what is left is compared set by set. No pair is lost and none is added.
+others, and what is left is compared set by set, but for pairs that other links have joined. Components are those of all
+pairs that are similar enough.
 
 The order is by hash, but hashes that many texts of a sample share come last, the most frequent at the very end, so
 that boilerplate seldom is in a prefix. The sample changes the cost only, never the links.
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_words, may_hold, settle
+from .common import components, filter_words, may_hold, settle
 
 SEED = 42
 #: Texts looked at for frequent shingles, in how many of them one is frequent, and how many are held at most.
@@ -131,8 +132,10 @@ def similar(width: int, percent: int):
 
 
 def links(marked: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Links (a, b), a < b, between all sets with similarity of at least percent; a set is named by its least place.
+    """Links (a, b), a < b, between sets with similarity of at least percent; a set is named by its least place.
 
+    Enough of them to give the same components as all do: each set is compared with its first and its last candidate, and
+    then with the others that aren't in its component yet, so that a family of copies isn't compared pair by pair.
     ``marked`` is a stored table with place (one a row), text, and key (``key_column``).
     """
     spark = marked.sparkSession
@@ -142,6 +145,16 @@ def links(marked: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     pairs = settle(candidates(sets, percent), "candidates")
     words = filter_words(pairs.select(F.explode(F.array(F.xxhash64("a"), F.xxhash64("b"))).alias("seed")), 32)
     texts = marked.where(may_hold(F.col("place"), spark, words)).select("place", F.col("text").cast("binary").alias("text"))
-    both = pairs.join(texts.select(F.col("place").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(texts.select(F.col("place").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.where(similar(width, percent)("text_a", "text_b")).select("a", "b")
+
+    def checked(some: DataFrame) -> DataFrame:
+        both = some.join(texts.select(F.col("place").alias("a"), F.col("text").alias("text_a")), "a")
+        both = both.join(texts.select(F.col("place").alias("b"), F.col("text").alias("text_b")), "b")
+        return settle(both.where(similar(width, percent)("text_a", "text_b")).select("a", "b"), "links")
+
+    ends = pairs.groupBy("b").agg(F.min("a").alias("low"), F.max("a").alias("high"))
+    found = checked(ends.select("b", F.explode(F.array_distinct(F.array("low", "high"))).alias("a")).select("a", "b"))
+    roots = settle(components(found), "roots")
+    root_a, root_b = [roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"]
+    open_ = pairs.join(root_a, "a", "left").join(root_b, "b", "left").where(F.col("root_a").isNull() | F.col("root_b").isNull() | (F.col("root_a") != F.col("root_b")))
+    rest = open_.join(ends.select("b", F.array("low", "high").alias("done")), "b").where(~F.array_contains("done", F.col("a"))).select("a", "b")
+    return found.unionByName(checked(settle(rest, "open_pairs")))
