@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import components, filter_words, may_hold, settle
 
 SEED = 42
+SKETCH_BITS = 7
 #: Texts looked at for frequent shingles, in how many of them one is frequent, and how many are held at most.
 SAMPLE_DOCS, FREQUENT_IN, FREQUENT = 4_000, 8, 1 << 16
 
@@ -69,12 +70,32 @@ def frequent_shingles(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def key_column(text: Column, width: int) -> Column:
-    """Hash of the text's set."""
+    """Struct of key (hash of the text's set) and sketch (how many of its hashes start with each SKETCH_BITS bits, up to 255)."""
 
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([xxhash.xxh64_intdigest(shingle_set(t, width).tobytes(), SEED) for t in texts], np.uint64).view(np.int64))
+    def of(texts: pd.Series) -> pd.DataFrame:
+        keys, sketches = [], []
+        for t in texts:
+            found = shingle_set(t, width)
+            keys.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+            parts = np.bincount((found.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+            sketches.append(np.minimum(parts, 255).astype(np.uint8).tobytes())
+        return pd.DataFrame({"key": np.array(keys, np.uint64).view(np.int64), "sketch": sketches})
 
-    return F.pandas_udf(of, "long")(text.cast("binary"))
+    return F.pandas_udf(of, "key long, sketch binary")(text.cast("binary"))
+
+
+def may_be_similar(percent: int):
+    """Column function of two sketches: whether their counts leave room for a similarity of percent."""
+
+    def of(a: pd.Series, b: pd.Series) -> pd.Series:
+        if not len(a):
+            return pd.Series([], dtype=bool)
+        x, y = [np.frombuffer(b"".join(c), np.uint8).reshape(len(c), -1).astype(np.int32) for c in (a, b)]
+        full = ((x == 255) | (y == 255)).any(axis=1)
+        common = np.minimum(x, y).sum(axis=1)
+        return pd.Series(full | (common * (100 + percent) >= (x.sum(axis=1) + y.sum(axis=1)) * percent))
+
+    return F.pandas_udf(of, "boolean")
 
 
 def prefixes_column(spark, text: Column, width: int, percent: int, frequent: np.ndarray) -> Column:
@@ -136,13 +157,17 @@ def links(marked: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     Enough of them to give the same components as all do: each set is compared with its first and its last candidate, and
     then with the others that aren't in its component yet, so that a family of copies isn't compared pair by pair.
-    ``marked`` is a stored table with place (one a row), text, and key (``key_column``).
+    ``marked`` is a stored table with place (one a row), text, and the columns of ``key_column``. Sketches, which are small,
+    bound what two sets can have in common, so few texts of unlike sets meet.
     """
     spark = marked.sparkSession
     prefixes = prefixes_column(spark, F.col("text"), width, percent, frequent_shingles(marked, width))
     each = marked.select("key", "place", prefixes.alias("p")).select("key", "place", "p.n", "p.prefix")
     sets = each.groupBy("key").agg(F.min(F.struct("place", "n", "prefix")).alias("s")).select("s.*")
-    pairs = settle(candidates(sets, percent), "candidates")
+    met = candidates(sets, percent)
+    for x in "ab":
+        met = met.join(marked.select(F.col("place").alias(x), F.col("sketch").alias(f"sketch_{x}")), x)
+    pairs = settle(met.where(may_be_similar(percent)("sketch_a", "sketch_b")).select("a", "b"), "candidates")
     words = filter_words(pairs.select(F.explode(F.array(F.xxhash64("a"), F.xxhash64("b"))).alias("seed")), 32)
     texts = marked.where(may_hold(F.col("place"), spark, words)).select("place", F.col("text").cast("binary").alias("text"))
 

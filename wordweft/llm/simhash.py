@@ -161,9 +161,9 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """
     spark = prepare(docs.sparkSession)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    marked = docs.select(row, F.monotonically_increasing_id().alias("place"), jaccard.key_column(F.col("text"), width).alias("key"))
-    marked = settle(marked, "shingle_keys")
-    found = components(jaccard.links(marked.select("place", "key", F.col("row.text").alias("text")), width, percent))
+    marked = docs.select(row, F.monotonically_increasing_id().alias("place"), jaccard.key_column(F.col("text"), width).alias("k"))
+    marked = settle(marked.select("row", "place", "k.*"), "shingle_keys")
+    found = components(jaccard.links(marked.select("place", "key", "sketch", F.col("row.text").alias("text")), width, percent))
     mark = F.struct(F.col("row.doc_id").isNull().alias("last"), "row.doc_id", F.xxhash64("row.text").alias("hash"), "place").alias("mark")
     sets = marked.groupBy("key").agg(F.min("place").alias("node"))
     rooted = sets.join(found, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
