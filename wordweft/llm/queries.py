@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cnn, dac, langid, lbl, rules, sharding, simhash, tiling, toxicity
+from . import bpe, cnn, dac, langid, lbl, phrases, rules, sharding, simhash, tiling, toxicity
 from .common import shared_dir
 
 
@@ -85,6 +85,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_sharding": op2_sharding,
@@ -96,8 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_token_ids": op9_token_ids,
     "op10_decontamination": op10_decontamination,
+    "op13_phrases": op13_phrases,
 }
-ORACLES: dict[str, str] = {"op3_quality_rules": rules.ORACLE}
+ORACLES: dict[str, str] = {"op3_quality_rules": rules.ORACLE, "op13_phrases": phrases.ORACLE}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
