@@ -7,6 +7,8 @@ prefix (its first two words; the continuations of one prefix over ``FAN`` parts,
 merged there by Spark's own aggregation, so nothing is lost however often a task spills or is run again.
 
 Counts of at least ``least`` are kept for scoring, which is exact: a part of a phrase is met at least as often as the phrase.
+For the same reason longer phrases are counted after the pairs, and only where each of their pairs may be frequent by a Bloom
+filter of bounded size: a false hit costs a row, and a filter that is too full for its corpus lets all rows through.
 Products are decimals of 38 digits: exact for counts below 10^15.
 
 Defined cases: null texts are empty; a null language is ``und``; only A-Z are lower-cased; texts may have any length (a
@@ -16,22 +18,26 @@ phrases; other columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, settle
+from .common import PROBES, filter_words, prepare, settle
 
 #: n-grams that a task holds before it spills, words it numbers before it starts anew, and entries at which a container bursts.
 HELD, WORDS, BURST = 1_500_000, 1 << 19, 4096
 #: Parts that one prefix's continuations are dealt over; rows that one task ranks.
 FAN, RANKED = 16, 1 << 16
+#: Bits of the filter of frequent pairs for each of them; ``filter_words`` bounds the whole.
+PAIR_BITS = 32
 ID_BITS = 20
 MASK = (1 << ID_BITS) - 1
 #: Pieces end at these bytes; blanks and tabs part words.
@@ -101,10 +107,13 @@ class BurstTrie:
 
 
 class PhraseCounter:
-    """One task's tries by language over one numbering of words."""
+    """One task's tries by language over one numbering of words; counts phrases of ``sizes`` words.
 
-    def __init__(self, most: int, held: int = HELD, words: int = WORDS):
-        self.most, self.limit, self.words = most, held, min(words, MASK - 2)
+    pairs: words of a Bloom filter of the prefixes of frequent pairs, or None to count all phrases.
+    """
+
+    def __init__(self, sizes: tuple[int, ...], pairs: np.ndarray | None = None, held: int = HELD, words: int = WORDS):
+        self.sizes, self.pairs, self.limit, self.words = sizes, pairs, held, min(words, MASK - 2)
         self._anew()
 
     def _anew(self) -> None:
@@ -112,17 +121,31 @@ class PhraseCounter:
         # Empty strings are nothing, a line feed parts pieces.
         for mark in (b"", b"\n"):
             self.ids[mark]
+        self.hashes = np.zeros(0, np.uint64)
         self.tries: dict[str, BurstTrie] = defaultdict(BurstTrie)
 
+    def word_hashes(self) -> np.ndarray:
+        """A hash of each numbered word; only new words are hashed."""
+        fresh = list(islice(self.ids, len(self.hashes), None))
+        if fresh:
+            self.hashes = np.concatenate([self.hashes, hash_words(pa.array(fresh, pa.binary()).cast(pa.string()))])
+        return self.hashes
+
     def add(self, lang: str, words: list[bytes]) -> None:
         ids = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
         ids = ids[ids > 0]
-        grams, inside, packed = [], ids > 1, ids << (2 * ID_BITS)
-        for k in range(self.most):
+        grams, inside, packed, linked = [], ids > 1, ids << (2 * ID_BITS), None
+        if self.pairs is not None:
+            own = self.word_hashes()[ids]
+            linked = maybe_in(self.pairs, prefixes(lang, own[:-1], own[1:], np.zeros(1, np.uint64)))
+        for k in range(max(self.sizes)):
             if k:
                 inside, packed = inside[:-1] & (ids[k:] > 1), packed[:-1] | ids[k:] << ((2 - k) * ID_BITS)
-            grams.append(packed[inside])
-        if len(grams[0]):
+            if k and linked is not None:
+                inside &= linked[k - 1 :]
+            if k + 1 in self.sizes:
+                grams.append(packed[inside])
+        if sum(map(len, grams)):
             self.tries[lang].add(*np.unique(np.concatenate(grams), return_counts=True))
 
     def full(self) -> bool:
@@ -137,50 +160,68 @@ class PhraseCounter:
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(1, len(order) + 1)
         sorted_names, rank[0] = names.take(pa.array(order)).cast(pa.string()), 0
+        hashes = self.word_hashes()[order]
         for lang, trie in self.tries.items():
             share = 0 if everything else trie.held * (self.limit // 2) // max(held, 1)
             grams, counts = trie.take(share)
-            yield from sorted_run(lang, grams, counts, rank, sorted_names)
+            yield from sorted_run(lang, grams, counts, rank, sorted_names, hashes)
         if everything:
             self._anew()
 
 
-def sorted_run(lang: str, grams: np.ndarray, counts: np.ndarray, rank: np.ndarray, names: pa.StringArray) -> Iterator[pa.RecordBatch]:
-    """Rows of ``RUN`` in the order of the phrases' words."""
-    one, two, three = (rank[grams >> (s * ID_BITS) & MASK] for s in (2, 1, 0))
-    place = np.argsort(one << (2 * ID_BITS) | two << ID_BITS | three)
+def sorted_run(lang: str, grams: np.ndarray, counts: np.ndarray, rank: np.ndarray, names: pa.StringArray, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of ``RUN`` in the order of the phrases' words; rank: from word id to place from 1, 0 for no word."""
+    ranks = [rank[grams >> (s * ID_BITS) & MASK] for s in (2, 1, 0)]
+    place = np.argsort(ranks[0] << (2 * ID_BITS) | ranks[1] << ID_BITS | ranks[2])
     for k in range(0, len(place), 1 << 16):
         at = place[k : k + (1 << 16)]
-        words = [names.take(pa.array(x[at] - 1, mask=x[at] == 0)) for x in (one, two, three)]
-        phrase = pc.binary_join_element_wise(*words, " ", null_handling="skip")
-        prefix = _mix(pd_hash(words[0]), pd_hash(words[1]), pd_hash(words[2]) % np.uint64(FAN))
+        own = [r[at] for r in ranks]
+        phrase = pc.binary_join_element_wise(*[names.take(pa.array(r - 1, mask=r == 0)) for r in own], " ", null_handling="skip")
+        one, two, three = [np.where(r > 0, hashes[r - 1], np.uint64(0)) for r in own]
+        prefix = prefixes(lang, one, two, three % np.uint64(FAN))
         yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(prefix.view(np.int64)), phrase, pa.array(counts[at])], schema=RUN)
 
 
-def pd_hash(words: pa.StringArray) -> np.ndarray:
-    """A hash of each word, 0 for none, the same in every task."""
-    import pandas as pd
+def hash_words(words: pa.StringArray) -> np.ndarray:
+    """A hash of each word, the same in every task."""
+    return pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False)
+
 
-    return pd.util.hash_array(words.fill_null("").to_numpy(zero_copy_only=False), categorize=False)
+def prefixes(lang: str, one: np.ndarray, two: np.ndarray, fan: np.ndarray) -> np.ndarray:
+    """The part of phrases with these hashes of their first words (0: none) and this share of the continuations."""
+    mixed = (one * np.uint64(0x9E3779B97F4A7C15) + two) * np.uint64(0xBF58476D1CE4E5B9)
+    return mixed ^ (mixed >> np.uint64(29)) ^ np.uint64(zlib.crc32(lang.encode()) << 8) ^ fan
 
 
-def _mix(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return ((a * np.uint64(0x9E3779B97F4A7C15) + b) * np.uint64(0xBF58476D1CE4E5B9)) ^ c
+def maybe_in(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes the Bloom filter of ``filter_words`` may hold."""
+    at, mask = np.arange(len(hashes)), np.uint64(64 * len(words) - 1)
+    for k in range(PROBES):
+        bit = hashes[at] >> np.uint64(8 * k) & mask
+        at = at[words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1) == 1]
+    out = np.zeros(len(hashes), bool)
+    out[at] = True
+    return out
 
 
-def count_phrases(docs: DataFrame, most: int = 3, held: int = HELD, words: int = WORDS) -> DataFrame:
-    """lang, phrase, f: occurrences of every phrase of up to ``most`` (at most 3) words; the empty phrase counts all words."""
-    prepare(docs.sparkSession)
+def count_phrases(docs: DataFrame, sizes: tuple[int, ...], pairs: np.ndarray | None = None, held: int = HELD, words: int = WORDS) -> DataFrame:
+    """lang, prefix, phrase, f: occurrences of every phrase of ``sizes`` words (at most 3).
+
+    With 1 among the sizes the empty phrase counts all words of a language. pairs: as in ``PhraseCounter``.
+    """
+    spark = prepare(docs.sparkSession)
+    shared = spark.sparkContext.broadcast(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, totals = PhraseCounter(most, held, words), defaultdict(int)
+        counter, totals = PhraseCounter(sizes, shared.value, held, words), defaultdict(int)
         for batch in batches:
             by_lang = defaultdict(list)
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
                 by_lang[lang].append(text)
             for lang, texts in by_lang.items():
                 found = tokens(b"\n".join(texts))
-                totals[lang] += len(found) - found.count(b"") - found.count(b"\n")
+                if 1 in sizes:
+                    totals[lang] += len(found) - found.count(b"") - found.count(b"\n")
                 counter.add(lang, found)
                 if counter.full():
                     yield from counter.spill(False)
@@ -190,7 +231,17 @@ def count_phrases(docs: DataFrame, most: int = 3, held: int = HELD, words: int =
 
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     runs = texts.mapInArrow(run, "lang string, prefix long, phrase string, n long")
-    return runs.repartition("lang", "prefix").groupBy("lang", "prefix", "phrase").agg(F.sum("n").alias("f")).drop("prefix")
+    return runs.repartition("lang", "prefix").groupBy("lang", "prefix", "phrase").agg(F.sum("n").alias("f"))
+
+
+def frequent_phrases(docs: DataFrame, most: int, least: int, held: int = HELD, words: int = WORDS) -> DataFrame:
+    """lang, phrase, f of phrases of up to most words with f of at least least; the empty phrase counts all words."""
+    enough = (F.col("f") >= least) | (F.col("phrase") == "")
+    short = settle(count_phrases(docs, (1, 2), None, held, words).where(enough), "pairs")
+    if most == 2:
+        return short.drop("prefix")
+    pairs = filter_words(short.where(F.contains("phrase", F.lit(" "))).select(F.col("prefix").alias("seed")), PAIR_BITS)
+    return settle(short.unionByName(count_phrases(docs, (3,), pairs, held, words).where(enough)).drop("prefix"), "phrases")
 
 
 def scored(kept: DataFrame) -> DataFrame:
@@ -238,7 +289,7 @@ def collocations(docs: DataFrame, most: int = 3, least: int = 10, percent: int =
     """lang, rank, phrase, a, l, r, n, score: each language's best phrases by score, then count, then phrase."""
     if not 2 <= most <= 3:
         raise ValueError("phrases have two or three words")
-    kept = settle(count_phrases(docs, most, held, words).where((F.col("f") >= least) | (F.col("phrase") == "")), "phrases")
+    kept = frequent_phrases(docs, most, least, held, words)
     found = settle(maximal(scored(kept), percent), "collocations")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     best = top_of_each(found, "lang", order, "phrase", limit)
