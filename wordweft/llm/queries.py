@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cnn, dac, dialogue, langid, lbl, phrases, rules, sharding, simhash, tiling, toxicity
+from . import bpe, cnn, dac, dialogue, langid, lbl, oddsketch, phrases, rules, sharding, simhash, tiling, toxicity
 from .common import shared_dir
 
 
@@ -85,6 +85,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oddsketch.near_copies(_read(spark, sf_dir, "documents"))
+
+
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.report(_read(spark, sf_dir, "conversations"))
 
@@ -104,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_token_ids": op9_token_ids,
     "op10_decontamination": op10_decontamination,
+    "op11_minhash_near_dedup": op11_minhash_near_dedup,
     "op12_conversations": op12_conversations,
     "op13_phrases": op13_phrases,
 }
