@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wordweft.functions import scalars
 from wordweft.functions.lexicon import ALL_FIELDS, ALL_POS, LEXICAL_KEYS, POS_TAGS, field_mask
-from wordweft.operators import dictionary, embed, evalsuite, graph, races, search, training
+from wordweft.operators import dictionary, embed, evalsuite, graph, races, training
 from wordweft.sources import io
 
 
@@ -98,52 +98,6 @@ def test_collide_and_distances(spark, small):
     assert graph.out_neighbors(words, *small).where("word = 'a'").count() == 3
 
 
-def weighted(spark, rows):
-    return spark.createDataFrame([(s, t, float(c)) for s, t, c in rows], "source string, target string, cost double")
-
-
-def static(spark, target, **h):
-    return spark.createDataFrame([(w, target, float(x)) for w, x in h.items()], "word string, target string, h double")
-
-
-def route(spark, links, scorer, heuristic=None, start="start", target="target", **limits):
-    asked = spark.createDataFrame([(1, start, target)], "query_id long, start string, target string")
-    return search.search_regular(asked, links, scorer, heuristic=heuristic, **limits).first()
-
-
-def test_late_cheaper_route_is_taken(spark):
-    links = weighted(spark, [("start", "shared", 5), ("start", "detour", 1), ("shared", "target", 1), ("detour", "shared", 1)])
-    found = route(spark, links, search.greedy(), static(spark, "target", start=0, shared=0, detour=10))
-    assert (found["start_path"], found["cost"]) == (["start", "detour", "shared", "target"], 3)
-
-
-def test_cost_limit_is_exclusive(spark):
-    assert route(spark, weighted(spark, [("start", "target", 7)]), search.uniform_cost())["cost"] == 7
-    assert route(spark, weighted(spark, [("start", "target", 8)]), search.uniform_cost())["cost"] is None
-
-
-def test_budget(spark):
-    links = weighted(spark, [("start", "target", 1)])
-    assert route(spark, links, search.uniform_cost(), max_expansions=0)["cost"] is None
-    assert route(spark, links, search.uniform_cost(), start="target", max_expansions=0)["start_path"] == ["target"]
-    with pytest.raises(ValueError):
-        route(spark, links, search.uniform_cost(), max_expansions=-1)
-
-
-def test_collide_replaces_dear_meeting(spark):
-    links = weighted(spark, [("start", "early", 5), ("start", "left", 1), ("target", "early", 4), ("target", "right", 1), ("left", "meeting", 1), ("right", "meeting", 1)])
-    asked = spark.createDataFrame([(1, "start", "target")], "query_id long, start string, target string")
-    found = search.search_collide(asked, links, search.uniform_cost(), max_cost=10).first()
-    assert (found["cost"], found["start_path"][-1], found["target_path"][-1]) == (4, "meeting", "meeting")
-
-
-def test_beam_keeps_best_and_negative_weight_is_refused(spark):
-    open_ = spark.createDataFrame([(1, 0, "requeued", 2.0, -2.0), (1, 0, "other", 1.0, -1.0), (1, 0, "over", 6.0, -6.0)], "query_id long, lane int, word string, cost double, score double")
-    assert {r["word"] for r in search.beam_trim(open_, 2, 4.0).collect()} == {"requeued", "other"}
-    with pytest.raises(ValueError):
-        search.a_star(-1)
-
-
 def test_race_labels_and_stats(spark):
     df = spark.createDataFrame([(None,), (1234,), (59999,), (61000,)], "ms long")
     assert [r[0] for r in df.select(scalars.step_time_label(F.col("ms"))).collect()] == ["Start", "1.2s", "59.9s", "1m 1s"]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lexicon import ALL_FIELDS, ALL_POS, COLLIDE_POS, field_mask
+from ..functions.lexicon import ALL_FIELDS, ALL_POS, COLLIDE_POS, LEXICAL_KEYS, POS_TAGS, field_mask
 from ..functions.scalars import optimality, path_links
-from .graph import collide_paths, distance_table, shortest_paths
+from ..sources.shared import settle
+from .graph import collide_paths, compact_edges, distance_table, shortest_paths
+from .search import SETTING, Algorithm, run_searches
 
 CELL = ["stage", "mode", "profile", "algorithm", "max_cost"]
 CASE = ["mode", "profile", "start_word", "target_word"]
@@ -45,18 +47,21 @@ def _mean(value: Column, condition: Column) -> Column:
     return F.coalesce(F.avg(F.when(condition, value.cast("double"))), F.lit(0.0))
 
 
-def summarize_results(results: DataFrame) -> DataFrame:
-    """One row a cell: counts, rates, latency over rows without error, links and optimality over reachable successes."""
+def summarize_results(results: DataFrame, effort: str = "duration_ms") -> DataFrame:
+    """One row a cell: counts, rates, effort over rows without error, links and optimality over reachable successes.
+
+    effort: the column behind mean_ms, p50_ms and p95_ms; searches that run in step have words expanded instead of times.
+    """
     reachable = F.col("exact_cost").isNotNull()
     success = reachable & (F.col("status") == "success")
     fine = F.col("status") != "error"
-    time = F.when(fine, F.col("duration_ms"))
+    time = F.when(fine, F.col(effort))
     return results.groupBy(*CELL).agg(
         F.count("*").alias("total"),
         F.count_if(reachable).alias("reachable"),
         F.count_if(success).alias("successes"),
         F.coalesce(F.count_if(success) / F.nullif(F.count_if(reachable), F.lit(0)), F.lit(0.0)).alias("success_rate"),
-        _mean(F.col("duration_ms"), fine).alias("mean_ms"),
+        _mean(F.col(effort), fine).alias("mean_ms"),
         F.coalesce(F.percentile(time, 0.5), F.lit(0.0)).alias("p50_ms"),
         F.coalesce(F.percentile(time, 0.95), F.lit(0.0)).alias("p95_ms"),
         _mean(F.col("combined_links"), success).alias("mean_links"),
@@ -65,7 +70,7 @@ def summarize_results(results: DataFrame) -> DataFrame:
     )
 
 
-def rank_finalists(results: DataFrame, mode: str, n: int = 3) -> DataFrame:
+def rank_finalists(results: DataFrame, mode: str, n: int = 3, effort: str = "duration_ms") -> DataFrame:
     """The n best algorithms of a mode's screening, without any that ever failed with an error."""
     rows = results.where((F.col("stage") == "screening") & (F.col("mode") == mode))
     reachable = F.col("exact_cost").isNotNull()
@@ -74,7 +79,7 @@ def rank_finalists(results: DataFrame, mode: str, n: int = 3) -> DataFrame:
         F.count_if(F.col("status") == "error").alias("errors"),
         F.coalesce(F.count_if(success) / F.nullif(F.count_if(reachable), F.lit(0)), F.lit(0.0)).alias("success_rate"),
         _mean(F.col("optimality"), success).alias("mean_optimality"),
-        F.coalesce(F.percentile("duration_ms", 0.95), F.lit(0.0)).alias("p95_ms"),
+        F.coalesce(F.percentile(effort, 0.95), F.lit(0.0)).alias("p95_ms"),
     )
     best = scored.where("errors = 0").drop("errors").orderBy(F.desc("success_rate"), F.desc("mean_optimality"), "p95_ms", "algorithm").limit(n)
     if best.count() < n:
@@ -134,30 +139,92 @@ def generate_regular_cases(nodes: DataFrame, edges: DataFrame, n: int, seed: int
     raise ValueError(f"fewer than {n} cases after {attempts} attempts")
 
 
-def generate_collide_cases(nodes: DataFrame, edges: DataFrame, n: int, seed: int, lemmatized: int = 0, least: int = 2, most: int = 8) -> DataFrame:
-    """Ordered pairs of distinct sampled words whose exact collide moves both lanes and totals least to most links."""
-    words = sample_n(nodes.where(F.col("word").rlike("^[a-z]{4,12}$")).select("word"), max(4 * n, 16), seed, "word")
-    pairs = words.select(F.col("word").alias("start")).crossJoin(words.select(F.col("word").alias("target"))).where("start <> target")
-    queries = pairs.select(F.xxhash64("start", "target").alias("query_id"), "start", "target", F.lit(lemmatized).alias("lemmatized"), F.lit(ALL_FIELDS).alias("field_mask"), F.lit(ALL_POS).alias("pos_mask"))
-    met = collide_paths(queries, nodes, edges).where((F.size("start_path") > 1) & (F.size("target_path") > 1) & F.col("links").between(least, most))
-    good = met.join(queries.select("query_id", "start", "target"), "query_id").select(F.col("start").alias("start_word"), F.col("target").alias("target_word"), F.col("links").alias("exact_cost"))
-    return good.orderBy(F.xxhash64("start_word", "target_word", F.lit(seed)), "start_word", "target_word").limit(n)
+def generate_collide_cases(nodes: DataFrame, edges: DataFrame, n: int, seed: int, lemmatized: int = 0, least: int = 2, most: int = 8, attempts: int = 8) -> DataFrame:
+    """start_word, target_word, exact_cost of n ordered pairs of distinct sampled words whose exact collide moves both lanes
+    and totals least to most links; an error if they aren't found in so many draws of 8 n pairs each."""
+    words = nodes.where(F.col("word").rlike("^[a-z]{4,12}$")).select("word")
+    found = None
+    for attempt in range(attempts):
+        pool = sample_n(words, max(4 * n, 16), seed + attempt, "word")
+        pairs = pool.select(F.col("word").alias("start")).crossJoin(pool.select(F.col("word").alias("target"))).where("start <> target")
+        drawn = pairs.orderBy(F.xxhash64("start", "target", F.lit(seed + attempt)), "start", "target").limit(8 * n)
+        setting = [F.lit(v).alias(c) for c, v in zip(SETTING, (lemmatized, ALL_FIELDS, ALL_POS))]
+        queries = settle(drawn.select(F.monotonically_increasing_id().alias("query_id"), "start", "target", *setting), "drawn")
+        met = collide_paths(queries, nodes, edges).where((F.size("start_path") > 1) & (F.size("target_path") > 1) & F.col("links").between(least, most))
+        good = met.join(queries, "query_id").select(F.col("start").alias("start_word"), F.col("target").alias("target_word"), F.col("links").cast("int").alias("exact_cost"))
+        found = settle(good if found is None else found.unionByName(good).dropDuplicates(["start_word", "target_word"]), "cases")
+        chosen = found.orderBy(F.xxhash64("start_word", "target_word", F.lit(seed)), "start_word", "target_word").limit(n)
+        if chosen.count() == n:
+            return chosen
+    raise ValueError(f"fewer than {n} cases after {attempts} attempts")
 
 
 def exact_costs(queries: DataFrame, mode: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """query_id, exact_cost: links of the exact route, of both lanes in collide mode."""
     found = shortest_paths(queries, nodes, edges) if mode == "regular" else collide_paths(queries, nodes, edges)
-    return found.select("query_id", F.col("links").alias("exact_cost"))
-
-
-def result_rows(found: DataFrame, mode: str) -> DataFrame:
-    """found (case columns, start_path, target_path, exact_cost) with links, status and optimality."""
-    links = path_links(F.lit(mode), F.col("start_path"), F.col("target_path"), F.col("target_word"))
-    rows = found.select("*", *links)
-    status = F.when(F.col("start_path").isNull(), "no_route").when(F.col("valid"), "success").otherwise("error")
-    return rows.withColumn("status", status).withColumn("optimality", optimality(F.col("exact_cost"), F.col("combined_links")))
-
-
-def percentile_rank(results: DataFrame) -> DataFrame:
-    """results with each row's place by time inside its cell."""
-    return results.withColumn("place", F.row_number().over(Window.partitionBy(*CELL).orderBy("duration_ms", *CASE)))
+    return found.select("query_id", F.col("links").cast("int").alias("exact_cost"))
+
+
+def search_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Links of searches by word: source, target, cost 1 and what a setting's masks are held against."""
+    ends = [nodes.select(F.col("node_id").alias(f"{x}_id"), F.col("word").alias(x)) for x in ("source", "target")]
+    return compact_edges(edges).join(ends[0], "source_id").join(ends[1], "target_id").select("source", "target", F.lit(1.0).alias("cost"), "lemmatized", "edge_type", "pos_id")
+
+
+def _mask_names(mask: str, names: list[str]) -> Column:
+    """Sorted names of a mask's bits, joined by commas."""
+    return F.array_join(F.array_compact(F.array(*[F.when(F.getbit(F.col(mask).cast("long"), F.lit(names.index(n))) == 1, n) for n in sorted(names)])), ",")
+
+
+def result_rows(found: DataFrame) -> DataFrame:
+    """found (case, setting, mode, paths, exact_cost, error) with links, status and optimality."""
+    links = path_links(F.col("mode"), F.col("start_path"), F.col("target_path"), F.col("target_word"))
+    status = F.when(F.col("error").isNotNull(), "error").when(F.col("valid"), "success").otherwise("no_route")
+    named = found.select("*", *links, _mask_names("field_mask", LEXICAL_KEYS).alias("lexical_fields"), _mask_names("pos_mask", POS_TAGS).alias("available_pos"))
+    return named.select(*[F.col(c) for c in RESULT_COLUMNS if c in named.columns], status.alias("status"), optimality(F.col("exact_cost"), F.col("combined_links")).alias("optimality"), F.lit(None).cast("double").alias("duration_ms"))
+
+
+RESULT_COLUMNS = [
+    *CELL, "lemmatized", "lexical_fields", "available_pos", "start_word", "target_word", "start_path", "target_path", "start_links", "target_links",
+    "combined_links", "exact_cost", "error", "expansions", "rounds",
+]
+
+
+def _without_vectors(asked: DataFrame, algorithms: list[Algorithm]) -> DataFrame:
+    """query_id of searches whose heuristic has no vector for a target."""
+    out = asked.select("query_id").where(F.lit(False))
+    ends = asked.select("query_id", "algorithm", F.explode(F.when(F.col("collide"), F.array(F.lower("start"), F.lower("target"))).otherwise(F.array(F.lower("target")))).alias("word"))
+    for a in algorithms:
+        if hasattr(a.heuristic, "vectors"):
+            mine = ends.where((F.col("algorithm") == a.name))
+            out = out.unionByName(mine.join(a.heuristic.vectors.select("word"), "word", "left_anti").select("query_id"))
+    return out.distinct()
+
+
+def evaluate_searches(stage: str, mode: str, cases: DataFrame, algorithms: list[Algorithm], profiles: DataFrame, nodes: DataFrame, edges: DataFrame, done: DataFrame | None = None) -> DataFrame:
+    """A result row for every case x algorithm x profile, all searches run in step, compared with the exact cost.
+
+    cases: start_word, target_word. A target without a vector that its heuristic needs gives an error row, no failed job.
+    done: rows of an earlier run; profiles that have all their rows there are kept, others run again. Times are null: what a
+    search cost is in expansions and rounds.
+    """
+    spark = nodes.sparkSession
+    names = spark.createDataFrame([(a.name, float(a.max_cost)) for a in algorithms], "algorithm string, max_cost double")
+    pairs = cases.select("start_word", "target_word").distinct()
+    matrix = settle(case_matrix(pairs, names, profiles.select("profile", *SETTING)).select(F.monotonically_increasing_id().alias("query_id"), F.lit(stage).alias("stage"), F.lit(mode).alias("mode"), "*"), "matrix")
+    kept = None
+    if done is not None:
+        mine = done.where((F.col("stage") == stage) & (F.col("mode") == mode))
+        todo = incomplete_cells(matrix, mine)
+        kept = mine.join(todo, ["mode", "profile"], "left_anti")
+        matrix = settle(matrix.join(todo, ["mode", "profile"], "left_semi"), "matrix")
+    asked = matrix.select("query_id", F.col("start_word").alias("start"), F.col("target_word").alias("target"), F.lit(mode == "collide").alias("collide"), "algorithm", *SETTING)
+    failed = settle(_without_vectors(asked, algorithms), "failed")
+    found = settle(run_searches(asked.join(failed, "query_id", "left_anti"), settle(search_links(nodes, edges), "search_links"), algorithms), "found")
+    exact = matrix.groupBy("start_word", "target_word", "profile", *SETTING).agg(F.min("query_id").alias("query_id"))
+    exact = settle(exact.select("query_id", "profile", F.col("start_word").alias("start"), F.col("target_word").alias("target"), *SETTING), "exact")
+    costs = exact_costs(exact, mode, nodes, edges).join(exact.select("query_id", "profile", F.col("start").alias("start_word"), F.col("target").alias("target_word")), "query_id").drop("query_id")
+    error = failed.withColumn("error", F.lit("ValueError: a target has no vector"))
+    rows = matrix.join(found, "query_id", "left").join(error, "query_id", "left").join(costs, ["start_word", "target_word", "profile"], "left")
+    out = result_rows(rows.withColumn("expansions", F.coalesce("spent", F.lit(0))).withColumn("rounds", F.coalesce("rounds", F.lit(0))).withColumn("lemmatized", F.col("lemmatized") == 1))
+    return out if kept is None else kept.select(*out.columns).unionByName(out)

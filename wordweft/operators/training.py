@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lexicon import ALL_FIELDS, ALL_POS, LEXICAL_KEYS, POS_TAGS
+from ..functions.lexicon import LEXICAL_KEYS, POS_TAGS
 from ..functions.scalars import cost_features
 from ..sources.shared import settle
 from .graph import bfs, compact_edges
@@ -291,6 +291,3 @@ def attribution_summary(attributions: DataFrame, groups: DataFrame) -> DataFrame
     summed = scaled.groupBy("place").agg(F.sum("x").alias("x"))
     return summed.join(F.broadcast(groups), "place").groupBy("group_name").agg(F.avg("x").alias("score"))
 
-
-def default_settings() -> tuple[int, int]:
-    return ALL_FIELDS, ALL_POS

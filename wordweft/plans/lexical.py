@@ -241,7 +241,7 @@ roots as (select start as word from seeds union select target from seeds),
 reach(root, v, d) as (select word, word, 0 from roots union select root, target, d + 1 from reach join pairs on source = v where d < 7),
 dist as (select root, v, min(d) as d from reach group by root, v),
 met as (select start, target, min(a.d + b.d) as links from seeds join dist a on a.root = start join dist b on b.root = target and b.v = a.v where start <> target group by start, target)
-select distinct s.start, s.target, cast(case when s.start = s.target then 0 when links < 8 then links end as bigint) as links from seeds s left join met m on m.start = s.start and m.target = s.target"""
+select distinct s.start, s.target, cast(case when s.start = s.target then 0 else links end as bigint) as links from seeds s left join met m on m.start = s.start and m.target = s.target"""
 
 
 def gloss_parents(spark, sf_dir):

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, lexical
+from . import analytics, evaluation, lexical
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**lexical.QUERIES, **analytics.QUERIES}
-ORACLES: dict[str, str] = {**lexical.ORACLES, **analytics.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**lexical.QUERIES, **analytics.QUERIES, **evaluation.QUERIES}
+ORACLES: dict[str, str] = {**lexical.ORACLES, **analytics.ORACLES, **evaluation.ORACLES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
