@@ -117,7 +117,7 @@ class _Linker:
 
     def __init__(self, marked: DataFrame, nodes: DataFrame, width: int, percent: int):
         self.marked, self.width, self.percent = marked, width, percent
-        self.sketches = nodes.select("place", "n", "sample", "whole")
+        self.sketches = nodes
         self.found: DataFrame | None = None
         self.roots: DataFrame | None = None
 
@@ -154,9 +154,10 @@ def _ordered(a: Column, b: Column) -> list[Column]:
 def linked_sets(marked: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(sets, roots): key and place of each distinct set, and node, root of every place that has a link."""
     first = settle(marked.where("n > 0").groupBy("key").agg(F.min("place").alias("place")), "sets")
-    nodes = settle(marked.drop("text", "doc_id").join(first.select("place"), "place", "left_semi"), "nodes")
+    own = first.select("place")
+    nodes = settle(marked.select("place", "n", "sample", "whole").join(own, "place", "left_semi"), "nodes")
     linker = _Linker(marked, nodes, width, percent)
-    cells = nodes.select("place", F.explode("bands").alias("cell"))
+    cells = marked.select("place", "bands").join(own, "place", "left_semi").select("place", F.explode("bands").alias("cell"))
     sizes = cells.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1")
     cells = settle(cells.join(sizes, "cell"), "cells")
     met = cells.groupBy("place").agg(F.sum("size").alias("met"))
