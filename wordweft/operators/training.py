@@ -236,6 +236,26 @@ def init_weights(width: int, seed: int) -> dict[str, np.ndarray]:
     return out
 
 
+def fixed_weights(width: int, hidden: int = 4, head: int = 3) -> dict[str, np.ndarray]:
+    """Weights by a rule of thumb, for checks: sixteenths from -6/16 to 6/16 by place, one trunk layer."""
+    def made(rows: int, columns: int, salt: int) -> np.ndarray:
+        i, j = np.arange(rows)[:, None], np.arange(columns)[None, :]
+        return (((i * 31 + j * 17 + salt) % 13 - 6) / 16).astype(np.float32)
+
+    out = {"w0": made(width, hidden, 1), "b0": made(1, hidden, 2)[0]}
+    for k, name in enumerate(("cost", "reach")):
+        out |= {f"{name}_w0": made(hidden, head, 3 + k), f"{name}_b0": made(1, head, 5 + k)[0], f"{name}_w1": made(head, 1, 7 + k), f"{name}_b1": made(1, 1, 9 + k)[0]}
+    return out
+
+
+def feature_groups(dimension: int) -> dict[str, list[int]]:
+    """The ten groups of ``cost_features`` and their places."""
+    d, sizes = dimension, {"cosine": 1, "distance": 1, "dot": 1, "mode": 1, "fields": len(LEXICAL_KEYS), "tags": len(POS_TAGS)}
+    sizes = {"current": d, "target": d, "difference": d, "product": d} | sizes
+    ends = np.cumsum(list(sizes.values())).tolist()
+    return {name: list(range(end - sizes[name], end)) for name, end in zip(sizes, ends)}
+
+
 def forward(x: np.ndarray, weights: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """cost and reachable_logit of a batch of feature rows."""
     k = 0
@@ -251,7 +271,9 @@ def score_cost(df: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(weights)
 
     def run(features: pd.Series) -> pd.DataFrame:
-        cost, logit = forward(np.stack(features.to_numpy()).astype(np.float32), shared.value)
+        if not len(features):
+            return pd.DataFrame({"cost": np.zeros(0), "reachable_logit": np.zeros(0)})
+        cost, logit = forward(np.stack(features.to_numpy()), shared.value)
         return pd.DataFrame({"cost": cost.astype(float), "reachable_logit": logit.astype(float)})
 
     scored = df.withColumn("p", F.pandas_udf(run, "cost double, reachable_logit double")("features"))
@@ -265,7 +287,7 @@ def ablate(df: DataFrame, weights: dict[str, np.ndarray], groups: dict[str, list
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, parts = shared.value
         for batch in batches:
-            x = np.stack(batch["features"].to_numpy()).astype(np.float32)
+            x = np.stack(batch["features"].to_numpy())
             whole = forward(x, own)
             for name, columns in parts.items():
                 part = x.copy()
@@ -280,6 +302,21 @@ def ablate(df: DataFrame, weights: dict[str, np.ndarray], groups: dict[str, list
     return total.select("group_name", "head", mean.alias("mean"), F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))).alias("std"))
 
 
+def group_scores(ablated: DataFrame) -> DataFrame:
+    """group_name, cost, reach (mean change a head) and score: both heads' means, each scaled by its own range over the groups, summed.
+
+    All features of a group change together, so a head's range over features is its range over groups. The table has a row a
+    group and head.
+    """
+    heads = ablated.groupBy("group_name").agg(*[F.max(F.when(F.col("head") == h, F.col("mean"))).alias(h) for h in ("cost", "reach")])
+    ends = heads.agg(*[f(h).alias(f"{n}_{h}") for h in ("cost", "reach") for n, f in (("lo", F.min), ("hi", F.max))])
+
+    def scaled(head: str) -> Column:
+        return F.coalesce((F.col(head) - F.col(f"lo_{head}")) / F.nullif(F.col(f"hi_{head}") - F.col(f"lo_{head}"), F.lit(0.0)), F.lit(0.0))
+
+    return heads.join(F.broadcast(ends)).select("group_name", "cost", "reach", (scaled("cost") + scaled("reach")).alias("score"))
+
+
 def attribution_summary(attributions: DataFrame, groups: DataFrame) -> DataFrame:
     """group_name, score: mean absolute attribution a feature and head, scaled to 0..1, summed over heads, averaged.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import ALL_FIELDS, ALL_POS
-from ..functions.scalars import cosine_similarity, cost_features, learned_score, neg_euclidean, optimality, vector_text
+from ..functions.scalars import cosine_similarity, cost_features, learned_score, neg_euclidean, optimality
 from ..operators import embed, evalsuite, races, training
 from ..sources import adapters, io
 from ..sources.adapters import SQL_STEPS
@@ -271,8 +271,38 @@ def learned_scores(spark, sf_dir):
 SQL_LEARNED = f"with {SQL_PREDS} select cost, logit as reachable_logit, count(*) as n, round(greatest(cost, 0) + 3 / (1 + exp(logit)), 6) as score from p group by cost, logit"
 
 
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, features: each vector against the first of its label, under a setting by its number."""
+    vectors = adapters.table(spark, sf_dir, "embeddings")
+    first = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("goal"))
+    made = cost_features(F.col("embedding"), F.col("goal"), F.col("vec_id") % 2, F.col("vec_id") % 4093 + 1, F.col("vec_id") * 7 % 262139 + 1)
+    return vectors.join(first, "label").select("vec_id", made.alias("features"))
+
+
+def feature_places(spark, sf_dir):
+    """Every place of every feature vector."""
+    return _rounded(_features(spark, sf_dir).select("vec_id", F.posexplode("features").alias("place", "x")))
+
+
+SQL_PLACES = f"""with g as (select label, arg_min(embedding, vec_id) as goal from embeddings group by label),
+f as (select vec_id, unnest(embedding)::double as a, unnest(goal)::double as b, generate_subscripts(embedding, 1) - 1 as k, len(embedding) as d from embeddings join g on g.label = embeddings.label),
+t as (select vec_id, d, sum(a * b) as dot, sqrt(sum(a * a)) as na, sqrt(sum(b * b)) as nb, sqrt(sum((a - b) * (a - b))) as apart from f group by vec_id, d),
+x as (select vec_id, k as place, a as x from f union all select vec_id, d + k, b from f union all select vec_id, 2 * d + k, b - a from f union all select vec_id, 3 * d + k, a * b from f
+  union all select vec_id, 4 * d, dot / (na * nb + 1e-12) from t union all select vec_id, 4 * d + 1, apart from t union all select vec_id, 4 * d + 2, dot from t union all select vec_id, 4 * d + 3, (vec_id % 2)::double from t
+  union all select vec_id, 4 * d + 4 + k, ((vec_id % 4093 + 1) >> k & 1)::double from t, (select unnest(range(12)) as k) union all select vec_id, 4 * d + 16 + k, ((vec_id * 7 % 262139 + 1) >> k & 1)::double from t, (select unnest(range(18)) as k))"""
+
+
 def vectors_text(spark, sf_dir):
-    return adapters.table(spark, sf_dir, "embeddings").select("vec_id", F.size(F.split(vector_text(F.col("embedding")), ",")).cast("long").alias("parts"))
+    """Every number of the vectors' text form, after writing it and reading it back."""
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}/vectors"
+    vectors = adapters.table(spark, sf_dir, "embeddings")
+    io.write_vectors_text(vectors.select(F.concat(F.lit('v"'), F.col("vec_id").cast("string")).alias("word"), "embedding"), path)
+    back = spark.read.schema("word string, vector string").option("sep", "\t").option("quote", '"').option("escape", '"').csv(path)
+    numbers = F.split(F.regexp_replace("vector", r"[\[\]]", ""), ",").cast("array<float>")
+    return _rounded(back.select("word", F.posexplode(numbers).alias("place", "x")).withColumn("x", F.col("x").cast("double")))
+
+
+SQL_TEXT = """select 'v"' || vec_id as word, cast(k - 1 as integer) as place, round(x::double, 6) as x from (select vec_id, unnest(embedding) as x, generate_subscripts(embedding, 1) as k from embeddings)"""
 
 
 def training_rows(spark, sf_dir):
@@ -284,25 +314,53 @@ def training_rows(spark, sf_dir):
     return training.split(rows, ["setting_id", "source", "target"], 42).groupBy("setting_id", "label", "part").agg(F.count("*").alias("n"))
 
 
-def scored_features(spark, sf_dir):
-    """Two-head model scores of every vector against the first of its label."""
-    vectors = adapters.table(spark, sf_dir, "embeddings")
-    first = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("goal"))
-    made = cost_features(F.col("embedding"), F.col("goal"), F.lit(1), F.lit(ALL_FIELDS), F.lit(ALL_POS))
-    rows = vectors.join(first, "label").select("vec_id", made.alias("features"))
+def _network(rows: DataFrame) -> tuple[dict, dict]:
+    """Fixed weights and feature groups of a table of features."""
     width = rows.select(F.size("features")).first()[0]
-    return training.score_cost(rows, training.init_weights(width, 42))
+    return training.fixed_weights(width), training.feature_groups((width - 34) // 4)
+
+
+def scored_features(spark, sf_dir):
+    """Two-head model scores of every vector against the first of its label, with fixed weights."""
+    rows = _features(spark, sf_dir)
+    return _rounded(training.score_cost(rows, _network(rows)[0]))
+
+
+def _sql_heads(inputs: str, keys: str) -> str:
+    """The forward pass over a table (keys, place, x): two layers of sixteenths by place."""
+    weight = "((({i} * 31 + {j} * 17 + {salt}) % 13 - 6) / 16.0)::double"
+    layer = lambda salt: weight.format(i="place", j="j", salt=salt)
+    bias = lambda salt: weight.format(i="0", j="j", salt=salt)
+    hidden = f"h as (select {keys}, j as place, greatest(sum(x * {layer(1)}) + any_value({bias(2)}), 0) as x from {inputs}, (select unnest(range(4)) as j) group by {keys}, j)"
+    heads = [f"{n}0 as (select {keys}, j as place, greatest(sum(x * {layer(3 + k)}) + any_value({bias(5 + k)}), 0) as x from h, (select unnest(range(3)) as j) group by {keys}, j)" for k, n in enumerate(("cost", "reach"))]
+    ends = [f"{n} as (select {keys}, sum(x * {layer(7 + k)}) + any_value({bias(9 + k)}) as y from {n}0, (select 0 as j) group by {keys})" for k, n in enumerate(("cost", "reach"))]
+    return ", ".join([hidden, *heads, *ends])
+
+
+SQL_SCORED = f"{SQL_PLACES}, {_sql_heads('x', 'vec_id')} select cost.vec_id, round(cost.y, 6) as cost, round(reach.y, 6) as reachable_logit from cost join reach on reach.vec_id = cost.vec_id"
 
 
 def ablation(spark, sf_dir):
-    vectors = adapters.table(spark, sf_dir, "embeddings")
-    first = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("goal"))
-    made = cost_features(F.col("embedding"), F.col("goal"), F.lit(1), F.lit(ALL_FIELDS), F.lit(ALL_POS))
-    rows = vectors.join(first, "label").select(made.alias("features"))
-    width = rows.select(F.size("features")).first()[0]
-    d = (width - 34) // 4
-    names = {"current": (0, d), "target": (d, 2 * d), "difference": (2 * d, 3 * d), "product": (3 * d, 4 * d), "scalars": (4 * d, 4 * d + 3), "mode": (4 * d + 3, 4 * d + 4), "fields": (4 * d + 4, 4 * d + 16), "tags": (4 * d + 16, width)}
-    return training.ablate(rows, training.init_weights(width, 42), {k: list(range(*v)) for k, v in names.items()})
+    """Absolute output change a feature group and head over all vectors."""
+    rows = _features(spark, sf_dir)
+    return _rounded(training.ablate(rows, *_network(rows)))
+
+
+def attributions(spark, sf_dir):
+    rows = _features(spark, sf_dir)
+    return _rounded(training.group_scores(training.ablate(rows, *_network(rows))))
+
+
+_SQL_GROUP = """case when place < d then 'current' when place < 2 * d then 'target' when place < 3 * d then 'difference' when place < 4 * d then 'product' when place = 4 * d then 'cosine' when place = 4 * d + 1 then 'distance'
+  when place = 4 * d + 2 then 'dot' when place = 4 * d + 3 then 'mode' when place < 4 * d + 16 then 'fields' else 'tags' end"""
+_SQL_CHANGES = f"""{SQL_PLACES}, g0 as (select x.vec_id, place, x, {_SQL_GROUP} as own from x join t on t.vec_id = x.vec_id), names as (select distinct own as group_name from g0 union all select 'none'),
+z as (select vec_id, group_name, place, case when own = group_name then 0.0::double else x end as x from g0, names), {_sql_heads('z', 'vec_id, group_name')},
+both_ as (select vec_id, group_name, 'cost' as head, y from cost union all select vec_id, group_name, 'reach', y from reach),
+a as (select b.group_name, b.head, abs(b.y - w.y) as c from both_ b join both_ w on w.vec_id = b.vec_id and w.head = b.head and w.group_name = 'none' where b.group_name <> 'none')"""
+SQL_ABLATION = f"with {_SQL_CHANGES.removeprefix('with ')} select group_name, head, round(avg(c), 6) as mean, round(stddev_pop(c), 6) as std from a group by group_name, head"
+SQL_ATTRIBUTIONS = f"""with {_SQL_CHANGES.removeprefix('with ')}, m as (select group_name, avg(c) filter (where head = 'cost') as cost, avg(c) filter (where head = 'reach') as reach from a group by group_name),
+e as (select min(cost) as lc, max(cost) as hc, min(reach) as lr, max(reach) as hr from m)
+select group_name, round(cost, 6) as cost, round(reach, 6) as reach, round((cost - lc) / (hc - lc) + (reach - lr) / (hr - lr), 6) as score from m, e"""
 
 
 QUERIES = {
@@ -311,6 +369,7 @@ QUERIES = {
     "a12_evaluate_cost": evaluate_cost, "a13_evaluate_batches": evaluate_batches, "a14_cost_loss": cost_loss, "a9_describe_labels": describe_labels, "a11_label_histogram": label_histogram,
     "a10_feature_health": feature_health, "a18_vector_spread": vector_spread, "a6_mean_vector": mean_vector, "f7_similarities": similarities, "f9_pair_features": pair_features,
     "f18_learned_scores": learned_scores, "io9_vectors_text": vectors_text, "d3_training_rows": training_rows, "d6_scored_features": scored_features, "d7_ablation": ablation,
+    "a19_attributions": attributions, "f9_feature_places": feature_places,
 }
 ORACLES = {
     "f3_race_stats": SQL_RACES, "w7_race_lanes": SQL_LANES, "w2_step_times": SQL_TIMES, "j7_games_with_players": SQL_JOINED, "r1_live_race_state": SQL_RACES,
@@ -319,5 +378,6 @@ ORACLES = {
     "a10_feature_health": "select count(*) as \"rows\", cast(max(len(embedding)) as integer) as width, cast(sum(len(embedding)) as bigint) as finite, cast(0 as bigint) as non_finite from embeddings",
     "a18_vector_spread": "select round(var_pop(x::double), 6) as variance from (select unnest(embedding) as x from embeddings)",
     "a6_mean_vector": "select cast(place - 1 as integer) as place, round(avg(x::double), 6) as mean from (select unnest(embedding) as x, generate_subscripts(embedding, 1) as place from embeddings) group by place",
-    "f7_similarities": SQL_SIMILAR, "f9_pair_features": SQL_FEATURES, "f18_learned_scores": SQL_LEARNED, "io9_vectors_text": "select vec_id, cast(len(embedding) as bigint) as parts from embeddings",
+    "f7_similarities": SQL_SIMILAR, "f9_pair_features": SQL_FEATURES, "f18_learned_scores": SQL_LEARNED, "io9_vectors_text": SQL_TEXT,
+    "d6_scored_features": SQL_SCORED, "d7_ablation": SQL_ABLATION, "a19_attributions": SQL_ATTRIBUTIONS, "f9_feature_places": f"{SQL_PLACES} select vec_id, cast(place as integer) as place, round(x, 6) as x from x",
 }

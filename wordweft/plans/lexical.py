@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import ALL_FIELDS, ALL_POS, COLLIDE_LEFT_OUT, LEXICAL_KEYS, POS_TAGS
 from ..functions.scalars import game_field_sets, hint_category
-from ..operators import dictionary, evalsuite, graph, races, search
+from ..operators import dictionary, evalsuite, graph, jsontree, races, search
 from ..sources import adapters, io
 from ..sources.adapters import SQL_ENTRIES, SQL_GRAPH, SQL_LINKS, SQL_TOKENS
 from ..sources.shared import settle, shared_dir
@@ -339,6 +339,23 @@ def pattern_words(spark, sf_dir):
     return dictionary.word_pattern_filter(dictionary.embeddable_words(word_list(spark, sf_dir)))
 
 
+def _blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word, json: each word's tokens by key, some of them two levels deeper than others."""
+    tokens = adapters.entry_tokens(spark, sf_dir).where("w is not null").withColumn("t", F.struct("w", "l", F.col("pos").alias("p")))
+    even = F.length("w") % 2 == 0
+    by_key = tokens.groupBy("word", "lexical_key").agg(F.collect_set(F.when(even, F.col("t"))).alias("here"), F.collect_set(F.when(~even, F.col("t"))).alias("below"))
+    part = F.struct(F.struct(F.col("here").alias("rich")).alias("text"), F.array(F.struct(F.struct(F.col("below").alias("rich")).alias("sense"), F.lit("w").alias("kind"))).alias("children"))
+    return by_key.groupBy("word").agg(F.to_json(F.struct(F.array(F.map_from_entries(F.collect_list(F.struct("lexical_key", part)))).alias("entries"))).alias("json"))
+
+
+def json_tokens(spark, sf_dir):
+    """Tokens under each key, found again in nested JSON."""
+    return jsontree.find_tokens(_blobs(spark, sf_dir), LEXICAL_KEYS)
+
+
+SQL_JSON = f"with {SQL_TOKENS} select distinct word, lexical_key, pos as p, w, l from tokens where w is not null"
+
+
 def upsert_words(spark, sf_dir):
     """Words under glosses, and then all others."""
     links = settle(_links(spark, sf_dir), "links")
@@ -361,7 +378,7 @@ QUERIES = {
     "g5_neighborhood": neighborhood, "g17_route_hints": route_hints, "u3_graph_parity": graph_parity, "io4_graph_roundtrip": graph_roundtrip,
     "g6_search_regular": search_uniform, "g7_search_collide": search_collide, "w3_gloss_parents": gloss_parents, "p4_clickable_tokens": clickable_tokens,
     "u1_game_fields": game_fields, "j8_playable_records": playable_records, "j5_words_to_embed": words_to_embed, "p6_pattern_words": pattern_words,
-    "j6_upsert_words": upsert_words, "p8_audits": audits,
+    "j6_upsert_words": upsert_words, "p8_audits": audits, "f15_json_tokens": json_tokens,
 }
 _WORDS = f"with {SQL_TOKENS} select distinct word from tokens"
 ORACLES = {
@@ -371,5 +388,5 @@ ORACLES = {
     "g5_neighborhood": SQL_NEAR, "g17_route_hints": SQL_HINTS, "u3_graph_parity": SQL_PARITY, "io4_graph_roundtrip": SQL_ROUNDTRIP,
     "g6_search_regular": SQL_SEARCH, "g7_search_collide": SQL_SEARCH_COLLIDE, "w3_gloss_parents": SQL_PARENTS, "p4_clickable_tokens": SQL_CLICK,
     "u1_game_fields": SQL_FIELDS, "j8_playable_records": SQL_PLAYABLE, "j5_words_to_embed": SQL_TO_EMBED, "p6_pattern_words": f"{_WORDS} where regexp_matches(word, '^[a-z]{{4,12}}$')",
-    "j6_upsert_words": _WORDS, "p8_audits": SQL_AUDIT,
+    "j6_upsert_words": _WORDS, "p8_audits": SQL_AUDIT, "f15_json_tokens": SQL_JSON,
 }
