@@ -158,8 +158,10 @@ def linked_sets(marked: DataFrame, width: int = WIDTH, percent: int = PERCENT) -
     nodes = settle(marked.select("place", "n", "sample", "whole").join(own, "place", "left_semi"), "nodes")
     linker = _Linker(marked, nodes, width, percent)
     cells = marked.select("place", "bands").join(own, "place", "left_semi").select("place", F.explode("bands").alias("cell"))
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1")
-    cells = settle(cells.join(sizes, "cell"), "cells")
+    sizes = settle(cells.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    # Few buckets hold more than one set; a filter of bounded size keeps most of the other rows from being moved.
+    shared = filter_words(sizes.select(F.xxhash64("cell").alias("seed")), 32)
+    cells = settle(cells.where(may_hold(F.col("cell"), marked.sparkSession, shared)).join(sizes, "cell"), "cells")
     met = cells.groupBy("place").agg(F.sum("size").alias("met"))
     ranked = cells.select("cell", "place").join(met, "place")
     hubs = ranked.groupBy("cell").agg(F.max_by("place", F.struct("met", "place")).alias("hub"))
