@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lexicon import ALL_FIELDS, ALL_POS
+from ..functions.lexicon import ALL_FIELDS, ALL_POS, POS_TAGS, pos_name
 from ..functions.scalars import cosine_similarity, cost_features, learned_score, neg_euclidean, optimality
 from ..operators import embed, evalsuite, races, training
 from ..sources import adapters, io
@@ -58,17 +58,42 @@ SQL_JOINED = f"""with {SQL_STEPS} select l.game, case when l.game % 2 = 0 then '
 from (select game, player, min(ts_ms) as joined_ms from steps group by game, player) l join (select player, count(*) as steps from steps group by player) p on p.player = l.player"""
 
 
+def _event_files(spark: SparkSession, sf_dir: str, base: str) -> str:
+    """A folder of event files; a file stream watches folders, and the table may be one file."""
+    adapters.table(spark, sf_dir, "events").repartition(4).write.parquet(f"{base}/in")
+    return f"{base}/in"
+
+
 def live_race_state(spark, sf_dir):
-    """Race figures by a stream over the event files, run to their end; each batch rewrites the result table."""
-    schema = adapters.table(spark, sf_dir, "events").schema
+    """Race figures by a stream over the event files, run to their end; each batch writes the rows that it changed."""
+    base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    steps = live.step_stream(spark, _event_files(spark, sf_dir, base), adapters.table(spark, sf_dir, "events").schema, files_per_trigger=2)
+    live.upsert(live.live_race_state(steps), f"{base}/out", f"{base}/log").trigger(availableNow=True).start().awaitTermination()
+    return live.latest(spark, f"{base}/out", ["game", "player"])
+
+
+def validated_steps(spark, sf_dir):
+    """Steps judged by a stream over the event files, some of them there twice: both sinks read back."""
     base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
-    # A file stream watches folders; the table may be one file.
+    events = adapters.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     source = f"{base}/in"
-    adapters.table(spark, sf_dir, "events").repartition(4).write.parquet(source)
-    state = live.live_race_state(live.step_stream(spark, source, schema, files_per_trigger=2))
-    query = state.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{base}/out")).start()
-    query.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    events.unionByName(events.where("event_id % 10 = 0")).repartition(4).write.parquet(source)
+    read = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    steps = read.select(
+        (F.col("user_id") % 27).alias("game"), F.col("user_id").alias("player"), F.when(F.col("event_id") % 2 == 0, "start").otherwise("target").alias("side"),
+        F.upper("event_type").alias("w"), F.col("event_type").alias("l"), pos_name(F.col("event_id") % len(POS_TAGS)).alias("pos"), "ts", "event_id",
+    )
+    games = _games(spark, sf_dir)
+    words = events.select(F.col("event_type").alias("word")).distinct()
+    playable = games.select("game").crossJoin(words).where((F.col("game") + F.length("word")) % 3 != 0)
+    judged = live.validate_step_stream(steps, games, playable, "5000 days")
+    live.step_sinks(judged, f"{base}/out", f"{base}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("event_id", "game", "player", "side", "word", F.col("accepted").cast("boolean").alias("accepted"), "reason")
+
+
+SQL_JUDGED = f"""with s as (select distinct event_id, user_id % 27 as game, user_id as player, case when event_id % 2 = 0 then 'start' else 'target' end as side, event_type, ({adapters.SQL_TAGS})[event_id % 18 + 1] as pos from events),
+r as (select *, case when game >= 25 or game not in (select user_id % 25 from events) then 'no game' when game % 2 = 1 and pos in ('ADP','AUX','CCONJ','DET','PART','PRON','SCONJ') then 'tag not allowed' when (game + length(event_type)) % 3 = 0 then 'not playable' end as reason from s)
+select event_id, game, player, side, case when game >= 25 or game % 3 <> 0 then upper(event_type) else event_type end as word, reason is null as accepted, reason from r"""
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -369,7 +394,7 @@ QUERIES = {
     "a12_evaluate_cost": evaluate_cost, "a13_evaluate_batches": evaluate_batches, "a14_cost_loss": cost_loss, "a9_describe_labels": describe_labels, "a11_label_histogram": label_histogram,
     "a10_feature_health": feature_health, "a18_vector_spread": vector_spread, "a6_mean_vector": mean_vector, "f7_similarities": similarities, "f9_pair_features": pair_features,
     "f18_learned_scores": learned_scores, "io9_vectors_text": vectors_text, "d3_training_rows": training_rows, "d6_scored_features": scored_features, "d7_ablation": ablation,
-    "a19_attributions": attributions, "f9_feature_places": feature_places,
+    "r2_validated_steps": validated_steps, "a19_attributions": attributions, "f9_feature_places": feature_places,
 }
 ORACLES = {
     "f3_race_stats": SQL_RACES, "w7_race_lanes": SQL_LANES, "w2_step_times": SQL_TIMES, "j7_games_with_players": SQL_JOINED, "r1_live_race_state": SQL_RACES,
@@ -379,5 +404,5 @@ ORACLES = {
     "a18_vector_spread": "select round(var_pop(x::double), 6) as variance from (select unnest(embedding) as x from embeddings)",
     "a6_mean_vector": "select cast(place - 1 as integer) as place, round(avg(x::double), 6) as mean from (select unnest(embedding) as x, generate_subscripts(embedding, 1) as place from embeddings) group by place",
     "f7_similarities": SQL_SIMILAR, "f9_pair_features": SQL_FEATURES, "f18_learned_scores": SQL_LEARNED, "io9_vectors_text": SQL_TEXT,
-    "d6_scored_features": SQL_SCORED, "d7_ablation": SQL_ABLATION, "a19_attributions": SQL_ATTRIBUTIONS, "f9_feature_places": f"{SQL_PLACES} select vec_id, cast(place as integer) as place, round(x, 6) as x from x",
+    "r2_validated_steps": SQL_JUDGED, "d6_scored_features": SQL_SCORED, "d7_ablation": SQL_ABLATION, "a19_attributions": SQL_ATTRIBUTIONS, "f9_feature_places": f"{SQL_PLACES} select vec_id, cast(place as integer) as place, round(x, 6) as x from x",
 }

@@ -323,6 +323,50 @@ judged as (select a.word, a.game, case when not exists (select 1 from fields f w
 select cast(game as bigint) as game_id, reason, count(*) as words from judged group by game, reason"""
 
 
+def judged_steps(spark, sf_dir):
+    """Each distinct token as a step of one game: steps by game and reason."""
+    fields = settle(_presence(spark, sf_dir), "fields")
+    tokens = adapters.entry_tokens(spark, sf_dir).where("w is not null").select("word", "w", "l", "pos").distinct()
+    game, player = (F.length("word") + F.length("w")) % 27, F.length("word")
+    steps = tokens.select(game.cast("long").alias("game"), player.alias("player"), F.when(F.length("w") % 2 == 0, "start").otherwise("target").alias("side"), "w", "l", "pos", F.length("w").cast("long").alias("ts_ms"), F.lit(0).alias("event_id"))
+    accepted, rejected = races.apply_steps(steps, _games(spark, sf_dir), fields.select("word"), fields)
+    whole = accepted.select("game", F.lit("accepted").alias("reason"), (F.size("start_links") + F.size("target_links")).alias("n"))
+    return whole.unionByName(rejected.select("game", "reason", F.lit(1).alias("n"))).groupBy("game", "reason").agg(F.sum("n").alias("steps"))
+
+
+_SQL_RECORDS = f"""fields as (select distinct lower(word) as word, case when lexical_key in ('glosses', 'examples') then 'sense' else 'entry' end as level, lexical_key from entries),
+shown as (select game, 'entry' as level, lexical_key from game_fields where lexical_key not in ('glosses', 'examples') union select game, 'sense', lexical_key from game_fields where part in ('sense', 'shared')),
+known as (select distinct word from fields), held as (select distinct f.word, s.game from fields f join shown s on s.level = f.level and s.lexical_key = f.lexical_key)"""
+_SQL_LEFT_OUT = "('ADP','AUX','CCONJ','DET','PART','PRON','SCONJ')"
+SQL_STEPS_JUDGED = f"""with {SQL_TOKENS}, {SQL_GAMES}, {_SQL_RECORDS}, t as (select distinct word, w, l, pos from tokens where w is not null),
+s as (select (length(word) + length(w)) % 27 as game, pos, w, l from t), j as (select s.game, g.game as found, pos, lower(case when s.game % 3 = 0 then l else w end) as low from s left join games g on g.game = s.game),
+r as (select j.game, case when found is null then 'no game' when j.game % 2 = 1 and pos in {_SQL_LEFT_OUT} then 'tag not allowed' when k.word is null then 'missing word' when h.word is null then 'no content' else 'accepted' end as reason
+  from j left join known k on k.word = low left join held h on h.word = low and h.game = j.game)
+select cast(game as bigint) as game, reason, count(*) as steps from r group by game, reason"""
+
+
+def validated_games(spark, sf_dir):
+    """Games whose endpoints are the first and the last token of a length, by reason against them."""
+    fields = settle(_presence(spark, sf_dir), "fields")
+    tokens = adapters.entry_tokens(spark, sf_dir).where("w is not null").select(((F.length("w") + 7 * F.length("word")) % 60).cast("long").alias("game"), "w", "l", "pos")
+    games = _games(spark, sf_dir)
+    # Sixty games by the rules of the twenty-five.
+    every = spark.range(60).select(F.col("id").alias("game"), (F.col("id") % 25).alias("like")).join(games.withColumnRenamed("game", "like"), "like").drop("like")
+    ends = tokens.select("game", F.struct("w", "l", "pos").alias("t")).groupBy("game").agg(F.min("t").alias("start"), F.max("t").alias("target"))
+    each = ends.select("game", F.explode(F.create_map(F.lit("start"), F.col("start"), F.lit("target"), F.col("target"))).alias("side", "t")).select("game", "side", "t.*")
+    return races.validate_games(every, each, fields.select("word"), fields)
+
+
+SQL_GAMES_JUDGED = f"""with {SQL_TOKENS}, {SQL_GAMES}, {_SQL_RECORDS}, t as (select (length(w) + 7 * length(word)) % 60 as game, w, l, pos from tokens where w is not null),
+o as (select *, row_number() over (partition by game order by w, l, pos) as a, row_number() over (partition by game order by w desc, l desc, pos desc) as b from t),
+every as (select i as game, i % 25 as rule from (select unnest(range(60)) as i) where i % 25 in (select game from games)),
+e as (select every.game, rule, x.game is not null as there, lower(case when rule % 3 = 0 then x.l else x.w end) as s, lower(case when rule % 3 = 0 then y.l else y.w end) as t, x.pos as sp, y.pos as tp
+  from every left join o x on x.game = every.game and x.a = 1 left join o y on y.game = every.game and y.b = 1),
+v as (select e.*, case when ks.word is null or kt.word is null then 'missing word' when hs.word is null or ht.word is null then 'no content' end as record from e left join known ks on ks.word = s left join known kt on kt.word = t
+  left join held hs on hs.word = s and hs.game = rule left join held ht on ht.word = t and ht.game = rule)
+select cast(game as bigint) as game, case when not there then 'endpoint is no word' when s = t then 'start is target' when rule % 2 = 1 and (sp in {_SQL_LEFT_OUT} or tp in {_SQL_LEFT_OUT}) then 'tag not allowed' else record end as reason from v"""
+
+
 def words_to_embed(spark, sf_dir):
     """Vertices whose number has no vector."""
     from ..operators import embed
@@ -378,7 +422,7 @@ QUERIES = {
     "g5_neighborhood": neighborhood, "g17_route_hints": route_hints, "u3_graph_parity": graph_parity, "io4_graph_roundtrip": graph_roundtrip,
     "g6_search_regular": search_uniform, "g7_search_collide": search_collide, "w3_gloss_parents": gloss_parents, "p4_clickable_tokens": clickable_tokens,
     "u1_game_fields": game_fields, "j8_playable_records": playable_records, "j5_words_to_embed": words_to_embed, "p6_pattern_words": pattern_words,
-    "j6_upsert_words": upsert_words, "p8_audits": audits, "f15_json_tokens": json_tokens,
+    "j6_upsert_words": upsert_words, "p8_audits": audits, "f15_json_tokens": json_tokens, "e4_judged_steps": judged_steps, "e2_validated_games": validated_games,
 }
 _WORDS = f"with {SQL_TOKENS} select distinct word from tokens"
 ORACLES = {
@@ -388,5 +432,5 @@ ORACLES = {
     "g5_neighborhood": SQL_NEAR, "g17_route_hints": SQL_HINTS, "u3_graph_parity": SQL_PARITY, "io4_graph_roundtrip": SQL_ROUNDTRIP,
     "g6_search_regular": SQL_SEARCH, "g7_search_collide": SQL_SEARCH_COLLIDE, "w3_gloss_parents": SQL_PARENTS, "p4_clickable_tokens": SQL_CLICK,
     "u1_game_fields": SQL_FIELDS, "j8_playable_records": SQL_PLAYABLE, "j5_words_to_embed": SQL_TO_EMBED, "p6_pattern_words": f"{_WORDS} where regexp_matches(word, '^[a-z]{{4,12}}$')",
-    "j6_upsert_words": _WORDS, "p8_audits": SQL_AUDIT, "f15_json_tokens": SQL_JSON,
+    "j6_upsert_words": _WORDS, "p8_audits": SQL_AUDIT, "f15_json_tokens": SQL_JSON, "e4_judged_steps": SQL_STEPS_JUDGED, "e2_validated_games": SQL_GAMES_JUDGED,
 }
