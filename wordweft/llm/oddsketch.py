@@ -123,7 +123,8 @@ class _Linker:
 
     def pairs_likely(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose sketches allow a link."""
-        a, b = self.sketches.alias("a"), self.sketches.alias("b")
+        # Sketches grow with the corpus: they are merged at any size, never broadcast because they are still small.
+        a, b = [self.sketches.alias(x).hint("merge") for x in "ab"]
         met = pairs.alias("p").join(a, F.col("p.a") == F.col("a.place")).join(b, F.col("p.b") == F.col("b.place"))
         return met.where(likely(self.percent)).select("p.a", "p.b")
 
@@ -175,7 +176,7 @@ def linked_sets(marked: DataFrame, width: int = WIDTH, percent: int = PERCENT) -
     cells = linker.open_members(cells.select("cell", "place"))
     counts = cells.groupBy("cell", "root").agg(F.count("*").alias("size"))
     main = counts.groupBy("cell").agg(F.max(F.struct("size", "root")).alias("main")).select("cell", F.col("main.root").alias("main"))
-    sketched = cells.join(linker.sketches, "place")
+    sketched = cells.join(linker.sketches.hint("merge"), "place")
     minor = sketched.join(main, "cell").where("root <> main").alias("a")
     rest = minor.join(sketched.alias("b").hint("merge"), (F.col("a.cell") == F.col("b.cell")) & (F.col("a.root") != F.col("b.root")) & likely(percent))
     linker.confirm(rest.select(*_ordered(F.col("a.place"), F.col("b.place"))).distinct())
