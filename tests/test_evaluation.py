@@ -40,17 +40,18 @@ def test_suite_equals_single_searches(spark, world):
     words, edges, nodes, table, vectors, frame, weights = world
     near, learned = embed.EmbeddingHeuristic(frame), embed.LearnedHeuristic(frame, weights, 2.0)
     algorithms = [
-        search.Algorithm("breadth/4", search.breadth_first(), batch_size=3, max_expansions=7), search.Algorithm("star/near", search.a_star(2), near, batch_size=3, max_expansions=7),
-        search.Algorithm("exact/learned", search.a_star(1), learned, batch_size=3, max_expansions=7), search.Algorithm("greedy/beam", search.greedy(), near, queue_limit=5, batch_size=None, max_expansions=9),
+        search.Algorithm("breadth/4", search.breadth_first(), batch_size=3, max_expansions=5), search.Algorithm("star/near", search.a_star(2), near, batch_size=3, max_expansions=5),
+        search.Algorithm("exact/learned", search.a_star(1), learned, batch_size=3, max_expansions=5), search.Algorithm("greedy/beam", search.greedy(), near, queue_limit=5, batch_size=None, max_expansions=7),
     ]
     profiles = spark.createDataFrame([("glosses", 0, GLOSSES, ALL_POS), ("all", 0, ALL, ALL_POS)], "profile string, lemmatized int, field_mask int, pos_mask int")
     rng = random.Random(9)
     pairs = [(rng.choice(words), rng.choice(words)) for _ in range(5)] + [(words[0], words[5]), (words[1], words[1])]
     cases = spark.createDataFrame(pairs, "start_word string, target_word string")
     for mode in ("regular", "collide"):
+        algorithms = algorithms if mode == "regular" else algorithms[:2]
         found = settle(evalsuite.evaluate_searches("screening", mode, cases, algorithms, profiles, nodes, table), "found")
         rows = found.collect()
-        assert len(rows) == len(set(pairs)) * 8
+        assert len(rows) == len(set(pairs)) * 2 * len(algorithms)
         reached = 0
         for r in rows:
             fields = GLOSSES if r["profile"] == "glosses" else ALL
@@ -81,7 +82,7 @@ def test_suite_equals_single_searches(spark, world):
                 exact = distances(links, target).get(start)
                 assert r["exact_cost"] == exact and (r["combined_links"] is None or r["combined_links"] >= exact)
             reached += want[0] is not None
-        assert reached > 8
+        assert reached > 4
     done = found
     again = settle(evalsuite.evaluate_searches("screening", mode, cases, algorithms, profiles, nodes, table, done=done.where("not (profile = 'all' and algorithm = 'breadth/4' and start_word = target_word)").withColumn("rounds", F.lit(-1))), "again")
     assert {(r["profile"], r["rounds"] == -1) for r in again.select("profile", "rounds").distinct().collect()} >= {("glosses", True)} and again.where("profile = 'all' and rounds = -1").count() == 0

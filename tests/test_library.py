@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wordweft.functions import scalars
@@ -112,7 +113,8 @@ def test_pair_samples_are_the_least_hashes(spark):
     settings = training.sample_settings(spark, 4, 1)
     found = training.sample_pairs(pool, settings, 3, 5, 7)
     got = {(r["setting_id"], r["source"]) for r in found.select("setting_id", "source").distinct().collect()}
-    every = pool.join(settings.select("setting_id")).selectExpr("setting_id", "vertex", "row_number() over (partition by setting_id order by xxhash64(setting_id, vertex, 7), vertex) as k")
+    least = Window.partitionBy("setting_id").orderBy(training.draw(7, "setting_id", "vertex"), "vertex")
+    every = pool.join(settings.select("setting_id")).select("setting_id", "vertex", F.row_number().over(least).alias("k"))
     assert got == {(r["setting_id"], r["vertex"]) for r in every.where("k <= 3").collect()} and found.count() == 4 * 3 * 5
     assert training.sample_pairs(pool.limit(4), settings, 3, 5, 7).count() == 4 * 3 * 1
 
@@ -123,6 +125,10 @@ def test_training_helpers(spark):
     df = spark.range(1000).withColumn("label", F.when(F.col("id") % 3 == 0, -1.0).otherwise(2.0))
     quota = training.balance_reachable(df, 100, 0.6, 1, ["id"]).groupBy("label").count().collect()
     assert {r["label"]: r["count"] for r in quota} == {2.0: 60, -1.0: 40}
+    least = [r["id"] for r in df.orderBy(training.draw(1, "id"), "id").limit(70).collect()]
+    assert sorted(r["id"] for r in training.take_exact(df, 70, 1, ["id"]).collect()) == sorted(least)
+    with pytest.raises(ValueError):
+        training.take_exact(df, 1001, 1, ["id"])
     parts = {r["part"]: r["count"] for r in training.split(df, ["id"], 1).groupBy("part").count().collect()}
     assert sum(parts.values()) == 1000 and 740 < parts[0] < 860
     weights = training.init_weights(290, 1)

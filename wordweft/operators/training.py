@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import LEXICAL_KEYS, POS_TAGS
@@ -18,9 +18,33 @@ UNREACHABLE = -1.0
 QUANTILES = [0.0, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0]
 
 
+#: Seeded draws are numbers below this prime, by arithmetic that any SQL engine has.
+PRIME, STEP, SCRAMBLE = (1 << 31) - 1, 48271, 1103515245
+
+
+def draw(seed: int, *parts: Column | str | int) -> Column:
+    """A long in [0, PRIME) that depends on the seed and its whole-number parts alone."""
+    h: Column | int = F.lit(seed % PRIME).cast("long")
+    for part in parts:
+        value = F.lit(part) if isinstance(part, int) else F.col(part) if isinstance(part, str) else part
+        x = (h * STEP + F.pmod(value.cast("long"), F.lit(PRIME))) % PRIME
+        h = (x.bitwiseXOR(F.shiftright(x, 15)) * SCRAMBLE) % PRIME
+    return h
+
+
+def draw_sql(seed: int, *parts: str | int) -> str:
+    """``draw`` as SQL text."""
+    h = str(seed % PRIME)
+    for part in parts:
+        x = f"(({h})::bigint * {STEP} + ({part})::bigint % {PRIME}) % {PRIME}"
+        h = f"xor({x}, ({x}) >> 15) * {SCRAMBLE} % {PRIME}"
+    return f"({h})"
+
+
 def unit_hash(*parts: Column | str | int) -> Column:
-    """A number in [0, 1) that depends on its parts alone."""
-    return F.pmod(F.xxhash64(*[F.lit(p) if isinstance(p, int) else p for p in parts]), F.lit(1 << 40)) / float(1 << 40)
+    """A number in [0, 1) that depends on its whole-number parts alone; the last one is the seed."""
+    *rest, seed = parts
+    return draw(seed, *rest) / float(PRIME)
 
 
 def sample_settings(spark: SparkSession, n: int, seed: int, share: float = 0.8) -> DataFrame:
@@ -28,15 +52,15 @@ def sample_settings(spark: SparkSession, n: int, seed: int, share: float = 0.8)
     base = spark.range(n).withColumnRenamed("id", "setting_id")
 
     def mask(size: int, salt: int) -> Column:
-        on = [F.when(unit_hash("setting_id", seed, salt + k) < share, F.lit(1 << k)).otherwise(0) for k in range(size)]
+        on = [F.when(unit_hash("setting_id", salt + k, seed) < share, F.lit(1 << k)).otherwise(0) for k in range(size)]
         total = on[0]
         for x in on[1:]:
             total = total + x
-        forced = F.expr(f"shiftleft(1, cast({size} * (pmod(xxhash64(setting_id, {seed}, {salt + 99}), 1000003) / 1000003) as int))")
+        forced = F.call_function("shiftleft", F.lit(1), (draw(seed, "setting_id", salt + 99) % size).cast("int"))
         return F.when(total == 0, forced).otherwise(total).cast("int")
 
     return base.select(
-        "setting_id", (unit_hash("setting_id", seed, 7) < 0.5).cast("int").alias("lemmatized"),
+        "setting_id", (unit_hash("setting_id", 7, seed) < 0.5).cast("int").alias("lemmatized"),
         mask(len(LEXICAL_KEYS), 100).alias("field_mask"), mask(len(POS_TAGS), 300).alias("pos_mask"),
     )
 
@@ -51,15 +75,14 @@ def sample_pairs(pool: DataFrame, settings: DataFrame, sources: int, targets: in
     # As many ids as settings were asked for.
     ids = settings.agg(F.collect_list("setting_id").alias("ids"))
     while True:
-        bound = F.lit(min(int(share * (1 << 64)) - (1 << 63), (1 << 63) - 1))
-        near = F.filter("ids", lambda s: F.xxhash64(s, "vertex", F.lit(seed)) <= bound)
+        near = F.filter("ids", lambda s: draw(seed, s, "vertex") <= F.lit(int(min(share, 1) * PRIME)))
         drawn = pool.select("vertex").join(F.broadcast(ids)).select("vertex", F.explode(near).alias("setting_id"))
         drawn = settle(drawn, "drawn")
         least = drawn.groupBy("setting_id").count().agg(F.min("count"), F.count("*")).first()
         if share >= 1 or ((least[0] or 0) >= min(wanted, size) and least[1] == settings.count()):
             break
         share *= 2
-    place = F.expr(f"row_number() over (partition by setting_id order by xxhash64(setting_id, vertex, {seed}), vertex)")
+    place = F.row_number().over(Window.partitionBy("setting_id").orderBy(draw(seed, "setting_id", "vertex"), "vertex"))
     drawn = drawn.withColumn("place", place).where(F.col("place") <= wanted)
     left = drawn.where(F.col("place") <= sources).select("setting_id", F.col("vertex").alias("source"))
     return left.join(drawn.where(F.col("place") > sources).select("setting_id", F.col("vertex").alias("target")), "setting_id")
@@ -69,7 +92,7 @@ def sample_neighbor_sources(anchors: DataFrame, edges: DataFrame, pool: DataFram
     """anchor, source: one random out-neighbour that is in the pool, or the anchor itself."""
     near = anchors.join(edges, anchors["vertex"] == edges["source_id"]).select(F.col("vertex").alias("anchor"), F.col("target_id").alias("source"))
     near = near.distinct().join(pool.select(F.col("vertex").alias("source")), "source", "left_semi")
-    pick = near.groupBy("anchor").agg(F.min(F.struct(F.xxhash64("anchor", "source", F.lit(seed)).alias("h"), "source")).alias("m"))
+    pick = near.groupBy("anchor").agg(F.min(F.struct(draw(seed, "anchor", "source").alias("h"), "source")).alias("m"))
     return anchors.select(F.col("vertex").alias("anchor")).join(pick, "anchor", "left").select("anchor", F.coalesce("m.source", "anchor").alias("source"))
 
 
@@ -97,11 +120,22 @@ def build_cost_dataset(pool: DataFrame, edges: DataFrame, vectors: DataFrame, se
 
 
 def take_exact(df: DataFrame, n: int, seed: int, keys: list[str]) -> DataFrame:
-    """Exactly n rows in the order of a seeded hash."""
-    out = df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
-    if out.count() < n:
-        raise ValueError(f"fewer than {n} rows")
-    return out
+    """Exactly n rows of least draw by whole-number keys, which name a row; nothing is sorted but the last few rows.
+
+    Two rounds of counts (4,096 numbers each) find the draw up to which all rows belong to the sample.
+    """
+    h, low, width, left = draw(seed, *keys), 0, 1 << 19, n
+    while width >= 1 << 7:
+        bucket = F.floor((h - low) / width).cast("int")
+        counts = dict(df.where(h >= low).where(h < low + 4096 * width).groupBy(bucket.alias("b")).count().collect())
+        for b in range(4096):
+            if counts.get(b, 0) >= left:
+                break
+            left -= counts.get(b, 0)
+        else:
+            raise ValueError(f"fewer than {n} rows")
+        low, width = low + b * width, width >> 12
+    return df.where(h < low).unionByName(df.where((h >= low) & (h < low + (1 << 7))).orderBy(h, *keys).limit(left))
 
 
 def balance_reachable(df: DataFrame, n: int, share: float, seed: int, keys: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions.lexicon import ALL_FIELDS, ALL_POS, POS_TAGS, pos_name
 from ..functions.scalars import cosine_similarity, cost_features, learned_score, neg_euclidean, optimality
 from ..operators import embed, evalsuite, races, training
 from ..sources import adapters, io
-from ..sources.adapters import SQL_STEPS
+from ..sources.adapters import SQL_GRAPH, SQL_STEPS
 from ..sources.shared import settle, shared_dir
 from ..streaming import races as live
 from .lexical import _games, _graph
@@ -339,6 +339,51 @@ def training_rows(spark, sf_dir):
     return training.split(rows, ["setting_id", "source", "target"], 42).groupBy("setting_id", "label", "part").agg(F.count("*").alias("n"))
 
 
+#: Settings, sources and targets a setting, rows with a route and without one.
+ROWS = {"settings": 3, "sources": 4, "targets": 256, "quota": 120, "share": 0.9}
+
+
+def cost_rows(spark, sf_dir):
+    """Every place of a quota of labelled feature rows: random settings, sources drawn from their anchors' neighbours, targets."""
+    _, nodes, edges = _graph(spark, sf_dir)
+    settings = settle(training.sample_settings(spark, ROWS["settings"], 42), "settings")
+    pool = nodes.select(F.col("node_id").alias("vertex"))
+    drawn = settle(training.sample_pairs(pool, settings, ROWS["sources"], ROWS["targets"], 42), "drawn")
+    near = training.sample_neighbor_sources(drawn.select(F.col("source").alias("vertex")).distinct(), edges, pool, 42)
+    pairs = drawn.join(near.select(F.col("anchor").alias("source"), F.col("source").alias("near")), "source").select("setting_id", F.col("near").alias("source"), "target").distinct()
+    rows = settle(training.label_pairs(settle(pairs, "pairs"), settings, edges), "labelled")
+    keys = ["setting_id", "source", "target"]
+    chosen = settle(training.balance_reachable(rows, ROWS["quota"], ROWS["share"], 42, keys), "chosen")
+    table = adapters.table(spark, sf_dir, "embeddings")
+    vectors = nodes.withColumn("vec_id", F.col("node_id") % table.count()).join(table, "vec_id").select(F.col("node_id").alias("vertex"), "embedding")
+    made = training.split(training.with_features(chosen, settings, vectors), keys, 42)
+    return _rounded(made.select(*keys, "label", "part", F.posexplode("features").alias("place", "x")))
+
+
+def _sql_cost_rows() -> str:
+    d = training.draw_sql
+    mask = lambda size, salt: f"(select coalesce(nullif(sum(case when {d(42, 'i', f'{salt} + k')} < 0.8 * {training.PRIME} then 1 << k else 0 end), 0), 1 << ({d(42, 'i', salt + 99)} % {size})::int) from (select unnest(range({size})) as k))"
+    part = d(42, "setting_id", "source", "target")
+    return f"""with recursive {SQL_GRAPH}, settings as (select i as setting_id, case when {d(42, 'i', 7)} < 0.5 * {training.PRIME} then 1 else 0 end as lem, {mask(12, 100)} as fm, {mask(18, 300)} as pm from (select unnest(range({ROWS['settings']})) as i)),
+placed as (select setting_id, node_id, row_number() over (partition by setting_id order by {d(42, 'setting_id', 'node_id')}, node_id) as k from nodes, settings),
+near as (select anchor, arg_min(target_id, struct_pack(h := {d(42, 'anchor', 'target_id')}, t := target_id)) as near from (select distinct source_id as anchor, target_id from edges) group by anchor),
+drawn as (select distinct a.setting_id, coalesce(near, a.node_id) as source, b.node_id as target from placed a join placed b on a.setting_id = b.setting_id left join near on anchor = a.node_id where a.k <= {ROWS['sources']} and b.k > {ROWS['sources']} and b.k <= {ROWS['sources'] + ROWS['targets']}),
+legal as (select distinct setting_id, source_id, target_id from edges join settings on lemmatized = lem and (fm::bigint >> edge_type::int) & 1 = 1 and (pm::bigint >> (list_position({adapters.SQL_TAGS}, target_pos) - 1)::int) & 1 = 1),
+reach(setting_id, source, v, d) as (select distinct setting_id, source, source, 0 from drawn union select r.setting_id, r.source, target_id, d + 1 from reach r join legal l on l.setting_id = r.setting_id and l.source_id = v where d < 12),
+dist as (select setting_id, source, v, min(d) as d from reach group by all),
+lab as (select w.setting_id, w.source, w.target, coalesce(d, -1)::double as label from drawn w left join dist t on t.setting_id = w.setting_id and t.source = w.source and t.v = w.target),
+q as (select *, row_number() over (partition by label >= 0 order by {part}, setting_id, source, target) as k from lab),
+c as (select setting_id, source, target, label, {part} / {float(training.PRIME)}::double as u from q where k <= case when label >= 0 then {int(ROWS['quota'] * ROWS['share'])} else {ROWS['quota'] - int(ROWS['quota'] * ROWS['share'])} end),
+z as (select c.*, lem, fm::bigint as fm, pm::bigint as pm, a.embedding as ea, b.embedding as eb from c join settings s on s.setting_id = c.setting_id join embeddings a on a.vec_id = source % (select count(*) from embeddings) join embeddings b on b.vec_id = target % (select count(*) from embeddings)),
+f as (select setting_id, source, target, unnest(ea)::double as a, unnest(eb)::double as b, generate_subscripts(ea, 1) - 1 as k from z),
+t as (select setting_id, source, target, count(*) as d, sum(a * b) as dot, sqrt(sum(a * a)) as na, sqrt(sum(b * b)) as nb, sqrt(sum((a - b) * (a - b))) as apart from f group by all),
+x as (select f.setting_id, f.source, f.target, k as place, a as x from f union all select f.setting_id, f.source, f.target, d + k, b from f join t using (setting_id, source, target) union all select f.setting_id, f.source, f.target, 2 * d + k, b - a from f join t using (setting_id, source, target)
+  union all select f.setting_id, f.source, f.target, 3 * d + k, a * b from f join t using (setting_id, source, target) union all select setting_id, source, target, 4 * d, dot / (na * nb + 1e-12) from t union all select setting_id, source, target, 4 * d + 1, apart from t
+  union all select setting_id, source, target, 4 * d + 2, dot from t union all select setting_id, source, target, 4 * d + 3, lem::double from t join z using (setting_id, source, target)
+  union all select setting_id, source, target, 4 * d + 4 + k, (fm >> k::int & 1)::double from t join z using (setting_id, source, target), (select unnest(range(12)) as k) union all select setting_id, source, target, 4 * d + 16 + k, (pm >> k::int & 1)::double from t join z using (setting_id, source, target), (select unnest(range(18)) as k))
+select x.setting_id, x.source, x.target, label, cast(case when u < 0.8 then 0 when u < 0.9 then 1 else 2 end as integer) as part, cast(place as integer) as place, round(x, 6) as x from x join c using (setting_id, source, target)"""
+
+
 def _network(rows: DataFrame) -> tuple[dict, dict]:
     """Fixed weights and feature groups of a table of features."""
     width = rows.select(F.size("features")).first()[0]
@@ -394,7 +439,7 @@ QUERIES = {
     "a12_evaluate_cost": evaluate_cost, "a13_evaluate_batches": evaluate_batches, "a14_cost_loss": cost_loss, "a9_describe_labels": describe_labels, "a11_label_histogram": label_histogram,
     "a10_feature_health": feature_health, "a18_vector_spread": vector_spread, "a6_mean_vector": mean_vector, "f7_similarities": similarities, "f9_pair_features": pair_features,
     "f18_learned_scores": learned_scores, "io9_vectors_text": vectors_text, "d3_training_rows": training_rows, "d6_scored_features": scored_features, "d7_ablation": ablation,
-    "r2_validated_steps": validated_steps, "a19_attributions": attributions, "f9_feature_places": feature_places,
+    "r2_validated_steps": validated_steps, "d3_cost_rows": cost_rows, "a19_attributions": attributions, "f9_feature_places": feature_places,
 }
 ORACLES = {
     "f3_race_stats": SQL_RACES, "w7_race_lanes": SQL_LANES, "w2_step_times": SQL_TIMES, "j7_games_with_players": SQL_JOINED, "r1_live_race_state": SQL_RACES,
@@ -404,5 +449,5 @@ ORACLES = {
     "a18_vector_spread": "select round(var_pop(x::double), 6) as variance from (select unnest(embedding) as x from embeddings)",
     "a6_mean_vector": "select cast(place - 1 as integer) as place, round(avg(x::double), 6) as mean from (select unnest(embedding) as x, generate_subscripts(embedding, 1) as place from embeddings) group by place",
     "f7_similarities": SQL_SIMILAR, "f9_pair_features": SQL_FEATURES, "f18_learned_scores": SQL_LEARNED, "io9_vectors_text": SQL_TEXT,
-    "r2_validated_steps": SQL_JUDGED, "d6_scored_features": SQL_SCORED, "d7_ablation": SQL_ABLATION, "a19_attributions": SQL_ATTRIBUTIONS, "f9_feature_places": f"{SQL_PLACES} select vec_id, cast(place as integer) as place, round(x, 6) as x from x",
+    "r2_validated_steps": SQL_JUDGED, "d3_cost_rows": _sql_cost_rows(), "d6_scored_features": SQL_SCORED, "d7_ablation": SQL_ABLATION, "a19_attributions": SQL_ATTRIBUTIONS, "f9_feature_places": f"{SQL_PLACES} select vec_id, cast(place as integer) as place, round(x, 6) as x from x",
 }
