@@ -155,7 +155,8 @@ def _ordered(a: Column, b: Column) -> list[Column]:
 def linked_sets(marked: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(sets, roots): key and place of each distinct set, and node, root of every place that has a link."""
     first = settle(marked.where("n > 0").groupBy("key").agg(F.min("place").alias("place")), "sets")
-    own = first.select("place")
+    # As with sketches: the same plan at any size.
+    own = first.select("place").hint("merge")
     nodes = settle(marked.select("place", "n", "sample", "whole").join(own, "place", "left_semi"), "nodes")
     linker = _Linker(marked, nodes, width, percent)
     cells = marked.select("place", "bands").join(own, "place", "left_semi").select("place", F.explode("bands").alias("cell"))
