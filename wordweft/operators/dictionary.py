@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import ENTRY_KEYS, LEXICAL_KEYS, LINKAGES, POS_TAGS, PRINTABLE, SENSE_KEYS
-from ..functions.scalars import field_diff, gloss_remainder, norm_word, sense_depth
+from ..functions.scalars import field_diff, gloss_remainder, norm_word, present_fields, sense_depth
+from ..sources.io import stored_rows, write_dictionary
+from ..sources.shared import settle
+from .jsontree import find_tokens
 
 TOKEN = "array<struct<w:string,l:string,p:string,s:string>>"
 
@@ -41,6 +46,12 @@ def rejected_words(raw: DataFrame) -> DataFrame:
     return raw.select(norm_word(F.col("word")).alias("word"), reason.alias("reason")).where("reason is not null").groupBy("word").agg(F.min("reason").alias("reason"))
 
 
+def good_entries(raw: DataFrame, order: str = "ord") -> DataFrame:
+    """Entries with key and entry_ix, without those of rejected words."""
+    bad = rejected_words(raw).where("word is not null").select(F.col("word").alias("key"))
+    return entries_of(raw.where("word is not null"), order).join(bad, "key", "left_anti")
+
+
 def gloss_parents(senses: DataFrame, entry: list[str]) -> DataFrame:
     """senses (entry columns, ix, depth) with parent_ix: the latest earlier sense one level up, never reset.
 
@@ -56,9 +67,7 @@ def gloss_parents(senses: DataFrame, entry: list[str]) -> DataFrame:
 
 def sense_rows(raw: DataFrame, order: str = "ord") -> DataFrame:
     """word, entry_ix, ix, depth, glosses and the sense's printable fields as arrays of strings; bad words left out."""
-    bad = rejected_words(raw).where("word is not null").select(F.col("word").alias("key"))
-    good = entries_of(raw.where("word is not null"), order).join(bad, "key", "left_anti")
-    flat = good.select(F.col("key").alias("word"), "entry_ix", F.posexplode("senses").alias("ix", "sense"))
+    flat = good_entries(raw, order).select(F.col("key").alias("word"), "entry_ix", F.posexplode("senses").alias("ix", "sense"))
     fields = [F.transform(f"sense.{k}", lambda x: x[PRINTABLE[k]]).alias(k) for k in [*LINKAGES, "examples"]]
     return flat.select("word", "entry_ix", "ix", sense_depth(F.col("sense.glosses")).alias("depth"), F.col("sense.glosses").alias("glosses"), *fields)
 
@@ -89,8 +98,7 @@ def gloss_outline(nodes: DataFrame) -> DataFrame:
 def field_texts(raw: DataFrame, order: str = "ord") -> DataFrame:
     """word, entry_ix, ix (null for entry fields), lexical_key, text: every printable string once."""
     tree = gloss_tree(raw, order)
-    bad = rejected_words(raw).where("word is not null").select(F.col("word").alias("key"))
-    good = entries_of(raw.where("word is not null"), order).join(bad, "key", "left_anti")
+    good = good_entries(raw, order)
     def each(rows: DataFrame, fields: list[Column]) -> DataFrame:
         held = rows.select("word", "entry_ix", "ix", F.explode(F.array(*fields)).alias("f"))
         return held.select("word", "entry_ix", "ix", F.col("f.k").alias("lexical_key"), F.explode("f.texts").alias("text"))
@@ -138,6 +146,109 @@ def flat_tokens(texts: DataFrame, lexicon: dict | None = None, tokenizer: Callab
     return each.select("word", "lexical_key", F.col("t.w").alias("w"), F.col("t.l").alias("l"), F.col("t.p").alias("pos"))
 
 
+def rich_texts(texts: Column, lexicon: dict[str, tuple[str, str]] | None = None, tokenizer: Callable | None = None) -> Column:
+    """The texts of an array of arrays as JSON: an array of {w, l, p} and plain strings each; null texts and arrays stay null."""
+    own, words = tokenizer or rule_tokenizer, lexicon or {}
+
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        tokens = [t["s"] if t["w"] is None else {k: t[k] for k in "wlp"} for t in own(text, words)]
+        return json.dumps(tokens, ensure_ascii=False, separators=(",", ":"))
+
+    def run(rows: pd.Series) -> pd.Series:
+        return pd.Series([[None if field is None else [one(t) for t in field] for field in row] for row in rows])
+
+    return F.pandas_udf(run, "array<array<string>>")(texts)
+
+
+def _json_text(value: Column) -> Column:
+    """A string as a JSON string; null stays null."""
+    held = F.to_json(F.array(value))
+    return F.when(value.isNotNull(), F.substr(held, F.lit(2), F.length(held) - 2))
+
+
+def _members(rich: Column, keys: list[str]) -> Column:
+    """The members of a JSON object, one a key whose array isn't null, each item an object with the printable sub-field."""
+
+    def member(place: int, key: str) -> Column:
+        field = F.get(rich, F.lit(place))
+        if key == "glosses":
+            return F.concat(F.lit('"glosses":'), F.get(field, F.lit(0)))
+        item = F.transform(field, lambda t: F.coalesce(F.concat(F.lit(f'{{"{PRINTABLE[key]}":'), t, F.lit("}")), F.lit("{}")))
+        return F.concat(F.lit(f'"{key}":['), F.array_join(item, ","), F.lit("]"))
+
+    return F.array_join(F.array_compact(F.array(*[member(i, k) for i, k in enumerate(keys)])), ",")
+
+
+def _joined(place: str, value: str) -> Column:
+    """The values of a group in the order of place, with commas."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place, value))), lambda x: x[value]), ",")
+
+
+def nested_senses(nodes: DataFrame, entry: list[str]) -> DataFrame:
+    """entry columns and senses, the JSON array of an entry's gloss tree, from flat nodes (entry, ix, parent_ix, depth, fields).
+
+    Nodes of the deepest level are written first; a level's nodes take in what stands below them, so a round costs one
+    grouping by parent and one join, and rounds are as many as the tree has levels. A node without a parent stands at the top
+    whatever its depth. Parents are one level above.
+    """
+    nodes = settle(nodes.select(*entry, "ix", "parent_ix", "depth", "fields"), "nodes")
+    deepest = nodes.agg(F.max("depth")).first()[0] or 1
+    below, tops = None, []
+    for depth in range(deepest, 0, -1):
+        level = nodes.where(F.col("depth") == depth)
+        level = level.withColumn("children", F.lit("")) if below is None else level.join(below, [*entry, "ix"], "left")
+        text = F.concat(F.lit('{"children":['), F.coalesce("children", F.lit("")), F.lit('],"lexicalFields":{'), "fields", F.lit("}}"))
+        made = settle(level.select(*entry, "ix", "parent_ix", text.alias("node")), "level")
+        tops.append(made.where("parent_ix is null"))
+        held = made.where("parent_ix is not null").withColumnRenamed("ix", "place")
+        below = held.groupBy(*entry, F.col("parent_ix").alias("ix")).agg(_joined("place", "node").alias("children"))
+    return reduce(DataFrame.unionByName, tops).groupBy(*entry).agg(F.concat(F.lit("["), _joined("ix", "node"), F.lit("]")).alias("senses"))
+
+
+def dictionary_records(raw: DataFrame, lexicon: dict | None = None, tokenizer: Callable | None = None, order: str = "ord") -> DataFrame:
+    """word, lexical_entries: one row a word, its entries in input order as a JSON array of {pos, senses, entry fields}.
+
+    Texts are rich texts. Fields that are null go, empty arrays stay, items without their printable sub-field are {}. An entry
+    with an empty array of senses has none; a bad entry takes its whole word along (see ``rejected_words``).
+    """
+    entry, kept = ["word", "entry_ix"], [*LINKAGES, "examples"]
+    fields = F.array(*[F.col(k) for k in kept], F.when(F.col("gloss").isNotNull(), F.array("gloss")))
+    tree = gloss_tree(raw, order).select(*entry, "ix", "parent_ix", "depth", rich_texts(fields, lexicon, tokenizer).alias("rich"))
+    senses = nested_senses(tree.withColumn("fields", _members(F.col("rich"), [*kept, "glosses"])), entry)
+    good = good_entries(raw, order)
+    own = F.array(*[F.transform(k, lambda x: x[PRINTABLE[k]]) for k in ENTRY_KEYS])
+    whole = good.select(F.col("key").alias("word"), "entry_ix", "pos", rich_texts(own, lexicon, tokenizer).alias("rich")).join(senses, entry, "left")
+    parts = F.array(
+        F.concat(F.lit('"pos":'), _json_text(F.col("pos"))), F.concat(F.lit('"senses":'), F.coalesce("senses", F.lit("[]"))), F.nullif(_members(F.col("rich"), ENTRY_KEYS), F.lit("")),
+    )
+    made = whole.select(*entry, F.concat(F.lit("{"), F.array_join(F.array_compact(parts), ","), F.lit("}")).alias("entry"))
+    return made.groupBy("word").agg(F.concat(F.lit("["), _joined("entry_ix", "entry"), F.lit("]")).alias("lexical_entries"))
+
+
+def record_links(records: DataFrame) -> DataFrame:
+    """word, all_links of records (word, lexical_entries): every token of the stored JSON under each key it stands below."""
+    tokens = find_tokens(records.select("word", "lexical_entries"), LEXICAL_KEYS, "lexical_entries")
+    return links_to_map(link_index(tokens.withColumnRenamed("p", "pos")))
+
+
+def seed_dictionary(raw: DataFrame, path: str, min_rows: int = 1_454_988, lexicon: dict | None = None, tokenizer: Callable | None = None, order: str = "ord") -> bool:
+    """Build the dictionary at path unless it has min_rows rows already; True if it was built."""
+    if stored_rows(raw.sparkSession, path, min_rows) >= min_rows:
+        return False
+    records = settle(dictionary_records(raw, lexicon, tokenizer, order), "records")
+    write_dictionary(records, record_links(records), path)
+    return True
+
+
+def entry_fields(records: DataFrame) -> DataFrame:
+    """word, fields: the entry fields that any entry of the word has, in key order; words without one have an empty array."""
+    entries = F.from_json("lexical_entries", "array<map<string,string>>")
+    named = F.array_distinct(F.flatten(F.transform(entries, F.map_keys)))
+    return records.select("word", F.filter(present_fields(named), lambda k: k.isin(ENTRY_KEYS)).alias("fields"))
+
+
 def link_index(tokens: DataFrame) -> DataFrame:
     """word, link_field, lexical_key, pos, target: surface and lemma values, each distinct on its own, in one pass."""
     sides = F.array(*[F.struct(F.lit(f).alias("link_field"), F.col(f).alias("target")) for f in ("w", "l")])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import ALL_FIELDS, ALL_POS, COLLIDE_LEFT_OUT, LEXICAL_KEYS, POS_TAGS
-from ..functions.scalars import game_field_sets, hint_category
+from ..functions.scalars import game_field_sets, hint_category, pool_normalize
 from ..operators import dictionary, evalsuite, graph, jsontree, races, search
 from ..sources import adapters, io
 from ..sources.adapters import SQL_ENTRIES, SQL_GRAPH, SQL_LINKS, SQL_TOKENS
@@ -415,6 +418,112 @@ def audits(spark, sf_dir):
 
 SQL_AUDIT = f"with {SQL_LINKS} select 'dictionary' as \"table\", 'lower case' as rule, count(*) as \"rows\" from (select distinct target from links) where target <> lower(target) having count(*) > 0"
 
+def _dictionary(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Records and links of the stored dictionary of raw entries, built by whichever query of an application comes first."""
+    path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}-{sf_dir.strip('/').replace('/', '-').replace(':', '')}/dictionary"
+    dictionary.seed_dictionary(adapters.raw_entries(spark, sf_dir), path, min_rows=1)
+    return io.read_dictionary(spark, path)
+
+
+def _below(schema: str | None) -> str:
+    fields = "lexicalFields:struct<glosses:array<string>,synonyms:array<struct<word:array<string>>>,examples:array<struct<text:array<string>>>>"
+    return f"struct<children:array<{schema or 'string'}>,{fields}>"
+
+
+def dictionary_nodes(spark, sf_dir):
+    """Nodes of the stored gloss trees by their places, with glosses and fields as plain text."""
+    records, _ = _dictionary(spark, sf_dir)
+    tree = F.from_json("lexical_entries", f"array<struct<senses:array<{_below(_below(_below(None)))}>>>")
+    level = records.select("word", F.posexplode(tree).alias("entry_ix", "entry")).select("word", "entry_ix", F.lit("").alias("above"), F.col("entry.senses").alias("nodes"))
+
+    def plain(rich: Column) -> Column:
+        return F.array_join(F.transform(rich, lambda t: F.coalesce(F.get_json_object(t, "$.w"), t)), "")
+
+    def items(key: str, part: str) -> Column:
+        return F.array_join(F.transform(f"node.lexicalFields.{key}", lambda x: plain(x[part])), "|").alias(key)
+
+    found = []
+    for _ in range(3):
+        each = level.select("word", "entry_ix", "above", F.posexplode("nodes").alias("place", "node")).withColumn("path", F.concat("above", F.col("place").cast("string")))
+        found.append(each.select("word", F.col("entry_ix").cast("long").alias("entry_ix"), "path", plain(F.col("node.lexicalFields.glosses")).alias("gloss"), items("synonyms", "word"), items("examples", "text")))
+        level = each.select("word", "entry_ix", F.concat("path", F.lit(".")).alias("above"), F.col("node.children").alias("nodes"))
+    return reduce(DataFrame.unionByName, found)
+
+
+SQL_NODES = f"with {adapters.SQL_RAW} select word, entry_ix, path, gloss, array_to_string(syn, '|') as synonyms, array_to_string(ex, '|') as examples from nodes"
+
+
+def dictionary_links(spark, sf_dir):
+    """Words under the stored link index by link field, key and tag."""
+    _, links = _dictionary(spark, sf_dir)
+    flat = links.select("word", F.explode("all_links").alias("link_field", "m")).select("word", "link_field", F.explode("m").alias("lexical_key", "m"))
+    return flat.select("word", "link_field", "lexical_key", F.explode("m").alias("pos", "targets")).withColumn("targets", F.array_join("targets", " "))
+
+
+SQL_STORED_LINKS = f"""with {adapters.SQL_RAW}, t as (
+  select word, 'glosses' as lexical_key, unnest(string_split(gloss, ' ')) as w from nodes union all select word, 'synonyms', unnest(syn) from nodes
+  union all select word, 'examples', unnest(ex) from nodes
+  union all select lower(arg_min(word, six)), 'categories', arg_min(word, six) from entries group by doc_id having doc_id % 3 <> 0
+), sides as (
+  select distinct word, 'w' as link_field, lexical_key, w as target from t
+  union select word, 'l', lexical_key, case when length(w) > 3 and lower(w) like '%s' then lower(w)[1:length(w) - 1] else lower(w) end from t
+) select word, link_field, lexical_key, 'NOUN' as pos, string_agg(target, ' ' order by target) as targets from sides group by word, link_field, lexical_key"""
+
+
+def entry_fields(spark, sf_dir):
+    """Entry fields of each stored word in key order."""
+    found = dictionary.entry_fields(_dictionary(spark, sf_dir)[0])
+    return found.select("word", F.array_join("fields", " ").alias("fields"))
+
+
+SQL_ENTRY_FIELDS = f"""with {adapters.SQL_RAW} select word, concat_ws(' ', max(case when doc_id % 5 = 0 then 'derived' end), max(case when doc_id % 3 <> 0 then 'categories' end)) as fields from raw group by word"""
+
+
+def character_encoder():
+    """Words as token vectors, a character a token: a fixed encoder whose values SQL can give, too."""
+    import numpy as np
+
+    def encode(words: list[str]):
+        widest = max(map(len, words))
+        codes = np.array([[*map(ord, w), *[0] * (widest - len(w))] for w in words], dtype=np.int64)
+        return np.stack([codes * 0 + 1, codes % 7, codes % 11, codes * codes % 13], axis=-1), codes > 0
+
+    return encode
+
+
+def embedded_words(spark, sf_dir):
+    """Vectors of all words by number and run: words of even length first, then what is missing, then nothing."""
+    from ..operators import embed
+
+    words = settle(word_list(spark, sf_dir), "words")
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}/vectors"
+    for asked in (words.where(F.length("word") % 2 == 0), words):
+        embed.seed_embeddings(asked, path, character_encoder)
+    again = embed.seed_embeddings(words, path, character_encoder)
+    stored = embed.stored_embeddings(spark, path).withColumn("again", F.lit(again).cast("long"))
+    return stored.select("word", "batch", "again", F.posexplode("embedding").alias("place", "x")).withColumn("x", F.col("x").cast("double"))
+
+
+_SQL_POOLED = f"""with {SQL_LINKS}, c as (select word, k, unicode(word[k]) as c from (select word, unnest(range(1, length(word) + 1)) as k from (select distinct word from links))),
+v as (select word, k, [1, c % 7, c % 11, c * c % 13] as v from c),
+pooled as (select word, [sum(v[1])::double / count(*), sum(v[2])::double / count(*), sum(v[3])::double / count(*), sum(v[4])::double / count(*)] as m, arg_min(v, k)::double[] as h from v group by word),
+lengths as (select word, m, sqrt(m[1] * m[1] + m[2] * m[2] + m[3] * m[3] + m[4] * m[4]) as l, h, sqrt(h[1] * h[1] + h[2] * h[2] + h[3] * h[3] + h[4] * h[4]) as hl from pooled)"""
+SQL_EMBEDDED = f"""{_SQL_POOLED} select word, cast(case when length(word) % 2 = 0 then 1 else 2 end as integer) as batch, cast(0 as bigint) as again,
+  cast(k - 1 as integer) as place, cast(cast(m[k] / l as float) as double) as x from lengths, (select unnest(range(1, 5)) as k)"""
+
+
+def pooled_words(spark, sf_dir):
+    """Both poolings of each word's characters, by column functions."""
+    code = F.transform(F.filter(F.split("word", "", -1), lambda c: c != ""), F.ascii)
+    vectors = F.transform(code, lambda c: F.transform(F.array(F.lit(1), c % 7, c % 11, c * c % 13), lambda x: x.cast("double")))
+    rows = word_list(spark, sf_dir).withColumn("v", vectors).withColumn("mask", F.transform("v", lambda _: F.lit(1)))
+    both = rows.select("word", pool_normalize(F.col("v"), F.col("mask")).alias("mean"), pool_normalize(F.col("v"), F.col("mask"), "cls").alias("cls"))
+    each = both.select("word", F.posexplode(F.arrays_zip("mean", "cls")).alias("place", "z"))
+    return each.select("word", "place", F.round("z.mean", 6).alias("mean"), F.round("z.cls", 6).alias("first"))
+
+
+SQL_POOLED = f"""{_SQL_POOLED} select word, cast(k - 1 as integer) as place, round(m[k] / l, 6) as mean, round(h[k] / hl, 6) as first from lengths, (select unnest(range(1, 5)) as k)"""
+
 QUERIES = {
     "a1_group_entries": group_entries, "a2_link_index": link_index, "a3_word_list": word_list, "w1_node_ids": node_ids, "j1_edge_build": edge_build,
     "p3_edge_profiles": edge_profiles, "a4_distinct_edges": distinct_edges, "j2_links_for": links_for_words, "j3_out_neighbors": out_neighbors, "a17_out_degree": out_degree,
@@ -423,6 +532,7 @@ QUERIES = {
     "g6_search_regular": search_uniform, "g7_search_collide": search_collide, "w3_gloss_parents": gloss_parents, "p4_clickable_tokens": clickable_tokens,
     "u1_game_fields": game_fields, "j8_playable_records": playable_records, "j5_words_to_embed": words_to_embed, "p6_pattern_words": pattern_words,
     "j6_upsert_words": upsert_words, "p8_audits": audits, "f15_json_tokens": json_tokens, "e4_judged_steps": judged_steps, "e2_validated_games": validated_games,
+    "e1_dictionary_nodes": dictionary_nodes, "io3_dictionary_links": dictionary_links, "f17_entry_fields": entry_fields, "d8_embedded_words": embedded_words, "f11_pooled_words": pooled_words,
 }
 _WORDS = f"with {SQL_TOKENS} select distinct word from tokens"
 ORACLES = {
@@ -433,4 +543,5 @@ ORACLES = {
     "g6_search_regular": SQL_SEARCH, "g7_search_collide": SQL_SEARCH_COLLIDE, "w3_gloss_parents": SQL_PARENTS, "p4_clickable_tokens": SQL_CLICK,
     "u1_game_fields": SQL_FIELDS, "j8_playable_records": SQL_PLAYABLE, "j5_words_to_embed": SQL_TO_EMBED, "p6_pattern_words": f"{_WORDS} where regexp_matches(word, '^[a-z]{{4,12}}$')",
     "j6_upsert_words": _WORDS, "p8_audits": SQL_AUDIT, "f15_json_tokens": SQL_JSON, "e4_judged_steps": SQL_STEPS_JUDGED, "e2_validated_games": SQL_GAMES_JUDGED,
+    "e1_dictionary_nodes": SQL_NODES, "io3_dictionary_links": SQL_STORED_LINKS, "f17_entry_fields": SQL_ENTRY_FIELDS, "d8_embedded_words": SQL_EMBEDDED, "f11_pooled_words": SQL_POOLED,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lexicon import LEXICAL_KEYS, POS_TAGS, key_name, pos_name
+from ..functions.lexicon import LEXICAL_KEYS, LINKAGES, POS_TAGS, key_name, pos_name
 
 #: The fixed lists in SQL.
 SQL_KEYS, SQL_TAGS = str(list(LEXICAL_KEYS)), str(list(POS_TAGS))
@@ -36,6 +36,32 @@ def entry_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("word", "lexical_key", "w", lemma.alias("l"), pos_name(F.length("w") % len(POS_TAGS)).alias("pos"))
 
 
+def raw_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw entries, one a document: its first sentence's first token as word, its sentences as senses down to three levels.
+
+    A sense has as many synonyms as its place modulo 4, an example at every fifth; entries have categories and empty derived
+    terms by their doc_id. ord is the doc_id.
+    """
+    linked = "array<struct<word:string>>"
+    no_links = F.lit(None).cast(linked)
+    path = F.concat(F.array_repeat(F.lit("x"), F.col("six") % 3), F.array(F.concat_ws(" ", "rest")))
+    synonyms = F.transform(F.slice("rest", F.lit(1), F.col("six") % 4), lambda w: F.struct(w.alias("word")))
+    example = F.struct(F.get("rest", F.lit(0)).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("string").alias("type"))
+    sense = F.struct(
+        path.alias("glosses"), F.when(F.col("six") % 5 == 0, F.array(example)).alias("examples"), F.lit(None).cast("array<array<string>>").alias("links"),
+        *[(synonyms if k == "synonyms" else no_links).alias(k) for k in LINKAGES],
+    )
+    each = entries(spark, sf_dir).select("doc_id", F.struct("six", "word", sense.alias("sense")).alias("s"))
+    docs = each.groupBy("doc_id").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    word = F.get("s", F.lit(0))["word"]
+    category = F.struct(F.lit("name").alias("kind"), word.alias("name"))
+    own = [(F.when(F.col("doc_id") % 5 == 0, F.array().cast(linked)) if k == "derived" else no_links).alias(k) for k in LINKAGES]
+    return docs.select(
+        word.alias("word"), F.when(F.col("doc_id") % 2 == 0, "noun").otherwise("verb").alias("pos"), F.transform("s", lambda x: x["sense"]).alias("senses"), *own,
+        F.when(F.col("doc_id") % 3 != 0, F.array(category)).alias("categories"), F.col("doc_id").alias("ord"),
+    )
+
+
 def race_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """game, player, side, word, ts_ms, event_id."""
     return race_columns(table(spark, sf_dir, "events"))
@@ -88,6 +114,25 @@ SQL_GRAPH = (
   from links join nodes s on s.word = links.word join nodes t on t.word = lower(links.target)
 )"""
 )
+SQL_RAW = (
+    SQL_ENTRIES
+    + """, s as (
+  select doc_id, six as ix, 1 + six % 3 as depth, rest, rest[1:six % 4] as syn, case when six % 5 = 0 then rest[1:1] end as ex from entries
+), p as (
+  select *, case depth when 2 then max(case when depth = 1 then ix end) over w when 3 then max(case when depth = 2 then ix end) over w end as parent_ix
+  from s window w as (partition by doc_id order by ix rows between unbounded preceding and 1 preceding)
+), o as (select *, row_number() over (partition by doc_id, parent_ix order by ix) - 1 as sib from p),
+raw as (
+  select doc_id, word, row_number() over (partition by word order by doc_id) - 1 as entry_ix
+  from (select doc_id, lower(arg_min(word, six)) as word from entries group by doc_id)
+), nodes as (
+  select raw.word, raw.doc_id, entry_ix, concat_ws('.', c.sib, b.sib, a.sib) as path,
+    case when b.ix is null then repeat('x ', cast(a.depth - 1 as bigint)) else '' end || array_to_string(a.rest, ' ') as gloss,
+    case when b.ix is null then a.syn when len(a.syn) > len(b.syn) then a.syn[len(b.syn) + 1:] end as syn,
+    case when b.ex is null then a.ex when len(a.ex) > len(b.ex) then a.ex[len(b.ex) + 1:] end as ex
+  from o a join raw on raw.doc_id = a.doc_id left join o b on b.doc_id = a.doc_id and b.ix = a.parent_ix left join o c on c.doc_id = a.doc_id and c.ix = b.parent_ix
+)"""
+)
 SQL_STEPS = """
 steps as (
   select user_id % 25 as game, user_id as player, case when event_id % 2 = 0 then 'start' else 'target' end as side,
