@@ -9,6 +9,7 @@ from ..functions.lexicon import ALL_FIELDS, ALL_POS, COLLIDE_POS, LEXICAL_KEYS,
 from ..functions.scalars import optimality, path_links
 from ..sources.shared import settle
 from .graph import collide_paths, compact_edges, distance_table, shortest_paths
+from .ranks import join_by, quantiles
 from .search import SETTING, Algorithm, run_searches
 
 CELL = ["stage", "mode", "profile", "algorithm", "max_cost"]
@@ -55,19 +56,20 @@ def summarize_results(results: DataFrame, effort: str = "duration_ms") -> DataFr
     reachable = F.col("exact_cost").isNotNull()
     success = reachable & (F.col("status") == "success")
     fine = F.col("status") != "error"
-    time = F.when(fine, F.col(effort))
-    return results.groupBy(*CELL).agg(
+    spread = quantiles(results.where(fine), CELL, effort, [0.5, 0.95])
+    counts = results.groupBy(*CELL).agg(
         F.count("*").alias("total"),
         F.count_if(reachable).alias("reachable"),
         F.count_if(success).alias("successes"),
         F.coalesce(F.count_if(success) / F.nullif(F.count_if(reachable), F.lit(0)), F.lit(0.0)).alias("success_rate"),
         _mean(F.col(effort), fine).alias("mean_ms"),
-        F.coalesce(F.percentile(time, 0.5), F.lit(0.0)).alias("p50_ms"),
-        F.coalesce(F.percentile(time, 0.95), F.lit(0.0)).alias("p95_ms"),
         _mean(F.col("combined_links"), success).alias("mean_links"),
         _mean(F.col("optimality"), success).alias("mean_optimality"),
         F.count_if(~fine).alias("errors"),
     )
+    told = {n: F.coalesce(F.get("q", F.lit(i)), F.lit(0.0)) for i, n in enumerate(("p50_ms", "p95_ms"))}
+    kept = [*counts.columns[: counts.columns.index("mean_ms") + 1], *told, *counts.columns[counts.columns.index("mean_ms") + 1 :]]
+    return join_by(counts, spread, CELL, "left").select(*[told[c].alias(c) if c in told else F.col(c) for c in kept])
 
 
 def rank_finalists(results: DataFrame, mode: str, n: int = 3, effort: str = "duration_ms") -> DataFrame:
@@ -79,8 +81,9 @@ def rank_finalists(results: DataFrame, mode: str, n: int = 3, effort: str = "dur
         F.count_if(F.col("status") == "error").alias("errors"),
         F.coalesce(F.count_if(success) / F.nullif(F.count_if(reachable), F.lit(0)), F.lit(0.0)).alias("success_rate"),
         _mean(F.col("optimality"), success).alias("mean_optimality"),
-        F.coalesce(F.percentile(effort, 0.95), F.lit(0.0)).alias("p95_ms"),
     )
+    slow = quantiles(rows, ["algorithm"], effort, [0.95])
+    scored = join_by(scored, slow, ["algorithm"], "left").withColumn("p95_ms", F.coalesce(F.get("q", F.lit(0)), F.lit(0.0))).drop("q")
     best = scored.where("errors = 0").drop("errors").orderBy(F.desc("success_rate"), F.desc("mean_optimality"), "p95_ms", "algorithm").limit(n)
     if best.count() < n:
         raise ValueError(f"fewer than {n} algorithms without errors")

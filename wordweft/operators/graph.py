@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import ALL_FIELDS, ALL_POS, has_bit, key_table, pos_id
-from ..sources.shared import settle
+from ..sources.shared import discard, settle
+from .ranks import counted_quantiles, join_by
 
 
 def assign_node_ids(words: DataFrame) -> DataFrame:
@@ -77,12 +78,23 @@ def out_neighbors(words: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataF
     return start.join(edges, start["node_id"] == edges["source_id"]).join(ends, "target_id").select("word", "neighbor")
 
 
-def out_degree_stats(edges: DataFrame) -> DataFrame:
-    """lemmatized, sources, and mean, least, largest and median edge records a source."""
-    degree = edges.groupBy("lemmatized", "source_id").agg(F.count("*").alias("n"))
-    return degree.groupBy("lemmatized").agg(
-        F.count("*").alias("sources"), F.avg("n").alias("mean"), F.min("n").alias("least"), F.max("n").alias("most"), F.percentile("n", 0.5).alias("median")
-    )
+def out_degree_stats(edges: DataFrame, by: str = "lemmatized") -> DataFrame:
+    """by, sources, and mean, least, largest, median, 90th and 99th percentile of edge records a source.
+
+    Everything after the sources' own counts comes from how often each count occurs.
+    """
+    degree = edges.groupBy(by, "source_id").agg(F.count("*").alias("value"))
+    counted = settle(degree.groupBy(by, "value").agg(F.count("*").alias("times")), "degrees")
+    n, times = F.col("value"), F.col("times")
+    stats = counted.groupBy(by).agg(F.sum(times).alias("sources"), (F.sum(n * times) / F.sum(times)).alias("mean"), F.min(n).alias("least"), F.max(n).alias("most"))
+    spread = counted_quantiles(counted, [by], [0.5, 0.9, 0.99]).select(by, *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(("median", "p90", "p99"))])
+    return join_by(stats, spread, [by])
+
+
+def profile_degrees(edges: DataFrame, profiles: DataFrame) -> DataFrame:
+    """out_degree_stats of the edges that each profile allows; parallel edges count, sources without any legal edge do not."""
+    legal = edges.withColumn("pos_id", pos_id(F.col("target_pos"))).alias("e").join(profiles.alias("q"), _legal())
+    return out_degree_stats(legal.select("q.profile", "e.source_id"), "profile")
 
 
 def _legal() -> Column:
@@ -107,31 +119,61 @@ def _blocks(roots: DataFrame) -> DataFrame:
     return dealt.withColumn("place", place).withColumn("block", block).withColumn("bit", F.col("place") % BLOCK).drop("share", "place")
 
 
-def bfs(roots: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+#: Levels after which what traversals have met is merged into one table.
+MERGE = 8
+
+
+def _still_wanted(wanted: DataFrame, fresh: DataFrame) -> DataFrame:
+    """block, vertex, bits of the goals that a level hasn't met."""
+    left = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("fresh", F.lit(0).cast("long"))))
+    return wanted.join(fresh, ["block", "vertex"], "left").select("block", "vertex", left.alias("bits")).where("bits <> 0")
+
+
+def bfs(roots: DataFrame, edges: DataFrame, max_depth: int | None = None, goals: DataFrame | None = None, only_goals: bool = False) -> DataFrame:
     """query_id, vertex, dist from rows (query_id, vertex, lemmatized, field_mask, pos_mask), one a query.
 
     edges are ``compact_edges``. Traversals go in blocks: a row (block, vertex) holds a bit for each traversal of the
-    block that has met the vertex, so many roots cost little more than one. Ends when no traversal finds a new vertex.
+    block that has met the vertex, so many roots cost little more than one. A level stores its new bits alone; what was met
+    before goes through the same aggregation as what the level leads to. Ends when no traversal finds a new vertex.
+    goals (query_id, vertex): a traversal also ends when it has met all its goals, and does not start without any; with
+    only_goals their rows are all that is returned.
     """
     members = settle(_blocks(roots), "members")
     settings = members.select("block", "lemmatized", "field_mask", "pos_mask").distinct()
-    first = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit")))
-    state = settle(members.groupBy("block", "vertex").agg(first.alias("fresh")).select("block", "vertex", "fresh", F.col("fresh").alias("seen")), "level")
-    levels, depth = [state], 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        here = state.where("fresh <> 0").select("block", "vertex", "fresh").join(settings, "block").alias("q")
-        step = here.join(edges.alias("e"), (F.col("q.vertex") == F.col("e.source_id")) & _legal())
-        met = step.groupBy("block", F.col("target_id").alias("vertex")).agg(F.bit_or("fresh").alias("met"))
-        seen = state.select("block", "vertex", "seen")
-        held, found = [F.coalesce(c, F.lit(0).cast("long")) for c in ("seen", "met")]
-        joined = seen.join(met, ["block", "vertex"], "full").select("block", "vertex", found.bitwiseAND(F.bitwise_not(held)).alias("fresh"), held.bitwiseOR(found).alias("seen"))
-        state = settle(joined, "level")
-        if state.where("fresh <> 0").isEmpty():
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
+    none = F.lit(0).cast("long")
+    fresh = settle(members.groupBy("block", "vertex").agg(F.bit_or(bit).alias("fresh")), "level")
+    asked = None
+    if goals is not None:
+        asked = settle(goals.join(members.select("query_id", "block", "bit"), "query_id").groupBy("block", "vertex").agg(F.bit_or(bit).alias("bits")), "goals")
+    levels, seen, wanted = [fresh], [fresh], asked
+    while max_depth is None or len(levels) <= max_depth:
+        here = fresh
+        if goals is not None:
+            left = settle(_still_wanted(wanted, fresh), "wanted")
+            if wanted is not asked:
+                discard(wanted)
+            wanted = left
+            active = wanted.groupBy("block").agg(F.bit_or("bits").alias("active"))
+            here = fresh.join(active, "block").select("block", "vertex", F.col("fresh").bitwiseAND(F.col("active")).alias("fresh")).where("fresh <> 0")
+        step = here.join(settings, "block").alias("q").join(edges.alias("e"), (F.col("q.vertex") == F.col("e.source_id")) & _legal())
+        met = step.select("q.block", F.col("e.target_id").alias("vertex"), F.col("q.fresh").alias("met"), none.alias("held"))
+        before = reduce(DataFrame.unionByName, seen).select("block", "vertex", none.alias("met"), F.col("fresh").alias("held"))
+        both = met.unionByName(before).groupBy("block", "vertex").agg(F.bit_or("met").alias("met"), F.bit_or("held").alias("held"))
+        new = both.select("block", "vertex", F.col("met").bitwiseAND(F.bitwise_not("held")).alias("fresh")).where("fresh <> 0")
+        fresh = settle(new, "level")
+        if fresh.isEmpty():
             break
-        levels.append(state)
+        levels.append(fresh)
+        seen.append(fresh)
+        if len(seen) == MERGE:
+            seen = [settle(reduce(DataFrame.unionByName, seen).groupBy("block", "vertex").agg(F.bit_or("fresh").alias("fresh")), "seen")]
+    if only_goals:
+        shown = [x.join(asked, ["block", "vertex"]).select("block", "vertex", F.col("fresh").bitwiseAND(F.col("bits")).alias("fresh")).where("fresh <> 0") for x in levels]
+    else:
+        shown = levels
     bits = F.filter(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda b: F.getbit("fresh", b) == 1)
-    each = [x.where("fresh <> 0").select("block", "vertex", F.lit(d).alias("dist"), F.explode(bits).alias("bit")) for d, x in enumerate(levels)]
+    each = [x.select("block", "vertex", F.lit(d).alias("dist"), F.explode(bits).alias("bit")) for d, x in enumerate(shown)]
     return reduce(DataFrame.unionByName, each).join(members.select("block", "bit", "query_id"), ["block", "bit"]).select("query_id", "vertex", "dist")
 
 
@@ -159,6 +201,7 @@ def _rebuild(ends: DataFrame, tree: DataFrame, roots: DataFrame, nodes: DataFram
     done = []
     while not walk.isEmpty():
         named = settle(walk.join(names, "vertex").select("key", "root_id", "vertex", "dist", F.concat(F.array("name"), "path").alias("path")), "named")
+        discard(walk)
         done.append(named.where("dist = 0").select("key", "path"))
         above = named.where("dist > 0").join(settings, "root_id").alias("q").join(edges.alias("e"), (F.col("q.vertex") == F.col("e.target_id")) & _legal())
         above = above.select("key", "root_id", F.col("source_id").alias("vertex"), (F.col("dist") - 1).alias("dist"), "path").join(dist, ["root_id", "vertex", "dist"])
@@ -170,12 +213,11 @@ def _rebuild(ends: DataFrame, tree: DataFrame, roots: DataFrame, nodes: DataFram
 def shortest_paths(queries: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """query_id, path (null without a route), links; equal words give a path of one word, known or not."""
     roots, flat = settle(_roots(queries, nodes, "start"), "roots"), settle(compact_edges(edges), "flat_edges")
-    tree = settle(bfs(roots, flat), "tree")
     goal = nodes.select(F.col("node_id").alias("vertex"), F.col("word").alias("low"))
     asked = queries.withColumn("root_id", _root_id("start")).withColumn("low", F.lower("target"))
-    ends = asked.where(F.lower("start") != F.lower("target")).join(goal, "low").join(
-        tree.select(F.col("query_id").alias("root_id"), "vertex"), ["root_id", "vertex"]
-    )
+    known = asked.where(F.lower("start") != F.lower("target")).join(goal, "low")
+    tree = settle(bfs(roots, flat, goals=known.select(F.col("root_id").alias("query_id"), "vertex")), "tree")
+    ends = known.join(tree.select(F.col("query_id").alias("root_id"), "vertex"), ["root_id", "vertex"])
     paths = _rebuild(ends.select(F.col("query_id").alias("key"), "root_id", "vertex"), tree, roots, nodes, flat)
     out = asked.join(paths.withColumnRenamed("key", "query_id"), "query_id", "left")
     path = F.when(F.lower("start") == F.lower("target"), F.array(F.lower("start"))).otherwise(F.col("path"))
@@ -223,10 +265,12 @@ def distance_table(starts: DataFrame, targets: DataFrame, nodes: DataFrame, edge
     roots = starts.select(F.lower("word").alias("word")).distinct().join(nodes, "word").select(
         F.col("node_id").alias("query_id"), F.col("node_id").alias("vertex"), F.lit(lemmatized).alias("lemmatized"), F.lit(fields).alias("field_mask"), F.lit(tags).alias("pos_mask")
     )
-    tree = bfs(roots, compact_edges(edges)).select(F.col("query_id").alias("s"), F.col("vertex").alias("t"), "dist")
-    named = tree.join(nodes.select(F.col("node_id").alias("s"), F.col("word").alias("start")), "s")
-    named = named.join(nodes.select(F.col("node_id").alias("t"), F.col("word").alias("target")), "t")
-    return pairs.join(named.select("start", "target", "dist"), ["start", "target"], "left").select(
+    ids = [nodes.select(F.col("node_id").alias(i), F.col("word").alias(c)) for i, c in (("s", "start"), ("t", "target"))]
+    known = settle(pairs.join(ids[0], "start").join(ids[1], "target"), "known")
+    goals = known.select(F.col("s").alias("query_id"), F.col("t").alias("vertex"))
+    tree = bfs(roots, settle(compact_edges(edges), "flat_edges"), goals=goals, only_goals=True).select(F.col("query_id").alias("s"), F.col("vertex").alias("t"), "dist")
+    met = known.join(tree, ["s", "t"]).select("start", "target", "dist")
+    return pairs.join(met, ["start", "target"], "left").select(
         "start", "target", F.coalesce(F.col("dist").cast("double"), F.lit(float("inf"))).alias("links")
     )
 

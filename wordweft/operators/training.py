@@ -13,6 +13,7 @@ from ..functions.lexicon import LEXICAL_KEYS, POS_TAGS
 from ..functions.scalars import cost_features
 from ..sources.shared import settle
 from .graph import bfs, compact_edges
+from .ranks import quantiles
 
 UNREACHABLE = -1.0
 QUANTILES = [0.0, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0]
@@ -100,8 +101,9 @@ def label_pairs(pairs: DataFrame, settings: DataFrame, edges: DataFrame) -> Data
     """pairs with label: links under the setting, UNREACHABLE without a route. One traversal a (setting, source)."""
     roots = pairs.select("setting_id", "source").distinct().join(settings, "setting_id")
     roots = roots.select(F.xxhash64("setting_id", "source").alias("query_id"), F.col("source").alias("vertex"), "lemmatized", "field_mask", "pos_mask")
-    found = bfs(roots, compact_edges(edges)).select("query_id", F.col("vertex").alias("target"), "dist")
     asked = pairs.withColumn("query_id", F.xxhash64("setting_id", "source"))
+    goals = asked.select("query_id", F.col("target").alias("vertex"))
+    found = bfs(roots, settle(compact_edges(edges), "flat_edges"), goals=goals, only_goals=True).select("query_id", F.col("vertex").alias("target"), "dist")
     return asked.join(found, ["query_id", "target"], "left").select("setting_id", "source", "target", F.coalesce(F.col("dist").cast("double"), F.lit(UNREACHABLE)).alias("label"))
 
 
@@ -165,11 +167,12 @@ def describe_numeric(df: DataFrame, column: str) -> DataFrame:
     x = F.col(column).cast("double")
     finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     kept = F.when(finite, x)
-    q = F.percentile(kept, F.array(*map(F.lit, QUANTILES)))
     row = df.agg(
         F.count("*").alias("total"), F.count(kept).alias("finite"), F.min(kept).alias("min"), F.max(kept).alias("max"), F.avg(kept).alias("mean"),
-        F.when(F.count(kept) == 1, 0.0).otherwise(F.stddev_samp(kept)).alias("std"), q.alias("q"),
+        F.when(F.count(kept) == 1, 0.0).otherwise(F.stddev_samp(kept)).alias("std"),
     )
+    # A row each.
+    row = row.join(quantiles(df.select(kept.alias("x")), [], "x", list(QUANTILES)), how="left")
     names = [f"q{round(100 * p)}" for p in QUANTILES]
     return row.select("total", "finite", (F.col("total") - F.col("finite")).alias("non_finite"), "min", "max", "mean", "std", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(names)])
 

@@ -78,11 +78,13 @@ def edge_profiles(spark, sf_dir):
     return legal.groupBy("profile").agg(F.count("*").alias("legal"), F.countDistinct("source_id", "target_id").alias("pairs"))
 
 
-SQL_PROFILES = f"""with {SQL_GRAPH}, flat as (select distinct * from edges), grid as (
+SQL_GRID = """grid as (
   select m.n || '__' || f.n || '__' || p.n as profile, m.v as lem, f.v as glosses_only, p.v as collide
-  from (values ('lemma', 1), ('raw', 0)) m(n, v), (values ('glosses', 1), ('all-fields', 0)) f(n, v), (values ('all-pos', 0), ('collide-pos', 1)) p(n, v))
-select profile, count(*) as legal, count(distinct source_id * 1000000 + target_id) as pairs from flat join grid on lemmatized = lem
-  and (glosses_only = 0 or edge_type = 9) and (collide = 0 or target_pos not in ('ADP','AUX','CCONJ','DET','PART','PRON','SCONJ')) group by profile"""
+  from (values ('lemma', 1), ('raw', 0)) m(n, v), (values ('glosses', 1), ('all-fields', 0)) f(n, v), (values ('all-pos', 0), ('collide-pos', 1)) p(n, v))"""
+SQL_ALLOWED = """on lemmatized = lem
+  and (glosses_only = 0 or edge_type = 9) and (collide = 0 or target_pos not in ('ADP','AUX','CCONJ','DET','PART','PRON','SCONJ'))"""
+SQL_PROFILES = f"""with {SQL_GRAPH}, flat as (select distinct * from edges), {SQL_GRID}
+select profile, count(*) as legal, count(distinct source_id * 1000000 + target_id) as pairs from flat join grid {SQL_ALLOWED} group by profile"""
 
 
 def distinct_edges(spark, sf_dir):
@@ -120,11 +122,22 @@ SQL_DEGREE = f"""with {SQL_GRAPH}, degree as (select lemmatized, source_id, coun
 select cast(lemmatized as integer) as lemmatized, count(*) as sources, round(avg(n), 6) as mean, min(n) as least, max(n) as most, round(quantile_cont(n, 0.5), 6) as median from degree group by lemmatized"""
 
 
+def degree_profiles(spark, sf_dir):
+    """Branching factor of each profile: records an expanded source, with quantiles."""
+    found = graph.profile_degrees(_graph(spark, sf_dir)[2], F.broadcast(evalsuite.profile_grid(spark)))
+    return found.select("profile", "sources", "least", "most", *[F.round(c, 6).alias(c) for c in ("mean", "median", "p90", "p99")])
+
+
+SQL_DEGREE_PROFILES = f"""with {SQL_GRAPH}, {SQL_GRID}, degree as (select profile, source_id, count(*) as n from edges join grid {SQL_ALLOWED} group by profile, source_id)
+select profile, count(*) as sources, min(n) as least, max(n) as most, round(avg(n), 6) as mean,
+  round(quantile_cont(n, 0.5), 6) as median, round(quantile_cont(n, 0.9), 6) as p90, round(quantile_cont(n, 0.99), 6) as p99 from degree group by profile"""
+
+
 def graph_distance_counts(spark, sf_dir):
     """Vertices by seed and distance up to 3, surface links, from the first word of each initial."""
     links, nodes, edges = _graph(spark, sf_dir)
     roots = _queries(links).join(nodes.select(F.col("word").alias("start"), F.col("node_id").alias("vertex")), "start").drop("start", "target")
-    found = graph.bfs(roots, graph.compact_edges(edges), max_depth=3)
+    found = graph.bfs(roots, settle(graph.compact_edges(edges), "flat_edges"), max_depth=3)
     return found.groupBy(F.chr("query_id").alias("initial"), F.col("dist").cast("long").alias("dist")).agg(F.count("*").alias("vertices"))
 
 
@@ -526,7 +539,7 @@ SQL_POOLED = f"""{_SQL_POOLED} select word, cast(k - 1 as integer) as place, rou
 
 QUERIES = {
     "a1_group_entries": group_entries, "a2_link_index": link_index, "a3_word_list": word_list, "w1_node_ids": node_ids, "j1_edge_build": edge_build,
-    "p3_edge_profiles": edge_profiles, "a4_distinct_edges": distinct_edges, "j2_links_for": links_for_words, "j3_out_neighbors": out_neighbors, "a17_out_degree": out_degree,
+    "p3_edge_profiles": edge_profiles, "a4_distinct_edges": distinct_edges, "j2_links_for": links_for_words, "j3_out_neighbors": out_neighbors, "a17_out_degree": out_degree, "a17_degree_profiles": degree_profiles,
     "graph_distance_counts": graph_distance_counts, "g2_shortest_paths": shortest_links, "g3_collide_paths": collide_links, "g4_distance_table": distance_table,
     "g5_neighborhood": neighborhood, "g17_route_hints": route_hints, "u3_graph_parity": graph_parity, "io4_graph_roundtrip": graph_roundtrip,
     "g6_search_regular": search_uniform, "g7_search_collide": search_collide, "w3_gloss_parents": gloss_parents, "p4_clickable_tokens": clickable_tokens,
@@ -537,7 +550,7 @@ QUERIES = {
 _WORDS = f"with {SQL_TOKENS} select distinct word from tokens"
 ORACLES = {
     "a1_group_entries": SQL_GROUP, "a2_link_index": SQL_INDEX, "a3_word_list": _WORDS, "w1_node_ids": f"with {SQL_GRAPH} select node_id, word from nodes", "j1_edge_build": SQL_EDGES,
-    "p3_edge_profiles": SQL_PROFILES, "a4_distinct_edges": SQL_DISTINCT, "j2_links_for": SQL_LINKS_FOR, "j3_out_neighbors": SQL_NEIGHBORS, "a17_out_degree": SQL_DEGREE,
+    "p3_edge_profiles": SQL_PROFILES, "a4_distinct_edges": SQL_DISTINCT, "j2_links_for": SQL_LINKS_FOR, "j3_out_neighbors": SQL_NEIGHBORS, "a17_out_degree": SQL_DEGREE, "a17_degree_profiles": SQL_DEGREE_PROFILES,
     "graph_distance_counts": SQL_COUNTS, "g2_shortest_paths": SQL_SHORTEST, "g3_collide_paths": SQL_COLLIDE, "g4_distance_table": SQL_TABLE,
     "g5_neighborhood": SQL_NEAR, "g17_route_hints": SQL_HINTS, "u3_graph_parity": SQL_PARITY, "io4_graph_roundtrip": SQL_ROUNDTRIP,
     "g6_search_regular": SQL_SEARCH, "g7_search_collide": SQL_SEARCH_COLLIDE, "w3_gloss_parents": SQL_PARENTS, "p4_clickable_tokens": SQL_CLICK,

@@ -24,4 +24,16 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet and read it back: cuts the lineage of loops and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove settled tables that nothing reads any more, as their successors stand."""
+    for df in tables:
+        path = getattr(df, "settled_at", None)
+        if path:
+            context = df.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
