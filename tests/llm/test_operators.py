@@ -580,3 +580,14 @@ def test_frequent_words_stay_within_bound(spark):
         assert top.count() <= limit and top.count() + rest.count() == 500
         if top.count() and rest.count():
             assert top.agg({"n": "min"}).first()[0] > rest.agg({"n": "max"}).first()[0]
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(rng.choice(words, 40)) for _ in range(120)] + ["the same words again and again"] * 60 + [None, ""]
+    docs = spark.createDataFrame([(k // 2, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(lbl, "SHARD_TOKENS", 400)
+    monkeypatch.setattr(lbl, "CHUNK", 300)
+    one, many = [sorted((r["doc_id"], r["n_tokens"], round(r["base_score"], 9), round(r["score"], 9)) for r in lbl.score(docs.repartition(n), ~lbl.held_out(), own=20).collect()) for n in (1, 16)]
+    assert one == many

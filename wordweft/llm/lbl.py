@@ -6,9 +6,11 @@ classes of the two tokens before it: with representations R and a matrix for eac
 c2, c1 is (R[c1] C1 + R[c2] C2) . R[w] + b[w]. Inside a suffix class a word has its smoothed frequency, so all words of
 the training texts are represented, as many as there are.
 
-Training takes every training token once: the texts are dealt by hash to ROUNDS rounds; in each, every task goes on from
-the shared weights over its own texts in batches, with noise drawn from the class frequencies, and Spark averages the
-tasks' weights by their tokens. What the driver holds is the weights. The normaliser of each pair of context classes is
+Training takes every training token once: rows are dealt by a hash of id and text to ROUNDS rounds, and those of a round
+to shards of about SHARD_TOKENS tokens, at most SHARDS of them; in each round every shard goes on from the shared weights
+over its texts, in the order of that hash and CHUNK tokens at a time, with noise drawn from the class frequencies, and
+Spark averages the shards' weights. These are put on a grid on which sums are exact, so the model depends on the rows
+alone, not on how the table is partitioned. What the driver holds is the weights. The normaliser of each pair of context classes is
 made once, by matrix products over all classes, in tasks of some rows each, and scoring multiplies the contexts out for
 a batch of texts at a time.
 
@@ -40,6 +42,10 @@ SIZE = 24
 ROUNDS = 3
 #: Tokens of a training step, noise classes drawn for each, and the step's rate.
 STEP, NOISE, RATE = 2048, 64, 0.1
+#: Tokens of a shard in a round, shards at most, tokens that are shuffled together.
+SHARD_TOKENS, SHARDS, CHUNK = 1 << 18, 1 << 12, 1 << 17
+#: Steps of the grids of weights and of summed squares in averages.
+GRIDS = 2.0**-24, 2.0**-14
 END = 0
 
 
@@ -197,33 +203,62 @@ def triples_of(text: np.ndarray, kind: np.ndarray, texts: int) -> tuple[np.ndarr
     return np.stack([padded[token - 2], padded[token - 1], padded[token]], axis=1), np.repeat(np.arange(texts), sizes + 1)
 
 
-def fit(train_docs: DataFrame, vocabulary: Vocabulary, frequency: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Weights from all training texts, each token once."""
+class Shard:
+    """Weights of a shard in a round, on their way through its tokens."""
+
+    def __init__(self, state: np.ndarray, frequency: np.ndarray):
+        self.own, self.sums = from_rows(state[:, : SIZE + 1]), from_rows(state[:, SIZE + 1 :])
+        self.frequency, self.number, self.held = frequency, 0, np.zeros((0, 3), np.int64)
+
+    def learn(self, triples: np.ndarray, last: bool = False) -> None:
+        """Train on all full chunks, and on what is left after the last tokens."""
+        self.held = np.concatenate([self.held, triples])
+        while len(self.held) >= CHUNK or (last and len(self.held)):
+            some, self.held = self.held[:CHUNK], self.held[CHUNK:]
+            train(self.own, self.sums, np.random.default_rng(self.number).permutation(some), self.frequency, self.number)
+            self.number += 1
+
+    def rows(self) -> pa.RecordBatch:
+        self.learn(self.held[:0], last=True)
+        rows = np.column_stack([np.round(to_rows(m).astype(np.float64) / g) * g for m, g in zip((self.own, self.sums), GRIDS)])
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows)), pa.int32()), pa.array(list(rows), pa.list_(pa.float64()))], ["row", "weights"])
+
+
+def fit(train_docs: DataFrame, vocabulary: Vocabulary, frequency: np.ndarray, tokens: int, rounds: int = ROUNDS) -> Model:
+    """Weights from all training rows (doc_id, text), each token once; tokens: how many there are."""
     spark = train_docs.sparkSession
     model = initial(frequency)
     state = np.column_stack([to_rows(model), to_rows(unseen(model))])
     words = spark.sparkContext.broadcast(vocabulary)
     width = 2 * (SIZE + 1)
+    shards = max(1, min(SHARDS, -(-tokens // (rounds * SHARD_TOKENS))))
+    place = F.xxhash64("doc_id", "text")
+    dealt = train_docs.select("text", place.alias("place")).select(F.pmod("place", F.lit(rounds)).alias("round"), F.pmod(F.xxhash64("place"), F.lit(shards)).alias("shard"), "place", "text")
     for k in range(rounds):
         shared = spark.sparkContext.broadcast(state)
 
         def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            reader, tokens = Reader(words.value), 0
-            own, sums = from_rows(shared.value[:, : SIZE + 1]), from_rows(shared.value[:, SIZE + 1 :])
-            for number, batch in enumerate(batches):
-                _, text, _, kind = reader.read(batch.column(0))
-                triples, _ = triples_of(text, kind, batch.num_rows)
-                train(own, sums, np.random.default_rng(number).permutation(triples), frequency, number)
-                tokens += len(triples)
-                del text, kind, triples
+            reader, now, shard = Reader(words.value), None, None
+            for batch in batches:
+                _, text, _, kind = reader.read(batch.column(1))
+                triples, of_text = triples_of(text, kind, batch.num_rows)
+                # Rows come shard by shard.
+                numbers, starts = np.unique(batch.column(0).to_numpy(), return_index=True)
+                cuts = np.searchsorted(of_text, [*starts, batch.num_rows])
+                for number, lo, hi in zip(numbers, cuts, cuts[1:]):
+                    if number != now:
+                        if shard:
+                            yield shard.rows()
+                        now, shard = number, Shard(shared.value, frequency)
+                    shard.learn(triples[lo:hi])
+                del text, kind, triples, of_text
                 pa.default_memory_pool().release_unused()
-            if tokens:
-                rows = tokens * np.column_stack([to_rows(own), to_rows(sums)]).astype(np.float64)
-                columns = [pa.array(np.arange(len(rows)), pa.int32()), pa.array(np.full(len(rows), float(tokens))), pa.array(list(rows), pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "n", "weights"])
+            if shard:
+                yield shard.rows()
 
-        share = train_docs.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k).select("text").mapInArrow(learn, "row int, n double, weights array<double>")
-        mean = [(F.sum(F.get("weights", F.lit(j))) / F.sum("n")).alias(f"w{j}") for j in range(width)]
+        mine = dealt.where(F.col("round") == k).repartition(shards, "shard").sortWithinPartitions("shard", "place")
+        share = mine.select("shard", "text").mapInArrow(learn, "row int, weights array<double>")
+        mean = [F.avg(F.get("weights", F.lit(j))).alias(f"w{j}") for j in range(width)]
         # As many rows as classes and matrices have.
         found = share.groupBy("row").agg(*mean).orderBy("row").select(*[f"w{j}" for j in range(width)]).toPandas().to_numpy()
         state = found if len(found) else state
@@ -249,7 +284,7 @@ def normaliser_table(spark, model: Model) -> np.ndarray:
 def score(docs: DataFrame, training, frequent: int = FREQUENT, own: int = OWN) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score; training is the condition of training rows."""
     spark = prepare(docs.sparkSession)
-    train_docs = docs.where(training).select("text")
+    train_docs = docs.where(training).select("doc_id", "text")
     counts = settle(word_counts(train_docs), "word_counts")
     ends = train_docs.count()
     summed = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -275,7 +310,7 @@ def score(docs: DataFrame, training, frequent: int = FREQUENT, own: int = OWN) -
         held[s], kinds[s] = held[s] - n, kinds[s] - 1
     of_class = np.concatenate([[ends], times, np.zeros(own - len(times)), held]).astype(np.float64)
     frequency = (of_class + 0.5) / (of_class + 0.5).sum()
-    model = fit(train_docs, vocabulary, frequency)
+    model = fit(train_docs, vocabulary, frequency, total)
     base_down = float(np.log10(total + distinct + 1))
     # What a word's count plus one is divided by inside its class; nothing in a class of one word.
     own_down = np.concatenate([np.zeros(1 + own), np.log10(held + kinds + 1.0)])
