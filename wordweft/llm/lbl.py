@@ -43,7 +43,7 @@ ROUNDS = 3
 #: Tokens of a training step, noise classes drawn for each, and the step's rate.
 STEP, NOISE, RATE = 2048, 64, 0.1
 #: Tokens of a shard in a round, shards at most, tokens that are shuffled together.
-SHARD_TOKENS, SHARDS, CHUNK = 1 << 18, 1 << 12, 1 << 17
+SHARD_TOKENS, SHARDS, CHUNK = 1 << 21, 1 << 12, 1 << 17
 #: Steps of the grids of weights and of summed squares in averages.
 GRIDS = 2.0**-24, 2.0**-14
 END = 0
