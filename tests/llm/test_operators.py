@@ -1,6 +1,7 @@
 """Corpus operators against brute force on small fixtures with nulls, empties, repeats and clashing columns."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter
@@ -142,6 +143,49 @@ def test_one_row_stays_of_each_component_whatever_the_ids(spark):
     assert Counter(got) == Counter([(None, first), (None, t[1]), (5, t[2]), (7, t[3]), (7, t[4]), (9, t[5])])
 
 
+def test_copies_meet_by_fingerprints_and_stars(spark, monkeypatch):
+    """The grid of fingerprints takes part, and a family of near copies is never paired out."""
+    rng = random.Random(13)
+    vocab = [f"v{i}" for i in range(3000)]
+    base = words(rng, 150, vocab).split()
+    found = [" ".join(w if k != i else "changed" for k, w in enumerate(base[: 149 - j])) for i in range(100) for j in range(3)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(found)], "doc_id long, text string")
+    asked, sizes, folder = [], {}, spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/tables"
+    grid, before = simhash.links, {*os.listdir(folder)} if os.path.isdir(folder) else set()
+    monkeypatch.setattr(simhash, "links", lambda fps, *rest: asked.append(fps.count()) or grid(fps, *rest))
+    assert [r["doc_id"] for r in simhash.keep_one(df).collect()] == [0]
+    for at in {*os.listdir(folder)} - before:
+        for name in os.listdir(f"{folder}/{at}"):
+            sizes[name] = max(sizes.get(name, 0), spark.read.parquet(f"file://{folder}/{at}/{name}").count())
+    assert asked and 10 < asked[0] <= len(found)
+    assert {"pairs", "links"} <= {*sizes}
+    assert max(sizes.get(name, 0) for name in ("pairs", "candidates", "links", "open_pairs")) <= 4 * len(found)
+
+
+def test_long_near_copies_equal_brute_force(spark):
+    """Sets that are cut into parts, of sizes about the classes' limits and similarities about the threshold."""
+    rng = random.Random(14)
+    vocab = [f"v{i}" for i in range(50000)]
+    head = words(rng, 200, vocab)
+    found = []
+    for n in (850, 1000, 1250, 1700, 2400, 4300):
+        base = words(rng, n, vocab).split()
+        found.append(head + " " + " ".join(base))
+        for share in (0.75, 0.79, 0.83, 0.9):
+            found.append(head + " " + " ".join(base[: int(share * len(base))]))
+        found.append(head + " " + " ".join(w if k % 60 else "changed" for k, w in enumerate(base)))
+    rng.shuffle(found)
+    sets, root = [slow_set(t) for t in found], [*range(len(found))]
+    assert len({*map(frozenset, sets)}) == len(found) and max(map(len, sets)) > 4200
+    alike = [(j, i) for i in root for j in range(i) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))]
+    for _ in range(len(found)):
+        for j, i in alike:
+            root[i] = root[j] = min(root[i], root[j])
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(found)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == sorted({*root})
+    assert 6 <= len({*root}) < len(found) - 6
+
+
 # --- sharding ----------------------------------------------------------------
 
 

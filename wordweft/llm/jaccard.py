@@ -1,38 +1,36 @@
-"""Near copies by exact Jaccard similarity of word shingles: a prefix-filtered join, then a check of whole sets.
+"""Sets of word shingles, their prefixes, and exact Jaccard similarity.
 
 A text's set is the distinct 64-bit hashes of its lower-cased words' shingles, put in an order that is the same for
 all texts. Two sets with similarity of at least ``percent`` share a hash within the first n - ceil(percent n / 100) + 1
-of each (n: the set's size), so an equi-join on these prefixes meets every such pair; sizes and places discard most
-others, and what is left is compared set by set, but for pairs that other links have joined. Components are those of all
-pairs that are similar enough.
+of each (n: the set's size), so that sets which meet by no hash of their prefixes are no near copies.
 
 The order is by hash, but hashes that many texts of a sample share come last, the most frequent at the very end, so
-that boilerplate seldom is in a prefix. The sample changes the cost only, never the links.
+that boilerplate seldom is in a prefix. The sample changes the cost only, never what meets.
 
-Texts are moved only where they have to be: those of candidates pass a Bloom filter of their places, and are compared
-as they are, since a text packs smaller than its set.
+Large sets share some hash with many unlike sets, and no sketch of a fixed size tells these apart. So they are cut into
+parts by their hashes' last bits: of two sets with the similarity, some part of one has it to the same part of the other.
 
 Defined cases: null and empty texts have the empty set, all of them equal; texts of fewer words than a shingle have
-their whole word sequence as one shingle; texts with the same set are one node; texts may have any length.
+their whole word sequence as one shingle; texts may have any length.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, filter_words, may_hold, settle
+from .common import collect_blobs, read_blobs
 
 SEED = 42
-SKETCH_BITS = 7
 #: Texts looked at for frequent shingles, in how many of them one is frequent, and how many are held at most.
 SAMPLE_DOCS, FREQUENT_IN, FREQUENT = 4_000, 8, 1 << 16
+#: Sets of over 2^PART_BITS hashes are cut into parts.
+PART_BITS = 10
 
 
 def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
@@ -65,75 +63,31 @@ def frequent_shingles(docs: DataFrame, width: int) -> np.ndarray:
 
     some = docs.select(F.col("text").cast("binary").alias("text")).sample(share, seed=1).distinct()
     counts = some.select(F.explode(F.pandas_udf(sets, "array<long>")("text")).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
-    top = counts.where(F.col("n") >= FREQUENT_IN).orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
-    return np.array([r["h"] for r in reversed(top)], np.int64)
+    top = read_blobs(collect_blobs(counts.where(F.col("n") >= FREQUENT_IN).orderBy(F.desc("n"), "h").limit(FREQUENT)))
+    if top is None:
+        return np.zeros(0, np.int64)
+    h, n = top["h"].to_numpy(), top["n"].to_numpy()
+    return h[np.lexsort((h, n))]
 
 
-def key_column(text: Column, width: int) -> Column:
-    """Struct of key (hash of the text's set) and sketch (how many of its hashes start with each SKETCH_BITS bits, up to 255)."""
+class Prefixes:
+    """Prefixes of sets under one order: frequent hashes last."""
 
-    def of(texts: pd.Series) -> pd.DataFrame:
-        keys, sketches = [], []
-        for t in texts:
-            found = shingle_set(t, width)
-            keys.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
-            parts = np.bincount((found.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
-            sketches.append(np.minimum(parts, 255).astype(np.uint8).tobytes())
-        return pd.DataFrame({"key": np.array(keys, np.uint64).view(np.int64), "sketch": sketches})
+    def __init__(self, frequent: np.ndarray, percent: int):
+        self.percent, self.place = percent, np.argsort(frequent)
+        self.ordered = frequent[self.place]
 
-    return F.pandas_udf(of, "key long, sketch binary")(text.cast("binary"))
+    def of(self, found: np.ndarray) -> np.ndarray:
+        n = len(found)
+        if len(self.ordered):
+            at = np.minimum(np.searchsorted(self.ordered, found), len(self.ordered) - 1)
+            found = found[np.argsort(np.where(self.ordered[at] == found, self.place[at], -1), kind="stable")]
+        return found[: n - (self.percent * n + 99) // 100 + 1]
 
 
-def may_be_similar(percent: int):
-    """Column function of two sketches: whether their counts leave room for a similarity of percent."""
-
-    def of(a: pd.Series, b: pd.Series) -> pd.Series:
-        if not len(a):
-            return pd.Series([], dtype=bool)
-        x, y = [np.frombuffer(b"".join(c), np.uint8).reshape(len(c), -1).astype(np.int32) for c in (a, b)]
-        full = ((x == 255) | (y == 255)).any(axis=1)
-        common = np.minimum(x, y).sum(axis=1)
-        return pd.Series(full | (common * (100 + percent) >= (x.sum(axis=1) + y.sum(axis=1)) * percent))
-
-    return F.pandas_udf(of, "boolean")
-
-
-def prefixes_column(spark, text: Column, width: int, percent: int, frequent: np.ndarray) -> Column:
-    """Struct of n (the set's size) and prefix."""
-    shared = spark.sparkContext.broadcast(frequent)
-
-    def of(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        late = shared.value
-        by_hash = np.argsort(late)
-        ordered = late[by_hash]
-        for texts in columns:
-            sizes, prefixes = [], []
-            for text in texts:
-                found = shingle_set(text, width)
-                n = len(found)
-                sizes.append(n)
-                if len(late):
-                    at = np.minimum(np.searchsorted(ordered, found), len(late) - 1)
-                    rank = np.where(ordered[at] == found, by_hash[at], -1)
-                    found = found[np.argsort(rank, kind="stable")]
-                prefixes.append(found[: n - (percent * n + 99) // 100 + 1])
-            yield pd.DataFrame({"n": np.array(sizes, np.int32), "prefix": prefixes})
-
-    return F.pandas_udf(of, "n int, prefix array<long>")(text.cast("binary"))
-
-
-def candidates(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, of places whose sets may be similar enough, from columns place, n, prefix."""
-    # A row is all that a prefix hash costs in the shuffle, so size and place in the prefix share a column.
-    spot = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
-    cells = sets.select("place", "n", F.posexplode("prefix").alias("at", "cell")).select("cell", "place", spot.alias("spot"))
-    left, right = [cells.select("cell", F.col("place").alias(x), F.col("spot").alias(f"spot_{x}")) for x in "ab"]
-    n_a, n_b = [F.shiftright(f"spot_{x}", 32) for x in "ab"]
-    at_a, at_b = [F.col(f"spot_{x}").bitwiseAND(F.lit(0xFFFFFFFF)) for x in "ab"]
-    # Nothing before the first common hash is common, so what follows it bounds the overlap.
-    left_over = F.least(n_a - at_a, n_b - at_b)
-    met = left.join(right.hint("merge"), "cell").where((F.col("a") < F.col("b")) & (left_over * (100 + percent) >= (n_a + n_b) * percent))
-    return met.select("a", "b").distinct()
+def cuts(n: int, percent: int) -> set[int]:
+    """Into how many parts a set of n hashes is cut: by its own size, and by that of the largest set it may be similar to."""
+    return {1 << max(0, (x - 1).bit_length() - PART_BITS) for x in (n, n * 100 // percent)} if n else set()
 
 
 def similar(width: int, percent: int):
@@ -150,36 +104,3 @@ def similar(width: int, percent: int):
         return pd.Series([check(x, y) for x, y in zip(a, b)], dtype=bool)
 
     return F.pandas_udf(of, "boolean")
-
-
-def links(marked: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Links (a, b), a < b, between sets with similarity of at least percent; a set is named by its least place.
-
-    Enough of them to give the same components as all do: each set is compared with its first and its last candidate, and
-    then with the others that aren't in its component yet, so that a family of copies isn't compared pair by pair.
-    ``marked`` is a stored table with place (one a row), text, and the columns of ``key_column``. Sketches, which are small,
-    bound what two sets can have in common, so few texts of unlike sets meet.
-    """
-    spark = marked.sparkSession
-    prefixes = prefixes_column(spark, F.col("text"), width, percent, frequent_shingles(marked, width))
-    each = marked.select("key", "place", prefixes.alias("p")).select("key", "place", "p.n", "p.prefix")
-    sets = each.groupBy("key").agg(F.min(F.struct("place", "n", "prefix")).alias("s")).select("s.*")
-    met = candidates(sets, percent)
-    for x in "ab":
-        met = met.join(marked.select(F.col("place").alias(x), F.col("sketch").alias(f"sketch_{x}")), x)
-    pairs = settle(met.where(may_be_similar(percent)("sketch_a", "sketch_b")).select("a", "b"), "candidates")
-    words = filter_words(pairs.select(F.explode(F.array(F.xxhash64("a"), F.xxhash64("b"))).alias("seed")), 32)
-    texts = marked.where(may_hold(F.col("place"), spark, words)).select("place", F.col("text").cast("binary").alias("text"))
-
-    def checked(some: DataFrame) -> DataFrame:
-        both = some.join(texts.select(F.col("place").alias("a"), F.col("text").alias("text_a")), "a")
-        both = both.join(texts.select(F.col("place").alias("b"), F.col("text").alias("text_b")), "b")
-        return settle(both.where(similar(width, percent)("text_a", "text_b")).select("a", "b"), "links")
-
-    ends = pairs.groupBy("b").agg(F.min("a").alias("low"), F.max("a").alias("high"))
-    found = checked(ends.select("b", F.explode(F.array_distinct(F.array("low", "high"))).alias("a")).select("a", "b"))
-    roots = settle(components(found), "roots")
-    root_a, root_b = [roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"]
-    open_ = pairs.join(root_a, "a", "left").join(root_b, "b", "left").where(F.col("root_a").isNull() | F.col("root_b").isNull() | (F.col("root_a") != F.col("root_b")))
-    rest = open_.join(ends.select("b", F.array("low", "high").alias("done")), "b").where(~F.array_contains("done", F.col("a"))).select("a", "b")
-    return found.unionByName(checked(settle(rest, "open_pairs")))

@@ -105,14 +105,19 @@ def sample_limit(percent: int) -> int:
     return math.floor(BITS / 2 * (1 - math.exp(-4 * BANDS * ROWS * apart / BITS)))
 
 
-def likely(percent: int) -> Column:
-    """Whether sketches and sizes of a and b leave room for a similarity of percent."""
+def possible(percent: int) -> Column:
+    """Whether sizes and whole sketches of a and b leave room for a similarity of percent; true of all that have it."""
     small, big = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
     whole = _differing("whole") * (100 + percent) <= (F.col("a.n") + F.col("b.n")) * (100 - percent)
-    return (small * 100 >= big * percent) & whole & (_differing("sample") <= sample_limit(percent))
+    return (small * 100 >= big * percent) & whole
+
+
+def likely(percent: int) -> Column:
+    """Whether sketches and sizes of a and b leave room for a similarity of percent."""
+    return possible(percent) & (_differing("sample") <= sample_limit(percent))
 
 
-class _Linker:
+class Linker:
     """Links between the sets of a stored table with place, text and the columns of ``described``."""
 
     def __init__(self, marked: DataFrame, nodes: DataFrame, width: int, percent: int):
@@ -148,7 +153,7 @@ class _Linker:
         return settle(members.join(mixed, "cell"), "open")
 
 
-def _ordered(a: Column, b: Column) -> list[Column]:
+def ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
@@ -158,7 +163,7 @@ def linked_sets(marked: DataFrame, width: int = WIDTH, percent: int = PERCENT) -
     # As with sketches: the same plan at any size.
     own = first.select("place").hint("merge")
     nodes = settle(marked.select("place", "n", "sample", "whole").join(own, "place", "left_semi"), "nodes")
-    linker = _Linker(marked, nodes, width, percent)
+    linker = Linker(marked, nodes, width, percent)
     cells = marked.select("place", "bands").join(own, "place", "left_semi").select("place", F.explode("bands").alias("cell"))
     sizes = settle(cells.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     # Few buckets hold more than one set; a filter of bounded size keeps most of the other rows from being moved.
@@ -167,20 +172,20 @@ def linked_sets(marked: DataFrame, width: int = WIDTH, percent: int = PERCENT) -
     met = cells.groupBy("place").agg(F.sum("size").alias("met"))
     ranked = cells.select("cell", "place").join(met, "place")
     hubs = ranked.groupBy("cell").agg(F.max_by("place", F.struct("met", "place")).alias("hub"))
-    star = cells.select("cell", "place").join(hubs, "cell").where("place <> hub").select(*_ordered(F.col("place"), F.col("hub"))).distinct()
+    star = cells.select("cell", "place").join(hubs, "cell").where("place <> hub").select(*ordered(F.col("place"), F.col("hub"))).distinct()
     linker.confirm(linker.pairs_likely(star))
     cells = linker.open_members(cells)
     by_chance = F.struct(F.xxhash64("cell", "place").alias("h"), "place", "root")
     ends = cells.groupBy("cell").agg(F.min(by_chance).alias("lo"), F.max(by_chance).alias("hi"))
     star = cells.join(ends.select("cell", F.explode(F.array("lo", "hi")).alias("end")), "cell").where("root <> end.root")
-    linker.confirm(linker.pairs_likely(star.select(*_ordered(F.col("place"), F.col("end.place"))).distinct()))
+    linker.confirm(linker.pairs_likely(star.select(*ordered(F.col("place"), F.col("end.place"))).distinct()))
     cells = linker.open_members(cells.select("cell", "place"))
     counts = cells.groupBy("cell", "root").agg(F.count("*").alias("size"))
     main = counts.groupBy("cell").agg(F.max(F.struct("size", "root")).alias("main")).select("cell", F.col("main.root").alias("main"))
     sketched = cells.join(linker.sketches.hint("merge"), "place")
     minor = sketched.join(main, "cell").where("root <> main").alias("a")
     rest = minor.join(sketched.alias("b").hint("merge"), (F.col("a.cell") == F.col("b.cell")) & (F.col("a.root") != F.col("b.root")) & likely(percent))
-    linker.confirm(rest.select(*_ordered(F.col("a.place"), F.col("b.place"))).distinct())
+    linker.confirm(rest.select(*ordered(F.col("a.place"), F.col("b.place"))).distinct())
     return first, linker.roots
 
 

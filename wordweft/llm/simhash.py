@@ -20,14 +20,17 @@ component and never names it unless no other id is there; other columns are igno
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import jaccard
+from ..sources.shared import discard
+from . import jaccard, oddsketch
 from .common import components, filter_words, may_hold, prepare, settle
 from .jaccard import shingle_hashes
 
@@ -37,7 +40,10 @@ _BLOCK = 1 << 15
 
 def fingerprint(text: bytes | None, width: int = 4) -> int:
     """64-bit SimHash of the lower-cased words' shingles; a bit is set if over half of the hashes set it."""
-    found = shingle_hashes(text, width)
+    return _majority(shingle_hashes(text, width))
+
+
+def _majority(found: np.ndarray) -> int:
     if not len(found):
         return 0
     ones = np.zeros(64, np.int64)
@@ -152,18 +158,146 @@ def hexadecimal(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def described(text: Column, width: int) -> Column:
+    """Struct of fp, and of the shingle set's key (a digest) and size n."""
+
+    def of(texts: pd.Series) -> pd.DataFrame:
+        hashes = [shingle_hashes(t, width) for t in texts]
+        sets = [np.unique(h.view(np.int64)) for h in hashes]
+        fps = np.array([_majority(h) for h in hashes], np.uint64).view(np.int64)
+        return pd.DataFrame({"fp": fps, "key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "n": np.array([len(s) for s in sets], np.int64)})
+
+    return F.pandas_udf(of, "fp long, key binary, n long")(text.cast("binary"))
+
+
+def parts_of(spark, text: Column, width: int, percent: int, frequent: np.ndarray) -> Column:
+    """Array of the shingle set's parts: size n, whole (odd sketch) and the cells of its prefix."""
+    shared = spark.sparkContext.broadcast(frequent)
+
+    def of(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        order = jaccard.Prefixes(shared.value, percent)
+        for texts in columns:
+            out = []
+            for text in texts:
+                found, parts = jaccard.shingle_set(text, width), []
+                for m in sorted(jaccard.cuts(len(found), percent)):
+                    at = found & (m - 1)
+                    whole = oddsketch.parity(at, found.view(np.uint64) >> np.uint64(20), m)
+                    for u in range(m):
+                        own = found if m == 1 else found[at == u]
+                        if len(own):
+                            parts.append({"n": len(own), "whole": whole[u], "cells": order.of(own) ^ np.int64(m - 1)})
+                out.append(parts)
+            yield pd.Series(out)
+
+    return F.pandas_udf(of, "array<struct<n: long, whole: array<long>, cells: array<long>>>")(text.cast("binary"))
+
+
+def fingerprint_pairs(nodes: DataFrame, bits: int, hot_cell: int) -> DataFrame:
+    """Pairs (a, b) of sets to compare, from place, fp and n of distinct sets: the grid's links between fingerprints.
+
+    A set meets the first of its own fingerprint's sets, and that one the first and the last of the linked fingerprints.
+    """
+    own = F.min(F.struct("place", "n")).alias("first")
+    first = settle(nodes.groupBy("fp").agg(own).select("fp", F.col("first.place").alias("low"), F.col("first.n").alias("low_n")), "distinct_fingerprints")
+    near = links(first.select("fp"), bits, hot_cell).groupBy("b").agg(F.array_distinct(F.array(F.min("a"), F.max("a"))).alias("ends"))
+    near = near.select("b", F.explode("ends").alias("a"))
+    for x in "ab":
+        near = near.join(first.select(F.col("fp").alias(x), F.col("low").alias(f"low_{x}"), F.col("low_n").alias(f"n_{x}")), x)
+    same = nodes.join(first, "fp").where("place <> low").select(F.col("low").alias("low_a"), F.col("place").alias("low_b"), F.col("low_n").alias("n_a"), F.col("n").alias("n_b"))
+    return near.select(same.columns).unionByName(same)
+
+
+class _Parts:
+    """Links between distinct sets by the parts of which they consist: a stored table of part, place, n, whole, cells."""
+
+    def __init__(self, linker: oddsketch.Linker, parts: DataFrame, percent: int):
+        self.linker, self.possible = linker, oddsketch.possible(percent)
+        # As in the operator of odd sketches, these are merged at any size.
+        self.sketches = parts.select("part", "place", "n", "whole").hint("merge")
+
+    def open(self, cells: DataFrame) -> DataFrame:
+        """cell, part, place, root of the cells that still hold several components."""
+        roots = self.linker.roots.select(F.col("node").alias("place"), "root")
+        members = cells.select("cell", "part", "place").join(roots, "place", "left").withColumn("root", F.coalesce("root", "place"))
+        mixed = members.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cell")
+        return settle(members.join(mixed, "cell"), "open")
+
+    def confirm(self, met: DataFrame) -> None:
+        """Compare whole sets where parts, a and b of a table, may be similar."""
+        self.linker.confirm(met.where(self.possible).select(*oddsketch.ordered(F.col("a.place"), F.col("b.place"))).distinct())
+
+    def confirm_star(self, star: DataFrame) -> None:
+        """Compare the sets of part and hub."""
+        met = star.select("part", "hub").distinct().alias("p").join(self.sketches.alias("a"), F.col("p.part") == F.col("a.part"))
+        self.confirm(met.join(self.sketches.alias("b"), F.col("p.hub") == F.col("b.part")))
+
+    def meet(self, cells: DataFrame) -> None:
+        """Join all sets with parts that share a cell: first with a hub, then with two by chance, then what is still apart."""
+        cells = self.open(cells)
+        sizes = cells.groupBy("cell").agg(F.count("*").alias("size"))
+        met = cells.join(sizes, "cell").groupBy("part").agg(F.sum("size").alias("met"))
+        hubs = cells.join(met, "part").groupBy("cell").agg(F.max_by(F.struct("part", "root"), F.struct("met", "part")).alias("hub"))
+        self.confirm_star(cells.join(hubs, "cell").where("root <> hub.root").select("part", F.col("hub.part").alias("hub")))
+        cells, before = self.open(cells), cells
+        discard(before)
+        by_chance = F.struct(F.xxhash64("cell", "part").alias("h"), "part", "root")
+        ends = cells.groupBy("cell").agg(F.array(F.min(by_chance), F.max(by_chance)).alias("ends"))
+        star = cells.join(ends.select("cell", F.explode("ends").alias("end")), "cell").where("root <> end.root")
+        self.confirm_star(star.select("part", F.col("end.part").alias("hub")))
+        cells, before = self.open(cells), cells
+        discard(before)
+        counts = cells.groupBy("cell", "root").agg(F.count("*").alias("size"))
+        main = counts.groupBy("cell").agg(F.max(F.struct("size", "root")).alias("main")).select("cell", F.col("main.root").alias("main"))
+        sketched = cells.select("cell", "part", "root").join(self.sketches, "part")
+        minor = sketched.join(main, "cell").where("root <> main").alias("a")
+        self.confirm(minor.join(sketched.alias("b").hint("merge"), (F.col("a.cell") == F.col("b.cell")) & (F.col("a.root") != F.col("b.root")) & self.possible))
+        discard(cells)
+
+
+def linked_sets(marked: DataFrame, width: int, percent: int, bits: int, hot_cell: int) -> DataFrame:
+    """node, root of the places of distinct sets that have a link: a similarity of at least percent.
+
+    First come the fingerprints' links, confirmed on whole sets. Similar texts may lie further apart than ``bits``; these are
+    among the sets that share a cell and are in different components by then, and all of them are bounded or compared.
+    """
+    spark = marked.sparkSession
+    first = settle(marked.where("n > 0").groupBy("key").agg(F.min(F.struct("place", "fp", "n")).alias("s")).select("s.*"), "sets")
+    linker = oddsketch.Linker(marked, first, width, percent)
+    near = fingerprint_pairs(first, bits, hot_cell)
+    sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    linker.confirm(near.where(sized).select(*oddsketch.ordered(F.col("low_a"), F.col("low_b"))))
+    # Texts that surely are the first with their set aren't moved.
+    copies = marked.where("n > 0").select("place").join(first.select("place").hint("merge"), "place", "left_anti")
+    may_be_copy = may_hold(F.col("place"), spark, filter_words(copies.select(F.xxhash64("place").alias("seed")), 32))
+    asked = marked.where("n > 0").select("place", "text", may_be_copy.alias("asked"))
+    texts = asked.where("not asked").unionByName(asked.where("asked").join(first.select("place"), "place", "left_semi"))
+    parts = texts.select("place", F.explode(parts_of(spark, F.col("text"), width, percent, jaccard.frequent_shingles(marked, width))).alias("p"))
+    parts = settle(parts.select(F.monotonically_increasing_id().alias("part"), "place", "p.*"), "parts")
+    cells = parts.select("part", "place", F.explode("cells").alias("cell"))
+    # Forty bits tell cells apart well enough to see which are shared; what only seems to be is left out afterwards.
+    code = F.shiftrightunsigned("cell", 24).bitwiseXOR(F.col("cell").bitwiseAND(F.lit(255)))
+    shared = settle(cells.groupBy(code.alias("code")).agg(F.count("*").alias("size")).where("size > 1").select(F.xxhash64("code").alias("seed")), "shared_cells")
+    met = settle(cells.where(may_hold(code, spark, filter_words(shared, 32))), "cells")
+    discard(shared)
+    _Parts(linker, parts, percent).meet(met)
+    discard(first, parts, met)
+    return linker.roots
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, bits: int = 4, hot_cell: int = 4096) -> DataFrame:
     """The rows of docs, one of each component of near copies: the row with the least doc_id.
 
     Null ids come last; of equal ids the least text hash wins, and one of equal rows. Rows are told apart by place, never
     by doc_id.
-    Near copies are texts whose shingles have a Jaccard similarity of at least percent, not close fingerprints.
+    Near copies are texts whose shingles have a Jaccard similarity of at least percent. They are found by fingerprints on the
+    grid, confirmed on their sets, and beyond ``bits`` by shared hashes of their prefixes: all such links and no others.
     """
     spark = prepare(docs.sparkSession)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    marked = docs.select(row, F.monotonically_increasing_id().alias("place"), jaccard.key_column(F.col("text"), width).alias("k"))
-    marked = settle(marked.select("row", "place", "k.*"), "shingle_keys")
-    found = components(jaccard.links(marked.select("place", "key", "sketch", F.col("row.text").alias("text")), width, percent))
+    marked = docs.select(row, F.monotonically_increasing_id().alias("place"), described(F.col("text"), width).alias("s"))
+    marked = settle(marked.select("row", "place", "s.*"), "marked")
+    found = linked_sets(marked.withColumn("text", F.col("row.text")), width, percent, bits, hot_cell)
     mark = F.struct(F.col("row.doc_id").isNull().alias("last"), "row.doc_id", F.xxhash64("row.text").alias("hash"), "place").alias("mark")
     sets = marked.groupBy("key").agg(F.min("place").alias("node"))
     rooted = sets.join(found, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
