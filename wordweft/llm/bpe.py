@@ -47,6 +47,10 @@ LENGTH_BITS, START_BITS = 8, 32
 STARTS = 1 << 14
 
 
+#: Characters of a plan's description that the driver keeps.
+PLAN_TEXT = 1 << 16
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """Ranks of a .tiktoken file: lines of a base64 piece and its rank."""
     with open(path, "rb") as file:
@@ -265,6 +269,8 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int, finish: Callable, schema: str) -> DataFrame:
     """finish(doc_ids, ids, bounds) of every batch of rows; the ids of its row k are ids[bounds[k] : bounds[k + 1]]."""
     spark = prepare(docs.sparkSession)
+    # A plan's text holds the rank map several times over, and the driver keeps the texts of past queries.
+    spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
     rank_map = RankMap(ranks)
     top, _ = most_frequent(settle(word_counts(docs, pattern), "words"), frequent)
     spread = top.select("word").repartition(2 * spark.sparkContext.defaultParallelism)
