@@ -381,6 +381,18 @@ def test_bpe_equals_tiktoken(spark, docs, texts, ranks):
     assert bpe.digests(empty(spark), ranks, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_plans_hold_no_rank_map(spark, docs, ranks):
+    """The driver writes out every plan of a query, several times, with the literals in it whole."""
+
+    def nodes(plan):
+        yield plan
+        for k in range(plan.children().length()):
+            yield from nodes(plan.children().apply(k))
+
+    found = bpe.digests(docs, ranks, public_tokenizers.PATTERN)
+    assert max(len(node.simpleString(25)) for node in nodes(found._jdf.queryExecution().sparkPlan())) < 1 << 16
+
+
 def test_both_folds_give_the_library_s_merges(spark, ranks):
     rng = random.Random(9)
     some = [w.decode("utf-8", "ignore") for w in rng.sample(sorted(ranks), 400)]

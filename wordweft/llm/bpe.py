@@ -1,9 +1,9 @@
 """Byte-level BPE with Spark's higher-order functions: encode, decode.
 
 Text is cut into words by the tokenizer's pattern, distinct words are counted, and folds of ranked merges turn words into
-ids. The rank map is a literal of the plan: pieces and ranks in slots that a hash without collisions gives, so that a
-lookup is one comparison whatever the vocabulary's size. It stands once in an expression, since the driver writes plans
-out as text, literals and all.
+ids. The rank map is one row: pieces and ranks in slots that a hash without collisions gives, so that a lookup is one
+comparison whatever the vocabulary's size. Plans get it as a scalar subquery, not as a literal: the driver writes plans out
+as text, literals and all, several times a query.
 
 * Words of up to SHORT bytes: the fold's state is the pieces, each a number made of its rank with the next piece, its
   place and its id, so that the least number is the leftmost pair of the least rank. A step merges it and looks up the two
@@ -47,10 +47,6 @@ LENGTH_BITS, START_BITS = 8, 32
 STARTS = 1 << 14
 
 
-#: Characters of a plan's description that the driver keeps.
-PLAN_TEXT = 1 << 16
-
-
 def read_ranks(path: str) -> dict[bytes, int]:
     """Ranks of a .tiktoken file: lines of a base64 piece and its rank."""
     with open(path, "rb") as file:
@@ -90,7 +86,9 @@ def place_keys(keys: list[bytes]) -> tuple[list[int], list[int], int, int]:
 
 
 class RankMap:
-    """The rank map as a struct literal: names and ranks of pieces by slot, and lengths of pieces by their start."""
+    """The rank map as a struct: names and ranks of pieces by slot, and lengths of pieces by their start."""
+
+    KIND = "struct<names:array<binary>,ranks:array<bigint>,moves:array<int>,starts:array<int>,sets:array<array<int>>,twos:array<bigint>>"
 
     def __init__(self, ranks: dict[bytes, int]):
         check_order(ranks)
@@ -119,8 +117,17 @@ class RankMap:
         for x in both:
             twos[zlib.crc32(x) >> self.window & 65535] = ranks.get(x)
         row = {"names": names, "ranks": numbers, "moves": moves, "starts": by_start, "sets": list(sets), "twos": twos}
-        kinds = "struct<names:array<binary>,ranks:array<bigint>,moves:array<int>,starts:array<int>,sets:array<array<int>>,twos:array<bigint>>"
-        self.literal = F.from_json(F.lit(json.dumps(row)), kinds)
+        self.json = json.dumps(row)
+
+    @property
+    def literal(self) -> Column:
+        """The map as a literal, for an expression that stands alone: plans are written out with the whole of it."""
+        return F.from_json(F.lit(self.json), self.KIND)
+
+    def beside(self, df: DataFrame, name: str) -> DataFrame:
+        """df with the map as a further column, which plans name only; to be used once, so that no row has a copy."""
+        one = df.sparkSession.createDataFrame([(self.json,)], "row string").coalesce(1)
+        return df.withColumn(name, one.select(F.from_json("row", self.KIND)).scalar())
 
     def rank(self, t: Column, word: Column, start: Column, end: Column) -> Column:
         """Rank of the piece that word's bytes from start (from 0) up to end are; null if they are none. t: the literal."""
@@ -269,12 +276,10 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int, finish: Callable, schema: str) -> DataFrame:
     """finish(doc_ids, ids, bounds) of every batch of rows; the ids of its row k are ids[bounds[k] : bounds[k + 1]]."""
     spark = prepare(docs.sparkSession)
-    # A plan's text holds the rank map several times over, and the driver keeps the texts of past queries.
-    spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
     rank_map = RankMap(ranks)
     top, _ = most_frequent(settle(word_counts(docs, pattern), "words"), frequent)
     spread = top.select("word").repartition(2 * spark.sparkContext.defaultParallelism)
-    coded = spread.withColumn("ids", bind(rank_map.literal, lambda t: fold_merges(F.col("word").cast("binary"), rank_map, t)))
+    coded = rank_map.beside(spread, "map").select("word", bind(F.col("map"), lambda t: fold_merges(F.col("word").cast("binary"), rank_map, t)).alias("ids"))
     # A task's words stand in one blob, in the order of the blobs' codes.
     shared = spark.sparkContext.broadcast(collect_blobs(coded))
 
@@ -299,7 +304,8 @@ def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: i
     looked = docs.select("doc_id", words_of(F.col("text"), pattern).alias("words")).mapInArrow(
         look_up, "doc_ids array<long>, sizes array<int>, codes binary, rare array<string>"
     )
-    folded = looked.withColumn("rare", bind(rank_map.literal, lambda t: F.transform("rare", lambda w: fold_merges(w.cast("binary"), rank_map, t))))
+    rare = bind(F.col("map"), lambda t: F.transform("rare", lambda w: fold_merges(w.cast("binary"), rank_map, t)))
+    folded = rank_map.beside(looked, "map").select("doc_ids", "sizes", "codes", rare.alias("rare"))
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = read_blobs(shared.value)
