@@ -33,7 +33,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return queries.bpe_digests(docs)
+    """Python workers outlive their stage, and the next one finds them in its executors' memory: one a task, not two."""
+    return queries.bpe_digests(docs, apart=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

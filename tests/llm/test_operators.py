@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from wordweft.llm import bpe, cnn, common, dac, jaccard, langid, lbl, rules, sharding, simhash, tiling, toxicity
+from wordweft.llm import bpe, cnn, common, dac, jaccard, langid, lbl, oddsketch, rules, sharding, simhash, tiling, toxicity
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -90,6 +90,51 @@ def test_crowded_cells_keep_components(spark):
         assert mine == slow_components(fps, signed, 4), hot
 
 
+def test_cells_are_counted_one_by_one_only_in_crowded_classes(spark, monkeypatch):
+    made, settle = [], simhash.settle
+
+    def noted(df, name):
+        made.append(name)
+        return settle(df, name)
+
+    monkeypatch.setattr(simhash, "settle", noted)
+    rng = random.Random(6)
+    apart = [rng.getrandbits(64) - (1 << 63) for _ in range(300)]
+    near = [x ^ 5 for x in apart[::10]]
+    df = spark.createDataFrame([(x,) for x in apart + near], "fp long")
+    slow = {(min(x, x ^ 5), max(x, x ^ 5)) for x in apart[::10]}
+    assert {(r["a"], r["b"]) for r in simhash.links(df).collect()} == slow and made == ["full_classes"]
+    crowd = spark.createDataFrame([(x,) for x in apart + near + [apart[0] ^ (1 << k) for k in range(8)]], "fp long")
+    roots = {r["node"]: r["root"] for r in common.components(simhash.links(crowd, hot_cell=8)).collect()}
+    assert "hot_cells" in made and len({roots[apart[0] ^ (1 << k)] for k in range(8)} | {roots[apart[0]], roots[near[0]]}) == 1
+
+
+def workers_of_a_task(df):
+    """The most Python operators that one task of the plan runs, one upon the other."""
+    path, most = [], 0
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        name = line.lstrip(" :+-*(0123456789)")
+        path[:] = [x for x in path if x[0] < len(line) - len(name.lstrip())] + [(len(line) - len(name.lstrip()), name)]
+        own = [n for _, n in path]
+        own = own[max((k for k, n in enumerate(own) if n.startswith("Exchange")), default=-1) + 1 :]
+        most = max(most, sum(n.startswith(("ArrowEvalPython", "MapInArrow")) for n in own))
+    return most
+
+
+def test_a_task_of_near_copies_runs_one_python_worker(spark, monkeypatch):
+    seen, settle = {}, simhash.settle
+
+    def noted(df, name):
+        seen[name] = max(seen.get(name, 0), workers_of_a_task(df))
+        return settle(df, name)
+
+    monkeypatch.setattr(simhash, "settle", noted)
+    monkeypatch.setattr(oddsketch, "settle", noted)
+    rows = family(random.Random(4))
+    simhash.keep_one(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert seen["parts"] == seen["cells"] == 1
+
+
 def test_keep_one_keeps_columns_and_one_row_each(docs, texts):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
@@ -393,6 +438,14 @@ def test_bpe_plans_hold_no_rank_map(spark, docs, ranks):
     assert max(len(node.simpleString(25)) for node in nodes(found._jdf.queryExecution().sparkPlan())) < 1 << 16
 
 
+def test_digests_of_the_pipeline_run_one_python_worker_a_task(spark, docs, ranks):
+    import corpus_pipeline
+
+    apart = corpus_pipeline.byte_bpe(spark, docs, "")
+    assert workers_of_a_task(apart) == 1
+    assert Counter(map(tuple, apart.collect())) == Counter(map(tuple, bpe.digests(docs, ranks, public_tokenizers.PATTERN).collect()))
+
+
 def test_both_folds_give_the_library_s_merges(spark, ranks):
     rng = random.Random(9)
     some = [w.decode("utf-8", "ignore") for w in rng.sample(sorted(ranks), 400)]

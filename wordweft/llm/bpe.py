@@ -273,8 +273,11 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return starts - starts[0], values.astype("<u4")
 
 
-def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int, finish: Callable, schema: str) -> DataFrame:
-    """finish(doc_ids, ids, bounds) of every batch of rows; the ids of its row k are ids[bounds[k] : bounds[k + 1]]."""
+def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int, finish: Callable, schema: str, apart: bool = False) -> DataFrame:
+    """finish(doc_ids, ids, bounds) of every batch of rows; the ids of its row k are ids[bounds[k] : bounds[k + 1]].
+
+    apart: the codes are written between the two Python steps, so that a task runs one worker and not two.
+    """
     spark = prepare(docs.sparkSession)
     rank_map = RankMap(ranks)
     top, _ = most_frequent(settle(word_counts(docs, pattern), "words"), frequent)
@@ -306,6 +309,8 @@ def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: i
     )
     rare = bind(F.col("map"), lambda t: F.transform("rare", lambda w: fold_merges(w.cast("binary"), rank_map, t)))
     folded = rank_map.beside(looked, "map").select("doc_ids", "sizes", "codes", rare.alias("rare"))
+    if apart:
+        folded = settle(folded, "codes")
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = read_blobs(shared.value)
@@ -365,7 +370,7 @@ def decode(coded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text binary")
 
 
-def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int = FREQUENT) -> DataFrame:
+def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int = FREQUENT, apart: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and the SHA-256 of the decoded ids, for every row's whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     held: list[Callable] = []
@@ -383,4 +388,4 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: in
         ]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _encoded(docs, ranks, pattern, frequent, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _encoded(docs, ranks, pattern, frequent, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", apart)

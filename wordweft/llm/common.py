@@ -19,12 +19,12 @@ BATCH_ROWS, BATCH_BYTES = 2048, "3m"
 SEED_BITS, FILTER_BITS, PROBES = 256, 1 << 28, 4
 
 
-def prepare(spark: SparkSession) -> SparkSession:
+def prepare(spark: SparkSession, batch_bytes: str = BATCH_BYTES) -> SparkSession:
     """Keep Arrow batches of whole texts small enough for a worker's memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", batch_bytes)
     return spark
 
 

@@ -37,11 +37,11 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def bpe_digests(docs: DataFrame) -> DataFrame:
+def bpe_digests(docs: DataFrame, apart: bool = False) -> DataFrame:
     import public_tokenizers
 
     ranks = bpe.read_ranks(_tokenizer("byte_bpe_multi_50k.tiktoken"))
-    return bpe.digests(docs, ranks, public_tokenizers.PATTERN)
+    return bpe.digests(docs, ranks, public_tokenizers.PATTERN, apart=apart)
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,11 +31,13 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import discard
 from . import jaccard, oddsketch
-from .common import components, filter_words, may_hold, prepare, settle
+from .common import Filter, components, filter_words, may_hold, prepare, settle
 from .jaccard import shingle_hashes
 
 SEGMENT = 2
 _BLOCK = 1 << 15
+#: Bytes of an Arrow batch of ``keep_one``, whose workers hold a text's shingles, its parts and a filter as well.
+BATCH_BYTES = "1m"
 
 
 def fingerprint(text: bytes | None, width: int = 4) -> int:
@@ -102,7 +104,8 @@ def links(fps: DataFrame, bits: int = 4, hot_cell: int = 4096, axes: int | None
     Cells of over hot_cell fingerprints give, instead of all their pairs, enough links to keep the same
     components.
     """
-    axes = axes or axes_for(fps.count(), bits)
+    distinct = fps.count()
+    axes = axes or axes_for(distinct, bits)
     masks = _axis_masks(axes)
     grids = list(combinations(range(axes), axes - bits))
     keys = []
@@ -113,9 +116,16 @@ def links(fps: DataFrame, bits: int = 4, hot_cell: int = 4096, axes: int | None
             mask |= masks[k]
         keys.append(F.xxhash64(F.lit(number), packed.bitwiseAND(F.lit(_signed(mask)))))
     cells = fps.select("fp", F.explode(F.array(*keys)).alias("cell"))
-    hot = cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > hot_cell).select("cell")
-    hot = settle(hot, "hot_cells")
-    crowded = not hot.isEmpty()
+    # Nearly all cells differ, so counting each would hold and move a row a cell. A crowded cell crowds its class of cells,
+    # too: classes are counted first, at an eighth of hot_cell rows on average, and then the cells of crowded classes alone.
+    classes = max(1, distinct * len(grids) // max(1, hot_cell // 8))
+    classed = cells.withColumn("class", F.pmod("cell", F.lit(classes)))
+    full = settle(classed.groupBy("class").agg(F.count("*").alias("n")).where(F.col("n") > hot_cell).select("class"), "full_classes")
+    crowded = not full.isEmpty()
+    if crowded:
+        hot = classed.join(full, "class", "left_semi").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > hot_cell).select("cell")
+        hot = settle(hot, "hot_cells")
+        crowded = not hot.isEmpty()
     cold = cells.join(hot, "cell", "left_anti") if crowded else cells
     left, right = cold.select("cell", F.col("fp").alias("a")), cold.select("cell", F.col("fp").alias("b"))
     near = left.join(right.hint("merge"), "cell").where((F.col("a") < F.col("b")) & (manhattan(popcounts(F.col("a")), popcounts(F.col("b"))) <= bits))
@@ -170,15 +180,21 @@ def described(text: Column, width: int) -> Column:
     return F.pandas_udf(of, "fp long, key binary, n long")(text.cast("binary"))
 
 
-def parts_of(spark, text: Column, width: int, percent: int, frequent: np.ndarray) -> Column:
-    """Array of the shingle set's parts: size n, whole (odd sketch) and the cells of its prefix."""
-    shared = spark.sparkContext.broadcast(frequent)
+def parts_of(spark, text: Column, width: int, percent: int, frequent: np.ndarray, seed: Column, spared: np.ndarray) -> Column:
+    """Array of the shingle set's parts: size n, whole (odd sketch) and the cells of its prefix.
 
-    def of(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        order = jaccard.Prefixes(shared.value, percent)
-        for texts in columns:
-            out = []
-            for text in texts:
+    Null where the filter spared may hold the seed: asked in here, a task needs one Python worker and not two.
+    """
+    shared = spark.sparkContext.broadcast((frequent, spared))
+
+    def of(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        order, held = jaccard.Prefixes(shared.value[0], percent), Filter(shared.value[1])
+        for texts, seeds in columns:
+            hashes, out = seeds.to_numpy().view(np.uint64), []
+            for text, left_out in zip(texts, np.isin(hashes, held.keep(hashes))):
+                if left_out:
+                    out.append(None)
+                    continue
                 found, parts = jaccard.shingle_set(text, width), []
                 for m in sorted(jaccard.cuts(len(found), percent)):
                     at = found & (m - 1)
@@ -188,9 +204,9 @@ def parts_of(spark, text: Column, width: int, percent: int, frequent: np.ndarray
                         if len(own):
                             parts.append({"n": len(own), "whole": whole[u], "cells": order.of(own) ^ np.int64(m - 1)})
                 out.append(parts)
-            yield pd.Series(out)
+            yield pd.Series(out, dtype=object)
 
-    return F.pandas_udf(of, "array<struct<n: long, whole: array<long>, cells: array<long>>>")(text.cast("binary"))
+    return F.pandas_udf(of, "array<struct<n: long, whole: array<long>, cells: array<long>>>")(text.cast("binary"), seed)
 
 
 def fingerprint_pairs(nodes: DataFrame, bits: int, hot_cell: int) -> DataFrame:
@@ -269,10 +285,14 @@ def linked_sets(marked: DataFrame, width: int, percent: int, bits: int, hot_cell
     linker.confirm(near.where(sized).select(*oddsketch.ordered(F.col("low_a"), F.col("low_b"))))
     # Texts that surely are the first with their set aren't moved.
     copies = marked.where("n > 0").select("place").join(first.select("place").hint("merge"), "place", "left_anti")
-    may_be_copy = may_hold(F.col("place"), spark, filter_words(copies.select(F.xxhash64("place").alias("seed")), 32))
-    asked = marked.where("n > 0").select("place", "text", may_be_copy.alias("asked"))
-    texts = asked.where("not asked").unionByName(asked.where("asked").join(first.select("place"), "place", "left_semi"))
-    parts = texts.select("place", F.explode(parts_of(spark, F.col("text"), width, percent, jaccard.frequent_shingles(marked, width))).alias("p"))
+    may_be_copies = filter_words(copies.select(F.xxhash64("place").alias("seed")), 32)
+    frequent, texts = jaccard.frequent_shingles(marked, width), marked.where("n > 0").select("place", "text")
+    asked = texts.where(may_hold(F.col("place"), spark, may_be_copies)).join(first.select("place").hint("merge"), "place", "left_semi")
+    cut = [
+        some.select("place", F.explode(parts_of(spark, F.col("text"), width, percent, frequent, F.xxhash64("place"), spared)).alias("p"))
+        for some, spared in ((texts, may_be_copies), (asked, np.zeros(1, np.uint64)))
+    ]
+    parts = cut[0].unionByName(cut[1])
     parts = settle(parts.select(F.monotonically_increasing_id().alias("part"), "place", "p.*"), "parts")
     cells = parts.select("part", "place", F.explode("cells").alias("cell"))
     # Forty bits tell cells apart well enough to see which are shared; what only seems to be is left out afterwards.
@@ -293,7 +313,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, bits: int = 4,
     Near copies are texts whose shingles have a Jaccard similarity of at least percent. They are found by fingerprints on the
     grid, confirmed on their sets, and beyond ``bits`` by shared hashes of their prefixes: all such links and no others.
     """
-    spark = prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession, BATCH_BYTES)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     marked = docs.select(row, F.monotonically_increasing_id().alias("place"), described(F.col("text"), width).alias("s"))
     marked = settle(marked.select("row", "place", "s.*"), "marked")
