@@ -117,6 +117,24 @@ def test_a_full_dictionary_is_left_alone(spark, raw, tmp_path):
     assert dictionary.seed_dictionary(raw, path, min_rows=2) and io.read_dictionary(spark, path)[0].count() == 2
 
 
+def test_a_stored_row_is_one_entry(spark, raw, tmp_path):
+    """However many entries a word has: records of a whole word, as they were stored, grow with their number."""
+    many = raw.where("word = 'Oak' or word = 'oak'").crossJoin(spark.range(40)).withColumn("ord", F.col("ord") + 100 * F.col("id")).drop("id")
+    path = f"file://{tmp_path}/entries"
+    assert dictionary.seed_entries(many, path) and not dictionary.seed_entries(many, path)
+    stored = io.read_entries(spark, path)
+    rows = stored.collect()
+    per_word = len(plain_records()["oak"])
+    assert sorted(r["entry_ix"] for r in rows) == list(range(40 * per_word)) and {r["word"] for r in rows} == {"oak"}
+    wanted = {json.dumps(e, sort_keys=True) for e in plain_records()["oak"]}
+    assert {json.dumps(json.loads(r["entry"]), sort_keys=True) for r in rows} == wanted
+    assert max(len(r["entry"]) for r in rows) <= max(len(json.dumps(e)) for e in plain_records()["oak"])
+    flat = {(r["link_field"], r["lexical_key"], r["pos"], t) for r in dictionary.entry_links(stored).collect() for t in r["targets"]}
+    whole = dictionary.record_links(dictionary.dictionary_records(many)).first()["all_links"]
+    assert flat == {(f, k, p, t) for f, m in whole.items() for k, tags in m.items() for p, targets in tags.items() for t in targets}
+    assert [(r["word"], r["fields"]) for r in dictionary.fields_of_entries(stored).collect()] == [("oak", ["derived", "categories"])]
+
+
 def test_an_empty_dictionary(spark, raw, tmp_path):
     path = f"file://{tmp_path}/none"
     assert dictionary.seed_dictionary(raw.limit(0), path) and io.read_dictionary(spark, path)[0].isEmpty()
