@@ -68,3 +68,31 @@ def test_settled_tables_can_be_removed(spark):
     assert os.path.isdir(folder) and table.count() == 3
     discard(table, spark.range(2))
     assert not os.path.isdir(folder)
+
+
+def test_parallel_edges_are_one_row_for_all_levels(spark):
+    rng = random.Random(8)
+    rows = {(rng.randrange(9), rng.randrange(9), rng.randrange(2), rng.randrange(12), rng.randrange(18)) for _ in range(400)}
+    edges = spark.createDataFrame(sorted(rows), "source_id long, target_id long, lemmatized int, edge_type int, pos_id int")
+
+    def asked(n):
+        masks = [(k, rng.randrange(9), rng.randrange(2), rng.randrange(1, 1 << 12), 1 << rng.randrange(18) | 1 << rng.randrange(18)) for k in range(n)]
+        return masks, spark.createDataFrame(masks, "query_id long, vertex long, lemmatized int, field_mask int, pos_mask int")
+
+    def legal(mask):
+        return {(s, t) for s, t, lem, key, pos in rows if lem == mask[2] and mask[3] >> key & 1 and mask[4] >> pos & 1}
+
+    masks, roots = asked(5)
+    pairs = {(r["source_id"], r["target_id"]): r["allowed"] for r in graph.legal_pairs(edges, roots).collect()}
+    ordered = sorted({m[2:] for m in masks})
+    assert pairs == {p: sum(1 << k for k, m in enumerate(ordered) if p in legal((0, 0, *m))) for p in set().union(*map(legal, masks))}
+    # More settings than a row has bits go by their masks.
+    for n in (5, graph.BLOCK + 3):
+        masks, roots = asked(n)
+        wanted = set()
+        for m in masks:
+            links = {}
+            for s, t in legal(m):
+                links.setdefault(s, set()).add(t)
+            wanted |= {(m[0], v, d) for v, d in _distances(links, m[1]).items()}
+        assert {tuple(x) for x in graph.bfs(roots, edges).collect()} == wanted

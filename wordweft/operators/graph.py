@@ -35,8 +35,9 @@ def assign_node_ids(words: DataFrame) -> DataFrame:
 
 def build_edges(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """Link rows with both ends among the nodes and a known key; parallel edges stay."""
-    source = nodes.select(F.col("node_id").alias("source_id"), "word")
-    target = nodes.select(F.col("node_id").alias("target_id"), F.col("word").alias("low"))
+    # Nodes are few beside links, which needn't be sorted to meet them.
+    source = nodes.select(F.col("node_id").alias("source_id"), "word").hint("shuffle_hash")
+    target = nodes.select(F.col("node_id").alias("target_id"), F.col("word").alias("low")).hint("shuffle_hash")
     return (
         links.join(F.broadcast(key_table(links.sparkSession)), "lexical_key")
         .withColumn("low", F.lower("target"))
@@ -58,7 +59,9 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
 
 
 def compact_edges(edges: DataFrame) -> DataFrame:
-    """Edges for traversal: one row for each pair, mode, key and tag."""
+    """Edges for traversal: one row for each pair, mode, key and tag. What is compact already is left as it is."""
+    if "pos_id" in edges.columns:
+        return edges
     return edges.select("source_id", "target_id", "lemmatized", "edge_type", pos_id(F.col("target_pos")).alias("pos_id")).distinct()
 
 
@@ -97,7 +100,10 @@ def profile_degrees(edges: DataFrame, profiles: DataFrame) -> DataFrame:
     return out_degree_stats(legal.select("q.profile", "e.source_id"), "profile")
 
 
-def _legal() -> Column:
+def _legal(edges: DataFrame | None = None) -> Column:
+    """Whether a query's setting allows an edge, by the numbers of ``legal_pairs`` or by its masks."""
+    if edges is not None and "allowed" in edges.columns:
+        return F.expr("getbit(e.allowed, q.number) = 1")
     return (
         (F.col("q.lemmatized") == F.col("e.lemmatized"))
         & has_bit(F.col("q.field_mask"), F.col("e.edge_type"))
@@ -109,13 +115,48 @@ def _legal() -> Column:
 BLOCK = 62
 
 
+SETTING = ["lemmatized", "field_mask", "pos_mask"]
+
+
+def _settings(roots: DataFrame) -> list[tuple]:
+    """The settings of roots in order, one more than BLOCK of them at most."""
+    return [tuple(r) for r in roots.select(*SETTING).distinct().orderBy(*SETTING).limit(BLOCK + 1).collect()]
+
+
+def legal_pairs(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """source_id, target_id and allowed, a bit for each setting of roots that has a legal edge between the two.
+
+    Keys and tags of parallel edges are read once for all levels. Over BLOCK settings don't fit a row: then ``compact_edges``.
+    """
+    settings = _settings(roots)
+    if len(settings) > BLOCK:
+        return settle(compact_edges(edges), "flat_edges")
+    pos = F.col("pos_id") if "pos_id" in edges.columns else pos_id(F.col("target_pos"))
+    bits = F.lit(0).cast("long")
+    for number, (lemmatized, fields, tags) in enumerate(settings):
+        legal = (F.col("lemmatized") == lemmatized) & has_bit(F.lit(fields), F.col("edge_type")) & has_bit(F.lit(tags), pos)
+        bits = bits.bitwiseOR(F.when(legal, F.lit(1 << number).cast("long")).otherwise(F.lit(0).cast("long")))
+    rows = edges.select("source_id", "target_id", bits.alias("bits")).where("bits <> 0")
+    return settle(rows.groupBy("source_id", "target_id").agg(F.bit_or("bits").alias("allowed")), "pairs")
+
+
+def _numbered(rows: DataFrame, roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows (with SETTING) and the number of their setting in ``legal_pairs`` of roots."""
+    if "allowed" not in edges.columns:
+        return rows
+    number = F.lit(None).cast("int")
+    for k, values in enumerate(_settings(roots)):
+        same = [F.col(c) == v for c, v in zip(SETTING, values)]
+        number = F.when(same[0] & same[1] & same[2], k).otherwise(number)
+    return rows.withColumn("number", number)
+
+
 def _blocks(roots: DataFrame) -> DataFrame:
     """roots with block and bit: traversals of one setting, at most BLOCK a block."""
-    setting = ["lemmatized", "field_mask", "pos_mask"]
     shares = roots.count() // BLOCK + 1
     dealt = roots.withColumn("share", F.pmod(F.xxhash64("query_id"), F.lit(shares)))
-    place = F.row_number().over(Window.partitionBy(*setting, "share").orderBy("query_id")) - 1
-    block = F.xxhash64(*setting, "share", F.floor(F.col("place") / BLOCK))
+    place = F.row_number().over(Window.partitionBy(*SETTING, "share").orderBy("query_id")) - 1
+    block = F.xxhash64(*SETTING, "share", F.floor(F.col("place") / BLOCK))
     return dealt.withColumn("place", place).withColumn("block", block).withColumn("bit", F.col("place") % BLOCK).drop("share", "place")
 
 
@@ -132,14 +173,16 @@ def _still_wanted(wanted: DataFrame, fresh: DataFrame) -> DataFrame:
 def bfs(roots: DataFrame, edges: DataFrame, max_depth: int | None = None, goals: DataFrame | None = None, only_goals: bool = False) -> DataFrame:
     """query_id, vertex, dist from rows (query_id, vertex, lemmatized, field_mask, pos_mask), one a query.
 
-    edges are ``compact_edges``. Traversals go in blocks: a row (block, vertex) holds a bit for each traversal of the
+    edges are a snapshot's, or ``legal_pairs`` of the roots. Traversals go in blocks: a row (block, vertex) holds a bit for each traversal of the
     block that has met the vertex, so many roots cost little more than one. A level stores its new bits alone; what was met
     before goes through the same aggregation as what the level leads to. Ends when no traversal finds a new vertex.
     goals (query_id, vertex): a traversal also ends when it has met all its goals, and does not start without any; with
     only_goals their rows are all that is returned.
     """
     members = settle(_blocks(roots), "members")
-    settings = members.select("block", "lemmatized", "field_mask", "pos_mask").distinct()
+    if "allowed" not in edges.columns:
+        edges = legal_pairs(edges, members)
+    settings = _numbered(members.select("block", *SETTING).distinct(), members, edges)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
     none = F.lit(0).cast("long")
     fresh = settle(members.groupBy("block", "vertex").agg(F.bit_or(bit).alias("fresh")), "level")
@@ -156,7 +199,8 @@ def bfs(roots: DataFrame, edges: DataFrame, max_depth: int | None = None, goals:
             wanted = left
             active = wanted.groupBy("block").agg(F.bit_or("bits").alias("active"))
             here = fresh.join(active, "block").select("block", "vertex", F.col("fresh").bitwiseAND(F.col("active")).alias("fresh")).where("fresh <> 0")
-        step = here.join(settings, "block").alias("q").join(edges.alias("e"), (F.col("q.vertex") == F.col("e.source_id")) & _legal())
+        # Reached vertices are few beside edges, which needn't be sorted to meet them.
+        step = here.join(settings, "block").hint("shuffle_hash").alias("q").join(edges.alias("e"), (F.col("q.vertex") == F.col("e.source_id")) & _legal(edges))
         met = step.select("q.block", F.col("e.target_id").alias("vertex"), F.col("q.fresh").alias("met"), none.alias("held"))
         before = reduce(DataFrame.unionByName, seen).select("block", "vertex", none.alias("met"), F.col("fresh").alias("held"))
         both = met.unionByName(before).groupBy("block", "vertex").agg(F.bit_or("met").alias("met"), F.bit_or("held").alias("held"))
@@ -195,7 +239,7 @@ def _rebuild(ends: DataFrame, tree: DataFrame, roots: DataFrame, nodes: DataFram
     A vertex's parent is the least id among those one level nearer to the root that have a legal edge to it.
     """
     names = nodes.select(F.col("node_id").alias("vertex"), F.col("word").alias("name"))
-    settings = roots.select(F.col("query_id").alias("root_id"), "lemmatized", "field_mask", "pos_mask")
+    settings = _numbered(roots.select(F.col("query_id").alias("root_id"), *SETTING), roots, edges)
     dist = tree.select(F.col("query_id").alias("root_id"), "vertex", "dist")
     walk = settle(ends.join(dist, ["root_id", "vertex"]).select("key", "root_id", "vertex", "dist", F.array().cast("array<string>").alias("path")), "walk")
     done = []
@@ -203,7 +247,7 @@ def _rebuild(ends: DataFrame, tree: DataFrame, roots: DataFrame, nodes: DataFram
         named = settle(walk.join(names, "vertex").select("key", "root_id", "vertex", "dist", F.concat(F.array("name"), "path").alias("path")), "named")
         discard(walk)
         done.append(named.where("dist = 0").select("key", "path"))
-        above = named.where("dist > 0").join(settings, "root_id").alias("q").join(edges.alias("e"), (F.col("q.vertex") == F.col("e.target_id")) & _legal())
+        above = named.where("dist > 0").join(settings, "root_id").alias("q").join(edges.alias("e"), (F.col("q.vertex") == F.col("e.target_id")) & _legal(edges))
         above = above.select("key", "root_id", F.col("source_id").alias("vertex"), (F.col("dist") - 1).alias("dist"), "path").join(dist, ["root_id", "vertex", "dist"])
         near = above.groupBy("key").agg(F.min("vertex").alias("vertex"), *[F.first(c).alias(c) for c in ("root_id", "dist", "path")])
         walk = settle(near, "walk")
@@ -212,7 +256,8 @@ def _rebuild(ends: DataFrame, tree: DataFrame, roots: DataFrame, nodes: DataFram
 
 def shortest_paths(queries: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """query_id, path (null without a route), links; equal words give a path of one word, known or not."""
-    roots, flat = settle(_roots(queries, nodes, "start"), "roots"), settle(compact_edges(edges), "flat_edges")
+    roots = settle(_roots(queries, nodes, "start"), "roots")
+    flat = legal_pairs(edges, roots)
     goal = nodes.select(F.col("node_id").alias("vertex"), F.col("word").alias("low"))
     asked = queries.withColumn("root_id", _root_id("start")).withColumn("low", F.lower("target"))
     known = asked.where(F.lower("start") != F.lower("target")).join(goal, "low")
@@ -229,7 +274,8 @@ def collide_paths(queries: DataFrame, nodes: DataFrame, edges: DataFrame) -> Dat
     sides = queries.select(F.col("start").alias("w"), "lemmatized", "field_mask", "pos_mask").unionByName(
         queries.select(F.col("target").alias("w"), "lemmatized", "field_mask", "pos_mask")
     )
-    roots, flat = settle(_roots(sides, nodes, "w"), "roots"), settle(compact_edges(edges), "flat_edges")
+    roots = settle(_roots(sides, nodes, "w"), "roots")
+    flat = legal_pairs(edges, roots)
     tree = settle(bfs(roots, flat), "tree")
     asked = queries.withColumn("a_id", _root_id("start")).withColumn("b_id", _root_id("target"))
     left = tree.select(F.col("query_id").alias("a_id"), "vertex", F.col("dist").alias("a"))
@@ -268,7 +314,7 @@ def distance_table(starts: DataFrame, targets: DataFrame, nodes: DataFrame, edge
     ids = [nodes.select(F.col("node_id").alias(i), F.col("word").alias(c)) for i, c in (("s", "start"), ("t", "target"))]
     known = settle(pairs.join(ids[0], "start").join(ids[1], "target"), "known")
     goals = known.select(F.col("s").alias("query_id"), F.col("t").alias("vertex"))
-    tree = bfs(roots, settle(compact_edges(edges), "flat_edges"), goals=goals, only_goals=True).select(F.col("query_id").alias("s"), F.col("vertex").alias("t"), "dist")
+    tree = bfs(roots, edges, goals=goals, only_goals=True).select(F.col("query_id").alias("s"), F.col("vertex").alias("t"), "dist")
     met = known.join(tree, ["s", "t"]).select("start", "target", "dist")
     return pairs.join(met, ["start", "target"], "left").select(
         "start", "target", F.coalesce(F.col("dist").cast("double"), F.lit(float("inf"))).alias("links")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.lexicon import LEXICAL_KEYS, POS_TAGS
 from ..functions.scalars import cost_features
 from ..sources.shared import settle
-from .graph import bfs, compact_edges
+from .graph import bfs
 from .ranks import quantiles
 
 UNREACHABLE = -1.0
@@ -103,7 +103,7 @@ def label_pairs(pairs: DataFrame, settings: DataFrame, edges: DataFrame) -> Data
     roots = roots.select(F.xxhash64("setting_id", "source").alias("query_id"), F.col("source").alias("vertex"), "lemmatized", "field_mask", "pos_mask")
     asked = pairs.withColumn("query_id", F.xxhash64("setting_id", "source"))
     goals = asked.select("query_id", F.col("target").alias("vertex"))
-    found = bfs(roots, settle(compact_edges(edges), "flat_edges"), goals=goals, only_goals=True).select("query_id", F.col("vertex").alias("target"), "dist")
+    found = bfs(roots, edges, goals=goals, only_goals=True).select("query_id", F.col("vertex").alias("target"), "dist")
     return asked.join(found, ["query_id", "target"], "left").select("setting_id", "source", "target", F.coalesce(F.col("dist").cast("double"), F.lit(UNREACHABLE)).alias("label"))
 
 
