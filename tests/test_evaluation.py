@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests.test_search import distances, model
 from tests import test_search
 from wordweft.functions.lexicon import ALL_FIELDS, ALL_POS
-from wordweft.operators import embed, evalsuite, search, training
+from wordweft.operators import embed, evalsuite, graph, search, training
 from wordweft.sources.shared import settle
 
 GLOSSES, ALL = 1 << 9, ALL_FIELDS
@@ -116,3 +116,10 @@ def test_cases_are_whole_or_an_error(spark, world):
     for make in (evalsuite.generate_regular_cases, evalsuite.generate_collide_cases):
         with pytest.raises(ValueError):
             make(few, table.where("source_id < 2 and target_id < 2"), 5, 1, attempts=2)
+
+
+def test_compact_edges_serve_all_searches_of_a_suite(spark):
+    nodes = spark.createDataFrame([(0, "a"), (1, "b")], "node_id long, word string")
+    edges = spark.createDataFrame([(0, 1, 9, 0, "NOUN"), (0, 1, 9, 0, "NOUN"), (1, 0, 3, 1, "VERB")], "source_id long, target_id long, edge_type int, lemmatized int, target_pos string")
+    links = [sorted(map(tuple, evalsuite.search_links(nodes, e).collect())) for e in (edges, graph.compact_edges(edges))]
+    assert links[0] == links[1] and len(links[0]) == 2
